@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import table
-from . import bpe, token_count, textops
+from ..session import cut, table
+from . import bpe, pii, pivots, simhash, textops, token_count, url_rules
+
+
+#: The listed rules of the contract.
+HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    mined = url_rules.mine(pages.select("page_id", "url").join(bad, "page_id"))
+    return url_rules.judge(pages, HOST_RULES, cut(mined))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +28,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = textops.vocabulary_bytes(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, ids=False)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
+    "op4_exact_top_k": op4_exact_top_k,
     "op7_bpe_codec": op7_bpe_codec,
+    "op9_personal_data": op9_personal_data,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
