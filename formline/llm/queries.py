@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import bpe, pii, pivots, simhash, textops, token_count, url_rules
+from . import bpe, decontam, pii, pivots, simhash, textops, token_count, toxicity, url_rules
 
 
 #: The listed rules of the contract.
@@ -32,11 +32,25 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit(docs, labels, ["low_quality", "toxic"])
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = textops.vocabulary_bytes(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, ids=False)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
@@ -49,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_toxicity": op5_toxicity,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_simhash": op10_simhash,
 }
