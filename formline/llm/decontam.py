@@ -24,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Batches, prefix_hash, range_hash, symbol_table, utf8, word_bounds
+from .textops import Batches, folded, prefix_hash, range_hash, symbol_table, utf8, word_bounds
 
 #: Passages of one slice; words of a block; blocks of a window; texts are worked on in chunks of this many bytes.
 #: Passages of one latent space, its rank, and the settings of the randomised SVD follow.
 SLICE, BLOCK, WINDOW, CHUNK = 10_000, 8, 4, 1 << 20
 GROUP, RANK, OVERSAMPLE, POWER_ROUNDS = 256, 192, 16, 2
 
-#: Letters and digits make words: A-Z lower-cased, other ASCII separates, every non-ASCII byte is a letter.
-_fold = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Letters and digits make words, in lower case; other ASCII separates, every non-ASCII byte is a letter.
 _apart = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 
@@ -50,9 +49,10 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place of its text) of every word, in order."""
+    texts = [folded(t) for t in texts]
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     starts, ends = word_bounds(data, _apart)
-    hashes = range_hash(prefix_hash(symbol_table()[_fold[data]]), starts, ends)
+    hashes = range_hash(prefix_hash(symbol_table()[data]), starts, ends)
     edges = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.searchsorted(edges, starts, side="right")
 

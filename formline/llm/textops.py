@@ -27,6 +27,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def folded(text: bytes) -> bytes:
+    """A text in lower case, of all alphabets."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

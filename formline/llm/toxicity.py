@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textops import Batches, utf8
+from .textops import Batches, folded, utf8
 
 #: Labelled rows used for fitting, at most; words a category's model looks at, at most; folds.
 MAX_LABELLED, MAX_WORDS, FOLDS = 20_000, 512, 5
@@ -30,12 +30,12 @@ PREFIXES = (0, 4, 5, 6, 7, 8)
 #: Rows in which a word must occur in the sample.
 LEAST_ROWS = 5
 
-_letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_letters = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def words_of(text: bytes) -> set[bytes]:
-    """Different words: runs of letters, A-Z lower-cased; every non-ASCII byte counts as a letter."""
-    return set(text.translate(_letters).split())
+    """Different words: runs of letters in lower case; every non-ASCII byte counts as a letter."""
+    return set(folded(text).translate(_letters).split())
 
 
 def features_of(text: bytes) -> dict[int, set[bytes]]:
