@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import bpe, decontam, pii, pivots, simhash, textops, token_count, toxicity, url_rules
+from . import automaton, bpe, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
 
 
 #: The listed rules of the contract.
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.removed(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,10 @@ def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     return toxicity.fit(docs, labels, ["low_quality", "toxic"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.removed(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = textops.vocabulary_bytes(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, ids=False)
@@ -62,8 +70,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
