@@ -188,7 +188,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from the spans of personal_data."""
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def number(kind: int) -> F.Column:
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.exists("spans", lambda x: ~x["base"]).alias("has_added"))
 
 

@@ -44,8 +44,7 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     rule = verdict = F.lit(None).cast("string")
     for kind, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
         own_host, _, own_path = text.partition("/")
-        own_path = own_path and "/" + own_path
-        fits = ((host == own_host) | host.endswith("." + own_host)) & path.startswith(own_path)
+        fits = ((host == own_host) | host.endswith("." + own_host)) & path.startswith("/" + own_path)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     return rule, verdict
 
