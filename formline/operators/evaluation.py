@@ -131,10 +131,7 @@ def difficulty(mean: DataFrame, distances: DataFrame, key: str = "player_id") ->
     both = mean.join(distances, key).select(key, "mean_rank", "distance")
     ranked = both
     for c in ("mean_rank", "distance"):
-        n = both.groupBy(c).agg(F.count("*").alias("same")).withColumn("part", F.lit(0))
-        order = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        place = n.select(c, (F.coalesce(F.sum("same").over(order), F.lit(0)) + (F.col("same") + 1) / 2).alias(f"{c}_place"))
-        ranked = ranked.join(place, c)
+        ranked = ranked.join(similarity.prefix_counts(both, c).select(c, (F.col("before") + (F.col("same") + 1) / 2).alias(f"{c}_place")), c)
     size = both.agg(F.count("*").alias("size"))
     fifth = F.ceil(F.col("distance_place") * 5 / F.col("size"))
     return ranked.crossJoin(F.broadcast(size)).agg(  # one row is broadcast

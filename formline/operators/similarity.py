@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 RATE_FEATURES = ["npxg_per90", "shots_per90", "xa_per90", "key_passes_per90", "xgchain_per90", "xgbuildup_per90", "npxg_per_shot", "buildup_share_of_chain"]
 STYLE_PREFIXES = ("last_action_", "shot_type_")
 #: Rows of one block of the all-pairs search, and the partial counts that one pair of blocks emits.
@@ -174,19 +176,27 @@ def _row_similarity(a: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(((a - x) ** 2).sum(1))
 
 
-def distinctiveness(df: DataFrame, distance: str = "distance", name: str = "distinctiveness") -> DataFrame:
-    """100 x the share of other rows of a strictly smaller distance, without a window over all rows.
+def prefix_counts(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, column, same, before, whole): rows of each value, of smaller values and of all values, within each `by`.
 
-    Distances are counted, the counts are summed up within ranges and the few ranges' totals over all, so that no
-    task sees every row.
+    There is no window over all rows: values are counted, dealt into ranges, summed up within each range, and only
+    the ranges' totals (one row for each range) meet in one place. The ranges are checkpointed, so that both uses
+    see the same ones.
     """
-    counts = df.groupBy(distance).agg(F.count("*").alias("__n")).repartitionByRange(distance).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(distance).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    parts = counts.groupBy("__part").agg(F.sum("__n").alias("__n"))
-    earlier = parts.alias("a").join(parts.alias("b"), F.col("a.__part") > F.col("b.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__earlier"))
-    total = parts.agg(F.sum("__n").alias("__total"))
-    smaller = counts.join(F.broadcast(earlier), "__part").crossJoin(F.broadcast(total)).select(distance, (100.0 * (F.col("__before") + F.col("__earlier")) / F.greatest(F.col("__total") - 1, F.lit(1))).alias(name))
+    counted = rows.groupBy(*by, column).agg(F.count("*").alias("same")).repartitionByRange(*by, column).withColumn("__range", F.spark_partition_id())
+    counts = cut(counted)
+    inside = Window.partitionBy("__range", *by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    of_by = Window.partitionBy(*(by or [F.lit(0)]))
+    ranges = counts.groupBy("__range", *by).agg(F.sum("same").alias("__n")).select(
+        "__range", *by, F.coalesce(F.sum("__n").over(of_by.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"), F.sum("__n").over(of_by).alias("whole")
+    )
+    placed = counts.withColumn("before", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(ranges, ["__range", *by])
+    return placed.select(*by, column, "same", (F.col("before") + F.col("__earlier")).alias("before"), "whole")
+
+
+def distinctiveness(df: DataFrame, distance: str = "distance", name: str = "distinctiveness") -> DataFrame:
+    """100 x the share of other rows of a strictly smaller distance."""
+    smaller = prefix_counts(df, distance).select(distance, (100.0 * F.col("before") / F.greatest(F.col("whole") - 1, F.lit(1))).alias(name))
     return df.join(smaller, distance)
 
 
@@ -225,10 +235,7 @@ def explanation_text(explained: DataFrame, labels: dict[str, str], other: str) -
 def feature_percentiles(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, value, percentile): average rank over the non-null rows of a feature, times 100."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("p")).select(*keys, "p.feature", "p.value").where("value is not null")
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("same"))
-    order = Window.partitionBy("feature").orderBy("value")
-    ranked = counts.withColumns({"before": F.coalesce(F.sum("same").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "whole": F.sum("same").over(Window.partitionBy("feature"))})
-    pct = ranked.select("feature", "value", ((F.col("before") + (F.col("same") + 1) / 2) / F.col("whole") * 100).alias("percentile"))
+    pct = prefix_counts(long, "value", ("feature",)).select("feature", "value", ((F.col("before") + (F.col("same") + 1) / 2) / F.col("whole") * 100).alias("percentile"))
     return long.join(pct, ["feature", "value"]).select(*keys, "feature", "value", "percentile")
 
 
