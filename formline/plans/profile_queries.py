@@ -186,9 +186,10 @@ def _(spark, sf):
     return zones.describe(zones.centres(situation_zones(spark, sf))).select("zone", "label")
 
 
-@query("z9_zone_export", ZONES + " SELECT zone, to_json(list(row ORDER BY ix))::VARCHAR AS grid FROM (SELECT zone, ix, list(round(share, 6) ORDER BY iy) AS row FROM comp GROUP BY ALL) GROUP BY zone")
+@query("z9_zone_export", ZONES + " SELECT zone, string_agg(row, ';' ORDER BY ix) AS grid FROM (SELECT zone, ix, string_agg(round(share, 6)::DECIMAL(9,6)::VARCHAR, ',' ORDER BY iy) AS row FROM comp GROUP BY ALL) GROUP BY zone")
 def _(spark, sf):
-    return zones.export(situation_zones(spark, sf)).select("zone", F.to_json("grid").alias("grid"))
+    line = lambda r: F.array_join(F.transform(r, lambda v: v.cast("decimal(9,6)").cast("string")), ",")
+    return zones.export(situation_zones(spark, sf)).select("zone", F.array_join(F.transform("grid", line), ";").alias("grid"))
 
 
 @query("z10_heatmap", ZONES + f""", w AS (SELECT player_id, season, dense_rank() OVER (ORDER BY shotType)::INTEGER AS zone, n::DOUBLE / sum(n) OVER (PARTITION BY player_id, season) AS weight FROM (SELECT player_id, season, shotType, count(*) AS n FROM shots WHERE {STYLE} GROUP BY ALL)),
