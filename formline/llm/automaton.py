@@ -23,6 +23,8 @@ from .textops import Batches, prefix_hash, range_hash, separators, sha256, symbo
 
 #: Words of a repeat, of the k-grams that make anchors, and of a reference shard.
 WINDOW, GRAM, SHARD = 50, 16, 100_000
+#: Different contexts of one anchor in a shard; with more, their windows are dealt one by one.
+MANY = 4_000
 
 
 def word_symbols(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def streamed(passages: list[tuple], window: int) -> list[tuple]:
     return out
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = repeats.MANY) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): word ranges covered by windows that start in a document of a smaller id.
 
     Documents without one are absent; rows with a null id take no part. An id stands for one text.
@@ -207,7 +209,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
     return found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = repeats.MANY) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = MANY) -> DataFrame:
     """doc_id, n_words, n_removed and kept (string) or, as a digest, kept_sha256 for each row of docs.
 
     Each word covered by a window of `window` words whose sequence also starts in a document of a smaller id is

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .textops import Batches, mix, powers, prefix_hash, range_hash, utf8
 
-#: Symbols worked on at once; different contexts of one anchor before its windows go one by one; bytes of a run.
-PIECE, MANY, RUN_BYTES = 1 << 20, 1000, 48 << 20
+#: Symbols worked on at once, and bytes of a run.
+PIECE, RUN_BYTES = 1 << 20, 48 << 20
 
 #: Splits a text into symbols: hashes of the symbols, and byte offsets of their starts and ends.
 Symbols = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -131,7 +131,7 @@ def dealt(docs: DataFrame, symbols: Symbols, window: int, k: int, buckets: int)
                 continue
             columns = {c: np.concatenate([p[c] for p in parts]).astype(kind) for c, kind in PACKED}
             bucket = (columns["gram"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((columns["context"], columns["gram"], bucket))  # equal ones stand together, so that copies compress
             columns = {c: v[order] for c, v in columns.items()}
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             blobs = [b"".join(v[s:e].tobytes() for v in columns.values()) for s, e in zip(cuts, cuts[1:])]
@@ -155,7 +155,7 @@ def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
 CLAIM = "gram long, context long, doc_id long, place long, low short, high short, copies int, representative boolean, many boolean"
 
 
-def claims(packed: DataFrame, partitions: int, across: bool, limit: int = MANY) -> DataFrame:
+def claims(packed: DataFrame, partitions: int, across: bool, limit: int) -> DataFrame:
     """The anchors whose k-gram occurs again (across: in another document), with one representative for each context.
 
     copies: places of the context. many: the anchor has more than `limit` different contexts. The representative of a

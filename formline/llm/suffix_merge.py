@@ -24,6 +24,8 @@ from .textops import Batches, sha256, symbol_table, union
 
 #: Length of a repeat in bytes, and of the k-grams that make anchors.
 WINDOW, GRAM = 200, 40
+#: Different contexts of one anchor that a task merges (under 20 MB); with more, their windows are dealt one by one.
+MANY = 50_000
 
 
 def byte_symbols(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +203,7 @@ def _runs(asked: DataFrame, window: int, ranges: int) -> DataFrame:
     return asked.select("doc_id", "z", "wanted").mapInArrow(run, "range int, blob binary")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = repeats.MANY) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): byte ranges covered by repeated windows; documents without one are absent.
 
     Rows with a null id take no part; null and short texts have no window; identical rows are each other's repeats.
@@ -233,7 +235,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
     return found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = repeats.MANY) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) or, as a digest, kept_sha256 for each row of docs.
 
     Every byte covered by a `window`-byte string that also starts anywhere else is removed; strings are judged on the
