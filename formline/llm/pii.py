@@ -82,9 +82,9 @@ def _norm(word: str) -> str:
 
 def _contexts(text: str, start: int, end: int) -> tuple[str, str, str]:
     """One word before, two words before, one word after; empty where the text ends."""
-    left = WORD.findall(text[max(0, start - CONTEXT) : start])[-2:]
+    left = WORD.findall(text[max(0, start - CONTEXT) : start])[-4:]
     right = WORD.search(text, end, end + CONTEXT)
-    words = [w for w in map(_norm, left) if w]
+    words = [w for w in map(_norm, left) if w][-2:]
     after = _norm(right[0]) if right else ""
     return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "", after)
 
