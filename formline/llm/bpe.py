@@ -5,7 +5,7 @@ wins); the root yields the next merge. A merge changes three leaves at most, eac
 logarithmic time, until no mergeable pair remains.
 
 Texts are cut before each space that a non-space follows, where the pre-tokenizer always cuts too; the identifiers
-of each different piece are kept for each worker. Special tokens inside a text get their own identifier.
+of each different piece are kept while a task runs. Special tokens inside a text get their own identifier.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 CUT = regex.compile(r" (?=\S)")
 #: Characters on which str and the pattern's classes might disagree: such texts take the general way.
 ODD = regex.compile("[\x1c-\x1f]")
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 FREE = 1 << 60
 SHIFT = 32
 _loaded: dict[int, "Codec"] = {}
@@ -115,6 +115,10 @@ class Codec(dict):
                     at >>= 1
         return [x for x in ids if x >= 0]
 
+    def forget(self) -> None:
+        self.clear()
+        self.tokens.clear()
+
     def token(self, text: str) -> bytes:
         """Packed identifiers of one pre-token."""
         packed = array.array("I", self.merged(text.encode()))
@@ -189,6 +193,7 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col:
                 columns.append(pa.array([memoryview(p).cast("i").tolist() if p else [] for p in packed], pa.list_(pa.int32())))
             columns += [pa.array([sha256(p) for p in packed], pa.string()), pa.array([sha256(codec.decode(p).encode()) for p in packed], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        codec.forget()  # the worker's memory is the next task's
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string")

@@ -29,6 +29,8 @@ MAX_LABELLED, MAX_WORDS, FOLDS = 20_000, 512, 5
 PREFIXES = (0, 4, 5, 6, 7, 8)
 #: Rows in which a word must occur in the sample.
 LEAST_ROWS = 5
+#: Bits of a count: over MAX_LABELLED.
+WIDTH = 20
 
 _letters = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,15 +74,25 @@ class Chain:
         return [1 / (1 + np.exp(-z)) for z in odds]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column is the intercept and isn't penalised."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _blocks(marks: np.ndarray, rest: np.ndarray, rows: np.ndarray, size: int = 1024):
+    """The chosen rows of [marks, rest, 1] as doubles, a few at a time: the whole matrix is never made."""
+    for k in range(0, len(rows), size):
+        some = rows[k : k + size]
+        yield some, np.hstack([marks[some].astype(float), rest[some], np.ones((len(some), 1))])
+
+
+def _logistic(marks: np.ndarray, rest: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
+    """Ridge logistic regression on some rows by Newton steps; the last weight is the intercept and isn't penalised."""
+    width = marks.shape[1] + rest.shape[1] + 1
+    w, penalty = np.zeros(width), np.full(width, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
+        h, g = np.diag(penalty), -penalty * w
+        for some, x in _blocks(marks, rest, rows):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h += (x * (p * (1 - p) + 1e-9)[:, None]).T @ x
+            g += x.T @ (y[some] - p)
+        step = np.linalg.solve(h, g)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -90,11 +102,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """A chain over 0/1 columns of labels, in the order given.
 
-    Null labels and labels of unknown rows are left out; a category of one class only predicts its base rate.
+    Labels other than 0 and 1, null among them, and labels of unknown rows are left out; a category of one class only predicts its base rate.
     No labelled rows give a chain that predicts 0.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
-    known = known.where(" and ".join(["doc_id is not null", *[f"y{i} is not null" for i in range(len(categories))]])).dropDuplicates(["doc_id"])
+    known = known.where(" and ".join(["doc_id is not null", *[f"y{i} in (0, 1)" for i in range(len(categories))]])).dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)  # bounded, so that it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
@@ -103,13 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
 
     def count(batches: Batches) -> Batches:
         for b in batches:
-            y = np.column_stack([b.column(k + 1).to_numpy() for k in range(len(ys))])
-            seen: dict[bytes, np.ndarray] = {}
-            for text, own in zip(utf8(b.column(0)), np.column_stack([np.ones(len(y), np.int64), y])):
+            ones = zip(*(b.column(k + 1).to_pylist() for k in range(len(ys))))
+            seen: dict[bytes, int] = {}  # rows and rows of each class, side by side in one number
+            for text, own in zip(utf8(b.column(0)), ones):
+                mark = 1 + sum(y << WIDTH * (k + 1) for k, y in enumerate(own))
                 for word in _named(features_of(text)):
-                    seen[word] = seen[word] + own if word in seen else own
-            sums = np.array(list(seen.values()), np.int64).reshape(-1, 1 + len(ys))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *[pa.array(sums[:, k]) for k in range(1 + len(ys))]], schema=counted)
+                    seen[word] = seen.get(word, 0) + mark
+            sums = [pa.array([n >> WIDTH * k & (1 << WIDTH) - 1 for n in seen.values()], pa.int64()) for k in range(1 + len(ys))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *sums], schema=counted)
 
     parts = rows.select("text", *ys).mapInArrow(count, "word binary, n long, " + ", ".join(f"{y} long" for y in ys))
     counts = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= LEAST_ROWS)
@@ -136,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), *[b.column(k + 2) for k in range(len(ys))]], schema=schema)
 
     got = rows.select("doc_id", "text", *ys).mapInArrow(marked, "doc_id long, at array<int>, " + ", ".join(f"{y} int" for y in ys)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    x = np.zeros((len(got), len(wanted)))
+    marks = np.zeros((len(got), len(wanted)), bool)
     for i, r in enumerate(got):
-        x[i, list(r["at"])] = 1
+        marks[i, list(r["at"])] = True
     folds, odds = np.arange(len(got)) % FOLDS, []
     for name, y_name, words in zip(categories, ys, chosen):
         y = np.array([r[y_name] for r in got], float)
@@ -148,16 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             chain.links.append(Link(name, {}, [0.0] * len(odds), z))
             odds.append(np.full(len(y), z))
             continue
-        own = np.column_stack([x[:, [wanted[w] for w in words]], *odds, np.ones(len(y))])
-        w = _logistic(own, y)
+        own = marks[:, [wanted[w] for w in words]]
+        rest = np.column_stack(odds) if odds else np.zeros((len(y), 0))
+        w = _logistic(own, rest, y, np.arange(len(y)))
         weights: dict[int, dict[bytes, float]] = {}
         for word, value in zip(words, w[: len(words)].tolist()):
             weights.setdefault(word[0], {})[word[1:]] = value
         chain.links.append(Link(name, weights, w[len(words) : -1].tolist(), float(w[-1])))
         held = np.zeros(len(y))
         for f in range(FOLDS):
-            part = _logistic(own[folds != f], y[folds != f])
-            held[folds == f] = own[folds == f] @ part
+            part = _logistic(own, rest, y, np.flatnonzero(folds != f))
+            for some, x in _blocks(own, rest, np.flatnonzero(folds == f)):
+                held[some] = x @ part
         odds.append(np.clip(held, -12, 12))
     return chain
 
