@@ -5,7 +5,10 @@
    and the Gram matrix are sums over rows, made by Spark tasks; only (words x rank) matrices reach the driver.
 3. Every document is cut into overlapping windows of words, each window is projected into the latent space and its
    cosine with each passage makes candidates. Words that no passage holds have zero loadings but count in a window's
-   norm, with the median weight of the known ones. A window whose known words hold less than the bound's share of the norm can't reach it and isn't projected.
+   norm, with the median weight of the known ones. A window whose known words can't reach the bound even if the repeated
+   ones among them add up isn't projected. A window's cosine with a passage much longer or shorter than it is low for exact copies
+   too, so every run of RUN words (or the whole passage, if it is shorter) that a text shares with a passage makes
+   a candidate as well: no verbatim copy of whatever length is missed, nor an edited one with RUN words in a row unchanged.
 4. Candidates are verified by the longest common subsequence with the whole passage and with its answer, which is
    its last sentence.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Batches, folded, prefix_hash, range_hash, symbol_table, utf8, word_bounds
+from .textops import Batches, folded, mix, prefix_hash, range_hash, symbol_table, utf8, word_bounds
 
 #: Passages of one slice; words of a block; blocks of a window; texts are worked on in chunks of this many bytes.
 #: Passages of one latent space, its rank, and the settings of the randomised SVD follow.
 SLICE, BLOCK, WINDOW, CHUNK = 10_000, 8, 4, 1 << 20
 GROUP, RANK, OVERSAMPLE, POWER_ROUNDS = 256, 192, 16, 2
+#: Words of a run that a text and a passage share.
+RUN = 4
 
 #: Letters and digits make words, in lower case; other ASCII separates, every non-ASCII byte is a letter.
 _apart = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -78,6 +84,41 @@ class Lexicon:
         return out
 
 
+def run_hashes(at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` places from each place on; 64 bits, so that equal runs have equal hashes."""
+    total = np.zeros(max(0, len(at) - length + 1), np.uint64)
+    for i in range(length):
+        total = mix(total + at[i : len(at) - length + 1 + i].astype(np.uint64))
+    return total
+
+
+class Runs:
+    """The passages that hold each run of one length."""
+
+    def __init__(self, length: int, items: list[tuple[int, np.ndarray]]):
+        hashes = [np.unique(run_hashes(w, length)) for _, w in items]
+        owner = np.repeat([k for k, _ in items], [len(h) for h in hashes])
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        self.length, self.owner, self.lexicon = length, owner[order], Lexicon(flat)
+        self.starts = np.r_[np.searchsorted(flat[order], self.lexicon.hashes), len(flat)]
+
+    def hits(self, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word where a shared run begins, passage)."""
+        if len(at) < self.length:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = len(at) - self.length + 1
+        whole = text[:last] == text[self.length - 1 :]
+        for i in range(self.length):
+            whole &= at[i : last + i] >= 0
+        word = np.flatnonzero(whole)
+        run = self.lexicon.places(run_hashes(at, self.length)[word])
+        word, run = word[run >= 0], run[run >= 0]
+        n = self.starts[run + 1] - self.starts[run]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(word, n), self.owner[np.repeat(self.starts[run], n) + inner]
+
+
 def document_frequencies(docs: DataFrame, lexicon: Lexicon, text_col: str) -> tuple[int, np.ndarray]:
     """Documents, and how many of them hold each word of the lexicon."""
     schema = pa.schema([("word", pa.int32()), ("n", pa.int64())])
@@ -176,6 +217,10 @@ class Finder:
         self.lexicon, self.items, self.cosine, self.overlap, self.answer = lexicon, items, cosine, overlap, answer
         self.squared = np.r_[idf**2, unknown**2]  # place -1 is the last one
         self.groups = []
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, (_, w, _) in enumerate(items):
+            by_length.setdefault(min(len(w), RUN), []).append((k, w))
+        self.runs = [Runs(n, some) for n, some in by_length.items()]
         for k, v in enumerate(loadings):
             project = np.vstack([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
             latent = np.stack([project[w].sum(0) for _, w, _ in items[k * GROUP : (k + 1) * GROUP]])
@@ -209,7 +254,7 @@ class Finder:
         size = base[-1] + WINDOW
         whole, known = (np.bincount(block, weights=w, minlength=size) for w in (weight, np.where(at >= 0, weight, 0)))
         whole, known = (sum(w[k : size - WINDOW + k] for k in range(WINDOW)) for w in (whole, known))
-        start = np.flatnonzero((known > 0) & (known >= self.cosine**2 * whole))
+        start = np.flatnonzero((known > 0) & (known * (1 + self.repeats(at, text, block, size)) >= self.cosine**2 * whole))
         doc = np.searchsorted(base, start, side="right") - 1
         even = (start - base[doc]) % (WINDOW // 2) == 0
         start, doc = start[even], doc[even]
@@ -225,6 +270,29 @@ class Finder:
                 for k, item in zip(*np.nonzero(close >= self.cosine)):
                     yield int(d[k]), int(w[k]), offset + int(item), float(close[k, item])
 
+    def repeats(self, at: np.ndarray, text: np.ndarray, block: np.ndarray, size: int) -> np.ndarray:
+        """Known words of each window that stand before in it, or some more: a word's weights add up when it is repeated."""
+        some = np.flatnonzero(at >= 0)
+        order = some[np.lexsort((some, at[some]))]
+        again = order[1:][(at[order[1:]] == at[order[:-1]]) & (text[order[1:]] == text[order[:-1]]) & (order[1:] - order[:-1] < WINDOW * BLOCK)]
+        n = np.bincount(block[again], minlength=size)
+        return sum(n[k : size - WINDOW + k] for k in range(WINDOW))
+
+    def shared_runs(self, at: np.ndarray, text: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(text, begin of the stretch of a window's length, item, cosine of the stretch) where a run is shared."""
+        first = np.r_[0, np.cumsum(count)[:-1]]
+        length = WINDOW * BLOCK
+        for runs in self.runs:
+            word, item = runs.hits(at, text)
+            doc = text[word]
+            begin = first[doc] + (word - first[doc]) // length * length
+            for d, w, k in np.unique(np.column_stack([doc, begin, item]), axis=0).tolist():
+                yield d, w, k, self.cosine_at(at[w : min(w + length, first[d] + count[d])], k)
+
+    def cosine_at(self, places: np.ndarray, item: int) -> float:
+        offset, project, latent = self.groups[item // GROUP]
+        return float(project[places].sum(0) @ latent[:, item - offset] / np.sqrt(self.squared[places].sum()))
+
     def found(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item_id, cosine, share, answer's share) of verified passages."""
         for s, e in chunks(texts):
@@ -235,7 +303,7 @@ class Finder:
             count = np.bincount(text, minlength=e - s)
             stop = np.cumsum(count)
             done: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for doc, word, item, cosine in self.candidates(at, count):
+            for doc, word, item, cosine in chain(self.candidates(at, count), self.shared_runs(at, text, count)):
                 key = (doc, item)
                 if key in done and done[key][1] >= self.overlap and done[key][2] >= self.answer:
                     continue

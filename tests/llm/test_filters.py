@@ -121,6 +121,35 @@ def test_leaks(spark):
     assert decontam.leaks(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 20, 200, 1000])
+def test_verbatim_copies_of_any_length(spark, n):
+    rnd = random.Random(n)
+    word = lambda: "".join(rnd.choice("bcdfglmnprt") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 5)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(n) for _ in range(6)]
+    docs = [(k, f"{prose(37 + 5 * k)} {items[k]} {prose(90)}") for k in range(5)] + [(9, prose(400))]
+    if n >= 200:
+        changed = items[5].split()
+        changed[7::9] = [word() for _ in changed[7::9]]
+        docs.append((5, f"{prose(50)} {' '.join(changed)} {prose(70)}"))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.contaminated} == {(d, d) for d, _ in docs if d != 9}
+    assert all(r.share == 1 for r in got if r.doc_id < 5)
+
+
+def test_repeated_words_reach_the_bound():
+    import numpy as np
+
+    hashes, _ = decontam.words([b"salt water"])
+    lexicon = decontam.Lexicon(hashes)
+    passage = lexicon.places(decontam.words([b"salt " * 12 + b"water"])[0])
+    finder = decontam.Finder(lexicon, [(1, passage, passage[-1:])], np.ones(2), 1.0, [np.eye(2)], 0.45, 0.7, 0.5)
+    text = [b"salt " * 5 + b"a b c d e f g h i j k l m n o p q r s t u v w x y z aa"]
+    hashes, where = decontam.words(text)
+    at = lexicon.places(hashes)
+    assert [c for c in finder.candidates(at, np.bincount(where)) if c[1] == 0]
+
+
 TEXTS = [
     "mail a.b+c@x-y.example.com, or a@b and q@@r.example.org.", "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8 0001.02.3.4", "card 4785380592391139 or 4785-3805 9239-1139 not 4785380592391138",
     "+1 (523) 555-1055. +12 +1 ........ 2 and +49 30 1234567", "", None, "é 😀 a@b.co +44 20 7946 0958 x", "1.1.1.1@1.1.1.1 4111 1111 1111 1111", "@@@@ a@b.c@d.e.f a@b..c 12345678901234567890", "9" * 3000 + "@" + "a." * 500,
