@@ -114,16 +114,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns aren't read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words))
+    classes = _classes(fps, bits)
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, component_id) for each different fp."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(links(fps, bits))
     class_of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(class_of.join(smallest, "root").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return cut(class_of.join(smallest, "root").select("fp", "root", "component_id"))
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row in __row, which a checkpoint makes lasting."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def one_of_each(keyed: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the smallest id (null last; ties: smallest hash of the text, then any) of each group of groups (row, group), without __row."""
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"), F.col("__row").alias("row"))
+    ranked = keyed.select(rank.alias("rank"), "__row").join(groups.withColumnRenamed("row", "__row"), "__row")
+    kept = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").drop("__row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
-    """docs with the row of the smallest id of each group of near-duplicates; columns as given."""
-    found = near_duplicates(docs, id_col, text_col, words, bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """docs with one row of each group of near-duplicates: that of the smallest id, or any if all ids are null; columns as given."""
+    keyed = with_row_keys(docs)
+    fps = cut(fingerprints(keyed, "__row", text_col, words))
+    return one_of_each(keyed, fps.join(_classes(fps, bits), "fp").select(F.col("doc_id").alias("row"), F.col("root").alias("group")), id_col, text_col)

@@ -96,6 +96,12 @@ def test_null_ids_and_empty_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c d"), (None, "x y z w"), (None, "x y z w"), (4, "a b c d"), (4, "a b c d"), (4, "other words here now"), (7, "a b c d")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "x y z w"), (4, "a b c d"), (4, "other words here now")]
+
+
 def test_links_connect_every_pair_at_three_bits(spark):
     rnd = random.Random(12)
     base = [rnd.getrandbits(64) for _ in range(5)]
