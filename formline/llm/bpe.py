@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
 Every leaf of the tree holds the rank of one adjacent pair (and its place, so that the leftmost of equal ranks
-wins); the root yields the next merge. A merge changes three leaves at most, each by a point update in
-logarithmic time, until no mergeable pair remains.
+wins); a node holds the least of its FAN children and the root yields the next merge. A merge changes three leaves at
+most, each by a point update in logarithmic time, until no mergeable pair remains.
 
-Texts are cut before each space that a non-space follows, where the pre-tokenizer always cuts too; the identifiers
-of each different piece are kept while a task runs. Special tokens inside a text get their own identifier.
+The identifiers of pre-tokens are remembered in a worker up to a bound in bytes. Special tokens inside a text get
+their own identifier.
 """
 
 from __future__ import annotations
@@ -23,12 +23,11 @@ from .textops import Batches, sha256, utf8
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-CUT = regex.compile(r" (?=\S)")
-#: Characters on which str and the pattern's classes might disagree: such texts take the general way.
-ODD = regex.compile("[\x1c-\x1f]")
-REMEMBERED = 400_000
-FREE = 1 << 60
-SHIFT = 32
+#: Bytes of remembered pre-tokens in a Python worker, about what one takes besides its text, and the longest one kept.
+REMEMBERED, ENTRY, LONGEST = 64 << 20, 190, 256
+#: Children of a node of the segment tree. A leaf holds rank << SHIFT | place, or FREE and more if its pair doesn't merge.
+FAN, SHIFT, FREE = 16, 32, 1 << 60
+LOW = (1 << SHIFT) - 1
 _loaded: dict[int, "Codec"] = {}
 
 
@@ -40,11 +39,16 @@ def byte_letters() -> list[str]:
 
 
 class Codec(dict):
-    """Piece of text -> its identifiers as packed little-endian 32-bit integers."""
+    """Pre-token -> its identifiers as packed little-endian 32-bit integers: those used of late, in two generations.
 
-    def __init__(self, vocabulary: bytes):
+    Once the younger one holds half of `bound` bytes it becomes the older one, whose pre-tokens move back when they
+    are met again; what was not met for a whole generation is forgotten.
+    """
+
+    def __init__(self, vocabulary: bytes, bound: int = REMEMBERED):
         super().__init__()
-        self.tokens: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held, self.bound = 0, bound
         spec = json.loads(vocabulary)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -53,105 +57,83 @@ class Codec(dict):
         back = {c: bytes([b]) for b, c in enumerate(letters)}
         ids = model["vocab"]
         self.first = [ids[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.table = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
         for token, i in ids.items():
             self.table[i] = b"".join(back[c] for c in token)
         for token, i in self.added.items():
             self.table[i] = token.encode()
+        #: Adjacent pair (left << width | right) -> rank << SHIFT, and rank -> merged identifier.
+        self.width = len(self.table).bit_length()
+        self.ranks: dict[int, int] = {}
+        self.products: list[int] = []
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            self.ranks.setdefault(ids[left] << self.width | ids[right], rank << SHIFT)
+            self.products.append(ids[left + right])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def merged(self, data: bytes) -> list[int]:
         """Identifiers of one pre-token."""
-        ids = [self.first[b] for b in data]
+        ids = list(map(self.first.__getitem__, data))
         n = len(ids)
         if n < 2:
             return ids
-        pairs = self.pairs
-        width = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [FREE] * (2 * width)
-        for i in range(n - 1):
-            if (p := pairs.get((ids[i], ids[i + 1]))) is not None:
-                tree[width + i] = p[0] << SHIFT | i
-        for k in range(width - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+        rank, width, products = self.ranks.get, self.width, self.products
+        leaves = [rank(ids[i] << width | ids[i + 1], FREE) + i for i in range(n - 1)]
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+        top, deep = levels[-1], len(levels) > 1
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        low = (1 << SHIFT) - 1
-        while (root := tree[1]) != FREE:
-            i = root & low
+        while (root := min(top)) < FREE:
+            i = root & LOW
             j = following[i]
             k = following[i] = following[j]
-            left = ids[i] = pairs[ids[i], ids[j]][1]
+            new = ids[i] = products[root >> SHIFT]
             ids[j] = -1
-            h = before[i]
-            value = FREE
             if k < n:
                 before[k] = i
-                if (p := pairs.get((left, ids[k]))) is not None:
-                    value = p[0] << SHIFT | i
-            changed = [(width + i, value)]
-            if k < n and tree[width + j] != FREE:
-                changed.append((width + j, FREE))
+                leaves[i] = rank(new << width | ids[k], FREE) + i
+                leaves[j] = FREE
+            else:
+                leaves[i] = FREE
+                if j < n - 1:
+                    leaves[j] = FREE
+            h = before[i]
             if h >= 0:
-                p = pairs.get((ids[h], left))
-                value = FREE if p is None else p[0] << SHIFT | h
-                if tree[width + h] != value:
-                    changed.append((width + h, value))
-            for at, value in changed:
-                tree[at] = value
-                at >>= 1
-                while at:
-                    a, b = tree[2 * at], tree[2 * at + 1]
-                    if b < a:
-                        a = b
-                    if tree[at] == a:
-                        break
-                    tree[at] = a
-                    at >>= 1
+                leaves[h] = rank(ids[h] << width | new, FREE) + h
+            if deep:
+                for at in {i // FAN, min(j, n - 2) // FAN, max(h, 0) // FAN}:
+                    for below, level in zip(levels, levels[1:]):
+                        least = min(below[at * FAN : (at + 1) * FAN])
+                        if level[at] == least:
+                            break
+                        level[at] = least
+                        at //= FAN
         return [x for x in ids if x >= 0]
 
-    def forget(self) -> None:
-        self.clear()
-        self.tokens.clear()
-
-    def token(self, text: str) -> bytes:
-        """Packed identifiers of one pre-token."""
-        packed = array.array("I", self.merged(text.encode()))
-        if sys.byteorder == "big":
-            packed.byteswap()
-        out = packed.tobytes()
-        if len(text) < 64:
-            if len(self.tokens) >= REMEMBERED:
-                self.tokens.clear()
-            self.tokens[text] = out
-        return out
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def __missing__(self, text: str) -> bytes:
+        out = self.older.get(text)
+        if out is None:
+            data = text.encode()
+            packed = array.array("I", self.merged(data))
+            if sys.byteorder == "big":
+                packed.byteswap()
+            out = packed.tobytes()
+            if len(data) > LONGEST:
+                return out
+        self[text] = out
+        self.held += ENTRY + 2 * len(text) + len(out)
+        if self.held > self.bound // 2:
+            self.older, self.held = dict(self), 0
             self.clear()
-        out = b"".join([self.tokens.get(t) or self.token(t) for t in PATTERN.findall(piece)])
-        if len(piece) < 64:
-            self[piece] = out
         return out
 
     def plain(self, text: str) -> bytes:
         """Packed identifiers of a text without special tokens."""
-        if not text:
-            return b""
-        if ODD.search(text):
-            return self[text]
-        first, *rest = text.split(" ")
-        if all(rest) and not any(c[0].isspace() for c in rest):
-            pieces = [first, *[" " + w for w in rest]]
-        else:
-            cuts = [0, *[m.start() for m in CUT.finditer(text)], len(text)]
-            pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        return b"".join(map(self.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, PATTERN.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
@@ -193,7 +175,6 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col:
                 columns.append(pa.array([memoryview(p).cast("i").tolist() if p else [] for p in packed], pa.list_(pa.int32())))
             columns += [pa.array([sha256(p) for p in packed], pa.string()), pa.array([sha256(codec.decode(p).encode()) for p in packed], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
-        codec.forget()  # the worker's memory is the next task's
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string")
