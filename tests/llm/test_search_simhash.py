@@ -13,7 +13,7 @@ from formline.llm import components, pivots, simhash
 def brute_top(rows, k=10, every=100):
     ok = {}
     known = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    vectors = [(i, np.array([math.floor(1024 * float(np.float32(x))) for x in v])) for i, v in known]
+    vectors = [(i, np.array([math.floor(1024 * float(np.float32(x))) for x in v], object)) for i, v in known]
     for q, a in vectors:
         if q % every == 0:
             ok[q] = sorted((-int(a @ b), i) for i, b in vectors if i != q)[:k]
@@ -30,6 +30,36 @@ def test_top_k_equals_brute_force(spark, n, d):
     assert sorted(tuple(r) for r in pivots.top_k(df).collect()) == brute_top(rows)
 
 
+@pytest.mark.parametrize("big", [1e9, 1e17, 1e30])
+def test_top_k_of_large_components(spark, big):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6)).astype(np.float32)
+    x[[0, 4, 9, 20]] *= np.float32(big)
+    x[30] = x[20]
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(x)]
+    got = sorted(tuple(r) for r in pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in brute_top(rows)]
+
+
+def test_top_k_beyond_doubles(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1.0, 5.0]), (2, [-3.0, 1e306]), (3, []), (100, [2.0, 2.0])]
+    got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.vec_id for r in sorted(got) if r.query_id == 0] == [100, 1, 3, 2]
+
+
+def test_elimination_leaves_few_candidates(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    counts = pivots.elimination(df, pivots=18).collect()
+    assert len(counts) == 30 and all(r.candidates == 3000 for r in counts)
+    assert sum(r.evaluated for r in counts) < 0.4 * 30 * 3000
+
+
+def test_a_query_id_of_two_rows_is_answered_once(spark):
+    df = spark.createDataFrame([(0, [2.0]), (0, [1.0]), (5, [1.0]), (5, [1.0]), (6, [-1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in pivots.top_k(df).collect()) == [(0, 1, 5, 1 << 20), (0, 2, 5, 1 << 20), (0, 3, 6, -(1 << 20))]
+
+
 def test_top_k_of_an_empty_table(spark):
     assert pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
