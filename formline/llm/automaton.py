@@ -113,13 +113,13 @@ class Automaton:
 
 
 def _passages(asked: DataFrame, window: int, ranges: int) -> DataFrame:
-    """(range, gram, context, doc_id, place, high, many, words): the wanted contexts, and the windows of anchors with many."""
-    schema = pa.schema([("range", pa.int32()), *[(c, pa.int64()) for c in ("gram", "context", "doc_id", "place", "high", "many")], ("words", pa.binary())])
+    """(range, gram, context, row, owner, place, high, many, words): the wanted contexts, and the windows of anchors with many."""
+    schema = pa.schema([("range", pa.int32()), *[(c, pa.int64()) for c in ("gram", "context", "row", "owner", "place", "high", "many")], ("words", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, z, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for row, owner, z, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
                 words = repeats.expanded(z).split()
                 for w in wanted:
                     p, low, high = w["place"], w["low"], w["high"]
@@ -127,57 +127,55 @@ def _passages(asked: DataFrame, window: int, ranges: int) -> DataFrame:
                         for i in range(p - high, p - low + 1):
                             s = b" ".join(words[i : i + window])
                             h = xxhash.xxh64_intdigest(s)
-                            rows.append((h % ranges, 0, h - (1 << 63), doc_id, i, 0, 1, s))
+                            rows.append((h % ranges, 0, h - (1 << 63), row, owner, i, 0, 1, s))
                     else:
-                        rows.append((w["gram"] % ranges, w["gram"], w["context"], doc_id, p, high, 0, b" ".join(words[p - high : p - low + window])))
+                        rows.append((w["gram"] % ranges, w["gram"], w["context"], row, owner, p, high, 0, b" ".join(words[p - high : p - low + window])))
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return asked.select("doc_id", "z", "wanted").mapInArrow(run, "range int, gram long, context long, doc_id long, place long, high long, many long, words binary")
+    return asked.select("row", "owner", "z", "wanted").mapInArrow(run, "range int, gram long, context long, row long, owner long, place long, high long, many long, words binary")
 
 
-ANSWER = ["gram", "context", "doc_id", "place", "first", "last", "least", "many"]
+ANSWER = ["gram", "context", "row", "place", "first", "last", "least", "many"]
 
 
 def streamed(passages: list[tuple], window: int) -> list[tuple]:
     """ANSWER rows of one shard: runs of windows of a passage with the same first document.
 
-    passages: (gram, context, doc_id, place, high, many, words), all of a shard's anchors.
+    passages: (gram, context, row, owner, place, high, many, words), all of a shard's anchors.
     """
     automaton = Automaton()
     split = {}
     for p in passages:
-        if (words := split.get(p[6])) is None:
-            words = split[p[6]] = p[6].split(b" ")
-        automaton.add(words, p[2])
+        if (words := split.get(p[7])) is None:
+            words = split[p[7]] = p[7].split(b" ")
+        automaton.add(words, p[3])
     automaton.finish()
     out, known = [], {}
-    for gram, context, doc_id, place, high, many, text in passages:
+    for gram, context, row, owner, place, high, many, text in passages:
         if (owners := known.get(text)) is None:
             owners = known[text] = automaton.first_owners(split[text], window)
         start = 0
         for j in range(1, len(owners) + 1):
             if j == len(owners) or owners[j] != owners[start]:
-                if owners[start] < 1 << 63 and (not many or owners[start] < doc_id):
-                    out.append((gram, context, doc_id, place, high - j + 1, high - start, owners[start], many))
+                if owners[start] < 1 << 63 and (not many or owners[start] < owner):
+                    out.append((gram, context, row, place, high - j + 1, high - start, owners[start], many))
                 start = j
     return out
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
-    """(doc_id, spans array<struct<start, end>>): word ranges covered by windows that start in a document of a smaller id.
+def spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(row, spans array<struct<start, end>>): word ranges covered by windows that start in a document of a smaller id.
 
-    Documents without one are absent; rows with a null id take no part. An id stands for one text.
+    texts: repeats.held(docs). Rows without such a window are absent; rows with a null id take no part.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    long_enough = picked.where(F.octet_length("text") >= 2 * window - 1)
-    claimed = repeats.spooled(repeats.claims(repeats.dealt(long_enough, word_symbols, window, gram, 2 * n), n, across=True, limit=many))
-    passages = _passages(repeats.asked(claimed, repeats.compressed(long_enough)), window, 1 << 20)
+    long_enough = texts.where((F.col("size") >= 2 * window - 1) & F.col("doc_id").isNotNull()).withColumn("owner", F.col("doc_id"))
+    n, buckets = repeats.deal(texts)
+    claimed = repeats.spooled(repeats.claims(repeats.dealt(long_enough, word_symbols, window, gram, buckets), n, across=True, limit=many))
+    passages = _passages(repeats.asked(claimed, long_enough), window, 1 << 20)
     schema = pa.schema([(c, pa.int64()) for c in ANSWER])
 
     def stream(batches: Batches) -> Batches:
@@ -189,24 +187,24 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(ANSWER))], schema=schema)
 
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(8)]
+            columns = [b.column(i).to_pylist() for i in range(9)]
             for key, *row in zip(*columns):
                 if key != last and size > SHARD:
                     yield answers(held)
                     held, size = [], 0
                 last = key
                 held.append(tuple(row))
-                size += window + row[4]
+                size += window + row[5]
         if held:
             yield answers(held)
 
     ordered = passages.repartition(n, "range").sortWithinPartitions("range")
     answers = repeats.spooled(ordered.mapInArrow(stream, ", ".join(f"{c} long" for c in ANSWER)))
-    shared = repeats.answered(claimed, answers.where("many = 0").select("gram", "context", "first", "last", "least")).where("least < doc_id")
-    alone = answers.where("many = 1").select("doc_id", "place", "first", "last")
-    found = shared.select("doc_id", "place", "first", "last").unionByName(alone)
+    shared = repeats.answered(claimed, answers.where("many = 0").select("gram", "context", "first", "last", "least")).where("least < owner")
+    alone = answers.where("many = 1").select("row", "place", "first", "last")
+    found = shared.select("row", "place", "first", "last").unionByName(alone)
     span = F.struct((F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + window).alias("end"))
-    return found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    return found.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = MANY) -> DataFrame:
@@ -214,11 +212,12 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
 
     Each word covered by a window of `window` words whose sequence also starts in a document of a smaller id is
     removed; windows are judged on the input. Kept words are joined by one space. Null and empty texts have no words;
-    a null id stays null and keeps its words; repeated rows of an id have no smaller id among themselves; an empty
-    table gives no rows; other columns aren't read.
+    a null id stays null and keeps its words, and none is smaller than another id; rows that share an id, with one
+    text or several, have no smaller id among themselves; texts of any length are searched whole; an empty table
+    gives no rows; other columns aren't read.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = spans(picked, window, gram, many=many)
+    texts = repeats.held(docs, id_col, text_col)
+    found = spans(texts, window, gram, many)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest else "kept", pa.string())])
 
     def run(batches: Batches) -> Batches:
@@ -236,5 +235,5 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                 rows.append((doc_id, len(words), len(words) - len(kept), sha256(text) if digest else text.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
 
-    joined = repeats.compressed(picked).join(found, "doc_id", "left").select("doc_id", "z", "spans")
+    joined = texts.join(found, "row", "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string"))

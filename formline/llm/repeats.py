@@ -12,6 +12,8 @@ is all their symbols.
    (a short common passage in different surroundings) isn't asked for its context but for its windows one by one:
    they are dealt by the whole window, so that no key gathers them.
 
+Rows are told apart by a number of their own, not by doc_id: an id may be null or stand for several texts.
+
 The operators then compare the contexts by their own methods and tell which windows of a context are repeats; all
 holders of the context receive the answer by a join.
 """
@@ -19,7 +21,7 @@ holders of the context receive the answer by a join.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .textops import Batches, mix, powers, prefix_hash, range_hash, utf8
 
 #: Symbols worked on at once, and bytes of a run.
 PIECE, RUN_BYTES = 1 << 20, 48 << 20
+#: Bytes of text for each bucket, whose anchors a task holds at once.
+BUCKET_BYTES = 32 << 20
 
 #: Splits a text into symbols: hashes of the symbols, and byte offsets of their starts and ends.
 Symbols = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -79,7 +83,7 @@ def anchors(symbols: np.ndarray, ends: np.ndarray, window: int, k: int) -> dict[
     return {"place": place, "low": place - last, "high": place - first, "gram": grams[place], "context": range_hash(prefix, first, last + window)}
 
 
-def pieces(texts: list[bytes], symbols: Symbols, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[bytes], symbols: Symbols, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hashes, end of its text for each, text, symbol's place in its text) of about PIECE symbols each.
 
     A longer text is cut into pieces that overlap by a window less one symbol, so that each window is in one piece.
@@ -112,20 +116,60 @@ def pieces(texts: list[bytes], symbols: Symbols, window: int) -> Iterator[tuple[
         yield joined()
 
 
-PACKED = [("gram", np.uint64), ("context", np.uint64), ("doc_id", np.int64), ("place", np.int64), ("low", np.int16), ("high", np.int16)]
+def held(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, size, z): the texts compressed, each row with a number, written once so that the numbers last."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("z", pa.binary())])
+
+    def run(batches: Batches) -> Batches:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = utf8(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, texts)), pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())], schema=schema)
+
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spooled(picked.mapInArrow(run, "row long, doc_id long, size long, z binary"))
+
+
+def expanded(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def deal(texts: DataFrame) -> tuple[int, int]:
+    """Partitions of the session, and the number of buckets that work is dealt into: twice that, or more for large texts."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    return n, max(2 * n, total // BUCKET_BYTES)
+
+
+def one_by_one(batches: Batches, columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows) for each key of batches that come ordered by their first column; only one key's rows are held."""
+    last, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(columns))):
+            if row[0] != last and rows:
+                yield last, rows
+                rows = []
+            last = row[0]
+            rows.append(row)
+    if rows:
+        yield last, rows
 
 
-def dealt(docs: DataFrame, symbols: Symbols, window: int, k: int, buckets: int) -> DataFrame:
-    """(bucket, blob): the packed anchors of each batch of documents."""
+PACKED = [("gram", np.uint64), ("context", np.uint64), ("owner", np.int64), ("row", np.int64), ("place", np.int32), ("low", np.int16), ("high", np.int16)]
+
+
+def dealt(texts: DataFrame, symbols: Symbols, window: int, k: int, buckets: int) -> DataFrame:
+    """(bucket, blob): the packed anchors of each batch of texts (row, owner, z)."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            rows, owners = b.column(0).to_numpy(), b.column(1).to_numpy()
             parts = []
-            for hashes, ends, text, place in pieces(utf8(b.column(1)), symbols, window):
+            for hashes, ends, text, place in pieces(map(expanded, b.column(2).to_pylist()), symbols, window):
                 a = anchors(hashes, ends, window, k)
-                a["doc_id"], a["place"] = ids[text[a["place"]]], place[a["place"]]
+                at = text[a["place"]]
+                a["row"], a["owner"], a["place"] = rows[at], owners[at], place[a["place"]]
                 parts.append(a)
             if not parts:
                 continue
@@ -134,11 +178,11 @@ def dealt(docs: DataFrame, symbols: Symbols, window: int, k: int, buckets: int)
             order = np.lexsort((columns["context"], columns["gram"], bucket))  # equal ones stand together, so that copies compress
             columns = {c: v[order] for c, v in columns.items()}
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = [b"".join(v[s:e].tobytes() for v in columns.values()) for s, e in zip(cuts, cuts[1:])]
-            full = [i for i, x in enumerate(blobs) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([blobs[i] for i in full], pa.binary())], schema=schema)
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [b"".join(v[cuts[i] : cuts[i + 1]].tobytes() for v in columns.values()) for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
+    return texts.select("row", "owner", "z").mapInArrow(run, "bucket int, blob binary")
 
 
 def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -152,21 +196,20 @@ def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(v) if v else np.zeros(0, dict(PACKED)[c]) for c, v in out.items()}
 
 
-CLAIM = "gram long, context long, doc_id long, place long, low short, high short, copies int, representative boolean, many boolean"
+CLAIM = "gram long, context long, owner long, row long, place int, low short, high short, copies int, representative boolean, many boolean"
 
 
 def claims(packed: DataFrame, partitions: int, across: bool, limit: int) -> DataFrame:
-    """The anchors whose k-gram occurs again (across: in another document), with one representative for each context.
+    """The anchors whose k-gram occurs again (across: with another owner), with one representative for each context.
 
     copies: places of the context. many: the anchor has more than `limit` different contexts. The representative of a
-    context is its place of the smallest doc_id and place.
+    context is its place of the smallest owner, row and place.
     """
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("copies", pa.int32()), ("representative", pa.bool_()), ("many", pa.bool_())])
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int16(), pa.int16(), pa.int32(), pa.bool_(), pa.bool_()]
+    schema = pa.schema([(c.split()[0], kind) for c, kind in zip(CLAIM.split(", "), kinds)])
 
-    def run(batches: Batches) -> Batches:
-        a = unpacked([x for b in batches for x in b.column(1).to_pylist()])
-        if not len(a["gram"]):
-            return
+    def claimed(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a = unpacked(blobs)
         order = np.argsort(a["gram"], kind="stable")
         gram = a["gram"][order]
         again = np.zeros(len(gram), bool)
@@ -176,7 +219,7 @@ def claims(packed: DataFrame, partitions: int, across: bool, limit: int) -> Data
         if not len(order):
             return
         a = {c: v[order] for c, v in a.items()}
-        order = np.lexsort((a["place"], a["doc_id"], a["context"], a["gram"]))
+        order = np.lexsort((a["place"], a["row"], a["owner"], a["context"], a["gram"]))
         a = {c: v[order] for c, v in a.items()}
         new_gram = np.r_[True, a["gram"][1:] != a["gram"][:-1]]
         new_context = new_gram | np.r_[True, a["context"][1:] != a["context"][:-1]]
@@ -186,44 +229,31 @@ def claims(packed: DataFrame, partitions: int, across: bool, limit: int) -> Data
         keep = np.ones(len(group), bool)
         if across:
             edge = np.flatnonzero(new_gram)
-            keep = (np.minimum.reduceat(a["doc_id"], edge) != np.maximum.reduceat(a["doc_id"], edge))[group]
+            keep = (np.minimum.reduceat(a["owner"], edge) != np.maximum.reduceat(a["owner"], edge))[group]
         many = different[group] > limit
-        columns = [a["gram"].view(np.int64), a["context"].view(np.int64), a["doc_id"], a["place"], a["low"], a["high"], copies.astype(np.int32), new_context, many]
+        columns = [a["gram"].view(np.int64), a["context"].view(np.int64), a["owner"], a["row"], a["place"], a["low"], a["high"], copies.astype(np.int32), new_context, many]
         for s in range(0, len(group), 50_000):
             some = np.flatnonzero(keep[s : s + 50_000]) + s
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], schema=schema)
 
-    return packed.repartition(partitions, "bucket").mapInArrow(run, CLAIM)
-
-
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): the texts compressed, for shuffles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
-
     def run(batches: Batches) -> Batches:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(t) for t in utf8(b.column(1))], pa.binary())], schema=schema)
+        for _, rows in one_by_one(batches, 2):
+            yield from claimed([blob for _, blob in rows])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
-
-
-def expanded(z: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(z) if z else b""
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CLAIM)
 
 
-def asked(claimed: DataFrame, packed_docs: DataFrame) -> DataFrame:
-    """(doc_id, z, wanted): each document that holds representatives, or anchors with many contexts, with these."""
+def asked(claimed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that hold representatives, or anchors with many contexts, with these in `wanted`."""
     wanted = (
         claimed.where("representative or many")
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.collect_list(F.struct("gram", "context", "place", "low", "high", "copies", "many")).alias("wanted"))
     )
-    return packed_docs.join(wanted, "doc_id")
+    return texts.join(wanted, "row")
 
 
 def answered(claimed: DataFrame, answers: DataFrame) -> DataFrame:
     """Joins the holders of a context with what was found out about it."""
-    holders = claimed.where("not many").select("gram", "context", "doc_id", "place")
-    return holders.join(answers, ["gram", "context"])
+    return claimed.where("not many").select("gram", "context", "owner", "row", "place").join(answers, ["gram", "context"])

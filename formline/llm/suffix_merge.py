@@ -11,7 +11,7 @@ in both its classes.
 
 from __future__ import annotations
 
-import pickle
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -123,20 +123,30 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, i
     return order, np.array(shared, np.int64)
 
 
-FIELDS = ["gram", "context", "doc_id", "place", "low", "high", "copies", "many"]
+FIELDS = ["gram", "context", "row", "place", "low", "high", "copies", "many"]
 
 
 def packed_run(entries: list[tuple]) -> bytes:
-    """A run of (suffix, text before it backwards, *FIELDS): both sides sorted and front-coded."""
+    """A run of (suffix, text before it backwards, *FIELDS) as buffers after their lengths: both sides sorted and front-coded."""
     entries.sort(key=lambda e: e[0])
     back = sorted(range(len(entries)), key=lambda i: entries[i][1])
-    columns = {c: np.array([e[2 + i] for e in entries], np.int64) for i, c in enumerate(FIELDS)}
-    return pickle.dumps((columns, front_coded([e[0] for e in entries]), np.array(back, np.uint32), front_coded([entries[i][1] for i in back])))
+    sides = [front_coded([e[0] for e in entries]), front_coded([entries[i][1] for i in back])]
+    buffers = [np.array([e[2:] for e in entries], np.int64).T.tobytes(), np.array(back, np.uint32).tobytes(), *[x if isinstance(x, bytes) else x.tobytes() for side in sides for x in side]]
+    return struct.pack("<8q", *map(len, buffers)) + b"".join(buffers)
+
+
+def unpacked_run(blob: bytes) -> tuple:
+    """(FIELDS by name, front-coded suffixes, order of the other side, front-coded texts before)."""
+    cuts = np.cumsum([64, *struct.unpack_from("<8q", blob)])
+    parts = [blob[a:b] for a, b in zip(cuts, cuts[1:])]
+    fields = np.frombuffer(parts[0], np.int64).reshape(len(FIELDS), -1)
+    sides = [(np.frombuffer(parts[i], np.uint16), np.frombuffer(parts[i + 1], np.uint16), parts[i + 2]) for i in (2, 5)]
+    return dict(zip(FIELDS, fields)), sides[0], np.frombuffer(parts[1], np.uint32), sides[1]
 
 
 def repeated_windows(blobs: list[bytes], window: int) -> dict[str, np.ndarray]:
     """Runs of repeated windows of one range: FIELDS of each place, and first and last: windows place - last .. place - first."""
-    runs = [pickle.loads(b) for b in blobs]
+    runs = [unpacked_run(b) for b in blobs]
     columns = {c: np.concatenate([r[0][c] for r in runs]) for c in FIELDS}
     base = np.r_[0, np.cumsum([len(r[0]["gram"]) for r in runs])]
     n = int(base[-1])
@@ -182,17 +192,17 @@ def _runs(asked: DataFrame, window: int, ranges: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
         for b in batches:
-            for doc_id, z, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for row, z, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
                 text = repeats.expanded(z)
                 for w in wanted:
                     p, low, high = w["place"], w["low"], w["high"]
                     if w["many"]:
                         for i in range(p - high, p - low + 1):
                             s = text[i : i + window]
-                            held.setdefault(xxhash.xxh64_intdigest(s) % ranges, []).append((s, b"", 0, 0, doc_id, i, 0, 0, 1, 1))
+                            held.setdefault(xxhash.xxh64_intdigest(s) % ranges, []).append((s, b"", 0, 0, row, i, 0, 0, 1, 1))
                             size += window
                     else:
-                        held.setdefault(w["gram"] % ranges, []).append((text[p : p + window - low], text[p - high : p][::-1], w["gram"], w["context"], doc_id, p, low, high, w["copies"], 0))
+                        held.setdefault(w["gram"] % ranges, []).append((text[p : p + window - low], text[p - high : p][::-1], w["gram"], w["context"], row, p, low, high, w["copies"], 0))
                         size += window + high - low
                 if size > repeats.RUN_BYTES:
                     yield flushed()
@@ -200,50 +210,44 @@ def _runs(asked: DataFrame, window: int, ranges: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return asked.select("doc_id", "z", "wanted").mapInArrow(run, "range int, blob binary")
+    return asked.select("row", "z", "wanted").mapInArrow(run, "range int, blob binary")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
-    """(doc_id, spans array<struct<start, end>>): byte ranges covered by repeated windows; documents without one are absent.
+def spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(row, spans array<struct<start, end>>): byte ranges covered by repeated windows; rows without one are absent.
 
-    Rows with a null id take no part; null and short texts have no window; identical rows are each other's repeats.
-    An id stands for one text.
+    texts: repeats.held(docs). Short texts have no window; identical rows are each other's repeats.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    long_enough = picked.where(F.octet_length("text") >= window)
-    claimed = repeats.spooled(repeats.claims(repeats.dealt(long_enough, byte_symbols, window, gram, 2 * n), n, across=False, limit=many))
-    runs = _runs(repeats.asked(claimed, repeats.compressed(long_enough)), window, 2 * n)
-    schema = pa.schema([(c, pa.int64()) for c in ("gram", "context", "doc_id", "place", "first", "last", "many")])
+    long_enough = texts.where(F.col("size") >= window).withColumn("owner", F.lit(0).cast("long"))
+    n, buckets = repeats.deal(texts)
+    claimed = repeats.spooled(repeats.claims(repeats.dealt(long_enough, byte_symbols, window, gram, buckets), n, across=False, limit=many))
+    runs = _runs(repeats.asked(claimed, long_enough), window, buckets)
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "context", "row", "place", "first", "last", "many")])
 
     def merge(batches: Batches) -> Batches:
-        by_range: dict[int, list[bytes]] = {}
-        for b in batches:
-            for key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_range.setdefault(key, []).append(blob)
-        for key in sorted(by_range):
-            found = repeated_windows(by_range.pop(key), window)
+        for _, rows in repeats.one_by_one(batches, 2):
+            found = repeated_windows([blob for _, blob in rows], window)
             if len(found["gram"]):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in schema.names], schema=schema)
 
-    answers = repeats.spooled(runs.repartition(n, "range").mapInArrow(merge, "gram long, context long, doc_id long, place long, first long, last long, many long"))
+    ordered = runs.repartition(n, "range").sortWithinPartitions("range")
+    answers = repeats.spooled(ordered.mapInArrow(merge, ", ".join(f"{c} long" for c in schema.names)))
     shared = repeats.answered(claimed, answers.where("many = 0").select("gram", "context", "first", "last"))
-    alone = answers.where("many = 1").select("doc_id", "place", "first", "last")
-    found = shared.select("doc_id", "place", "first", "last").unionByName(alone)
+    alone = answers.where("many = 1").select("row", "place", "first", "last")
+    found = shared.select("row", "place", "first", "last").unionByName(alone)
     span = F.struct((F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + window).alias("end"))
-    return found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    return found.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) or, as a digest, kept_sha256 for each row of docs.
 
     Every byte covered by a `window`-byte string that also starts anywhere else is removed; strings are judged on the
-    input. Null and empty texts keep nothing; a null id stays null and keeps its text; an empty table gives no rows;
-    other columns aren't read.
+    input. Null and empty texts keep nothing; rows of a null id are texts like any other and stay null; rows that share
+    an id are judged each; texts of any length are searched whole; an empty table gives no rows; other columns aren't read.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = spans(picked, window, gram, many=many)
+    texts = repeats.held(docs, id_col, text_col)
+    found = spans(texts, window, gram, many)
     kept_kind = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), kept_kind])
 
@@ -261,5 +265,5 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
                 rows.append((doc_id, len(text), len(text) - len(kept), len(cut), sha256(kept) if digest else kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    joined = repeats.compressed(picked).join(found, "doc_id", "left").select("doc_id", "z", "spans")
+    joined = texts.join(found, "row", "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))

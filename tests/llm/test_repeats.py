@@ -65,58 +65,76 @@ def fixture():
 DOCS = fixture()
 
 
-def brute_words(docs, window=50):
-    words = {d: t.encode().split() for d, t in docs.items()}
+def brute_words(rows, window=50):
+    """rows: (doc_id, text), ids null or repeated; null ids neither remove nor lose words."""
+    words = [(d, (t or "").encode().split()) for d, t in rows]
     first = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - window + 1):
-            first.setdefault(tuple(words[d][i : i + window]), d)
-    out = {}
-    for d, w in words.items():
+    for d, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), d)
+    out = []
+    for d, w in words:
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < d:
+            if d is not None and first[tuple(w[i : i + window])] < d:
                 gone[i : i + window] = [True] * window
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        out[d] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-def brute_bytes(docs, window=200):
-    data = {d: t.encode() for d, t in docs.items()}
-    seen = collections.Counter(t[i : i + window] for t in data.values() for i in range(len(t) - window + 1))
-    out = {}
-    for d, t in data.items():
+def brute_bytes(rows, window=200):
+    data = [(d, (t or "").encode()) for d, t in rows]
+    seen = collections.Counter(t[i : i + window] for _, t in data for i in range(len(t) - window + 1))
+    out = []
+    for d, t in data:
         gone = bytearray(len(t))
         for i in range(len(t) - window + 1):
             if seen[t[i : i + window]] > 1:
                 gone[i : i + window] = b"\1" * window
         spans = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out[d] = (len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest())
+        out.append((d, len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
     return out
 
 
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: (r[0] is None, *[x or 0 for x in r[:2]], r[2:]))
+
+
+#: Ids that are null, repeated with one text, or repeated with different texts are rows of their own.
+ROWS = [*DOCS.items(), (200, None), (None, DOCS[3]), (None, DOCS[8]), (None, DOCS[8]), (300, "tail " * 70 + DOCS[5]), (300, " ".join(f"only{i}" for i in range(90))), (300, DOCS[5]), (301, DOCS[6]), (301, DOCS[6])]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(d, t, "clash") for d, t in DOCS.items()] + [(200, None, None), (None, DOCS[3], None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, words string").repartition(3)
+    return spark.createDataFrame([(*r, "clash") for r in ROWS], "doc_id long, text string, words string").withColumnRenamed("words", "row").repartition(3)
 
 
 @pytest.mark.parametrize("many", [1, 1000])
 def test_words_equal_brute_force(docs, many):
-    got = {r.doc_id: tuple(r)[1:] for r in automaton.removed(docs, digest=True, many=many).collect()}
-    empty = hashlib.sha256(b"").hexdigest()
-    assert got.pop(200) == (0, 0, empty)
-    assert got.pop(None)[1] == 0
-    assert got == brute_words(DOCS)
+    assert ordered(automaton.removed(docs, digest=True, many=many).collect()) == ordered(brute_words(ROWS))
 
 
 @pytest.mark.parametrize("many", [1, 1000])
 def test_bytes_equal_brute_force(docs, many):
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_merge.removed(docs, digest=True, many=many).collect()}
-    assert got.pop(200) == (0, 0, 0, hashlib.sha256(b"").hexdigest())
-    assert got.pop(None)[1] == 0
-    assert got == brute_bytes(DOCS)
+    assert ordered(suffix_merge.removed(docs, digest=True, many=many).collect()) == ordered(brute_bytes(ROWS))
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece are cut with overlap: passages across the borders are found."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(70) for _ in range(3)]
+    long = " ".join(prose(rnd.randint(150, 260)) + " " + s for s in shared * 2)
+    rows = [(1, long), (2, prose(120)), (3, f"{shared[0]} {prose(40)} {shared[1]}"), (4, long + " x")]
+    texts = [t.encode() for _, t in rows]
+    monkeypatch.setattr(repeats, "PIECE", 97)
+    for symbols, window in ((automaton.word_symbols, 50), (suffix_merge.byte_symbols, 200)):
+        seen = {(t, p) for _, ends, text, place in repeats.pieces(texts, symbols, window) for t, p, e, i in zip(text.tolist(), place.tolist(), ends.tolist(), range(len(text))) if i + window <= e}
+        assert seen == {(t, i) for t, x in enumerate(texts) for i in range(len(symbols(x)[0]) - window + 1)}
+    df = spark.createDataFrame([(d, t * 40) for d, t in rows], "doc_id long, text string")
+    assert ordered(automaton.removed(df, digest=True).collect()) == ordered(brute_words([(d, t * 40) for d, t in rows]))
 
 
 def test_repeated_rows(spark):
