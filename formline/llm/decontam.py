@@ -1,25 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all documents.
-2. The TF-IDF rows of the benchmark's passages are decomposed by a randomised SVD: random projections, power rounds
-   and the Gram matrix are sums over rows, made by Spark tasks; only (words x rank) matrices reach the driver.
-3. Every document is cut into overlapping windows of words, each window is projected into the latent space and its
-   cosine with each passage makes candidates. Words that no passage holds have zero loadings but count in a window's
-   norm, with the median weight of the known ones. A window whose known words can't reach the bound even if the repeated
-   ones among them add up isn't projected. A window's cosine with a passage much longer or shorter than it is low for exact copies
-   too, so every run of RUN words (or the whole passage, if it is shorter) that a text shares with a passage makes
-   a candidate as well: no verbatim copy of whatever length is missed, nor an edited one with RUN words in a row unchanged.
+1. The benchmark's passages become rows of word hashes; longer ones are cut into overlapping segments of a window's
+   length, so that like is held against like. Document frequencies of their words are counted over all documents.
+2. The TF-IDF rows of all segments are decomposed by a randomised SVD into one latent space: random projections, power
+   rounds and the Gram matrix are sums over rows, made by Spark tasks; only (words x rank) matrices reach the driver, and
+   words share WIDTH columns at most.
+3. Every document is cut into overlapping windows of words, each window is projected into the latent space, and its
+   cosine with each segment, as a share of what a copy of the segment reaches there, makes candidates. Words that no
+   passage holds have zero loadings but count in a window's norm, with the median weight of the known ones. A window whose known
+   words can't reach the bound isn't projected. A projection may lose what sets passages apart, so every run of RUN
+   words (or the whole passage, if it is shorter) that a text shares with a passage makes a candidate as well: no
+   verbatim copy of whatever length is missed, nor an edited one with RUN words in a row unchanged.
 4. Candidates are verified by the longest common subsequence with the whole passage and with its answer, which is
    its last sentence.
 
-The benchmark is taken in slices of SLICE passages, so that what tasks receive has a proven bound, and each slice in
-groups of GROUP passages with a latent space of its own, whose rank is then close to what the passages span.
+Passages are searched in blocks of BLOCK_WORDS words, or one passage; a task holds one block's Finder at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .textops import Batches, folded, mix, prefix_hash, range_hash, symbol_table, utf8, word_bounds
 
-#: Passages of one slice; words of a block; blocks of a window; texts are worked on in chunks of this many bytes.
-#: Passages of one latent space, its rank, and the settings of the randomised SVD follow.
-SLICE, BLOCK, WINDOW, CHUNK = 10_000, 8, 4, 1 << 20
-GROUP, RANK, OVERSAMPLE, POWER_ROUNDS = 256, 192, 16, 2
+#: Words of a block of a text; blocks of a window; texts are worked on in chunks of this many bytes.
+BLOCK, WINDOW, CHUNK = 8, 4, 1 << 20
+#: Words of a block of passages, columns of the TF-IDF matrix, rank of the latent space, and the settings of the randomised SVD.
+BLOCK_WORDS, WIDTH, RANK, OVERSAMPLE, POWER_ROUNDS = 200_000, 1 << 17, 160, 16, 2
+#: A segment of which the latent space keeps a smaller share is told from others by shared runs alone.
+FAINT = 0.3
 #: Words of a run that a text and a passage share.
 RUN = 4
 
@@ -119,25 +124,70 @@ class Runs:
         return np.repeat(word, n), self.owner[np.repeat(self.starts[run], n) + inner]
 
 
-def document_frequencies(docs: DataFrame, lexicon: Lexicon, text_col: str) -> tuple[int, np.ndarray]:
-    """Documents, and how many of them hold each word of the lexicon."""
+def segments(count: int) -> list[tuple[int, int]]:
+    """Ranges of a passage's words of about a window's length each, overlapping by half; a short passage is one."""
+    length = BLOCK * WINDOW
+    if count <= length + length // 2:
+        return [(0, count)]
+    return [(s, min(s + length, count)) for s in range(0, count - length // 2, length // 2)]
+
+
+class Space:
+    """The columns in use, their weights, and the latent space's loadings."""
+
+    def __init__(self, columns: np.ndarray, idf: np.ndarray, loadings: np.ndarray | None = None):
+        self.columns, self.idf, self.loadings = columns, idf, loadings
+        self.unknown = float(np.median(idf)) if len(idf) else 1.0
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Column of each word of the benchmark."""
+        return np.searchsorted(self.columns, hashes % np.uint64(WIDTH))
+
+
+def passages_of(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, words binary, answer binary): the passages' word hashes; those without an id or without words are left out."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.binary()), ("answer", pa.binary())])
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                if len(found := words([text])[0]):
+                    rows.append((item, found.tobytes(), words([answer_of(text)])[0].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    picked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    return picked.mapInArrow(run, "item_id long, words binary, answer binary")
+
+
+def columns_of(passages: DataFrame) -> np.ndarray:
+    """The sorted columns that the passages' words use, WIDTH at most."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(flat % np.uint64(WIDTH)).astype(np.int32))], names=["column"])
+
+    return np.array(sorted(r[0] for r in passages.select("words").mapInArrow(run, "column int").distinct().collect()), np.uint64)
+
+
+def document_frequencies(docs: DataFrame, columns: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
+    """Documents, and how many of them hold a word of each column."""
     schema = pa.schema([("word", pa.int32()), ("n", pa.int64())])
-    size = len(lexicon)
+    size = len(columns)
 
     def run(batches: Batches) -> Batches:
         total, n = np.zeros(size, np.int64), 0
+        place = np.full(WIDTH, -1, np.int32)
+        place[columns] = np.arange(size)
         for b in batches:
             texts = utf8(b.column(0))
             n += len(texts)
             for s, e in chunks(texts):
                 hashes, text = words(texts[s:e])
-                at = lexicon.places(hashes)
-                text, at = text[at >= 0], at[at >= 0]
-                for first in range(0, e - s, 256):  # presence by text and word
-                    some = (text >= first) & (text < first + 256)
-                    held = np.zeros((min(256, e - s - first), size), bool)
-                    held[text[some] - first, at[some]] = True
-                    total += held.sum(0)
+                at = place[hashes % np.uint64(WIDTH)]
+                known = at >= 0
+                total += np.bincount(np.unique(text[known].astype(np.int64) * size + at[known]) % size, minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found].astype(np.int32)), pa.array(np.r_[n, total[found]])], schema=schema)
 
@@ -151,6 +201,24 @@ def document_frequencies(docs: DataFrame, lexicon: Lexicon, text_col: str) -> tu
     return n, df
 
 
+def weighted(passages: DataFrame, space: Space) -> DataFrame:
+    """(at array<int>, weight array<double>): a TF-IDF row of unit length for each segment."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            at, weight = [], []
+            for raw in b.column(0).to_pylist():
+                places = space.places(np.frombuffer(raw, np.uint64))
+                for s, e in segments(len(places)):
+                    u, c = np.unique(places[s:e], return_counts=True)
+                    x = c * space.idf[u]
+                    at.append(u)
+                    weight.append(x / np.linalg.norm(x))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float64()))], names=["at", "weight"])
+
+    return passages.select("words").mapInArrow(run, "at array<int>, weight array<double>")
+
+
 def _row_sums(passages: DataFrame, shape: tuple[int, int], work) -> np.ndarray:
     """Sum over passages, made in tasks: work(sparse rows) -> matrix of the given shape."""
     schema = pa.schema([("part", pa.binary())])
@@ -211,21 +279,45 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Finder:
-    """What a task needs to find the passages of a slice in texts. items: (item_id, places, places of the answer)."""
-
-    def __init__(self, lexicon: Lexicon, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, unknown: float, loadings: list[np.ndarray], cosine: float, overlap: float, answer: float):
-        self.lexicon, self.items, self.cosine, self.overlap, self.answer = lexicon, items, cosine, overlap, answer
-        self.squared = np.r_[idf**2, unknown**2]  # place -1 is the last one
-        self.groups = []
+    """What a task needs to find the passages of a block in texts. items: (item_id, word hashes, those of the answer)."""
+
+    def __init__(self, space: Space, items: list[tuple[int, np.ndarray, np.ndarray]], cosine: float, overlap: float, answer: float):
+        self.lexicon = Lexicon(np.concatenate([w for _, w, _ in items]))
+        self.items = [(item, self.lexicon.places(w), self.lexicon.places(a)) for item, w, a in items]
+        self.cosine, self.overlap, self.answer = cosine, overlap, answer
+        column = space.places(self.lexicon.hashes)
+        weight = space.idf[column]
+        self.squared = np.r_[weight**2, space.unknown**2]  # place -1 is the last one
+        self.project = np.vstack([weight[:, None] * space.loadings[column], np.zeros((1, space.loadings.shape[1]))]).astype(np.float32)
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for k, (_, w, _) in enumerate(items):
+        for k, (_, w, _) in enumerate(self.items):
             by_length.setdefault(min(len(w), RUN), []).append((k, w))
         self.runs = [Runs(n, some) for n, some in by_length.items()]
-        for k, v in enumerate(loadings):
-            project = np.vstack([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
-            latent = np.stack([project[w].sum(0) for _, w, _ in items[k * GROUP : (k + 1) * GROUP]])
-            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-            self.groups.append((k * GROUP, project, latent.T.astype(np.float32)))
+        owner, latent, least = [], [], []
+        for k, (_, w, _) in enumerate(self.items):
+            for s, e in segments(len(w)):
+                at = self.project[w[s:e]].sum(0)
+                whole = float(self.norms(w[None, s:e])[0])
+                kept = float(np.linalg.norm(at)) / whole
+                owner.append(k)
+                # cosine of a window with the segment, over the cosine that a copy of the segment has
+                latent.append(at / whole / max(kept, 1e-9) ** 2 * (kept >= FAINT))
+                least.append(kept)
+        self.owner, self.latent = np.array(owner), np.array(latent, np.float32).T.copy()
+        #: The least share of a segment's length that the latent space keeps: what a window must reach of its own at least.
+        self.kept = min([1.0, *[x for x in least if x >= FAINT]])
+
+    def norms(self, places: np.ndarray) -> np.ndarray:
+        """Lengths of the TF-IDF rows of windows (rows of places, -1 unknown, -2 none); repeated words add up."""
+        order = np.sort(places, axis=1)
+        n, width = order.shape
+        new = np.ones((n, width), bool)
+        new[:, 1:] = (order[:, 1:] != order[:, :-1]) | (order[:, 1:] < 0)
+        flat = np.flatnonzero(new)
+        times = np.diff(np.r_[flat, n * width])
+        value = order.ravel()[flat]
+        size = np.where(value == -2, 0.0, self.squared[value] * times.astype(float) ** 2)
+        return np.sqrt(np.maximum(np.add.reduceat(size, np.searchsorted(flat, np.arange(n) * width)), 1e-18))
 
     def verified(self, item: int, region: np.ndarray) -> tuple[float, float]:
         """Greatest share of the passage, and of its answer there, that is a common subsequence with a stretch of about its length."""
@@ -254,7 +346,7 @@ class Finder:
         size = base[-1] + WINDOW
         whole, known = (np.bincount(block, weights=w, minlength=size) for w in (weight, np.where(at >= 0, weight, 0)))
         whole, known = (sum(w[k : size - WINDOW + k] for k in range(WINDOW)) for w in (whole, known))
-        start = np.flatnonzero((known > 0) & (known * (1 + self.repeats(at, text, block, size)) >= self.cosine**2 * whole))
+        start = np.flatnonzero((known > 0) & (known * (1 + self.repeats(at, text, block, size)) >= (self.cosine * self.kept) ** 2 * whole))
         doc = np.searchsorted(base, start, side="right") - 1
         even = (start - base[doc]) % (WINDOW // 2) == 0
         start, doc = start[even], doc[even]
@@ -264,11 +356,10 @@ class Finder:
             index = w[:, None] + np.arange(WINDOW * BLOCK)
             inside = index < (first[d] + count[d])[:, None]
             places = np.where(inside, at[np.minimum(index, len(at) - 1)], -1)
-            norm = np.sqrt(whole[start[s : s + 512]])[:, None]
-            for offset, project, latent in self.groups:
-                close = project[places].sum(1) @ latent / norm
-                for k, item in zip(*np.nonzero(close >= self.cosine)):
-                    yield int(d[k]), int(w[k]), offset + int(item), float(close[k, item])
+            norm = self.norms(np.where(inside, places, -2))
+            close = self.project[places].sum(1) @ self.latent / norm[:, None]
+            for k, segment in zip(*np.nonzero(close >= self.cosine)):
+                yield int(d[k]), int(w[k]), int(self.owner[segment]), float(close[k, segment])
 
     def repeats(self, at: np.ndarray, text: np.ndarray, block: np.ndarray, size: int) -> np.ndarray:
         """Known words of each window that stand before in it, or some more: a word's weights add up when it is repeated."""
@@ -290,8 +381,7 @@ class Finder:
                 yield d, w, k, self.cosine_at(at[w : min(w + length, first[d] + count[d])], k)
 
     def cosine_at(self, places: np.ndarray, item: int) -> float:
-        offset, project, latent = self.groups[item // GROUP]
-        return float(project[places].sum(0) @ latent[:, item - offset] / np.sqrt(self.squared[places].sum()))
+        return float((self.project[places].sum(0) @ self.latent[:, self.owner == item]).max() / self.norms(places[None])[0])
 
     def found(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item_id, cosine, share, answer's share) of verified passages."""
@@ -323,70 +413,101 @@ def answer_of(text: bytes) -> bytes:
     return parts[-1] if parts else b""
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.45, overlap: float = 0.7, answer: float = 0.5) -> list[Finder]:
-    """One Finder for each slice of the benchmark; passages without words are left out, repeated ones stand once for each id."""
-    spark = docs.sparkSession
-    passages = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    slices = -(-passages.count() // SLICE)
-    out = []
-    for k in range(slices):
-        rows = passages.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect() if slices > 1 else passages.orderBy("item_id", "text").collect()
-        texts = [r.text.encode() for r in rows]
-        hashes, place = words(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, int))
-        if not len(hashes):
-            continue
-        lexicon = Lexicon(hashes)
-        at = lexicon.places(hashes)
-        items = [(r.item_id, at[place == i], lexicon.places(words([answer_of(texts[i])])[0])) for i, r in enumerate(rows) if (place == i).any()]
-        n, df = document_frequencies(docs, lexicon, text_col)
-        idf = np.log((1 + n) / (1 + df)) + 1e-3
-        loadings = []
-        for g in range(0, len(items), GROUP):
-            sparse = []
-            for _, w, _ in items[g : g + GROUP]:
-                u, c = np.unique(w, return_counts=True)
-                x = c * idf[u]
-                sparse.append((u.tolist(), (x / np.linalg.norm(x)).tolist()))
-            frame = spark.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, len(sparse) // 64))
-            loadings.append(randomised_svd(frame, len(lexicon), min(RANK, len(sparse))))
-        out.append(Finder(lexicon, items, idf, float(np.median(idf)), loadings, cosine, overlap, answer))
-    return out
+class Search:
+    """The latent space of a benchmark and its passages in blocks, each one row of a checkpointed table."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.45, overlap: float = 0.6, answer: float = 0.5, rank: int = RANK, block_words: int = BLOCK_WORDS):
+        passages = cut(passages_of(benchmark, item_col, item_text))
+        n, total = passages.agg(F.count("*"), F.sum(F.octet_length("words") / 8)).first()
+        self.blocks, self.settings = 0, (cosine, overlap, answer)
+        if not n:
+            return
+        columns = columns_of(passages)
+        documents, df = document_frequencies(docs, columns, text_col)
+        space = Space(columns, np.log((1 + documents) / (1 + df)) + 1e-3)
+        rows = cut(weighted(passages, space))
+        # rank well below the number of segments, which is where passages start to share directions
+        space.loadings = randomised_svd(rows, len(columns), max(1, min(rank, int(0.8 * rows.count()))))
+        self.space = space
+        self.blocks = max(1, int(-(-total // block_words)))
+        deal = F.pmod(F.xxhash64("item_id", "words"), F.lit(self.blocks)).cast("int").alias("block")
+        self.table = cut(passages.groupBy(deal).agg(F.array_sort(F.collect_list(F.struct("item_id", "words", "answer"))).alias("items")))
+
+    def finders(self) -> Iterator[Finder]:
+        """One block's Finder after the other."""
+        for k in range(self.blocks):
+            for row in self.table.where(F.col("block") == k).collect():  # one bounded row
+                yield Finder(self.space, [(x["item_id"], np.frombuffer(x["words"], np.uint64), np.frombuffer(x["answer"], np.uint64)) for x in row["items"]], *self.settings)
+
+
+HIT = "row long, item_id long, share double, answer_share double, cosine double"
+
+
+def hits(keyed: DataFrame, search: Search, text_col: str) -> DataFrame:
+    """(row, item_id, share, answer_share, cosine) of every passage found in the rows of keyed (__row, text); tasks hold one block each."""
+
+    def of(finder: Finder) -> DataFrame:
+        def run(batches: Batches) -> Batches:
+            for b in batches:
+                ids = b.column(0)
+                rows = [(ids[k].as_py(), item, share, answer, cosine) for k, item, cosine, share, answer in finder.found(utf8(b.column(1)))]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["row", "item_id", "share", "answer_share", "cosine"])
+
+        return keyed.select("__row", F.col(text_col).cast("string")).mapInArrow(run, HIT)
+
+    found = [of(f) for f in search.finders()]
+    return reduce(DataFrame.unionByName, found) if found else keyed.sparkSession.createDataFrame([], HIT)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (of the greatest share; ties: smallest), share, answer_share, cosine for each row of docs.
 
-    Null and empty texts hold no passage; a null id stays null; repeated rows are searched each; empty tables give
-    no rows or no findings; other columns aren't read.
+    Null and empty texts hold no passage, and passages without an id or words aren't looked for; a passage that stands
+    under several ids is found for each. A null doc_id stays null; repeated rows are searched each; texts of any length
+    are searched whole; empty tables give no rows or no findings; other columns aren't read.
     """
-    finders = prepared(docs, benchmark, text_col, **settings)
+    search = Search(docs, benchmark, text_col, **settings)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    flag = (F.col("n_items") > 0).alias("contaminated")
+    columns = ["n_items", "item_id", "share", "answer_share", "cosine"]
+    if search.blocks != 1:
+        keyed = cut(picked.withColumn("__row", F.monotonically_increasing_id()))
+        best = F.min_by(F.struct("item_id", "share", "answer_share", "cosine"), F.struct(-F.col("share"), "item_id"))
+        each = hits(keyed, search, "text").groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n"), best.alias("b"))
+        return keyed.select("__row", "doc_id").join(each, "__row", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_items"), "b.*").select("doc_id", *columns, flag)
+    finder = next(search.finders())
     schema = pa.schema([("doc_id", pa.int64()), ("n_items", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("answer_share", pa.float64()), ("cosine", pa.float64())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            texts = utf8(b.column(1))
             best: dict[int, list] = {}
-            for finder in finders:
-                for k, item, cosine, share, answer in finder.found(texts):
-                    best.setdefault(k, []).append((-share, item, answer, cosine))
-            top = [min(best[k]) if k in best else None for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(best.get(k, ())) for k in range(len(texts))], pa.int64()), pa.array([t and t[1] for t in top], pa.int64()), pa.array([t and -t[0] for t in top], pa.float64()), pa.array([t and t[2] for t in top], pa.float64()), pa.array([t and t[3] for t in top], pa.float64())],
-                schema=schema,
-            )
+            for k, item, cosine, share, answer in finder.found(utf8(b.column(1))):
+                best.setdefault(k, []).append((-share, item, answer, cosine))
+            top = [min(best[k]) if k in best else (None,) * 4 for k in range(b.num_rows)]
+            found = zip(*[(len(best.get(k, ())), item, share and -share, answer, cosine) for k, (share, item, answer, cosine) in enumerate(top)]) if top else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(found, list(schema)[1:])]], schema=schema)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_items long, item_id long, share double, answer_share double, cosine double").withColumn("contaminated", F.col("n_items") > 0)
+    return picked.mapInArrow(run, "doc_id long, n_items long, item_id long, share double, answer_share double, cosine double").select("doc_id", *columns, flag)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that hold no benchmark passage; columns as given."""
-    finders = prepared(docs, benchmark, text_col, **settings)
+    """The rows of docs that hold no benchmark passage; columns as given.
+
+    Rows with a null or empty text stay, repeated rows are judged each, and empty tables give no rows or all of docs.
+    """
+    search = Search(docs, benchmark, text_col, **settings)
+    if not search.blocks:
+        return docs
+    if search.blocks > 1:
+        keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        return keyed.join(hits(keyed, search, text_col).select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+    finder = next(search.finders())
 
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         raw = [(t or "").encode() for t in texts]
-        found = {k for f in finders for k, *_ in f.found(raw)}
+        found = {k for k, *_ in finder.found(raw)}
         return pd.Series([k in found for k in range(len(raw))])
 
     return docs.where(~holds(F.col(text_col).cast("string")))
