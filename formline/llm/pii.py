@@ -1,6 +1,7 @@
 """Personal data: four base patterns, and a bootstrapped contextual extraction that finds unseen identifiers.
 
-Base entities are the seeds. Each induces lexical patterns: what stands before it (one word, two words) and after
+Base entities are the seeds, and so are secrets of a sure form (long runs of hexadecimal digits), which are added spans
+of a kind of their own. Each induces lexical patterns: what stands before it (one word, two words) and after
 it. Other identifier-like words (with a digit) that occur in the same patterns are candidate instances. Spark scores
 the pattern-instance graph in rounds: a pattern's confidence is the mean score of its instances, an instance's score
 is one minus the product of (1 - confidence) over its patterns, both for each kind of seed; seeds score one. Candidates
@@ -10,6 +11,8 @@ that trusted patterns support in the end are spans of that kind, added to the ba
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from hashlib import sha256
 
 import pandas as pd
 import pyarrow as pa
@@ -19,19 +22,23 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .textops import Batches, utf8
 
-#: The contract's kinds in order, and their patterns.
-KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The contract's kinds in order, and their patterns, written so that no character is a start twice.
+BASE_KINDS = ["email", "ip", "card", "phone"]
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: A run without white space that holds an @: no e-mail address goes beyond it.
-AROUND_AT = re.compile(r"[A-Za-z0-9._%+@-]+")
-DIGIT_WORD = re.compile(r"[^\s]*[0-9][^\s]*")
+#: What the method adds to the kinds: seeds of 32 hexadecimal digits or more, with letters and digits.
+KINDS = [*BASE_KINDS, "secret"]
+SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")
+
+DIGIT_WORD = re.compile(r"(?<!\S)(?=[^\s0-9]*+[0-9])\S+")
 WORD = re.compile(r"\S+")
 EDGE = "\"'`.,;:!?()[]{}<>|*#%&$="
-CONTEXT = 80
+#: Longer words and instances are known by their hash.
+NAMED = 64
 
 
 def luhn(digits: str) -> bool:
@@ -45,16 +52,21 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
-    """The matches of EMAIL, looked for only in the runs of its characters that hold an @."""
-    out, at, done = [], text.find("@"), 0
+    """Spans of mail addresses: each @ with the longest local part that begins after the last address, and a domain.
+
+    A local part holds no @, and whether a domain follows doesn't depend on where it begins.
+    """
+    out, done, at = [], 0, text.find("@")
     while at >= 0:
         start = at
-        while start > done and AROUND_AT.match(text[start - 1]):
+        while start > done and LOCAL.match(text, start - 1):
             start -= 1
-        stop = AROUND_AT.match(text, at).end()
-        out += [m.span() for m in EMAIL.finditer(text, start, stop)]
-        done = stop
-        at = text.find("@", stop)
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        done = at + 1
+        if domain:
+            out.append((start, domain.end()))
+            done = domain.end()
+        at = text.find("@", done)
     return out
 
 
@@ -76,17 +88,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def secrets(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in SECRET.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+
+
+def _named(value: str) -> str:
+    """A value, or its hash if it is long."""
+    return value if len(value) <= NAMED else "#" + sha256(value.encode()).hexdigest()
+
+
 def _norm(word: str) -> str:
-    return word.strip(EDGE).lower()[:40]
+    return _named(word.strip(EDGE).lower())
+
+
+class Words:
+    """The words of a text, for the neighbours of its spans."""
 
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in found], [e for _, e in found]
 
-def _contexts(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """One word before, two words before, one word after; empty where the text ends."""
-    left = WORD.findall(text[max(0, start - CONTEXT) : start])[-4:]
-    right = WORD.search(text, end, end + CONTEXT)
-    words = [w for w in map(_norm, left) if w][-2:]
-    after = _norm(right[0]) if right else ""
-    return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "", after)
+    def around(self, start: int, end: int) -> tuple[str, str, str]:
+        """One word before, two words before (of the last four tokens), one token after; empty where there is none."""
+        k = bisect_left(self.starts, start)
+        left = [self.text[self.starts[i] : min(self.ends[i], start)] for i in range(max(0, k - 4), k)]
+        words = [w for w in map(_norm, left) if w][-2:]
+        k = bisect_right(self.ends, end)
+        after = _norm(self.text[max(self.starts[k], end) : self.ends[k]]) if k < len(self.ends) else ""
+        return (words[-1] if words else "", " ".join(words) if len(words) == 2 else "", after)
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]], least: int = 5) -> list[tuple[int, int]]:
@@ -121,9 +151,11 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 text = raw.decode()
                 if not re.search("[0-9@]", text):
                     continue
-                spans = base_spans(text)
-                for s, e, kind in spans + [(s, e, -1) for s, e in candidates(text, spans)]:
-                    rows.append((doc, row, None, s, e, kind, text[s:e].lower()[:200], *_contexts(text, s, e)))
+                spans = base_spans(text) + [(s, e, len(BASE_KINDS)) for s, e in secrets(text)]
+                marks = spans + [(s, e, -1) for s, e in candidates(text, spans)]
+                words = Words(text) if marks else None
+                for s, e, kind in marks:
+                    rows.append((doc, row, None, s, e, kind, _named(text[s:e].lower()), *words.around(s, e)))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -172,13 +204,14 @@ def _joined(spans) -> F.Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """doc_id, key (the text's hash), spans array<struct<start, end, kind, base>> in code points for each row of docs, in order.
 
-    Null and empty texts have no spans; a null id stays null; repeated rows are searched each; an empty table
-    gives no rows; other columns aren't read. An added span never overlaps a base span.
+    Null and empty texts have no spans; a null id stays null; repeated rows are searched each, but count as one
+    occurrence of an instance in a pattern; texts of any length are searched whole, in linear time; an empty table
+    gives no rows; other columns aren't read. A discovered span overlaps no base span or secret; a secret may hold a base span.
     """
     found = cut(occurrences(docs, id_col, text_col))
     more = trusted(found, rounds, support, confidence).select("instance", "found")
     added = found.where("kind = -1").join(more, "instance").select("row", F.struct("start", F.col("found").alias("kind"), "end", F.lit(False).alias("base")).alias("span"))
-    base = found.where("kind >= 0").select("row", F.struct("start", "kind", "end", F.lit(True).alias("base")).alias("span"))
+    base = found.where("kind >= 0").select("row", F.struct("start", "kind", "end", (F.col("kind") < len(BASE_KINDS)).alias("base")).alias("span"))
     spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     rows = found.where("kind is null").select("doc_id", "row", "key")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
@@ -192,12 +225,16 @@ def digest(found: DataFrame) -> DataFrame:
     def number(kind: int) -> F.Column:
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
 
-    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.exists("spans", lambda x: ~x["base"]).alias("has_added"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in brackets; overlapping spans become one; columns as given."""
+    """docs with each span of personal data replaced by its kind in brackets; overlapping spans become one; columns as given.
+
+    Null and empty texts stay as they are, rows of a null id and repeated rows are treated each, and an empty table gives
+    no rows. No rows are lost.
+    """
     found = personal_data(docs, id_col, text_col, **settings).where(F.size("spans") > 0)
     spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
 
