@@ -1,8 +1,9 @@
 """URL filters: given host and path rules, and rules mined from labels by FP-growth.
 
 Mining: the tokens of each labelled url, and an item for a bad label, are one transaction. Spark's FP-growth finds
-the frequent token sets; the rules "tokens -> bad" above the support and confidence bounds stay, unless a rule on a
-part of their tokens has at least their confidence. Matching: each rule stands in an inverted index under its rarest
+the frequent token sets; the rules "tokens -> bad" above the support and confidence bounds stay, unless chance explains
+them or a rule on a part of their tokens has at least their confidence. Chance explains a rule if so many bad urls
+among its urls aren't surely rarer than CHANCE, whatever number of rules is tried. Matching: each rule stands in an inverted index under its rarest
 token, so that a url meets only rules of its own tokens; the other tokens are then checked on its token array.
 """
 
@@ -12,7 +13,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BAD = "=bad"
+#: Probability that any rule of all is there by chance, and the most tokens of a rule.
+CHANCE, MOST_TOKENS = 0.05, 6
 #: Rules a broadcast may hold; more are joined by shuffle.
 BROADCAST_RULES = 20_000
 
@@ -49,31 +54,40 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
+def parts_of(rule: Column) -> Column:
+    """All proper, non-empty parts of a sorted array of tokens, each sorted."""
+    every = F.aggregate(rule, F.array(F.array().cast("array<string>")), lambda some, t: F.concat(some, F.transform(some, lambda x: F.array_append(x, t))))
+    return F.filter(every, lambda x: (F.size(x) > 0) & (F.size(x) < F.size(rule)))
+
+
+def surprise(urls: Column, confidence: Column, base: Column) -> Column:
+    """-log of a bound (Chernoff's) of the probability that this share or a greater one of the urls is bad by chance."""
+    rest = F.when(confidence < 1, (1 - confidence) * F.log((1 - confidence) / (1 - base))).otherwise(0.0)
+    return urls * (confidence * F.log(confidence / base) + rest)
+
+
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.0005, min_confidence: float = 0.5, min_count: int = 5, chance: float = CHANCE) -> DataFrame:
     """(rule array<string>, confidence, support, key) from urls and boolean labels; rows with a null label are left out.
 
     min_support is the share of labelled urls that hold the rule's tokens together with a bad label;
-    min_count is the least number of such urls, which rules on few labels need. Empty labels give no rules.
+    min_count is the least number of such urls. Rules hold MOST_TOKENS tokens at most. Null and empty urls have no tokens, repeated rows
+    count each, equal confidences leave the rule of fewer tokens, and empty labels give no rules.
     """
     schema = "rule array<string>, confidence double, support double, key string"
     known = labelled.where(F.col(bad_col).isNotNull()).select(tokens(F.col(url_col)).alias("t"), F.col(bad_col).alias("bad"))
-    baskets = known.select(F.when(F.col("bad"), F.array_append("t", F.lit(BAD))).otherwise(F.col("t")).alias("items")).where(F.size("items") > 0)
+    baskets = cut(known.select(F.when(F.col("bad"), F.array_append("t", F.lit(BAD))).otherwise(F.col("t")).alias("items"), "bad").where(F.size("items") > 0))
     spark = labelled.sparkSession
-    total = baskets.count()
-    if total == 0:
+    total, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if not bad or bad == total:  # nothing to tell apart
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
-    smaller = found.select(F.col("rule").alias("part"), F.col("confidence").alias("part_confidence"), F.explode("rule").alias("token"))
-    # a rule's parts share a token with it; those of at least its confidence make it superfluous
-    covered = (
-        found.select("rule", "confidence", F.explode("rule").alias("token"))
-        .join(smaller, "token")
-        .where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0) & (F.col("part_confidence") >= F.col("confidence")))
-        .select("rule")
-        .distinct()
-    )
-    pruned = found.join(covered, "rule", "left_anti")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence).fit(baskets.select("items"))
+    found = cut(model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= MOST_TOKENS)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support"))
+    tried = F.greatest(F.lit(1), F.lit(model.freqItemsets.count()))
+    kept = found.where((F.col("confidence") > bad / total) & (surprise(F.col("support") * total / F.col("confidence"), F.col("confidence"), F.lit(bad / total)) >= F.log(tried / chance)))
+    # a part of at least a rule's confidence makes it superfluous
+    smaller = kept.select(F.col("rule").alias("part"), F.col("confidence").alias("part_confidence"))
+    covered = kept.select("rule", "confidence", F.explode(parts_of(F.col("rule"))).alias("part")).join(smaller, "part").where("part_confidence >= confidence").select("rule").distinct()
+    pruned = kept.join(covered, "rule", "left_anti")
     rarity = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     key = pruned.select("rule", F.explode("rule").alias("token")).join(rarity, "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return pruned.join(key, "rule").select("rule", "confidence", "support", "key")
@@ -101,8 +115,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_c
     """page_id, host, path, rule, verdict, mined_rule, confidence for each row of pages.
 
     A listed rule decides (rule is then not null); else a fitting mined rule blocks; else the url is allowed. Null
-    urls and urls without :// have an empty host and path and fit no listed rule; a null url is allowed. Repeated
-    rows are judged each; an empty table gives no rows; other columns aren't read.
+    urls and urls without :// have an empty host and path and fit no listed rule; a null url is allowed. Of mined rules
+    with equal confidence the last in alphabetical order is named. Urls of any length are read whole; repeated rows are judged each; an empty table gives no rows; other columns aren't read.
     """
     picked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
@@ -110,6 +124,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_c
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     listed = parts.select("*", rule.alias("rule"), verdict.alias("listed"))
     hits = match(picked, mined, "page_id", "url")
-    return listed.join(hits, "url", "left").select(
+    # null urls have no tokens, and would all meet under one key
+    none = listed.where("url is null").withColumns({"mined_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    return listed.where("url is not null").join(hits, "url", "left").unionByName(none).select(
         "page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule", "confidence"
     )

@@ -1,8 +1,12 @@
 """URL filters, toxicity, decontamination and personal data."""
 
+import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -46,6 +50,60 @@ def test_mined_rules(spark):
     assert url_rules.judge(pages.limit(0), HOST_RULES, mined).count() == 0
 
 
+def brute_rules(rows, min_support=0.0005, min_confidence=0.5, min_count=5, chance=0.05):
+    """All token sets of the labelled urls, judged by definition."""
+    baskets = [(frozenset(re.findall("[a-z0-9]+", u or "")), bad) for u, bad in rows if bad is not None]
+    baskets = [(t, b) for t, b in baskets if t or b]
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    least = max(min_support, min_count / n) * n
+    count, together = collections.Counter(), collections.Counter()
+    for t, b in baskets:
+        for k in range(1, len(t) + 1):
+            for some in itertools.combinations(sorted(t), k):
+                count[some] += 1
+                together[some] += b
+    tried = sum(c >= least for c in count.values()) + sum(c >= least for c in together.values()) + (bad >= least)
+    kept = {}
+    for some, k in together.items():
+        c, base = k / count[some], bad / n
+        if k >= least and c >= min_confidence and c > base and len(some) <= 6:
+            kl = c * math.log(c / base) + ((1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0)
+            if count[some] * kl >= math.log(tried / chance):
+                kept[some] = c
+    return {some: c for some, c in kept.items() if not any(set(p) < set(some) and q >= c for p, q in kept.items())}
+
+
+def test_mining_and_matching_equal_brute_force(spark):
+    rnd = random.Random(41)
+    word = lambda: rnd.choice(["win", "bets", "news", "blog", "shop", "pills", "a1", "b2"])
+    rows = []
+    for i in range(400):
+        url = f"http://{word()}.{word()}/{word()}"
+        bad = ("bets" in url and "win" in url) or ("pills" in url and rnd.random() < 0.8) or rnd.random() < 0.1
+        rows.append((url, bad))
+    rows += [(None, True), ("", False), ("http://x", None), (rows[0][0], rows[0][1])]
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    rules = brute_rules(rows)
+    got = {tuple(r.rule): r.confidence for r in mined.collect()}
+    assert {k: pytest.approx(v) for k, v in got.items()} == rules and ("pills",) in got and ("bets", "win") in got
+    pages = [(i, u) for i, (u, _) in enumerate(rows)] + [(900, "HTTP://PILLS.x/" + "y" * 100_000), (None, "http://win.bets/")]
+    judged = url_rules.judge(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, host string"), [], mined).collect()
+    assert len(judged) == len(pages)
+    urls = dict(pages)
+    for r in judged:
+        tokens = set(re.findall("[a-z0-9]+", (urls[r.page_id] or "").lower()))
+        fit = [(c, list(k)) for k, c in rules.items() if set(k) <= tokens]
+        assert r.verdict == ("block" if fit else "allow") and r.mined_rule == ("+".join(max(fit)[1]) if fit else None)
+
+
+def test_chance_makes_no_rules(spark):
+    """Labels that don't depend on the url: some token sets look bad, but none is kept."""
+    rnd = random.Random(42)
+    rows = [(f"http://w{rnd.randint(0, 60)}.test/{rnd.randint(0, 60)}", rnd.random() < 0.26) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert url_rules.mine(df, chance=1e9).count() > 0 and url_rules.mine(df).count() == 0
+
+
 def labelled_texts(n=400):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bcdfglmnprt") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3)))
@@ -137,17 +195,81 @@ def test_verbatim_copies_of_any_length(spark, n):
     assert all(r.share == 1 for r in got if r.doc_id < 5)
 
 
+def made(items, docs, **settings):
+    """The Finder of passages whose words all weigh the same."""
+    import numpy as np
+
+    rows = [(k, decontam.words([t])[0], decontam.words([decontam.answer_of(t)])[0]) for k, t in enumerate(items)]
+    columns = np.unique(np.concatenate([w for _, w, _ in rows]) % np.uint64(decontam.WIDTH))
+    return decontam.Finder(decontam.Space(columns, np.ones(len(columns)), np.eye(len(columns))), rows, **({"cosine": 0.45, "overlap": 0.6, "answer": 0.5} | settings))
+
+
 def test_repeated_words_reach_the_bound():
     import numpy as np
 
-    hashes, _ = decontam.words([b"salt water"])
-    lexicon = decontam.Lexicon(hashes)
-    passage = lexicon.places(decontam.words([b"salt " * 12 + b"water"])[0])
-    finder = decontam.Finder(lexicon, [(1, passage, passage[-1:])], np.ones(2), 1.0, [np.eye(2)], 0.45, 0.7, 0.5)
+    finder = made([b"salt " * 12 + b"water"], [])
     text = [b"salt " * 5 + b"a b c d e f g h i j k l m n o p q r s t u v w x y z aa"]
     hashes, where = decontam.words(text)
-    at = lexicon.places(hashes)
-    assert [c for c in finder.candidates(at, np.bincount(where)) if c[1] == 0]
+    found = [c for c in finder.candidates(finder.lexicon.places(hashes), np.bincount(where)) if c[1] == 0]
+    # the cosine of (5 salt, 27 others) with (12 salt, 1 water)
+    assert [c[3] for c in found] == [pytest.approx(5 * 12 / (math.sqrt(25 + 27) * math.sqrt(145)), abs=1e-4)]
+
+
+def test_cosines_equal_brute_force():
+    import numpy as np
+
+    rnd = random.Random(14)
+    items = [" ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(5, 40))).encode() for _ in range(6)]
+    texts = [" ".join(rnd.choice("abcdefghijXYZ") for _ in range(rnd.randint(1, 120))).encode() for _ in range(20)]
+    finder = made(items, texts)
+    hashes, where = decontam.words(texts)
+    count = np.bincount(where, minlength=len(texts))
+    got = {}
+    for doc, word, item, cosine in finder.candidates(finder.lexicon.places(hashes), count):
+        got[doc, word - sum(count[:doc]), item] = max(cosine, got.get((doc, word - sum(count[:doc]), item), 0))
+    expected = {}
+    for d, t in enumerate(texts):
+        ws = t.decode().lower().split()
+        for start in range(0, len(ws), 16):
+            window = collections.Counter(ws[start : start + 32])
+            for k, item in enumerate(items):
+                passage = collections.Counter(item.decode().split())
+                dot = sum(window[w] * passage[w] for w in passage)
+                length = sum(v * v if w in "abcdefghij" else v for w, v in window.items())  # words that no passage holds count each
+                cosine = dot / math.sqrt(length * sum(v * v for v in passage.values()))
+                if cosine >= 0.45:
+                    expected[d, start, k] = cosine
+    assert set(got) == set(expected)
+    assert all(got[x] == pytest.approx(expected[x], abs=1e-4) for x in got)
+
+
+@pytest.mark.parametrize("replaced", [0.1, 0.2, 0.3])
+def test_paraphrases_are_found(spark, replaced):
+    """Words of the passages replaced at random, the answer's words too: 9 of 10 are found, and nothing else."""
+    rnd = random.Random(int(replaced * 100))
+    word = lambda: "".join(rnd.choice("bcdfglmnprt") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 3)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [f"{prose(n)}. {prose(10)}." for n in [15, 25, 40, 60, 90, 150, 250, 400] * 5]
+    docs = []
+    for k, t in enumerate(items):
+        changed = [word() if rnd.random() < replaced else w for w in t.split()]
+        docs.append((k, f"{prose(rnd.randint(0, 90))} {' '.join(changed)} {prose(60)}"))
+    docs += [(100 + k, prose(300)) for k in range(20)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got if r.contaminated}
+    assert found <= {(k, k) for k in range(len(items))} and len(found) >= 0.9 * len(items)
+
+
+def test_blocks_of_passages_give_the_same_rows(spark):
+    rnd = random.Random(16)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghi") for _ in range(5)) for _ in range(n))
+    items = [prose(rnd.randint(5, 60)) for _ in range(20)]
+    docs = [(k, f"{prose(40)} {items[k]} {items[(k * 7) % 20]} {prose(30)}") for k in range(20)] + [(None, items[4]), (50, None), (51, ""), (52, prose(90)), (52, items[1])]
+    df, bench = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, row int"), spark.createDataFrame([*enumerate(items), (None, items[0])], "item_id long, text string")
+    key = lambda r: (r.doc_id or 0, r.n_items, r.item_id or 0, round(r.share or 0, 6), round(r.answer_share or 0, 6))
+    one, many = (sorted(map(key, decontam.leaks(df, bench, block_words=n).collect())) for n in (10**6, 150))
+    assert one == many and sum(n > 0 for _, n, *_ in one) == 22
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(df, bench, block_words=150).collect()) == sorted((d or 0, t or "") for d, t in docs[-5:] if not t or t not in items)
 
 
 TEXTS = [
@@ -186,6 +308,73 @@ def test_personal_data(spark):
     assert pii.digest(pii.personal_data(docs.limit(0))).count() == 0
 
 
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for t in ("1" * 1_000_000, "1." * 500_000, "a" * 500_000 + "@", "a@" * 300_000, "x" * 1_000_000, "a" * 500_000 + "@b", "+1" + " " * 500_000, "f" * 1_000_000):
+        spans = pii.base_spans(t)
+        pii.secrets(t)
+        pii.candidates(t, spans)
+        pii.Words(t)
+    assert time.time() - began < 30
+
+
+def test_neighbours_are_whole_words():
+    long = "w" * 300
+    text = f"{long}1 {' ' * 200}call ({long}) 5550-1234 now"
+    s = text.index("5550")
+    assert pii.Words(text).around(s, s + 9) == (pii._named(long), "call " + pii._named(long), "now")
+    assert pii.Words("a,1.2.3.4").around(2, 9) == ("a", "", "")
+    assert pii._named("x" * 65) != pii._named("x" * 64 + "y") and len(pii._named("x" * 500)) == 65
+
+
+def brute_trusted(rows, rounds=3, support=5, confidence=0.8):
+    """Scores by definition: rows of (kind, instance, patterns); kind -1 for candidates."""
+    edges = {(k, i, p) for k, i, ps in rows for p in ps}
+    instances = collections.Counter(p for p in {(k, i, p) for k, i, p in edges} for p in [p[2]])
+    seeds = collections.Counter((p, k) for k, i, p in edges if k >= 0)
+    seeds = {x: n for x, n in seeds.items() if n >= support}
+    links = {(i, p) for k, i, p in edges if k == -1}
+    score, best = {}, {}
+    for _ in range(rounds):
+        conf = {(p, k): (n + sum(score.get((i, k), 0) for i, q in links if q == p)) / instances[p] for (p, k), n in seeds.items()}
+        conf = {x: c for x, c in conf.items() if c >= confidence / 2}
+        score, best = {}, {}
+        for i, p in links:
+            for (q, k), c in conf.items():
+                if p == q:
+                    score[i, k] = 1 - (1 - score.get((i, k), 0)) * (1 - min(c, 0.999999))
+                    best[i, k] = max(best.get((i, k), 0), c)
+    found = {}
+    for (i, k), s in score.items():
+        if best[i, k] >= confidence:
+            found[i] = max(found.get(i, (0, 0)), (s, -k))
+    return {i: (-k, s) for i, (s, k) in found.items()}
+
+
+def test_graph_scores_equal_brute_force(spark):
+    rnd = random.Random(31)
+    rows = []
+    for n in range(260):
+        kind = rnd.choice([0, 1, 4, -1])
+        word = rnd.choice(["mobile", "host", "token"]) if rnd.random() < 0.8 else rnd.choice("abcdefgh")
+        rows.append((kind, f"{kind}-{rnd.randint(0, 25)}", word if kind == -1 or rnd.random() < 0.9 else "", "", rnd.choice(["x", "y", ""])))
+    df = spark.createDataFrame(rows, "kind int, instance string, before1 string, before2 string, after string")
+    for confidence in (0.4, 0.8):
+        got = {r.instance: (r.found, r.score) for r in pii.trusted(df, confidence=confidence).collect()}
+        expected = brute_trusted([(k, i, [f"{s}:{w}" for s, w in (("1", a), ("2", b), ("3", c)) if w]) for k, i, a, b, c in rows], confidence=confidence)
+        assert set(got) == set(expected) and all(got[i][0] == expected[i][0] and got[i][1] == pytest.approx(expected[i][1], abs=1e-6) for i in got)
+
+
+def test_secrets_are_seeds(spark):
+    rows = [(i, f"set token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" here") for i in range(20)]
+    rows += [(50, 'set token = "k7-short-1" here'), (51, f"a {'ab' * 40} b"), (52, f"a {'12' * 40} b"), (53, "year 1999x here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.personal_data(docs)).collect()}
+    assert got[3].spans == "secret:13:53" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[50].spans == "secret:13:23" and [got[i].spans for i in (51, 52, 53)] == ["", "", ""]
+    assert {r.text for r in pii.redact(docs).where("doc_id in (4, 50)").collect()} == {'set token = "[SECRET]" here'}
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     rows = [(i, f"please call mobile: +1 523 555 {1000 + i} today") for i in range(20)] + [(50, "please call mobile: 5550-77-1234 today"), (51, "the page 12345 of it"), (52, "nothing 99999 here")]
     rows += [(60 + i, f"the page {20000 + i} of it") for i in range(10)]
