@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import profiles, similarity, zones
+from ..session import cut
+from . import profiles, similarity, zones as grids_and_zones
 
 SEEDS, CUTOFFS = range(20), (1, 5, 10)
 BASELINE, MARGIN = 0.249, 0.05
@@ -34,30 +37,62 @@ def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, las
     by = [*keys, "seed", "half"]
     built = profiles.build(shots, halves, by, last_actions=last_actions, min_starts=0, min_minutes=0, positions=None, **settings)
     if k_zones:
-        grid = zones.grids(profiles.shots_in(shots, halves, by), by)
-        weighed = None
-        for s in seeds:
-            one = grid.where(F.col("seed") == int(s))
-            part = zones.weights(one, zones.fit(one.where("half = 'A'"), k_zones), by)
-            weighed = part if weighed is None else weighed.unionByName(part)
-        built = built.join(weighed, by, "left")
+        grid = grids_and_zones.grids(profiles.shots_in(shots, halves, by), by)
+        models = grids_and_zones.fit_each(grid.where("half = 'A'"), "seed", k_zones)
+        built = built.join(grids_and_zones.weights_each(grid, models, F.col("seed"), by), by, "left")
     frame = pool.select(*keys).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).withColumn("half", F.explode(F.array(F.lit("A"), F.lit("B"))))
     return frame.join(built, by, "left")
 
 
 def evaluate(halves: DataFrame, feature_sets: dict[str, list[str]], metric: str = "cosine") -> DataFrame:
-    """(player_id, season, seed, feature_set, rank) from half profiles; standardised on half A of each seed."""
+    """(player_id, season, seed, feature_set, rank) from half profiles; standardised on half A of each seed.
+
+    Every column is standardised once, and all seeds and feature sets are ranked in one job.
+    """
     keys = profiles.KEYS
-    out = None
-    for name, columns in feature_sets.items():
-        z = similarity.standardise(halves, columns, halves.where("half = 'A'"), ["seed"])
-        v = z.select(*keys, "seed", "half", similarity.vector(columns).alias("v"))
-        wide = v.groupBy(*keys, "seed").agg(F.first(F.when(F.col("half") == "A", F.col("v")), True).alias("a"), F.first(F.when(F.col("half") == "B", F.col("v")), True).alias("b"))
-        pairs = wide.select("seed", F.xxhash64(*keys).alias("id"), *keys, "a", "b")
-        ranks = similarity.own_ranks(pairs, metric, ["seed"])
-        named = pairs.select("seed", "id", *keys).join(ranks, ["seed", "id"]).select(*keys, "seed", F.lit(name).alias("feature_set"), "rank")
-        out = named if out is None else out.unionByName(named)
-    return out
+    columns = sorted({c for cs in feature_sets.values() for c in cs})
+    z = similarity.standardise(halves, columns, halves.where("half = 'A'"), ["seed"])
+    sets = F.array(*[F.struct(F.lit(name).alias("feature_set"), similarity.vector(cs).alias("v")) for name, cs in feature_sets.items() if cs])
+    v = z.select(*keys, "seed", "half", F.inline(sets))
+    side = lambda h: F.first(F.when(F.col("half") == h, F.col("v")), True)
+    wide = v.groupBy(*keys, "seed", "feature_set").agg(side("A").alias("a"), side("B").alias("b"))
+    pairs = cut(wide.withColumn("id", F.xxhash64(*keys)))
+    by = ["seed", "feature_set"]
+    return pairs.drop("a", "b").join(similarity.own_ranks(pairs, metric, by), [*by, "id"]).select(*keys, *by, "rank")
+
+
+def evaluate_config(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, split: str = "random", metric: str = "cosine", shrinkage_k: float = 0, zones: int = 6, **settings) -> tuple[DataFrame, DataFrame]:
+    """(ranks, half profiles) of one configuration; priors, if any, come from all shots and are the same for both halves."""
+    if shrinkage_k:
+        types = settings.get("types", profiles.SHOT_TYPES)
+        columns = profiles.category_columns(last_actions, types)
+        settings |= {"shrinkage_k": shrinkage_k, "priors": cut(profiles.style_priors(profiles.labelled(profiles.style_shots(shots), last_actions, types), columns))}
+    halves = cut(half_profiles(shots, appearances, pool, last_actions, seeds, "started" if split == "stratified" else None, zones, **settings))
+    sets = similarity.feature_sets([c for c in halves.columns if c not in (*profiles.KEYS, "seed", "half")])
+    return evaluate(halves, sets, metric), halves
+
+
+def config_grid(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], configs: list[dict], seeds=SEEDS, **settings) -> DataFrame:
+    """Ranks of several configurations (split, metric, shrinkage_k, zones), named by these columns; one job for each."""
+    out = []
+    for config in configs:
+        given = {"split": "random", "metric": "cosine", "shrinkage_k": 0, "zones": 6} | config
+        ranks = evaluate_config(shots, appearances, pool, last_actions, seeds, **given, **settings)[0]
+        out.append(ranks.withColumns({"split": F.lit(given["split"]), "metric": F.lit(given["metric"]), "shrinkage_k": F.lit(float(given["shrinkage_k"])), "zones": F.lit(int(given["zones"]))}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def imputed_share(halves: DataFrame, columns: list[str]) -> DataFrame:
+    """(seed, imputed, n_values): missing values among the columns of both halves, and all values."""
+    missing = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    return halves.groupBy("seed").agg(missing.cast("long").alias("imputed"), (F.count("*") * len(columns)).alias("n_values"))
+
+
+def population(pool: DataFrame, by: str = "league") -> DataFrame:
+    """One row: players, and 'league n, league n' with the largest first (ties by name)."""
+    n = pool.groupBy(by).agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(by).cast("string").alias("name"), "n")))
+    return n.agg(F.sum("n").alias("players"), F.array_join(F.transform(parts, lambda x: F.concat_ws(" ", x["name"], x["n"])), ", ").alias("population"))
 
 
 def metrics(ranks: DataFrame, by: tuple[str, ...] = ("feature_set", "seed"), cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
@@ -92,14 +127,17 @@ def mean_ranks(ranks: DataFrame, keys: tuple[str, ...] = ("player_id",)) -> Data
     return ranks.groupBy(*keys).agg(F.avg("rank").alias("mean_rank"), F.min("rank").alias("best"), F.max("rank").alias("worst"))
 
 
-def hardest(ranks: DataFrame, n: int = 10, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
-    return mean_ranks(ranks, keys).orderBy(F.desc("mean_rank"), *keys).limit(n)
+def hardest(ranks: DataFrame, n: int = 10, keys: tuple[str, ...] = ("player_id",), pool: DataFrame | None = None) -> DataFrame:
+    """The players of the worst mean rank, with the pool's columns if one is given."""
+    worst = mean_ranks(ranks, keys).orderBy(F.desc("mean_rank"), *keys).limit(n)
+    return worst if pool is None else worst.join(pool, list(keys), "left")
 
 
 def hardest_under(base: DataFrame, ranks: DataFrame, n: int = 10, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
-    """The base's hardest players with their mean rank under another configuration."""
+    """The base's hardest players with their mean rank under another configuration, and the averages of both."""
     other = mean_ranks(ranks, keys).select(*keys, F.col("mean_rank").alias("new_mean_rank"))
-    return hardest(base, n, keys).select(*keys, F.col("mean_rank").alias("base_mean_rank")).join(other, list(keys))
+    both = hardest(base, n, keys).select(*keys, F.col("mean_rank").alias("base_mean_rank")).join(other, list(keys))
+    return both.crossJoin(F.broadcast(both.agg(F.avg("base_mean_rank").alias("base_average"), F.avg("new_mean_rank").alias("new_average"))))  # one row
 
 
 def paired_comparison(ranks: DataFrame, base: DataFrame, key: str = "player_id", k: int = 10) -> DataFrame:
@@ -111,7 +149,11 @@ def paired_comparison(ranks: DataFrame, base: DataFrame, key: str = "player_id",
     return change.groupBy("bucket").agg(F.avg("change").alias("mean_change"), F.count_if(F.col("change") > 0).alias("better"), F.count_if(F.col("change") < 0).alias("worse"), F.max("players").alias("players"))
 
 
-def log_row(summary: DataFrame, names: tuple[str, ...] = ("recall_1", "recall_5", "recall_10", "mrr")) -> DataFrame:
+def log_row(ranks: DataFrame, by: tuple[str, ...] = ("feature_set",), bucket: str = "<20") -> DataFrame:
+    """'mean ± std' across seeds of every metric, and of recall@10 of the players of one bucket; rows: by, seed, bucket, rank."""
+    names = ("recall_1", "recall_5", "recall_10", "mrr", "recall_10_low_shots")
+    low = ranks.where(F.col("bucket") == bucket).groupBy(*by, "seed").agg(F.avg(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)).alias(names[-1]))
+    summary = metric_summary(metrics(ranks, (*by, "seed")).join(low, [*by, "seed"], "left"), by, names)
     return summary.select("*", *[F.format_string("%.3f ± %.3f", f"{c}_mean", f"{c}_std").alias(f"{c}_text") for c in names])
 
 

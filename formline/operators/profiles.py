@@ -110,6 +110,35 @@ def shrunk(counts: DataFrame, columns: list[str], k: float = 0, priors: DataFram
     return joined.withColumns({c: (F.coalesce(c, F.lit(0)) + k * F.col(f"__{c}")) / (F.col("shots") + k) for c in columns}).drop(*p.columns)
 
 
+def rolled_up(appearances: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """Totals, primary position, teams and leagues of each key (as totals, primary_position and by_minutes give them) in one pass.
+
+    Appearances are summed up by position, team and league first; the few sums of a key then meet in one list.
+    """
+    fine = appearances.groupBy(*by, "position", "team", "league").agg(
+        F.min(F.struct("date", "match_id", "player")).alias("first"),
+        F.sum("minutes").alias("minutes"),
+        F.count_if("started").alias("starts"),
+        F.sum(F.when(F.col("started"), F.col("minutes"))).alias("started_minutes"),
+        *[F.sum(c).alias(f"sum_{name}") for c, name in RATES.items()],
+    )
+    sums = ["minutes", "starts", *[f"sum_{name}" for name in RATES.values()]]
+    part = F.struct("position", "team", "league", "minutes", "starts", "started_minutes")
+    listed = fine.groupBy(*by).agg(F.min("first")["player"].alias("player"), *[F.sum(c).alias(c) for c in sums], F.collect_list(part).alias("parts"))
+
+    def total(column: str, field: str, value: Column) -> Column:
+        return F.aggregate(F.filter("parts", lambda p: p[column].eqNullSafe(value)), F.lit(0).cast("long"), lambda s, p: s + F.coalesce(p[field], F.lit(0)).cast("long"))
+
+    def ordered(column: str, name: str) -> Column:
+        values = F.array_distinct(F.transform("parts", lambda p: p[column]))
+        ranked = F.array_sort(F.transform(values, lambda v: F.struct((-total(column, "minutes", v)).alias("m"), v.alias("v"))))
+        return F.array_join(F.transform(ranked, lambda x: x["v"]), ", ").alias(name)
+
+    started = F.array_distinct(F.transform(F.filter("parts", lambda p: p["starts"] > 0), lambda p: p["position"]))
+    positions = F.array_sort(F.transform(started, lambda v: F.struct((-total("position", "started_minutes", v)).alias("m"), (-total("position", "starts", v)).alias("n"), v.alias("v"))))
+    return listed.select(*by, "player", *sums, F.get(positions, F.lit(0))["v"].alias("primary_position"), ordered("team", "teams"), ordered("league", "leagues"))
+
+
 def per90(total: Column) -> Column:
     return total.cast("double") / (F.col("minutes").cast("double") / 90.0)
 
@@ -131,8 +160,7 @@ def build(
 ) -> DataFrame:
     """The profile of each key in `by`, for any subset of appearances.
 
-    One aggregation over appearances and one over their shots meet in one join; positions, teams and leagues add
-    three small ones. last_actions fixes the categories (else they are counted first); positions None and zero
+    One aggregation over appearances and one over their shots meet in one join. last_actions fixes the categories (else they are counted first); positions None and zero
     minima switch the pool filter off.
     """
     own = shots_in(shots, appearances, by)
@@ -149,9 +177,7 @@ def build(
         F.sum(F.when(~F.col("is_own_goal") & ~F.coalesce(F.col("situation") == excluded[0], F.lit(False)), F.col("xG"))).alias("npxg"),
         *[F.count_if(style & (F.col(k) == v)).alias(c) for c, (k, v) in columns.items()],
     )
-    teams, leagues = by_minutes(appearances, "team", "teams", by), by_minutes(appearances, "league", "leagues", by)
-    joined = totals(appearances, by).join(shot_sums, by, "left").join(primary_position(appearances, by), by, "left").join(teams, by).join(leagues, by)
-    joined = joined.withColumn("shots", F.coalesce("shots", F.lit(0)))
+    joined = rolled_up(appearances, by).join(shot_sums, by, "left").withColumn("shots", F.coalesce("shots", F.lit(0)))
     shared = shrunk(joined, list(columns), shrinkage_k, priors)
     out = shared.select(
         *by, "player", "teams", F.split("leagues", ", ")[0].alias("league"), "minutes", "starts", "primary_position", "shots",

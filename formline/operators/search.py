@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import similarity
 
 FUZZY_CUTOFF, LOW_DISTINCTIVENESS = 0.8, 20
 
@@ -15,37 +16,52 @@ def find_exact(queries: DataFrame, names: DataFrame) -> DataFrame:
     return queries.join(names, F.col("q") == F.col("n")).select("query", "id")
 
 
+def grams(c: Column, size: int) -> Column:
+    """Different substrings of `size` letters; the empty one for size 0."""
+    if not size:
+        return F.array(F.lit(""))
+    last = F.length(c) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def find_words(queries: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
-    """Names that hold every word of a query as a substring.
+    """Names that hold every word of a query as a substring; an empty query is held by every name.
 
-    A word of `gram` letters or more must share its first letters with a gram of the name: an equality join on
-    the first gram of the query's longest word finds the candidates. Queries of shorter words meet all names in a
-    broadcast of these queries, whose number is checked.
+    The first `gram` letters of the query's longest word (all of it, if it is shorter) are looked up among the names'
+    substrings of that length by an equality join; the other words are then checked.
     """
-    word = F.col("words")
-    longest = F.array_max(F.transform(word, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    asked = queries.select("query", F.split("q", " ").alias("words")).withColumn("longest", longest)
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    asked = queries.select("query", F.split("q", " ").alias("words")).withColumn("g", F.substring(longest, 1, gram))
     holds = F.forall("words", lambda w: F.contains(F.col("n"), w))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - gram + 1), lambda i: F.substring(F.col("n"), i, F.lit(gram))))
-    indexed = names.where(F.length("n") >= gram).select("id", "n", F.explode(grams).alias("g"))
-    long = asked.where(F.length("longest") >= gram).withColumn("g", F.substring("longest", 1, gram)).join(indexed, "g").where(holds).select("query", "id")
-    short = asked.where(F.length("longest") < gram)
-    if short.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 queries of short words")
-    return long.unionByName(names.join(F.broadcast(short), F.expr("forall(words, w -> contains(n, w))")).select("query", "id")).distinct()
+    indexed = names.where("n is not null").select("id", "n", F.explode(F.flatten(F.array(*[grams(F.col("n"), k) for k in range(gram + 1)]))).alias("g"))
+    return asked.join(indexed, "g").where(holds).select("query", "id").distinct()
+
+
+def spelling_keys(parts: Column) -> Column:
+    """What two strings of a ratio of 0.8 or more always share, of any string in parts: bigrams and, in short ones, ends.
+
+    A ratio of 0.8 leaves at most a fifth of the letters unmatched. Matching blocks of one letter each need an
+    unmatched one between them, so strings of more than five letters together share a block of two. Of the shorter
+    ones only 'xy' and 'x?y', and equal single letters, are left.
+    """
+    ends = lambda p: F.when(F.length(p) == 3, F.array(F.concat(F.substring(p, 1, 1), F.substring(p, 3, 1)))).when(F.length(p) == 1, F.array(p)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.concat(grams(p, 2), ends(p)))))
 
 
 def find_fuzzy(queries: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(query, id, score): the best difflib ratio of the query to the name or one of its words, at cutoff or above.
+    """(query, id, score): the best ratio of the query to the name or one of its words, at cutoff (0.8 or more) or above.
 
-    A ratio at the cutoff needs shared letters: strings of a and b letters with no common bigram have few matches.
-    Candidates share a bigram with the query (exact for strings of four letters or more at the default cutoff,
-    where more than half of the letters match in blocks); then the ratio is computed on different pairs only.
+    Candidates share a key of spelling_keys with the query, which no match lacks; each different pair of strings is
+    then compared once.
     """
-    bigrams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
-    pairs = queries.select("query", "q", F.explode(bigrams("q")).alias("g")).join(names.select("n", F.explode(bigrams("n")).alias("g")).distinct(), "g").select("query", "q", "n").distinct()
-    scored = pairs.withColumn("score", text.fuzzy_scores("q", "n")).where(F.col("score") >= cutoff)
-    return scored.join(names, "n").select("query", "id", "score")
+    if cutoff < FUZZY_CUTOFF:
+        raise ValueError("the keys find all close spellings from a ratio of 0.8 on")
+    asked = queries.where("q <> ''").select("q", F.explode(spelling_keys(F.array("q"))).alias("g")).distinct()
+    held = names.where("n is not null").select("n", F.explode(spelling_keys(F.array_append(F.split("n", " "), F.col("n")))).alias("g")).distinct()
+    # a word of the name, or the name, must be about as long as the query
+    fits = F.exists(F.array_append(F.split("n", " "), F.col("n")), lambda p: 2 * F.least(F.length(p), F.length("q")) >= (F.length(p) + F.length("q")) * (cutoff - 1e-9))
+    scored = text.close_spellings(asked.join(held, "g").where(fits).select("q", "n")).where(F.col("score") >= cutoff)
+    return queries.join(scored, "q").join(names, "n").select("query", "id", "score")
 
 
 def find_players(queries: DataFrame, names: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -91,18 +107,42 @@ def market_filter(max_age: int | None = None, max_value: float | None = None, co
     return keep
 
 
-def search(ranked: DataFrame, n: int = 10, include_inactive: bool = False, **filters) -> DataFrame:
+def search(ranked: DataFrame, n: int = 10, include_inactive: bool = False, own: DataFrame | None = None, **filters) -> DataFrame:
     """The n most similar rows that pass, with the counts of candidates, inactive and filtered rows beside them.
 
     ranked: id, similarity, active, age, value_m, contract_end. Candidates are counted without the inactive rows
-    and before the market filters.
+    and before the market filters. own: the asking player's one row with distinctiveness, which is added to each.
     """
     passes = market_filter(**filters)
     active = F.lit(True) if include_inactive else F.coalesce("active", F.lit(False))
     counts = ranked.agg(F.count_if(active).alias("candidates"), F.count_if(~active).alias("inactive_excluded"), F.count_if(active & ~passes).alias("removed_by_filters"))
+    if own is not None:
+        counts = counts.crossJoin(F.broadcast(own.select("distinctiveness", (F.col("distinctiveness") < LOW_DISTINCTIVENESS).alias("low_reliability")).limit(1)))
     return ranked.where(active & passes).orderBy(F.desc("similarity"), "id").limit(n).crossJoin(F.broadcast(counts))  # counts are one row
 
 
+def similar_tables(pool: DataFrame, features: list[str], n: int = 10, metric: str = "cosine", include_inactive: bool = False, **filters) -> DataFrame:
+    """The n most similar players that pass for every player of the pool, each with its explanation and the asking player's counters.
+
+    pool: id, active, age, value_m, contract_end and z-scored features. The filters don't depend on who asks, so
+    everybody is held against the same candidates; counters leave out the asking player.
+    """
+    active = F.lit(True) if include_inactive else F.coalesce("active", F.lit(False))
+    v = similarity.vector(features)
+    marked = pool.select("id", v.alias("v"), active.alias("__active"), market_filter(**filters).alias("__passes"))
+    found = similarity.topk(marked.withColumn("__candidate", F.col("__active") & F.col("__passes")), n, metric, "id", "v", candidate="__candidate")
+    whole = marked.agg(F.count_if("__active").alias("a"), F.count_if(~F.col("__active")).alias("i"), F.count_if(F.col("__active") & ~F.col("__passes")).alias("f"))
+    less = lambda total, own: F.col(total) - own.cast("long")
+    counted = similarity.distinctiveness(marked.withColumn("distance", similarity.norm(F.col("v")))).crossJoin(F.broadcast(whole)).select(  # one row
+        "id", "distinctiveness", (F.col("distinctiveness") < LOW_DISTINCTIVENESS).alias("low_reliability"),
+        less("a", F.col("__active")).alias("candidates"), less("i", ~F.col("__active")).alias("inactive_excluded"), less("f", F.col("__active") & ~F.col("__passes")).alias("removed_by_filters"),
+    )
+    vectors = marked.select("id", "v")
+    pairs = found.select("id", "other").join(vectors.withColumnRenamed("v", "za"), "id").join(vectors.select(F.col("id").alias("other"), F.col("v").alias("zb")), "other")
+    explained = similarity.explain(similarity.contributions(pairs, features), ["id", "other"])
+    return found.join(counted, "id").join(explained, ["id", "other"])
+
+
 def season_slice(profiles: DataFrame, season: int) -> DataFrame:
     return profiles.where(F.col("season") == season)
 

@@ -56,10 +56,10 @@ def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
     """
     by = by or []
     base = df if fit_on is None else fit_on
-    means = base.groupBy(*by).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
     # deviation after imputation: nulls stand at the mean, so they only enlarge the count
-    spread = base.groupBy(*by).agg(*[F.sqrt(F.coalesce(F.var_pop(c) * F.count(c) / F.count("*"), F.lit(0.0))).alias(f"__s{i}") for i, c in enumerate(columns)])
-    stats = means.join(spread, by) if by else means.crossJoin(spread)
+    means = [F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)]
+    spread = [F.sqrt(F.coalesce(F.var_pop(c) * F.count(c) / F.count("*"), F.lit(0.0))).alias(f"__s{i}") for i, c in enumerate(columns)]
+    stats = base.groupBy(*by).agg(*means, *spread)
     joined = df.join(F.broadcast(stats), by, "left") if by else df.crossJoin(F.broadcast(stats))  # one row for each seed, or one
     z = {f"{prefix}{c}": F.coalesce((F.col(c) - F.col(f"__m{i}")) / F.when(F.col(f"__s{i}") > 0, F.col(f"__s{i}")).otherwise(1.0), F.lit(0.0)) for i, c in enumerate(columns)}
     return joined.withColumns(z).drop(*stats.columns[len(by) :])
@@ -110,32 +110,45 @@ def _block_similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(squared, 0))
 
 
-def topk(vectors: DataFrame, n: int = 10, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(id, other, similarity, rank) of each row's n most similar others, by pairs of blocks.
+def packed_blocks(rows: DataFrame, size: int, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, block, blocks, rows array<struct>): the rows of each `by` in blocks of about `size`, one row for a block, written once."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(counts), by) if by else rows.crossJoin(F.broadcast(counts))  # one row for each seed, or one
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    return cut(dealt.groupBy(*by, block, "blocks").agg(F.collect_list(F.struct("id", *columns)).alias("rows")))
 
-    A row goes to one row block, and to every column block once; a pair of blocks is one task's matrix product,
-    and only n rows for each id leave it.
+
+def topk(vectors: DataFrame, n: int = 10, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, candidate: str | None = None) -> DataFrame:
+    """(id, other, similarity, rank) of each row's n most similar others (for which `candidate` holds, if given), by pairs of blocks.
+
+    A block is one row. Each unordered pair of blocks is multiplied once, for the best of both sides, and only n rows
+    for each id leave it.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    # a row is replicated once for each block: the pairs of blocks are all work there is
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select(F.col("own").alias("i"), every.alias("j"), "id", "v").toDF("i", "j", "id", "v")
-    right = dealt.select(every.alias("i"), F.col("own").alias("j"), "id", "v").toDF("i", "j", "id", "v")
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": "int64", "other": "int64", "similarity": "float64"})
-        if not len(a) or not len(b):
-            return empty
-        b = b.sort_values("id")
-        s = _block_similarity(np.stack(a.v), np.stack(b.v), metric)
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()] = -np.inf
-        best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame({"id": np.repeat(a.id.to_numpy(), best.shape[1]), "other": b.id.to_numpy()[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
-        return out[np.isfinite(out.similarity)]
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"), (F.lit(True) if candidate is None else F.coalesce(candidate, F.lit(False))).alias("ok"))
+    packed = packed_blocks(rows, block, [], ["v", "ok"])
+    left = packed.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("rows").alias("a"))
+    right = packed.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("b"))
 
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "id long, other long, similarity double")
+    def best_of(s: np.ndarray, ids: np.ndarray, others: np.ndarray, ok: np.ndarray) -> tuple:
+        s = np.where((ids[:, None] == others) | ~ok, -np.inf, s)
+        best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        found = np.repeat(ids, best.shape[1]), others[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+        keep = np.isfinite(found[2])
+        return tuple(x[keep] for x in found)
+
+    def sides(column):
+        for rows in column:
+            rows = sorted(rows, key=lambda r: r["id"])  # ties go to the smaller id
+            yield np.array([r["id"] for r in rows], np.int64), np.stack([r["v"] for r in rows]), np.array([r["ok"] for r in rows], bool)
+
+    def run(batches):
+        for pdf in batches:
+            for i, j, (a, x, p), (b, y, q) in zip(pdf["i"], pdf["j"], sides(pdf["a"]), sides(pdf["b"])):
+                s = _block_similarity(x, y, metric)
+                for found in [best_of(s, a, b, q)] + ([best_of(s.T, b, a, p)] if i < j else []):
+                    yield pd.DataFrame(dict(zip(("id", "other", "similarity"), found)))
+
+    parts = left.join(right, ["i", "j"]).mapInPandas(run, "id long, other long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -143,37 +156,41 @@ def topk(vectors: DataFrame, n: int = 10, metric: str = "cosine", id_col: str =
 def own_ranks(vectors: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(by, id, rank): A vectors at least as similar to the B vector as the id's own A vector is (ties count against it).
 
-    vectors: by, id, a, b. Own and other similarities come from the same product of blocks; only counts leave a task.
+    vectors: by, id, a, b. A block is one row; own and other similarities are the same sums over the features, so that
+    equal vectors tie exactly; only counts leave a task.
     """
     by = by or []
-    keyed = vectors.select(*by, "id", "a", "b")
-    biggest = keyed.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
-    blocks = max(1, -(-biggest // block))
-    dealt = keyed.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = dealt.select(*by, F.col("own").alias("i"), every.alias("j"), "id", "a", "b").toDF(*by, "i", "j", "id", "a", "b")
-    holds = dealt.select(*by, every.alias("i"), F.col("own").alias("j"), "id", "a").toDF(*by, "i", "j", "id", "a")
-    kinds = dict(keyed.dtypes)
+    packed = packed_blocks(vectors.select(*by, "id", "a", "b"), block, by, ["a", "b"])
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = packed.select(*by, F.col("block").alias("i"), every.alias("j"), F.col("rows").alias("ask"))
+    holds = packed.select(*by, F.col("block").alias("j"), F.transform("rows", lambda r: r["a"]).alias("hold"))
+    kinds = dict(vectors.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "id"]) + ", n long"
 
-    def pair(ask: pd.DataFrame, hold: pd.DataFrame) -> pd.DataFrame:
-        out = ask[[*by, "id"]].copy()
-        if not len(ask) or not len(hold):
-            return out.assign(n=0).astype({"n": "int64"})
-        b, a = np.stack(ask.b), np.stack(hold.a)
-        own = np.stack(ask.a)
-        # one row at a time: the same sums for the own and the other vectors, so that equal vectors tie exactly
-        counts = [int((_row_similarity(a, x, metric) >= _row_similarity(y[None], x, metric)[0]).sum()) for x, y in zip(b, own)]
-        return out.assign(n=np.array(counts, "int64"))
-
-    parts = asks.groupBy(*by, "i", "j").cogroup(holds.groupBy(*by, "i", "j")).applyInPandas(pair, schema)
+    def run(batches):
+        for pdf in batches:
+            for k in range(len(pdf)):
+                ask, hold = pdf["ask"].iloc[k], np.stack(pdf["hold"].iloc[k])
+                own, b = (np.stack([r[c] for r in ask]) for c in ("a", "b"))
+                counts = np.concatenate([_counts_at_least(own[s : s + CHUNK], b[s : s + CHUNK], hold, metric) for s in range(0, len(b), CHUNK)])
+                yield pd.DataFrame({**{c: pdf[c].iloc[k] for c in by}, "id": [r["id"] for r in ask], "n": counts})
+
+    parts = asks.join(holds, [*by, "j"]).select(*by, "ask", "hold").mapInPandas(run, schema)
     return parts.groupBy(*by, "id").agg(F.sum("n").cast("int").alias("rank"))
 
 
-def _row_similarity(a: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine" and len(x) > 1:
-        return (a * x).sum(1) / (np.maximum(np.sqrt((a * a).sum(1)), 1e-12) * max(np.sqrt((x * x).sum()), 1e-12))
-    return -np.sqrt(((a - x) ** 2).sum(1))
+#: Rows compared with a block at once.
+CHUNK = 32
+
+
+def _counts_at_least(own: np.ndarray, b: np.ndarray, hold: np.ndarray, metric: str) -> np.ndarray:
+    """For each row of b, how many rows of hold are at least as similar to it as its row of own is."""
+    if metric == "cosine" and b.shape[1] > 1:
+        lengths = [np.maximum(np.sqrt((x * x).sum(-1)), 1e-12) for x in (own, hold)]
+        mine, others = (own * b).sum(-1) / lengths[0], (hold[None] * b[:, None]).sum(-1) / lengths[1]
+    else:
+        mine, others = -((own - b) ** 2).sum(-1), -((hold[None] - b[:, None]) ** 2).sum(-1)
+    return (others >= mine[:, None]).sum(1)
 
 
 def prefix_counts(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
+from ..session import cut
 from .profiles import KEYS, is_style, shots_in
 
 LENGTH, WIDTH = 105, 68
@@ -58,65 +59,84 @@ def grids(shots: DataFrame, by: list[str] = KEYS) -> DataFrame:
     return cells.select(*by, F.transform(F.sequence(F.lit(0), F.lit(NX * NY - 1)), lambda c: F.coalesce(F.element_at("m", c), F.lit(0.0))).alias("grid"))
 
 
-def _summed(frame: DataFrame, shapes: list[tuple[int, int]], work) -> list[np.ndarray]:
-    """Sums of several small matrices over all grids; work(matrix of grids) gives one list for each batch."""
-    sizes = [a * b for a, b in shapes]
+def _summed(frame: DataFrame, size: int, work) -> dict:
+    """key -> sums over its grids of `size` numbers; work(key, matrix of grids) gives those of one batch."""
 
     def run(batches):
-        total = np.zeros(sum(sizes))
+        total: dict = {}
         for pdf in batches:
-            if len(pdf):
-                total += np.concatenate([m.ravel() for m in work(np.stack(pdf["grid"].to_numpy()))])
-        yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            for key, part in pdf.groupby("key"):
+                total[key] = total.get(key, 0.0) + work(key, np.stack(part["grid"].to_numpy()))
+        for key, v in total.items():
+            yield pd.DataFrame({"key": key, "at": np.arange(size), "v": v})
 
-    rows = frame.select("grid").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()
-    flat = rows["v"].to_numpy() if len(rows) else np.zeros(sum(sizes))
-    return [p.reshape(s) for p, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
+    rows = frame.select("key", "grid").mapInPandas(run, "key long, at int, v double").groupBy("key", "at").agg(F.sum("v").alias("v")).toPandas()
+    return {int(key): part.sort_values("at")["v"].to_numpy() for key, part in rows.groupby("key")}
 
 
-def fit(grid_frame: DataFrame, k: int = 6, rounds: int = 200, tolerance: float = 1e-5) -> np.ndarray:
-    """Components (k x cells) of the non-negative factorisation of all grids.
+def fit_each(grid_frame: DataFrame, by: str | None, k: int = 6, rounds: int = 200, tolerance: float = 1e-5) -> dict[int, np.ndarray]:
+    """Value of `by` (a whole number, such as a seed) -> components (k x cells) of the non-negative factorisation of its grids.
 
-    Weights are never stored: each round recomputes them from the components where the grids are, and only k x cells
-    and k x k sums leave the tasks. The first round's Gram matrix (cells x cells) gives the start.
+    All values are fitted in the same rounds. Weights are never stored: each round recomputes them from the components
+    where the grids are, and only k x cells and k x k sums leave the tasks. The grids are cut off from their lineage,
+    and their Gram matrices (cells x cells) give the starts. by None is one fit, under 0.
     """
     cells = NX * NY
-    gram, total = _summed(grid_frame, [(cells, cells), (1, 2)], lambda x: [x.T @ x, np.array([[x.sum(), len(x)]])])
-    if not total[0, 1]:
-        raise ValueError("no grids to fit")
-    h = linalg.start_components(gram, total[0, 0] / total[0, 1] / cells * 0.01, k)
-    before = None
+    key = F.lit(0).cast("long") if by is None else F.col(by).cast("long")
+    frame = cut(grid_frame.where("grid is not null").select(key.alias("key"), "grid"))
+    gram: dict[int, np.ndarray] = {}
+    found: dict[int, np.ndarray] = {}
+    for at, v in _summed(frame, cells * cells + 2, lambda _, x: np.r_[(x.T @ x).ravel(), x.sum(), len(x)]).items():
+        gram[at] = v[:-2].reshape(cells, cells)
+        found[at] = linalg.start_components(gram[at], v[-2] / v[-1] / cells * 0.01, k)
+    before = dict.fromkeys(found)
+    going = set(found)
     for _ in range(rounds):
+        if not going:
+            break
+        here = {at: found[at] for at in going}
 
-        def sums(x, h=h):
-            w = linalg.nonnegative_weights(x, h)
-            return [w.T @ x, w.T @ w]
+        def sums(at, x, here=here):
+            w = linalg.nonnegative_weights(x, here[at])
+            return np.r_[(w.T @ x).ravel(), (w.T @ w).ravel()]
 
-        wx, ww = _summed(grid_frame, [(k, cells), (k, k)], sums)
-        error = np.trace(gram) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()
-        h = linalg.update_components(h, wx, ww)
-        if before is not None and before - error < tolerance * np.trace(gram):
-            break
-        before = error
-    return h
+        for at, v in _summed(frame.where(F.col("key").isin(sorted(going))), k * cells + k * k, sums).items():
+            wx, ww, h = v[: k * cells].reshape(k, cells), v[k * cells :].reshape(k, k), here[at]
+            error = np.trace(gram[at]) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()
+            found[at] = linalg.update_components(h, wx, ww)
+            if before[at] is not None and before[at] - error < tolerance * np.trace(gram[at]):
+                going.discard(at)
+            before[at] = error
+    return found
 
 
-def weights(grid_frame: DataFrame, components: np.ndarray, by: list[str] = KEYS) -> DataFrame:
-    """(by, zone_1..zone_k): each grid's non-negative weights, summing to 1; null where there is no grid."""
-    k = len(components)
+def fit(grid_frame: DataFrame, k: int = 6, rounds: int = 200, tolerance: float = 1e-5) -> np.ndarray:
+    """Components (k x cells) of the non-negative factorisation of all grids."""
+    found = fit_each(grid_frame, None, k, rounds, tolerance)
+    if not found:
+        raise ValueError("no grids to fit")
+    return found[0]
+
+
+def weights_each(grid_frame: DataFrame, components: dict[int, np.ndarray], of: Column, by: list[str] = KEYS) -> DataFrame:
+    """(by, zone_1..zone_k): each grid's non-negative weights, summing to 1, under the components that `of` names; null where there is no grid or there are no components."""
+    k = max((len(h) for h in components.values()), default=0)
 
     @F.pandas_udf("array<double>")
-    def weigh(grid: pd.Series) -> pd.Series:
-        out = [None] * len(grid)
-        known = [i for i, g in enumerate(grid) if g is not None]
-        if known:
-            w = linalg.nonnegative_weights(np.stack([grid.iloc[i] for i in known]), components)
-            w /= np.maximum(w.sum(1, keepdims=True), 1e-12)
-            for i, row in zip(known, w):
-                out[i] = row
-        return pd.Series(out)
+    def weigh(grid: pd.Series, keys: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(grid), index=grid.index, dtype=object)
+        for key, part in grid[grid.notna()].groupby(keys):
+            if key in components:
+                w = linalg.nonnegative_weights(np.stack(part.to_numpy()), components[key])
+                out[part.index] = pd.Series(list(w / np.maximum(w.sum(1, keepdims=True), 1e-12)), index=part.index)
+        return out
 
-    return grid_frame.withColumn("w", weigh("grid")).select(*by, *[F.col("w")[i].alias(f"zone_{i + 1}") for i in range(k)])
+    return grid_frame.withColumn("w", weigh("grid", of.cast("long"))).select(*by, *[F.get("w", F.lit(i)).alias(f"zone_{i + 1}") for i in range(k)])
+
+
+def weights(grid_frame: DataFrame, components: np.ndarray, by: list[str] = KEYS) -> DataFrame:
+    """(by, zone_1..zone_k) under one set of components."""
+    return weights_each(grid_frame, {0: components}, F.lit(0), by)
 
 
 def zone_model(shots: DataFrame, appearances: DataFrame, profiles: DataFrame, k: int = 6) -> np.ndarray:
@@ -167,3 +187,9 @@ def heatmap(zone_weights: DataFrame, cells: DataFrame, by: list[str] = KEYS) ->
     mixed = zone_weights.where("weight > 0").join(F.broadcast(cells), "zone").groupBy(*by, "ix", "iy").agg(F.sum(F.col("weight") * F.col("share")).alias("value"))
     peak = mixed.groupBy(*by).agg(F.max("value").alias("peak"))
     return mixed.join(peak, by).select(*by, "ix", "iy", "value", F.pow(F.try_divide(F.col("value"), F.col("peak")), F.lit(0.8)).alias("opacity"))
+
+
+def by_weight(zone_weights: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """(by, zones array<struct<zone, weight>>): each key's zones of any weight, heaviest first (ties by number). zone_weights: by, zone, weight."""
+    heavy = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("o"), "zone", "weight")))
+    return zone_weights.where("weight > 0").groupBy(*by).agg(F.transform(heavy, lambda x: F.struct(x["zone"].alias("zone"), x["weight"].alias("weight"))).alias("zones"))

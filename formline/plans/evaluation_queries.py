@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, linkage, profiles, similarity
 from ..session import cut, table
-from ..sources.adapters import APPEARANCES_SQL, RARE, SHOT_TYPES, appearances, shots
+from ..sources.adapters import APPEARANCES_SQL, RARE, SHOT_TYPES, SHOTS_SQL, appearances, shots
 from .profile_queries import built
 from .registry import query
 
@@ -48,14 +48,37 @@ def _(spark, sf):
     return halves.where("minutes is not null").select("player_id", "season", "seed", "half", "minutes", "starts", "xa_per90")
 
 
-@query("e3_evaluate_two_seeds")
-def _(spark, sf):
+def evaluated(spark, sf):
+    """What evaluations share: shots, appearances, the pool and its last actions."""
     a, s = appearances(spark, sf), shots(spark, sf)
-    pool = cut(built(spark, sf))
     actions = sorted(r.lastAction for r in profiles.last_action_categories(s, RARE).collect())
-    halves = cut(evaluation.half_profiles(s, a, pool, actions, range(2), types=SHOT_TYPES))
-    sets = similarity.feature_sets([c for c in halves.columns if c not in ("player_id", "season", "seed", "half")])
-    return evaluation.metrics(evaluation.evaluate(halves, sets))
+    return s, a, cut(built(spark, sf)), actions
+
+
+@query("e3_evaluate")
+def _(spark, sf):
+    return evaluation.metrics(evaluation.evaluate_config(*evaluated(spark, sf), types=SHOT_TYPES)[0])
+
+
+@query("e17_config_grid")
+def _(spark, sf):
+    configs = [{"zones": 0}, {"zones": 0, "split": "stratified"}, {"zones": 0, "metric": "euclidean"}, {"zones": 0, "shrinkage_k": 10}]
+    ranks = evaluation.config_grid(*evaluated(spark, sf), configs, types=SHOT_TYPES)
+    named = ["split", "metric", "shrinkage_k", "zones", "feature_set"]
+    return evaluation.metric_summary(evaluation.metrics(ranks, (*named, "seed")), tuple(named))
+
+
+HALVES = """, h AS (SELECT *, CASE WHEN place <= floor(n / 2) THEN 'A' ELSE 'B' END AS half FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id, season, seed ORDER BY md5(concat_ws('|', seed, player_id, season, match_id)), match_id) AS place, count(*) OVER (PARTITION BY player_id, season, seed) AS n FROM appearances, (SELECT unnest(range(20))::INTEGER AS seed)))"""
+
+
+@query("e14_imputed_share", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL}" + HALVES + """, sh AS (SELECT h.player_id, h.season, seed, half, count(*) AS n FROM h JOIN shots AS s ON s.match_id = h.match_id AND s.player_id = h.player_id WHERE NOT is_own_goal AND NOT coalesce(situation IN ('Penalty', 'DirectFreekick'), FALSE) GROUP BY ALL),
+  ap AS (SELECT player_id, season, seed, half FROM h GROUP BY ALL), f AS (SELECT * FROM (SELECT DISTINCT player_id, season FROM appearances), (SELECT unnest(range(20))::INTEGER AS seed), (SELECT unnest(['A', 'B']) AS half))
+  SELECT seed, count(*) FILTER (WHERE sh.n IS NULL) + count(*) FILTER (WHERE ap.half IS NULL) AS imputed, 2 * count(*) AS n_values FROM f LEFT JOIN sh USING (player_id, season, seed, half) LEFT JOIN ap USING (player_id, season, seed, half) GROUP BY seed""")
+def _(spark, sf):
+    a = appearances(spark, sf)
+    halves = evaluation.half_profiles(shots(spark, sf), a, a.select("player_id", "season").distinct(), [], types=SHOT_TYPES)
+    return evaluation.imputed_share(halves, ["npxg_per_shot", "xa_per90"])
 
 
 OWN = "WITH v AS (SELECT vec_id AS id, list_transform(range(0, 64, 2), lambda i: embedding[i + 1]::DOUBLE) AS a, list_transform(range(1, 64, 2), lambda i: embedding[i + 1]::DOUBLE) AS b FROM embeddings)"
@@ -108,16 +131,17 @@ def _(spark, sf):
     return b.select("dimension", "value", F.round("recall_mean", 6).alias("recall_mean"), F.round("recall_std", 6).alias("recall_std"), "players")
 
 
-@query("e10_hardest", RANKS + "SELECT player_id, round(avg(rank), 6) AS mean_rank, min(rank) AS best, max(rank) AS worst FROM ranks GROUP BY player_id ORDER BY avg(rank) DESC, player_id LIMIT 10")
+@query("e10_hardest", RANKS + "SELECT player_id, round(avg(rank), 6) AS mean_rank, min(rank) AS best, max(rank) AS worst, count(*) AS events FROM ranks GROUP BY player_id ORDER BY avg(rank) DESC, player_id LIMIT 10")
 def _(spark, sf):
-    return evaluation.hardest(ranks(spark, sf)).select("player_id", F.round("mean_rank", 6).alias("mean_rank"), "best", "worst")
+    r = ranks(spark, sf)
+    return evaluation.hardest(r, pool=r.groupBy("player_id").agg(F.count("*").alias("events"))).withColumn("mean_rank", F.round("mean_rank", 6))
 
 
-@query("e11_hardest_under", RANKS + ", b AS (SELECT player_id, avg(rank) AS m FROM ranks WHERE seed < 10 GROUP BY 1 ORDER BY m DESC, player_id LIMIT 10) SELECT b.player_id, round(m, 6) AS base_mean_rank, round(avg(rank), 6) AS new_mean_rank FROM b JOIN ranks USING (player_id) WHERE seed >= 10 GROUP BY ALL")
+@query("e11_hardest_under", RANKS + ", b AS (SELECT player_id, avg(rank) AS m FROM ranks WHERE seed < 10 GROUP BY 1 ORDER BY m DESC, player_id LIMIT 10), o AS (SELECT player_id, any_value(m) AS m, avg(rank) AS n FROM b JOIN ranks USING (player_id) WHERE seed >= 10 GROUP BY player_id) SELECT player_id, round(m, 6) AS base_mean_rank, round(n, 6) AS new_mean_rank, round(avg(m) OVER (), 6) AS base_average, round(avg(n) OVER (), 6) AS new_average FROM o")
 def _(spark, sf):
     r = ranks(spark, sf)
     h = evaluation.hardest_under(r.where("seed < 10"), r.where("seed >= 10"))
-    return h.select("player_id", F.round("base_mean_rank", 6).alias("base_mean_rank"), F.round("new_mean_rank", 6).alias("new_mean_rank"))
+    return h.select("player_id", *[F.round(c, 6).alias(c) for c in ("base_mean_rank", "new_mean_rank", "base_average", "new_average")])
 
 
 PAIR = ", a AS (SELECT seed, player_id, bucket, min(rank) AS rank FROM ranks GROUP BY ALL), z AS (SELECT seed, player_id, max(rank) AS base_rank FROM ranks GROUP BY ALL), bo AS (SELECT * FROM a JOIN z USING (seed, player_id)), ch AS (SELECT bucket, seed, avg((rank <= 10)::INTEGER) - avg((base_rank <= 10)::INTEGER) AS change, count(DISTINCT player_id) AS players FROM bo GROUP BY GROUPING SETS ((bucket, seed), (seed)))"
@@ -131,16 +155,14 @@ def _(spark, sf):
     return p.withColumn("mean_change", F.round("mean_change", 6))
 
 
-@query("e13_log_row", RANKS + f"SELECT feature_set, printf('%.3f ± %.3f', avg(r10), stddev_samp(r10)) AS recall_10_text FROM ({SEEDED}) GROUP BY ALL")
+@query("e13_log_row", RANKS + ", low AS (SELECT \"position\" AS feature_set, seed, avg((rank <= 10)::INTEGER) AS l FROM ranks WHERE bucket = '<20' GROUP BY ALL)" + f" SELECT feature_set, printf('%.3f ± %.3f', avg(r10), stddev_samp(r10)) AS recall_10_text, printf('%.3f ± %.3f', avg(l), stddev_samp(l)) AS recall_10_low_shots_text FROM ({SEEDED}) LEFT JOIN low USING (feature_set, seed) GROUP BY ALL")
 def _(spark, sf):
-    s = evaluation.metric_summary(evaluation.metrics(ranks(spark, sf).withColumnRenamed("position", "feature_set")))
-    return evaluation.log_row(s).select("feature_set", "recall_10_text")
+    return evaluation.log_row(ranks(spark, sf).withColumnRenamed("position", "feature_set")).select("feature_set", "recall_10_text", "recall_10_low_shots_text")
 
 
-@query("e15_population", "SELECT string_agg(c_mktsegment || ' ' || n, ', ' ORDER BY c_mktsegment) AS population FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
+@query("e15_population", "SELECT sum(n)::BIGINT AS players, string_agg(c_mktsegment || ' ' || n, ', ' ORDER BY n DESC, c_mktsegment) AS population FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
 def _(spark, sf):
-    n = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return n.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "c_mktsegment", "n"))), ", ").alias("population"))
+    return evaluation.population(table(spark, sf, "customer"), "c_mktsegment")
 
 
 @query("e16_quality_gate", RANKS + "SELECT round(avg(r), 6) AS recall, avg(r) >= 0.249 - 0.05 AS passed FROM (SELECT seed, avg((rank <= 10)::INTEGER) AS r FROM ranks GROUP BY seed)")
@@ -177,6 +199,16 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", name_tokens("p_name").alias("tokens"))
 
 
+#: Pairs of a word and a part of it, whose match the rules settle: its first letter, its first four, and its last letter.
+@query("m2_token_match", """SELECT DISTINCT a, b, CASE WHEN length(b) = 1 THEN (a[1] = b)::INTEGER::DOUBLE ELSE 1.0::DOUBLE END AS "match" FROM (SELECT w AS a, unnest([w[1], w[1:4], w[-1], w]) AS b FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) >= 4)""")
+def _(spark, sf):
+    from ..functions.text import word_matches
+
+    w = F.col("a")
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("a")).where(F.length("a") >= 4)
+    return word_matches(words.select("a", F.explode(F.array(F.substring(w, 1, 1), F.substring(w, 1, 4), F.substring(w, -1, 1), w)).alias("b")))
+
+
 @query("m3_name_score")
 def _(spark, sf):
     from ..functions.text import name_scores
@@ -184,7 +216,7 @@ def _(spark, sf):
     p = table(spark, sf, "part").select("p_name", "p_brand").distinct()
     other = p.select("p_brand", F.col("p_name").alias("other"))
     pairs = p.join(other, "p_brand").where("p_name < other").select("p_name", "other").distinct()
-    return pairs.withColumn("score", name_scores("p_name", "other"))
+    return name_scores(pairs, "p_name", "other")
 
 
 @query("m4_best_candidate", "SELECT c_nationkey AS club, arg_max(c_custkey, struct_pack(a := c_acctbal, b := -c_custkey)) AS candidate_id, max(c_acctbal) AS score FROM customer GROUP BY 1")
@@ -219,11 +251,33 @@ def _(spark, sf):
     return linkage.candidate_clubs(games(spark, sf), clubs(spark, sf), 1996, ["L1", "L2"], {"L1": "C1"}).withColumn("variants", F.array_join("variants", "|"))
 
 
-@query("m8_assigned_clubs")
+#: Nations as clubs of their region's league; every fourth is new, and every eighth of the source goes by a name without a club.
+NATIONS = "WITH c AS (SELECT 'L' || n_regionkey AS league, n_nationkey::BIGINT AS club_id, n_name AS club FROM nation)"
+
+
+def nation_clubs(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("L"), "n_regionkey").alias("league"), F.col("n_nationkey").cast("long").alias("club_id"), F.col("n_name").alias("name"))
+    return n.withColumns({"variants": F.array(F.concat("name", F.lit(" FC")), F.lower("name")), "in_league": F.col("club_id") % 4 != 0})
+
+
+@query("m7_club_scores", NATIONS + " SELECT league, club AS team, club_id, club AS name FROM c")
+def _(spark, sf):
+    c = nation_clubs(spark, sf)
+    return linkage.club_scores(c.select("league", F.col("name").alias("team")), c).where("score > 0.999999").select("league", "team", "club_id", "name")
+
+
+@query("m8_assigned_clubs", NATIONS + " SELECT league, club AS team, club_id, club, 1.0::DOUBLE AS score FROM c")
+def _(spark, sf):
+    c = nation_clubs(spark, sf)
+    return linkage.assign(linkage.club_scores(c.select("league", F.col("name").alias("team")), c)).select("league", "team", "club_id", "club", "score")
+
+
+@query("m9_two_stage_mapping", NATIONS + " SELECT league, CASE WHEN club_id % 8 = 0 THEN 'XQZ' ELSE club END AS team, CASE WHEN club_id % 8 <> 0 THEN club_id END AS club_id, CASE WHEN club_id % 8 <> 0 THEN club END AS club FROM c")
 def _(spark, sf):
-    found = linkage.candidate_clubs(games(spark, sf), clubs(spark, sf), 1996, ["L1", "L2"], {"L1": "C1"}).withColumnRenamed("competition_id", "league")
-    teams = found.select("league", F.replace(F.initcap("name"), F.lit("_"), F.lit(" club ")).alias("team"), F.when(F.col("in_league"), 1995).otherwise(1999).alias("season"))
-    return linkage.map_clubs(teams, found, 1996)
+    c = nation_clubs(spark, sf)
+    lost = F.col("club_id") % 8 == 0
+    teams = c.select("league", F.when(lost, "XQZ").otherwise(F.col("name")).alias("team"), F.when(F.col("in_league"), 1999).otherwise(2001).alias("season"))
+    return linkage.map_clubs(teams, c, 2000).select("league", "team", "club_id", "club")
 
 
 @query("m11_season_appearances", GAMES + " SELECT l_orderkey AS game_id, l_suppkey AS player_id FROM lineitem WHERE l_orderkey IN (SELECT game_id FROM games WHERE season = 1997 AND competition_id IN ('L1', 'L2'))")
@@ -257,9 +311,9 @@ def matched(spark, sf):
     return linkage.match_players(our_players(spark, sf), club_map, candidates, theirs)
 
 
-@query("m14_match_players", "SELECT o.p_partkey AS player_id, count(DISTINCT t.p_partkey) AS candidates, min(t.p_partkey) FILTER (WHERE t.p_name = o.p_name) + 1000000 AS match_id, 'name' AS match_method FROM part AS o JOIN part AS t ON o.p_size % 25 = t.p_size % 25 GROUP BY o.p_partkey")
+@query("m14_match_players", "SELECT o.p_partkey AS player_id, count(DISTINCT t.p_partkey) AS candidates, min(t.p_partkey) FILTER (WHERE t.p_name = o.p_name) + 1000000 AS match_id, 1.0::DOUBLE AS match_score, 'name' AS match_method FROM part AS o JOIN part AS t ON o.p_size % 25 = t.p_size % 25 GROUP BY o.p_partkey")
 def _(spark, sf):
-    return matched(spark, sf).select("player_id", "candidates", "match_id", "match_method")
+    return matched(spark, sf).select("player_id", "candidates", "match_id", "match_score", "match_method")
 
 
 def overrides(spark, sf):
@@ -348,10 +402,3 @@ def _(spark, sf):
 def _(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("club_id"), (F.col("s_acctbal") / 10000).alias("score"))
     return linkage.low_confidence(s)
-
-
-@query("m9_unmapped_newcomers", A + ' SELECT DISTINCT player_id, season FROM appearances AS a WHERE season = 2001 AND NOT EXISTS (SELECT 1 FROM appearances AS b WHERE b.player_id = a.player_id AND b.team = a.team AND b.season < 2001)')
-def _(spark, sf):
-    a = appearances(spark, sf).select("player_id", "team", "season")
-    old = a.where("season < 2001").select("player_id", "team")
-    return a.where("season = 2001").join(old, ["player_id", "team"], "left_anti").select("player_id", "season").distinct()

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts, windows
-from ..session import table
-from ..sources.adapters import APPEARANCES_SQL, SHOTS_SQL, appearances, shots
+from ..session import ensure_checkpoint_dir, table
+from ..sources import io
+from ..sources.adapters import APPEARANCES_SQL, DOCUMENTS_SQL, SHOTS_SQL, appearances, documents, leagues, shots
 from ..streaming import incremental
 from .registry import query
 
-A, S, AS = f"WITH {APPEARANCES_SQL} ", f"WITH {SHOTS_SQL} ", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL} "
+A, S, AS, D = f"WITH {APPEARANCES_SQL} ", f"WITH {SHOTS_SQL} ", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL} ", f"WITH {DOCUMENTS_SQL} "
+METRICS = ["click", "purchase", "view"]
 
 
 @query("s5_appearances", A + 'SELECT match_id, player_id, player, team, league, season, "date", "position", started, minutes, goals, key_passes, CAST(xA AS DOUBLE) AS xA, CAST(xGChain AS DOUBLE) AS xGChain FROM appearances')
@@ -18,10 +24,38 @@ def _(spark, sf):
     return appearances(spark, sf).select("match_id", "player_id", "player", "team", "league", "season", "date", "position", "started", "minutes", "goals", "key_passes", F.col("xA").cast("double").alias("xA"), F.col("xGChain").cast("double").alias("xGChain"))
 
 
-@query("p5_dedupe_first_line", "SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1")
+def joined(spark, sf):
+    return facts.join_fixtures(documents(spark, sf), facts.finished_fixtures(leagues(spark, sf)))
+
+
+@query("p1_finished_fixtures", D + 'SELECT league, season, match_id, "date", home, away FROM fixtures')
+def _(spark, sf):
+    return facts.finished_fixtures(leagues(spark, sf))
+
+
+@query("p2_joined_documents", D + 'SELECT match_id, league, season, "date", home, away, count(DISTINCT side)::INTEGER AS sides FROM entries GROUP BY ALL')
+def _(spark, sf):
+    return joined(spark, sf).select("match_id", "league", "season", "date", "home", "away", F.size("rosters").alias("sides"))
+
+
+@query("p3_flatten_shots", D + 'SELECT match_id, side, team, league, season, "date", "at", id::VARCHAR AS id, player_id::VARCHAR AS player_id, result, lastAction, X::VARCHAR AS X FROM entries')
+def _(spark, sf):
+    return facts.flatten_shots(joined(spark, sf)).select("match_id", "side", "team", "league", "season", "date", "at", "id", "player_id", "result", "lastAction", "X")
+
+
+@query("p4_flatten_rosters", D + 'SELECT match_id, side, team, league, season, "date", "at", id::VARCHAR AS id, player_id::VARCHAR AS player_id, minutes::VARCHAR AS "time" FROM entries')
+def _(spark, sf):
+    return facts.flatten_rosters(joined(spark, sf)).select("match_id", "side", "team", "league", "season", "date", "at", "id", "player_id", "time")
+
+
+@query("p5_dedupe_roster", D + 'SELECT match_id, side, player_id::VARCHAR AS player_id, min("at") AS "at", min(id)::VARCHAR AS id FROM entries GROUP BY match_id, side, player_id')
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
-    return facts.first_of(rows, ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"]).where("copy = 1").drop("copy")
+    return facts.dedupe_roster(facts.flatten_rosters(joined(spark, sf))).select("match_id", "side", "player_id", "at", "id")
+
+
+@query("p6_dedupe_shots", D + 'SELECT match_id, side, player_id::VARCHAR AS player_id, min("at") AS "at", min(id)::VARCHAR AS id FROM entries GROUP BY match_id, side, player_id, result, lastAction, X')
+def _(spark, sf):
+    return facts.dedupe_shots(facts.flatten_shots(joined(spark, sf))).select("match_id", "side", "player_id", "at", "id")
 
 
 @query("p7_duplicate_report", "SELECT l_orderkey, count(*) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n > 1 GROUP BY l_orderkey")
@@ -29,14 +63,18 @@ def _(spark, sf):
     return facts.duplicate_report(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"], "dropped", "l_orderkey")
 
 
-@query("p8_json_numbers", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, date_trunc('hour', ts) AS hour FROM events")
+@query("p8_clean_shots", D + """SELECT id AS shot_id, match_id, player_id, X::DOUBLE AS X, NULL::DOUBLE AS Y, 7 AS minute, concat('O', chr(39), player_id) AS player, replace(team, '&amp;', '&') AS team, league, season, "date", result, nullif(lastAction, 'None') AS lastAction, result = 'OwnGoal' AS is_own_goal
+  FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY match_id, side, player_id, result, lastAction, X ORDER BY "at") = 1)""")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.date_trunc("hour", "ts").alias("hour"))
+    made = facts.flatten_matches(documents(spark, sf), facts.finished_fixtures(leagues(spark, sf)))[0]
+    return made.select("shot_id", "match_id", "player_id", "X", "Y", "minute", "player", "team", "league", "season", "date", "result", "lastAction", "is_own_goal")
 
 
-@query("p9_flags", S + "SELECT match_id, player_id, shot_no, X, Y, lastAction, is_own_goal, situation FROM shots")
+@query("p8_clean_rosters", D + """SELECT id AS roster_id, match_id, player_id, concat('O', chr(39), player_id) AS player, replace(team, '&amp;', '&') AS team, league, season, "date", NOT sub AS started, minutes, l_tax AS xG, 0 AS goals
+  FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY match_id, side, player_id ORDER BY "at") = 1)""")
 def _(spark, sf):
-    return shots(spark, sf).select("match_id", "player_id", "shot_no", "X", "Y", "lastAction", "is_own_goal", "situation")
+    made = facts.flatten_matches(documents(spark, sf), facts.finished_fixtures(leagues(spark, sf)))[1]
+    return made.select("roster_id", "match_id", "player_id", "player", "team", "league", "season", "date", "started", "minutes", "xG", "goals")
 
 
 @query("p11_html_unescape", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&#039;', ''''), '&#39;', ''''), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS html FROM pages")
@@ -74,11 +112,9 @@ def _(spark, sf):
     return appearances(spark, sf).where(facts.outside("minutes", 0, 45)).select("match_id", "player_id", "minutes")
 
 
-@query("v5_orphans", "SELECT l_orderkey AS match_id, l_suppkey AS player_id, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority <> '5-LOW')")
+@query("v5_orphans", AS + "SELECT match_id, player_id, shot_no FROM shots AS s WHERE NOT EXISTS (SELECT 1 FROM appearances AS a WHERE a.match_id = s.match_id AND a.player_id = s.player_id AND started)")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player_id"), "l_linenumber")
-    held = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("match_id"))
-    return incremental.pending(rows, held)
+    return facts.orphans(shots(spark, sf), appearances(spark, sf).where("started")).select("match_id", "player_id", "shot_no")
 
 
 @query("v6_reconcile_shots", AS + "SELECT a.match_id, a.player_id, a.key_passes, coalesce(n, 0) AS events FROM appearances AS a LEFT JOIN (SELECT match_id, player_id, count(*) AS n FROM shots WHERE NOT is_own_goal GROUP BY ALL) AS s ON a.match_id = s.match_id AND a.player_id = s.player_id WHERE a.key_passes <> coalesce(n, 0)")
@@ -151,11 +187,23 @@ def _(spark, sf):
     return incremental.pending_counts(finished, landed, group="season")
 
 
-@query("i2_land_once", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+@query("i1_pending_matches", D + "SELECT match_id FROM fixtures WHERE match_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark, sf):
+    landed = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("match_id"))
+    return incremental.pending(facts.finished_fixtures(leagues(spark, sf)), landed).select("match_id")
+
+
+@query("i2_land_once", "SELECT DISTINCT user_id * 10 + length(event_type) AS match_id FROM events")
 def _(spark, sf):
-    return facts.first_of(table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).where("copy = 1").select("user_id", "event_id")
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select((F.col("user_id") * 10 + F.length("event_type")).alias("match_id"), F.col("ts").alias("landed"))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    incremental.run_available(incremental.first_only(stream, watermark=None), lambda batch, number: batch.select("match_id").write.mode("overwrite").parquet(f"{place}/rows/batch={number}"), f"{place}/state")
+    return spark.read.schema("match_id long").parquet(f"{place}/rows/batch=*")
 
 
-@query("s10_latest_metric", "SELECT event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value, max(ts) AS run_ts FROM events GROUP BY event_type")
+@query("s10_latest_metric", " UNION ALL ".join(f"SELECT '{m}' AS metric, arg_max(value, event_id) AS value, max(event_id) AS run_ts FROM events WHERE event_type = '{m}' AND user_id % 2 = 0" for m in METRICS))
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("run_ts"))
+    logged = table(spark, sf, "events").select(F.col("event_type").alias("metric"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("config"), F.col("value").alias("mean"), F.col("event_id").alias("run_ts"))
+    found = [io.latest_metric(logged, m, "even").select(F.lit(m).alias("metric"), "value", "run_ts") for m in METRICS]
+    return reduce(DataFrame.unionByName, found)

@@ -192,17 +192,36 @@ def _(spark, sf):
     return zones.export(situation_zones(spark, sf)).select("zone", F.array_join(F.transform("grid", line), ";").alias("grid"))
 
 
-@query("z10_heatmap", ZONES + f""", w AS (SELECT player_id, season, dense_rank() OVER (ORDER BY shotType)::INTEGER AS zone, n::DOUBLE / sum(n) OVER (PARTITION BY player_id, season) AS weight FROM (SELECT player_id, season, shotType, count(*) AS n FROM shots WHERE {STYLE} GROUP BY ALL)),
-  mixed AS (SELECT player_id, season, ix, iy, sum(weight * share) AS value FROM w JOIN comp USING (zone) GROUP BY ALL) SELECT player_id, season, ix::INTEGER AS ix, iy::INTEGER AS iy, round(value, 6) AS value, round(pow(value / max(value) OVER (PARTITION BY player_id, season), 0.8), 6) AS opacity FROM mixed""")
-def _(spark, sf):
+def situation_weights(spark, sf):
+    """(player_id, season, zone, weight): the share of each shot type among a player's style shots."""
     kinds = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
     zone = F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("shotType")]
     n = profiles.style_shots(shots(spark, sf)).groupBy("player_id", "season", zone.alias("zone")).agg(F.count("*").alias("n"))
-    w = n.join(n.groupBy("player_id", "season").agg(F.sum("n").alias("whole")), ["player_id", "season"]).select("player_id", "season", "zone", (F.col("n") / F.col("whole")).alias("weight"))
-    return zones.heatmap(w, situation_zones(spark, sf)).select("player_id", "season", "ix", "iy", F.round("value", 6).alias("value"), F.round("opacity", 6).alias("opacity"))
+    return n.join(n.groupBy("player_id", "season").agg(F.sum("n").alias("whole")), ["player_id", "season"]).select("player_id", "season", "zone", (F.col("n") / F.col("whole")).alias("weight"))
+
+
+@query("z10_heatmap", ZONES + f""", w AS (SELECT player_id, season, dense_rank() OVER (ORDER BY shotType)::INTEGER AS zone, n::DOUBLE / sum(n) OVER (PARTITION BY player_id, season) AS weight FROM (SELECT player_id, season, shotType, count(*) AS n FROM shots WHERE {STYLE} GROUP BY ALL)),
+  mixed AS (SELECT player_id, season, ix, iy, sum(weight * share) AS value FROM w JOIN comp USING (zone) GROUP BY ALL) SELECT player_id, season, ix::INTEGER AS ix, iy::INTEGER AS iy, round(value, 6) AS value, round(pow(value / max(value) OVER (PARTITION BY player_id, season), 0.8), 6) AS opacity FROM mixed""")
+def _(spark, sf):
+    return zones.heatmap(situation_weights(spark, sf), situation_zones(spark, sf)).select("player_id", "season", "ix", "iy", F.round("value", 6).alias("value"), F.round("opacity", 6).alias("opacity"))
+
+
+@query("z2_dense_grids", S + COUNTS + f", {KERNEL}, spread AS (SELECT player_id, season, target AS cell, sum(n * w) AS mass FROM counts JOIN kern USING (cell) GROUP BY ALL), keys AS (SELECT player_id, season, sum(mass) AS whole FROM spread GROUP BY ALL) SELECT k.player_id, k.season, c::INTEGER AS cell, round(coalesce(mass, 0) / whole, 6) + 0.0 AS share FROM keys AS k CROSS JOIN range(200) AS r(c) LEFT JOIN spread AS p ON p.player_id = k.player_id AND p.season = k.season AND p.cell = c")
+def _(spark, sf):
+    return zones.grids(shots(spark, sf)).select("player_id", "season", F.posexplode("grid").alias("cell", "share")).withColumn("share", F.round("share", 6) + 0.0)
+
+
+@query("z10_zones_by_weight", S + f"""SELECT player_id, season, string_agg(zone, ',' ORDER BY n DESC, zone) AS zones FROM (SELECT player_id, season, dense_rank() OVER (ORDER BY shotType)::INTEGER AS zone, n FROM (SELECT player_id, season, shotType, count(*) AS n FROM shots WHERE {STYLE} GROUP BY ALL)) GROUP BY ALL""")
+def _(spark, sf):
+    return zones.by_weight(situation_weights(spark, sf)).select("player_id", "season", F.array_join(F.transform("zones", lambda z: z["zone"]), ",").alias("zones"))
 
 
 @query("z4_fitted_zones")
 def _(spark, sf):
     grid = cut(zones.grids(shots(spark, sf)))
-    return zones.weights(grid, zones.fit(grid, 4, rounds=15))
+    return zones.weights(grid, zones.fit(grid))
+
+
+@query("z6_zone_model")
+def _(spark, sf):
+    return zones.component_cells(spark, zones.zone_model(shots(spark, sf), appearances(spark, sf), built(spark, sf)))

@@ -31,11 +31,16 @@ def rounded(*columns):
     return [(F.round(c, 6) + 0.0).alias(c) for c in columns]
 
 
-@query("n1_feature_sets", "SELECT * FROM (VALUES ('rates only', 8), ('style only', 2), ('npxG only', 1), ('all', 10)) AS t(feature_set, features)")
+SETS = {"rates only": ["npxg_per90", "shots_per90", "xa_per90", "key_passes_per90", "xgchain_per90", "xgbuildup_per90", "npxg_per_shot", "buildup_share_of_chain"], "style only": ["shot_type_head", "shot_type_left_foot", "last_action_missing"], "npxG only": ["npxg_per90"]}
+SETS = SETS | {"all": SETS["rates only"] + SETS["style only"]}
+
+
+@query("n1_feature_sets", PROF + " " + " UNION ALL ".join(f"SELECT '{k}' AS feature_set, {len(v)} AS features, " + " + ".join(f"count({c})" for c in v) + " AS known FROM prof" for k, v in SETS.items()))
 def _(spark, sf):
-    columns = [c for c in built(spark, sf, False, last_actions=[]).columns if c not in ("shot_type_right_foot", "shot_type_other", "shot_type_left_foot", "last_action_other")]
-    sets = similarity.feature_sets(columns)
-    return reduce(DataFrame.unionByName, [spark.range(1).select(F.lit(k).alias("feature_set"), F.lit(len(v)).alias("features")) for k, v in sets.items()])
+    p = built(spark, sf, False, last_actions=[])
+    sets = similarity.feature_sets([c for c in p.columns if c not in ("shot_type_right_foot", "shot_type_other", "last_action_other")])
+    named = F.array(*[F.struct(F.lit(k).alias("feature_set"), F.lit(len(v)).alias("features"), sum((F.col(c).isNotNull().cast("long") for c in v), F.lit(0)).alias("known")) for k, v in sets.items()])
+    return p.select(F.inline(named)).groupBy("feature_set", "features").agg(F.sum("known").alias("known"))
 
 
 @query("n2_imputed", PROF + f" SELECT count(*) FILTER (WHERE npxg_per_shot IS NULL) AS npxg_per_shot, count(*) FILTER (WHERE shot_type_head IS NULL) AS shot_type_head, count(*) FILTER (WHERE npxg_per_shot IS NULL) + count(*) FILTER (WHERE shot_type_head IS NULL) AS missing FROM prof")
@@ -98,12 +103,13 @@ def _(spark, sf):
     return e.select("player_id", "season", F.array_join(F.transform("top", lambda x: x["feature"]), ",").alias("top3"), F.col("against.feature").alias("against"), (F.col("total") + 0.0).alias("total"))
 
 
-@query("n12_explanation_text", PROF + Z + PAIRED + """ SELECT player_id, season, CASE WHEN count(*) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) > 0 THEN 'Both: ' || string_agg(CASE WHEN round(z_player, 2) > 0 THEN 'high ' ELSE 'low ' END || replace(feature, '_', ' '), ', ' ORDER BY n) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) ELSE 'No strongly shared traits' END AS shared
-  FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY contribution DESC, feature) AS n FROM parts) GROUP BY ALL""")
+@query("n12_explanation_text", PROF + Z + PAIRED + """ SELECT player_id, season, CASE WHEN count(*) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) > 0 THEN 'Both: ' || string_agg(CASE WHEN round(z_player, 2) > 0 THEN 'high ' ELSE 'low ' END || replace(feature, '_', ' '), ', ' ORDER BY n) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) ELSE 'No strongly shared traits' END AS shared,
+  'Main difference: ' || CASE WHEN round(min(contribution), 4) < 0 THEN min(replace(feature, '_', ' ') || ': ' || other || CASE WHEN round(z_other, 2) > round(z_player, 2) THEN ' higher' ELSE ' lower' END) FILTER (WHERE m = 1) ELSE 'no clear difference' END AS difference
+  FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY contribution DESC, feature) AS n, row_number() OVER (PARTITION BY player_id, season ORDER BY contribution, feature) AS m FROM parts) GROUP BY ALL""")
 def _(spark, sf):
     e = similarity.explain(similarity.contributions(pairs(spark, sf), FEATURES), ["player_id", "season", "other"])
     labels = {f: f.replace("_", " ") for f in FEATURES}
-    return similarity.explanation_text(e.withColumn("name", F.col("other").cast("string")), labels, "name").select("player_id", "season", "shared")
+    return similarity.explanation_text(e.withColumn("name", F.col("other").cast("string")), labels, "name").select("player_id", "season", "shared", "difference")
 
 
 PCT = " UNION ALL ".join(f"SELECT player_id, season, '{c}' AS feature, {c} AS value, (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER () * 100 AS p FROM prof WHERE {c} IS NOT NULL" for c in FEATURES[:4])
@@ -159,12 +165,12 @@ def names(spark, sf):
 
 def asked(spark, sf):
     """Queries made of the data: whole names, their last words, and their beginnings."""
-    p = table(spark, sf, "part").where("p_size = 7")
+    p = table(spark, sf, "part")
     n = F.col("p_name")
     return p.select(F.explode(F.array(n, F.element_at(F.split(n, " "), -1), F.concat(F.upper(F.substring(n, 1, 3)), F.lit("!")))).alias("query")).distinct()
 
 
-ASKED = "WITH asked AS (SELECT DISTINCT unnest([p_name, split_part(p_name, ' ', -1), upper(substr(p_name, 1, 3)) || '!']) AS query FROM part WHERE p_size = 7), q AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS q FROM asked), n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part)"
+ASKED = "WITH asked AS (SELECT DISTINCT unnest([p_name, split_part(p_name, ' ', -1), upper(substr(p_name, 1, 3)) || '!']) AS query FROM part), q AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS q FROM asked), n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part)"
 
 
 @query("q2_find_exact", ASKED + " SELECT query, id FROM q JOIN n ON q = n")
@@ -193,7 +199,7 @@ def _(spark, sf):
 
 @query("q4_fuzzy_search")
 def _(spark, sf):
-    misspelt = table(spark, sf, "part").where("p_size = 9").select(F.concat(F.substring("p_name", 1, 3), F.substring(F.col("p_name"), F.lit(5), F.length("p_name"))).alias("query")).distinct()
+    misspelt = table(spark, sf, "part").select(F.concat(F.substring("p_name", 1, 3), F.substring(F.col("p_name"), F.lit(5), F.length("p_name"))).alias("query")).distinct()
     return search.find_players(misspelt, names(spark, sf))
 
 
@@ -257,6 +263,17 @@ def _(spark, sf):
     return similarity.topk(v, 5, id_col="id", vector_col="v").select("id", "other", "rank")
 
 
+FILTERED = Z.replace("player_id, season, ", "player_id * 10000 + season AS id, starts >= 3 AS active, (minutes % 40)::INTEGER AS age, ", 1).replace(", z AS (SELECT", ", z AS (SELECT", 1)
+
+
+@query("q13_filtered_tables", PROF + FILTERED + f""", w AS (SELECT count(*) FILTER (WHERE active) AS a, count(*) FILTER (WHERE NOT active) AS i, count(*) FILTER (WHERE active AND age > 24) AS f FROM z)
+  SELECT id, other, rank, candidates, inactive_excluded, removed_by_filters FROM (SELECT a.id, b.id AS other, w.a - a.active::INTEGER AS candidates, i - (NOT a.active)::INTEGER AS inactive_excluded, f - (a.active AND a.age > 24)::INTEGER AS removed_by_filters,
+    row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity({VEC.replace('z', 'a.z')}, {VEC.replace('z', 'b.z')}), 9) DESC, b.id) AS rank FROM z AS a JOIN z AS b ON a.id <> b.id AND b.active AND b.age <= 24, w) WHERE rank <= 10""")
+def _(spark, sf):
+    z = standardised(spark, sf).select((F.col("player_id") * 10000 + F.col("season")).alias("id"), (F.col("starts") >= 3).alias("active"), (F.col("minutes") % 40).cast("int").alias("age"), F.lit(None).cast("double").alias("value_m"), F.lit(None).cast("date").alias("contract_end"), *FEATURES)
+    return search.similar_tables(cut(z), FEATURES, 10, max_age=24).select("id", "other", "rank", "candidates", "inactive_excluded", "removed_by_filters")
+
+
 @query("q14_pool_meta", RANKED + " SELECT (SELECT max(o_orderdate) FROM orders) AS data_until, (SELECT count(*) FROM customer) AS pool_size, (SELECT max(l_shipdate) FROM lineitem) AS valuations_as_of")
 def _(spark, sf):
     p = market(spark, sf).select(F.col("contract_expiration_date").alias("window_end"))

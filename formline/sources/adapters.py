@@ -5,9 +5,10 @@ A match is an order, a player a supplier, a team a nation, a league a market seg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.facts import LEAGUE_SCHEMA, MATCH_SCHEMA, ROSTER_FIELDS, SHOT_FIELDS
 from ..session import table
 
 MONEY = "decimal(18,2)"
@@ -85,3 +86,45 @@ SHOT_TYPES = {"SMALL": "head", "LARGE": "left_foot", "MEDIUM": "right_foot"}
 RARE = 0.04
 MIN_STARTS, MIN_MINUTES = 5, 2250
 POSITIONS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+def leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(league, season, dates): a raw schedule for each market segment and year, by way of JSON."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    title = lambda c: F.struct(c.alias("title"))
+    date = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderstatus") != "O").alias("isResult"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime"),
+        title(F.concat(F.lit("A&amp;"), "n_name")).alias("h"), title(F.concat(F.lit("B "), "c_mktsegment")).alias("a"),
+    )
+    raw = orders.groupBy(F.col("c_mktsegment").alias("league"), F.year("o_orderdate").alias("season")).agg(F.to_json(F.struct(F.collect_list(date).alias("dates"))).alias("json"))
+    return raw.select("league", "season", F.from_json("json", LEAGUE_SCHEMA)["dates"].alias("dates"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, rosters, shots): a raw document for each order, by way of JSON; a line is a roster entry and a shot."""
+    text = lambda c: F.col(c).cast("string")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    number = (F.col("l_orderkey") * 100 + F.col("place")).cast("string")
+    player = F.concat(F.lit("O&#039;"), text("l_suppkey"))
+    roster = {"id": number, "player_id": text("l_suppkey"), "player": player, "position": F.when(F.col("l_linenumber") > 4, "Sub").otherwise("FW"), "time": F.col("l_quantity").cast("int").cast("string"), "xG": text("l_tax")}
+    shot = {"id": number, "player_id": text("l_suppkey"), "player": player, "result": F.when(F.col("l_returnflag") == "R", "OwnGoal").otherwise("Goal"), "lastAction": F.when(F.col("l_linenumber") % 2 == 0, "None").otherwise("Pass"), "X": F.round(F.col("l_discount") * 10).cast("int").cast("string"), "minute": F.lit("7")}
+    field = lambda given, name: given.get(name, F.lit("0") if given is roster else F.lit(None).cast("string")).alias(name)
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", place).select(
+        F.col("l_orderkey").alias("match_id"), "place", F.when(F.col("l_suppkey") % 2 == 0, "h").otherwise("a").alias("side"),
+        F.struct(*[field(roster, c) for c in ROSTER_FIELDS]).alias("r"), F.struct(*[field(shot, c) for c in SHOT_FIELDS]).alias("s"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("place", "r", "s")))
+    sides = lines.groupBy("match_id", "side").agg(ordered.alias("e"))
+    entries = F.map_from_entries(F.transform("e", lambda x: F.struct(x["r"]["id"], x["r"])))
+    whole = sides.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("side", entries))).alias("rosters"), F.map_from_entries(F.collect_list(F.struct("side", F.transform("e", lambda x: x["s"])))).alias("shots"))
+    parsed = F.from_json(F.to_json(F.struct("rosters", "shots")), MATCH_SCHEMA)
+    return whole.select("match_id", parsed.alias("d")).select("match_id", "d.rosters", "d.shots")
+
+
+#: The same fixtures, and the entries of the documents with a finished fixture, as SQL.
+DOCUMENTS_SQL = """
+fixtures AS (SELECT c_mktsegment AS league, year(o_orderdate)::INTEGER AS season, o_orderkey AS match_id, date_trunc('second', o_orderdate)::TIMESTAMP AS "date", 'A&amp;' || n_name AS home, 'B ' || c_mktsegment AS away
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'O'),
+entries AS (SELECT *, CASE side WHEN 'h' THEN home ELSE away END AS team, row_number() OVER (PARTITION BY match_id, side ORDER BY id)::INTEGER - 1 AS "at" FROM (
+  SELECT f.*, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'a' END AS side, l_linenumber, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS id, l_suppkey AS player_id, l_quantity::INTEGER AS minutes, l_tax, l_linenumber > 4 AS sub,
+    CASE l_returnflag WHEN 'R' THEN 'OwnGoal' ELSE 'Goal' END AS result, CASE WHEN l_linenumber % 2 = 0 THEN 'None' ELSE 'Pass' END AS lastAction, round(l_discount * 10)::INTEGER AS X FROM lineitem JOIN fixtures AS f ON l_orderkey = f.match_id))"""

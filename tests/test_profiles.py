@@ -175,3 +175,66 @@ def test_contributions_sum_to_the_cosine(spark):
     e = {r.id: r for r in similarity.explain(similarity.contributions(pairs, features), ["id"]).collect()}
     assert all(e[i].total == pytest.approx(cos[i], abs=1e-3) for i in cos)
     assert all([t.contribution for t in r.top] == sorted((t.contribution for t in r.top), reverse=True) and r.against.contribution <= r.top[-1].contribution for r in e.values())
+
+
+def season(players=8, matches=10, seed=0):
+    rng = np.random.default_rng(seed)
+    apps = [app(m, p, day=m, xA=0.05 * p, key_passes=p % 4, xGChain=0.1 * p, xGBuildup=0.05 * p) for p in range(1, players + 1) for m in range(matches)]
+    shots = [shot(m, p, xG=0.02 * p, kind=["Head", "LeftFoot", "RightFoot"][p % 3], action=["Pass", "Cross", None][p % 3], x=rng.uniform(0.8, 0.97), y=rng.uniform(0.1, 0.9)) for p in range(1, players + 1) for m in range(matches) for _ in range(2)]
+    return apps, shots
+
+
+def test_zones_are_fitted_on_half_a_of_each_seed(spark):
+    apps, shots = season()
+    a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
+    pool = a.select("player_id", "season").distinct()
+    halves = evaluation.half_profiles(s, a, pool, ["Pass", "Cross"], (4, 9), k_zones=3)
+    assert [c for c in halves.columns if c.startswith("zone_")] == ["zone_1", "zone_2", "zone_3"]
+    rows = {(r.player_id, r.seed, r.half): r for r in halves.collect()}
+    assert len(rows) == 8 * 2 * 2 and all(r.zone_1 + r.zone_2 + r.zone_3 == pytest.approx(1) for r in rows.values())
+    for seed in (4, 9):  # a fit of this seed's half A alone gives the same weights for both halves
+        split = evaluation.split_halves(a, [seed])
+        by = ["player_id", "season", "half"]
+        grid = zones.grids(profiles.shots_in(s, split, by), by)
+        for r in zones.weights(grid, zones.fit(grid.where("half = 'A'"), 3), by).collect():
+            assert [r.zone_1, r.zone_2, r.zone_3] == pytest.approx([rows[r.player_id, seed, r.half][f"zone_{k}"] for k in (1, 2, 3)], abs=1e-6)
+
+
+def test_evaluation_of_a_configuration(spark):
+    apps, shots = season(12)
+    a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
+    pool = a.select("player_id", "season").distinct()
+    configs = [{"zones": 0}, {"zones": 0, "shrinkage_k": 10, "split": "stratified"}, {"zones": 2, "metric": "euclidean"}]
+    grid = evaluation.config_grid(s, a, pool, ["Pass", "Cross"], configs, range(2)).collect()
+    assert len(grid) == 2 * 12 * (4 + 4 + 5) and all(1 <= r["rank"] <= 12 for r in grid)
+    assert {(r.split, r.metric, r.shrinkage_k, r.zones) for r in grid} == {("random", "cosine", 0, 0), ("stratified", "cosine", 10, 0), ("random", "euclidean", 0, 2)}
+    ranks, halves = evaluation.evaluate_config(s, a, pool, ["Pass", "Cross"], range(2), zones=0)
+    # a one-feature set by hand
+    got = {(r.player_id, r.seed): r["rank"] for r in ranks.where("feature_set = 'npxG only'").collect()}
+    h = {(r.player_id, r.seed, r.half): r.npxg_per90 for r in halves.collect()}
+    for p, seed in got:
+        assert got[p, seed] == sum(abs(h[q, seed, "A"] - h[p, seed, "B"]) <= abs(h[p, seed, "A"] - h[p, seed, "B"]) + 1e-12 for q in range(1, 13))
+    share = evaluation.imputed_share(halves, ["npxg_per_shot", "xa_per90"]).collect()
+    assert {(r.seed, r.imputed, r.n_values) for r in share} == {(0, 0, 48), (1, 0, 48)}
+
+
+def test_population(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "league string")
+    assert tuple(evaluation.population(df).first()) == (4, "b 2, a 1, c 1")
+
+
+def test_rolled_up_equals_its_parts(spark):
+    rnd = random.Random(3)
+    apps = [app(m, p, rnd.randint(0, 90), rnd.choice(["FW", "AMC", "Sub", None]), team=rnd.choice("XYZ"), league=rnd.choice(["L", "M"]), day=rnd.randint(1, 5), started=rnd.random() < 0.7) for p in range(6) for m in range(12)]
+    a = spark.createDataFrame(apps, APP)
+    got = {(r.player_id, r.season): r for r in profiles.rolled_up(a).collect()}
+    for r in profiles.totals(a).collect():
+        assert (r.player, r.minutes, r.starts, r.sum_xa) == tuple(got[r.player_id, r.season][c] for c in ("player", "minutes", "starts", "sum_xa"))
+    assert {(r.player_id, r.primary_position) for r in profiles.primary_position(a).collect()} == {(p, r.primary_position) for (p, _), r in got.items()}
+    for column, name in (("team", "teams"), ("league", "leagues")):
+        assert {(r.player_id, r[name]) for r in profiles.by_minutes(a, column, name).collect()} == {(p, r[name]) for (p, _), r in got.items()}
+
+
+def test_zones_by_weight(spark):
+    w = spark.createDataFrame([(1, 2025, 1, 0.2), (1, 2025, 2, 0.0), (1, 2025, 3, 0.5), (1, 2025, 4, 0.2)], "player_id long, season int, zone int, weight double")
+    assert [(z.zone, z.weight) for z in zones.by_weight(w).first().zones] == [(3, 0.5), (1, 0.2), (4, 0.2)]

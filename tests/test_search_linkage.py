@@ -1,5 +1,9 @@
 import datetime as dt
+import difflib
+import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,15 +15,92 @@ def test_tokens():
     assert text.tokens("Kylian Mbappé-Lottin") == ["kylian", "mbappe", "lottin"]
     assert text.tokens("Semih Kılıçsoy") == ["semih", "kilicsoy"]
     assert text.tokens("Martin Ødegaard") == ["martin", "odegaard"]
-    assert text.tokens("1.FC Köln", text.CLUB_STOPWORDS) == ["koln"]
-
-
-def test_name_score():
-    assert text.name_score("Son Heung-Min", "Heung-min Son") == pytest.approx(1.0)
-    assert text.name_score("V. Júnior", "Vinicius Junior") > 0.9
-    assert text.name_score("Kylian Mbappe-Lottin", "Kylian Mbappé") > 0.9
-    assert text.name_score("Erling Haaland", "Bukayo Saka") < 0.5
-    assert text.name_score("", "Bukayo Saka") == 0.0
+    assert [w for w in text.tokens("1.FC Köln") if w not in text.CLUB_STOPWORDS] == ["koln"]
+
+
+def brute_score(a, b, stopwords=frozenset()):
+    """The formula by plain definition: the fewer words' best matches, and the sorted lines."""
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    p, q = ([w for w in text.tokens(n) if w not in stopwords] for n in (a, b))
+    if not p or not q:
+        return 0.0
+    few, many = (p, q) if len(p) <= len(q) else (q, p)
+    best = []
+    for x in few:
+        found = []
+        for y in many:
+            if len(x) == 1 or len(y) == 1:
+                found.append(float(x[:1] == y[:1]))
+            elif min(len(x), len(y)) >= 4 and (x in y or y in x):
+                found.append(1.0)
+            else:
+                found.append(ratio(x, y))
+        best.append(max(found))
+    return 0.8 * sum(best) / len(best) + 0.2 * ratio(" ".join(sorted(p)), " ".join(sorted(q)))
+
+
+PAIRS = [("Son Heung-Min", "Heung-min Son"), ("V. Júnior", "Vinicius Junior"), ("Kylian Mbappe-Lottin", "Kylian Mbappé"), ("Erling Haaland", "Bukayo Saka"), ("", "Bukayo Saka"), ("...", "x"), ("Lyon", "Olympique Lyonnais"), ("FC Nice", "OGC Nice"), ("a b c", "c b"), ("Raul", "Raul"), ("ab cd", "abcd")]
+
+
+@pytest.mark.parametrize("stopwords", [frozenset(), text.CLUB_STOPWORDS])
+def test_name_scores_equal_the_formula(spark, stopwords):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6)))
+    pairs = PAIRS + [(" ".join(word() for _ in range(rnd.randint(0, 4))), " ".join(word() for _ in range(rnd.randint(1, 4)))) for _ in range(150)]
+    df = spark.createDataFrame([(*p, 1) for p in pairs] + [(None, "x", 1), ("x", None, 1), (*PAIRS[0], 2)], "a string, b string, score2 int")
+    got = text.name_scores(df, "a", "b", stopwords).collect()
+    assert len(got) == len(pairs) + 3
+    for r in got:
+        assert r.score is None if None in (r.a, r.b) else r.score == pytest.approx(brute_score(r.a, r.b, stopwords))
+    assert brute_score(*PAIRS[0]) == pytest.approx(1.0) and brute_score(*PAIRS[1]) > 0.9 and brute_score(*PAIRS[3]) < 0.5
+
+
+def test_fuzzy_search_is_complete(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7)))
+    names = ["jose leu", "lu", "a smith", "abc", "ac"] + [" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(60)]
+    queries = ["lu", "leu", "a", "ac", "abc", "", "aXc"] + [" ".join(word() for _ in range(rnd.randint(1, 2))) for _ in range(60)]
+    q = spark.createDataFrame([(x, x) for x in sorted(set(queries))], "query string, q string")
+    n = spark.createDataFrame(list(enumerate(names)), "id long, n string")
+    best = lambda a, b: max(difflib.SequenceMatcher(None, a, p).ratio() for p in [b, *b.split(" ")])
+    expected = {(a, i) for a in set(queries) - {""} for i, b in enumerate(names) if best(a, b) >= 0.8}
+    got = search.find_fuzzy(q, n).collect()
+    assert {(r.query, r.id) for r in got} == expected and len(got) == len(expected)
+    assert all(r.score == pytest.approx(best(r.query, names[r.id])) for r in got)
+
+
+def test_many_short_queries(spark):
+    names = ["".join(p) for p in itertools.product("abcd", "xyz ", "mn")]
+    queries = sorted({"".join(p) for k in (0, 1, 2) for p in itertools.product("abcdxyzmnopqrstuvwefghijk", repeat=k)} | {"a m", "x n", "bz"})
+    assert len(queries) > 500
+    got = search.find_words(spark.createDataFrame([(x, x) for x in queries], "query string, q string"), spark.createDataFrame(list(enumerate(names)), "id long, n string")).collect()
+    expected = {(a, i) for a in queries for i, b in enumerate(names) if all(w in b for w in a.split(" "))}
+    assert {(r.query, r.id) for r in got} == expected and len(got) == len(expected)
+
+
+def test_assignment_with_runner_up(spark):
+    rows = [("L", "a", 1, "One", 0.9), ("L", "a", 2, "Two", 0.8), ("L", "b", 1, "One", 0.85), ("L", "b", 2, "Two", 0.1), ("M", "c", 3, "Three", 0.4)]
+    got = {r.team: (r.club_id, r.club, r.score, r.runner_up_score) for r in linkage.assign(spark.createDataFrame(rows, "league string, team string, club_id long, name string, score double")).collect()}
+    assert got == {"a": (2, "Two", 0.8, 0.9), "b": (1, "One", 0.85, 0.1), "c": (3, "Three", 0.4, 0.0)}
+
+
+def test_similar_tables(spark):
+    rng = np.random.default_rng(8)
+    features = ["f0", "f1", "f2"]
+    rows = [(i, i % 4 != 0, int(20 + i % 9), None, None, *v) for i, v in enumerate(rng.normal(size=(25, 3)).tolist())]
+    pool = spark.createDataFrame(rows, "id long, active boolean, age int, value_m double, contract_end date, f0 double, f1 double, f2 double")
+    got = search.similar_tables(pool, features, 4, max_age=25).collect()
+    x = {r[0]: np.array(r[5:]) for r in rows}
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    good = [r[0] for r in rows if r[1] and r[2] <= 25]
+    for i, row in enumerate(rows):
+        own = sorted((r for r in got if r.id == i), key=lambda r: r["rank"])
+        assert [r.other for r in own] == sorted((j for j in good if j != i), key=lambda j: -cos(x[i], x[j]))[:4]
+        others = [r for r in rows if r[0] != i]
+        for r in own:
+            assert (r.candidates, r.inactive_excluded, r.removed_by_filters) == (sum(o[1] for o in others), sum(not o[1] for o in others), sum(o[1] and o[2] > 25 for o in others))
+            assert r.total == pytest.approx(cos(x[i], x[r.other]), abs=1e-3) and len(r.top) == 3
+            assert r.distinctiveness == pytest.approx(100 * np.mean([np.linalg.norm(x[o[0]]) < np.linalg.norm(x[i]) for o in others]))
 
 
 NAMES = ["Kylian Mbappé", "Ferran Torres", "Óliver Torres", "Raul", "Raul García", "Jean-Philippe Mateta"]
