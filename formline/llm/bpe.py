@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Batches, sha256, utf8
+from .textops import Batches, Recent, sha256, utf8
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -38,17 +38,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class Codec(dict):
-    """Pre-token -> its identifiers as packed little-endian 32-bit integers: those used of late, in two generations.
-
-    Once the younger one holds half of `bound` bytes it becomes the older one, whose pre-tokens move back when they
-    are met again; what was not met for a whole generation is forgotten.
-    """
+class Codec(Recent):
+    """Pre-token -> its identifiers as packed little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: bytes, bound: int = REMEMBERED):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-        self.held, self.bound = 0, bound
+        super().__init__(bound)
         spec = json.loads(vocabulary)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -124,11 +118,7 @@ class Codec(dict):
             out = packed.tobytes()
             if len(data) > LONGEST:
                 return out
-        self[text] = out
-        self.held += ENTRY + 2 * len(text) + len(out)
-        if self.held > self.bound // 2:
-            self.older, self.held = dict(self), 0
-            self.clear()
+        self.keep(text, out, ENTRY + 2 * len(text) + len(out))
         return out
 
     def plain(self, text: str) -> bytes:

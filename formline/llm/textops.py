@@ -114,4 +114,24 @@ def vocabulary_bytes(path: str, bound: int = 64 << 20) -> bytes:
         return f.read()
 
 
+class Recent(dict):
+    """What a worker remembers across tasks: entries used of late, in two generations of half of `bound` bytes each.
+
+    Once the younger one is full it becomes the older one, whose entries move back when they are asked for again; what
+    wasn't for a whole generation is forgotten.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.older: dict = {}
+        self.held, self.bound = 0, bound
+
+    def keep(self, key, value, size: int) -> None:
+        self[key] = value
+        self.held += size
+        if self.held > self.bound // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+
+
 Batches = Iterator[pa.RecordBatch]

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Batches, utf8
+from .textops import Batches, Recent, utf8
 
 SPACE = "▁"
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of remembered words in a Python worker, about what one takes besides its letters, and the longest one kept.
+REMEMBERED, ENTRY, LONGEST = 128 << 20, 110, 256
+#: The kinds of pieces this merging knows (normal, unknown, control, byte).
+KINDS = (1, 2, 3, 6)
 _loaded: dict[int, "Counts"] = {}
 
 
@@ -51,26 +53,33 @@ def _fields(data: bytes):
             i += n
 
 
-class Counts(dict):
+class Counts(Recent):
     """Word -> tokens, filled as words appear."""
 
-    def __init__(self, model: bytes):
-        super().__init__()
+    def __init__(self, model: bytes, bound: int = REMEMBERED):
+        super().__init__(bound)
         self.rank: dict[str, float] = {}
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
+                if piece.get(3, 1) not in KINDS:
+                    raise ValueError("pieces defined by users and unused ones aren't supported")
                 if piece.get(3, 1) == 1:
                     self.rank[piece[1].decode()] = -struct.unpack("<f", piece[2])[0]
-            elif field == 3 and (name := dict(_fields(value)).get(1, b"identity")) != b"identity":
-                raise ValueError(f"the normaliser {name!r} isn't supported")
+            elif field == 3:
+                rules = dict(_fields(value))
+                if rules.get(1, b"identity") != b"identity" or rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("only models that keep texts as they are, with a space in front, are supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("pieces of this vocabulary join words")
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.merged(SPACE + word)
+        n = self.older.get(word)
+        if n is None:
+            n = self.merged(SPACE + word)
+            if len(word) > LONGEST:
+                return n
+        self.keep(word, n, ENTRY + 2 * len(word))
         return n
 
     def merged(self, text: str) -> int:

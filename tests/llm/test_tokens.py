@@ -57,3 +57,21 @@ def test_codec_of_a_table(spark, docs):
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest()
     assert sorted(map(tuple, bpe.decode(got, VOCABULARY).collect()), key=repr) == sorted(((i, t or "") for i, t, _ in ROWS), key=repr)
     assert bpe.encode(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_what_is_remembered_is_bounded():
+    from formline.llm.textops import Recent
+
+    class Squares(Recent):
+        def __missing__(self, x):
+            value = self.older.get(x)
+            self.made += value is None
+            value = x * x if value is None else value
+            self.keep(x, value, 10)
+            return value
+
+    made = Squares(1000)
+    made.made = 0
+    for x in [*range(40), *range(40), *range(500), *range(490, 500)]:
+        assert made[x] == x * x
+    assert len(made) + len(made.older) <= 102 and made.made < 530
