@@ -50,9 +50,13 @@ def _named(features: dict[int, set[bytes]]) -> list[bytes]:
     return [bytes([k]) + w for k, ws in features.items() for w in ws]
 
 
+def probability(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Link:
-    """One category's model: prefix length -> word -> weight, weights of the earlier categories' log-odds, intercept."""
+    """One category's model: prefix length -> word -> weight, weights of the earlier categories' probabilities, intercept."""
 
     name: str
     words: dict[int, dict[bytes, float]]
@@ -66,12 +70,12 @@ class Chain:
 
     def probabilities(self, text: bytes) -> list[float]:
         present = features_of(text)
-        odds: list[float] = []
+        found: list[float] = []
         for link in self.links:
-            z = link.intercept + sum(w * o for w, o in zip(link.earlier, odds))
+            z = link.intercept + sum(w * p for w, p in zip(link.earlier, found))
             z += sum(weights[w] for k, weights in link.words.items() for w in weights.keys() & present[k])
-            odds.append(float(np.clip(z, -12, 12)))
-        return [1 / (1 + np.exp(-z)) for z in odds]
+            found.append(float(probability(z)))
+        return found
 
 
 def _blocks(marks: np.ndarray, rest: np.ndarray, rows: np.ndarray, size: int = 1024):
@@ -89,7 +93,7 @@ def _logistic(marks: np.ndarray, rest: np.ndarray, y: np.ndarray, rows: np.ndarr
     for _ in range(rounds):
         h, g = np.diag(penalty), -penalty * w
         for some, x in _blocks(marks, rest, rows):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            p = probability(x @ w)
             h += (x * (p * (1 - p) + 1e-9)[:, None]).T @ x
             g += x.T @ (y[some] - p)
         step = np.linalg.solve(h, g)
@@ -102,15 +106,17 @@ def _logistic(marks: np.ndarray, rest: np.ndarray, y: np.ndarray, rows: np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """A chain over 0/1 columns of labels, in the order given.
 
-    Labels other than 0 and 1, null among them, and labels of unknown rows are left out; a category of one class only predicts its base rate.
-    No labelled rows give a chain that predicts 0.
+    Labels other than 0 and 1, null among them, and labels of unknown rows are left out; of several labels of an id the
+    greatest counts, and of several texts the first in order. A category of one class only predicts its base rate.
+    No labelled rows give a chain that predicts 0. Null and empty texts have no words; other columns aren't read.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
-    known = known.where(" and ".join(["doc_id is not null", *[f"y{i} in (0, 1)" for i in range(len(categories))]])).dropDuplicates(["doc_id"])
+    known = known.where(" and ".join(["doc_id is not null", *[f"y{i} in (0, 1)" for i in range(len(categories))]]))
+    known = known.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)  # bounded, so that it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
     ys = [f"y{i}" for i in range(len(categories))]
+    rows = cut(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", *ys).agg(F.min("text").alias("text")))
     counted = pa.schema([("word", pa.binary()), ("n", pa.int64()), *[(y, pa.int64()) for y in ys]])
 
     def count(batches: Batches) -> Batches:
@@ -152,17 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     marks = np.zeros((len(got), len(wanted)), bool)
     for i, r in enumerate(got):
         marks[i, list(r["at"])] = True
-    folds, odds = np.arange(len(got)) % FOLDS, []
+    folds, earlier = np.arange(len(got)) % FOLDS, []
     for name, y_name, words in zip(categories, ys, chosen):
         y = np.array([r[y_name] for r in got], float)
         if not words or y.min() == y.max():
             rate = np.clip(y.mean(), 1e-5, 1 - 1e-5)
-            z = float(np.log(rate / (1 - rate)))
-            chain.links.append(Link(name, {}, [0.0] * len(odds), z))
-            odds.append(np.full(len(y), z))
+            chain.links.append(Link(name, {}, [0.0] * len(earlier), float(np.log(rate / (1 - rate)))))
+            earlier.append(np.full(len(y), rate))
             continue
         own = marks[:, [wanted[w] for w in words]]
-        rest = np.column_stack(odds) if odds else np.zeros((len(y), 0))
+        rest = np.column_stack(earlier) if earlier else np.zeros((len(y), 0))
         w = _logistic(own, rest, y, np.arange(len(y)))
         weights: dict[int, dict[bytes, float]] = {}
         for word, value in zip(words, w[: len(words)].tolist()):
@@ -172,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         for f in range(FOLDS):
             part = _logistic(own, rest, y, np.flatnonzero(folds != f))
             for some, x in _blocks(own, rest, np.flatnonzero(folds == f)):
-                held[some] = x @ part
-        odds.append(np.clip(held, -12, 12))
+                held[some] = probability(x @ part)
+        earlier.append(held)
     return chain
 
 
@@ -197,7 +202,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, category: str = "toxic") -> DataFrame:
-    """The rows of docs that the chain doesn't reject; columns as given. The text is judged where it is read, without a join."""
+    """The rows of docs that the chain doesn't reject; columns as given. The text is judged where it is read, without a join.
+
+    Null and empty texts are judged as texts without words; rows of a null id and repeated rows are judged each; a
+    probability at the threshold rejects; an empty table gives no rows.
+    """
     at = [k.name for k in chain.links].index(category)
 
     @F.pandas_udf("boolean")

@@ -130,8 +130,54 @@ def test_toxicity_held_out(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if not g} | {None}
 
 
+def test_logistic_regression_is_at_its_optimum():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    marks, rest = rng.random((300, 5)) < 0.4, rng.random((300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(marks[:, 0] * 2.0 - rest[:, 1])))).astype(float)
+    rows = np.arange(0, 300, 2)
+    w = toxicity._logistic(marks, rest, y, rows)
+    x = np.hstack([marks, rest, np.ones((300, 1))])[rows]
+    penalty = np.r_[np.full(7, 0.1), 1e-6]
+
+    def loss(v):
+        z = x @ v
+        return (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y[rows]).sum() + (penalty * v * v).sum() / 2
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in np.vstack([np.eye(8), -np.eye(8)]) * 0.01)
+
+
+def test_later_links_see_earlier_probabilities(spark):
+    """The chain by definition: a dense model of each link over word beginnings, fed with out-of-fold probabilities."""
+    import numpy as np
+
+    rows = labelled_texts(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x, q) for i, _, x, q in rows] + [(0, 0, 0)], "doc_id long, toxic int, quality int")
+    chain = toxicity.fit(docs, labels, ["quality", "toxic"])
+    first, second = chain.links
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").collect()]
+    texts, marks = {i: t.encode() for i, t, _, _ in rows}, []
+    of = lambda link: [(k, w) for k, ws in link.words.items() for w in ws]
+    dense = lambda link: np.array([[w in toxicity.features_of(texts[i])[k] for k, w in of(link)] for i in order])
+    y = np.array([next(q for d, _, _, q in rows if d == i) for i in order], float)
+    folds, held = np.arange(len(order)) % toxicity.FOLDS, np.zeros(len(order))
+    none = np.zeros((len(order), 0))
+    for f in range(toxicity.FOLDS):
+        part = toxicity._logistic(dense(first), none, y, np.flatnonzero(folds != f))
+        held[folds == f] = (1 / (1 + np.exp(-(np.hstack([dense(first), np.ones((len(order), 1))]) @ part))))[folds == f]
+    toxic = np.array([next(x for d, _, x, _ in rows if d == i) for i in order], float)
+    w = toxicity._logistic(dense(second), held[:, None], toxic, np.arange(len(order)))
+    assert second.earlier == [pytest.approx(w[-2], rel=1e-3, abs=1e-4)] and second.intercept == pytest.approx(w[-1], rel=1e-3, abs=1e-4)
+    for i in order[:20]:
+        p = [1 / (1 + math.exp(-(link.intercept + sum(link.words[k][v] for k, v in of(link) if v in toxicity.features_of(texts[i])[k]) + extra))) for link, extra in [(first, 0.0)]]
+        z = second.intercept + second.earlier[0] * p[0] + sum(second.words[k][v] for k, v in of(second) if v in toxicity.features_of(texts[i])[k])
+        assert chain.probabilities(texts[i]) == pytest.approx([p[0], 1 / (1 + math.exp(-z))], rel=1e-6)
+
+
 def test_toxicity_of_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "w " * 20000), (3, "w " * 20000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "x", 1), (3, "w " * 200_000, 1), (3, "w " * 20000, 1)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.fit(docs, labels, ["toxic"])
     assert [r.toxic for r in toxicity.score(docs, chain).collect()] == [False] * 5
