@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import connected
+from .repeats import spooled
 from .textops import Batches, utf8
 
 SEED = 42
 SEGMENTS, BITS = 2, 32
-#: Shingles whose bits are unpacked at once.
-CHUNK = 1 << 14
+#: Shingles whose bits are unpacked at once, and fingerprints of a bucket that are walked as one.
+CHUNK, BUCKET = 1 << 14, 4096
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -72,15 +73,13 @@ def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (a, b) among the different values of fp that connect all pairs at `bits` (3 at most) differing bits or fewer."""
-    if bits > 2 * SEGMENTS - 1:
-        raise ValueError("two segments find pairs at three bits or fewer")
-    variant = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * BITS - 1))).alias("v")
-    segment = F.when(F.col("v") < BITS, F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1))).otherwise(F.shiftrightunsigned("fp", BITS))
-    masked = segment.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, v % {BITS})")))
-    keys = fps.select("fp").distinct().select("fp", variant).select((F.col("v").cast("long") * (1 << BITS) + masked).alias("key"), "fp")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _walked(bits: int, most: int | None):
+    """Edges (a, b) of the buckets (key, fp) of a partition; the members of buckets of more than `most` come back as (fp, key, hot)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
+
+    def rows(pairs: np.ndarray, hot: bool) -> pa.RecordBatch:
+        pairs = pairs.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), hot))], schema=schema)
 
     def run(batches: Batches) -> Batches:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -95,15 +94,36 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
         near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits
         edges = [np.column_stack([fp[two][near], fp[two + 1][near]])]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            if found := _forest(fp[s : s + n], bits):
+            if most is not None and n > most:
+                yield rows(np.column_stack([fp[s : s + n], key[s : s + n].view(np.uint64)]), True)
+            elif found := _forest(fp[s : s + n], bits):
                 edges.append(np.array(found, np.uint64))
-        if not sum(map(len, edges)):
-            return
-        all_edges = np.unique(np.concatenate(edges).astype(np.uint64), axis=0).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(all_edges[:, 0]), pa.array(all_edges[:, 1])], schema=schema)
+        if sum(map(len, edges)):
+            yield rows(np.unique(np.concatenate(edges).astype(np.uint64), axis=0), False)
+
+    return run
+
 
+def links(fps: DataFrame, bits: int = 3, most: int = BUCKET) -> DataFrame:
+    """Edges (a, b) among the different values of fp that connect all pairs at `bits` (3 at most) differing bits or fewer.
+
+    A bucket of more than `most` fingerprints is split by the other segment's four bytes, of which such a pair shares
+    one at least. Nulls aren't linked, and no values give no edges.
+    """
+    if bits > 2 * SEGMENTS - 1:
+        raise ValueError("two segments find pairs at three bits or fewer")
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned("fp", BITS)
+    variant = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * BITS - 1))).alias("v")
+    masked = F.when(F.col("v") < BITS, low).otherwise(high).bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, v % {BITS})")))
+    keys = fps.where("fp is not null").select("fp").distinct().select("fp", variant).select((F.col("v").cast("long") * (1 << BITS) + masked).alias("key"), "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").mapInArrow(run, "a long, b long")
+    kinds = "a long, b long, hot boolean"
+    found = spooled(keys.repartition(n, "key").mapInArrow(_walked(bits, most), kinds))
+    other = F.when(F.col("key") < BITS * (1 << BITS), high).otherwise(low)
+    byte = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(other, 8 * i).bitwiseAND(F.lit(255)).alias("x")) for i in range(BITS // 8)])).alias("p")
+    split = found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("key")).select("key", "fp", byte).select(F.xxhash64("key", "p").alias("key"), "fp")
+    rest = split.repartition(n, "key").mapInArrow(_walked(bits, None), kinds)
+    return found.where("not hot").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
@@ -141,7 +161,10 @@ def one_of_each(keyed: DataFrame, groups: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest id, or any if all ids are null; columns as given."""
+    """docs with one row of each group of near-duplicates: that of the smallest id, or any if all ids are null; columns as given.
+
+    Null and empty texts are one group; repeated rows are copies of each other; an empty table gives no rows.
+    """
     keyed = with_row_keys(docs)
     fps = cut(fingerprints(keyed, "__row", text_col, words))
     return one_of_each(keyed, fps.join(_classes(fps, bits), "fp").select(F.col("doc_id").alias("row"), F.col("root").alias("group")), id_col, text_col)
