@@ -52,7 +52,7 @@ def _matrix(lists, width: int, scale: float) -> np.ndarray:
         scaled = np.floor(out * scale)
     if np.isfinite(scaled).all():
         return scaled
-    return np.array([[math.floor(scale * x) if math.isfinite(scale * x) else int(x) * int(scale) for x in row] for row in out], object)
+    return np.array([[math.floor(scale * x) if math.isfinite(scale * x) else int(x) * int(scale) for x in row] for row in out.tolist()], object)
 
 
 def _greatest(x: np.ndarray) -> float:

@@ -80,4 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+#: Exact twins in SQL. The others hash, merge or learn in ways that SQL lacks; their tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, greatest(len(w) - 48, 1))) AS t(i)),
+  gone AS (SELECT a.doc_id, a.i FROM win AS a JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) AS b USING (h) WHERE first < a.doc_id),
+  cut AS (SELECT DISTINCT doc_id, i + d AS i FROM gone, unnest(range(0, 50)) AS t(d)),
+  marks AS (SELECT doc_id, list(i) AS c FROM cut GROUP BY doc_id),
+  kept AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM cut) GROUP BY doc_id)
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(c), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN marks USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+}
