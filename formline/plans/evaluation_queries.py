@@ -26,9 +26,9 @@ def rounded(*columns):
 
 
 @query("e1_split_halves", A + """SELECT player_id, season, match_id, seed, CASE WHEN place <= floor(n / 2) THEN 'A' ELSE 'B' END AS half FROM (
-  SELECT *, row_number() OVER (PARTITION BY player_id, season, seed ORDER BY md5(concat_ws('|', seed, player_id, season, match_id)), match_id) AS place, count(*) OVER (PARTITION BY player_id, season, seed) AS n FROM appearances, (SELECT unnest([0, 1, 2])::INTEGER AS seed))""")
+  SELECT *, row_number() OVER (PARTITION BY player_id, season, seed ORDER BY md5(concat_ws('|', seed, player_id, season, match_id)), match_id) AS place, count(*) OVER (PARTITION BY player_id, season, seed) AS n FROM appearances, (SELECT unnest(range(20))::INTEGER AS seed))""")
 def _(spark, sf):
-    return evaluation.split_halves(appearances(spark, sf), range(3)).select("player_id", "season", "match_id", "seed", "half")
+    return evaluation.split_halves(appearances(spark, sf)).select("player_id", "season", "match_id", "seed", "half")
 
 
 @query("e1_stratified_events", """SELECT event_id, seed, CASE WHEN place <= floor(n / 2) THEN 'A' ELSE 'B' END AS half FROM (

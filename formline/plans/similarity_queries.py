@@ -80,13 +80,20 @@ def _(spark, sf):
     return d.select("player_id", "season", *rounded("distinctiveness"), (F.col("distinctiveness") < search.LOW_DISTINCTIVENESS).alias("low_reliability"))
 
 
-PAIRED = ", pairs AS (SELECT a.player_id, a.season, b.player_id AS other, " + ", ".join(f"a.z{i} AS a{i}, b.z{i} AS b{i}" for i in range(6)) + ", sqrt(" + " + ".join(f"a.z{i} * a.z{i}" for i in range(6)) + ") * sqrt(" + " + ".join(f"b.z{i} * b.z{i}" for i in range(6)) + ") AS size FROM z AS a JOIN z AS b ON a.season = b.season AND b.player_id = 1 AND a.player_id <> 1), parts AS (" + " UNION ALL ".join(f"SELECT player_id, season, other, '{c}' AS feature, a{i} * b{i} / size AS contribution, a{i} AS z_player, b{i} AS z_other FROM pairs" for i, c in enumerate(FEATURES)) + ")"
+ID = "{0}.player_id * 10000 + {0}.season"
+#: Each player-season's nearest others, and each feature's part of these cosines.
+NEAREST = f"SELECT {ID.format('a')} AS id, {ID.format('b')} AS other, row_number() OVER (PARTITION BY a.player_id, a.season ORDER BY round(list_cosine_similarity({VEC.replace('z', 'a.z')}, {VEC.replace('z', 'b.z')}), 9) DESC, {ID.format('b')}) AS rank FROM z AS a JOIN z AS b ON (a.player_id, a.season) <> (b.player_id, b.season)"
+PAIRED = (
+    f", pairs AS (SELECT a.player_id, a.season, near.other, " + ", ".join(f"a.z{i} AS a{i}, b.z{i} AS b{i}" for i in range(6)) + ", sqrt(" + " + ".join(f"a.z{i} * a.z{i}" for i in range(6)) + ") * sqrt(" + " + ".join(f"b.z{i} * b.z{i}" for i in range(6))
+    + f") AS size FROM ({NEAREST}) AS near JOIN z AS a ON {ID.format('a')} = near.id JOIN z AS b ON {ID.format('b')} = near.other WHERE rank <= 3), parts AS ("
+    + " UNION ALL ".join(f"SELECT player_id, season, other, '{c}' AS feature, a{i} * b{i} / size AS contribution, a{i} AS z_player, b{i} AS z_other FROM pairs" for i, c in enumerate(FEATURES)) + ")"
+)
 
 
 def pairs(spark, sf):
-    z = standardised(spark, sf).select("player_id", "season", similarity.vector(FEATURES).alias("za"))
-    one = z.where("player_id = 1").select("season", F.col("player_id").alias("other"), F.col("za").alias("zb"))
-    return z.where("player_id <> 1").join(one, "season")
+    z = cut(standardised(spark, sf).select("player_id", "season", (F.col("player_id") * 10000 + F.col("season")).alias("id"), similarity.vector(FEATURES).alias("za")))
+    near = similarity.topk(z, 3, id_col="id", vector_col="za").select("id", "other")
+    return z.join(near, "id").join(z.select(F.col("id").alias("other"), F.col("za").alias("zb")), "other").select("player_id", "season", "other", "za", "zb")
 
 
 @query("n10_contributions", PROF + Z + PAIRED + " SELECT player_id, season, other, feature, round(contribution, 6) + 0.0 AS contribution, round(z_player, 6) + 0.0 AS z_player, round(z_other, 6) + 0.0 AS z_other FROM parts")
@@ -97,27 +104,27 @@ def _(spark, sf):
 EXPLAINED = ", ex AS (SELECT player_id, season, other, list(feature ORDER BY contribution DESC, feature)[1:3] AS top3, arg_min(feature, struct_pack(a := contribution, b := feature)) AS against, round(sum(contribution), 4) + 0.0 AS total FROM parts GROUP BY ALL)"
 
 
-@query("n11_explanation", PROF + Z + PAIRED + EXPLAINED + " SELECT player_id, season, array_to_string(top3, ',') AS top3, against, total FROM ex")
+@query("n11_explanation", PROF + Z + PAIRED + EXPLAINED + " SELECT player_id, season, other, array_to_string(top3, ',') AS top3, against, total FROM ex")
 def _(spark, sf):
     e = similarity.explain(similarity.contributions(pairs(spark, sf), FEATURES), ["player_id", "season", "other"])
-    return e.select("player_id", "season", F.array_join(F.transform("top", lambda x: x["feature"]), ",").alias("top3"), F.col("against.feature").alias("against"), (F.col("total") + 0.0).alias("total"))
+    return e.select("player_id", "season", "other", F.array_join(F.transform("top", lambda x: x["feature"]), ",").alias("top3"), F.col("against.feature").alias("against"), (F.col("total") + 0.0).alias("total"))
 
 
-@query("n12_explanation_text", PROF + Z + PAIRED + """ SELECT player_id, season, CASE WHEN count(*) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) > 0 THEN 'Both: ' || string_agg(CASE WHEN round(z_player, 2) > 0 THEN 'high ' ELSE 'low ' END || replace(feature, '_', ' '), ', ' ORDER BY n) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) ELSE 'No strongly shared traits' END AS shared,
+@query("n12_explanation_text", PROF + Z + PAIRED + """ SELECT player_id, season, other, CASE WHEN count(*) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) > 0 THEN 'Both: ' || string_agg(CASE WHEN round(z_player, 2) > 0 THEN 'high ' ELSE 'low ' END || replace(feature, '_', ' '), ', ' ORDER BY n) FILTER (WHERE n <= 3 AND round(contribution, 4) > 0) ELSE 'No strongly shared traits' END AS shared,
   'Main difference: ' || CASE WHEN round(min(contribution), 4) < 0 THEN min(replace(feature, '_', ' ') || ': ' || other || CASE WHEN round(z_other, 2) > round(z_player, 2) THEN ' higher' ELSE ' lower' END) FILTER (WHERE m = 1) ELSE 'no clear difference' END AS difference
-  FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY contribution DESC, feature) AS n, row_number() OVER (PARTITION BY player_id, season ORDER BY contribution, feature) AS m FROM parts) GROUP BY ALL""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season, other ORDER BY contribution DESC, feature) AS n, row_number() OVER (PARTITION BY player_id, season, other ORDER BY contribution, feature) AS m FROM parts) GROUP BY ALL""")
 def _(spark, sf):
     e = similarity.explain(similarity.contributions(pairs(spark, sf), FEATURES), ["player_id", "season", "other"])
     labels = {f: f.replace("_", " ") for f in FEATURES}
-    return similarity.explanation_text(e.withColumn("name", F.col("other").cast("string")), labels, "name").select("player_id", "season", "shared", "difference")
+    return similarity.explanation_text(e.withColumn("name", F.col("other").cast("string")), labels, "name").select("player_id", "season", "other", "shared", "difference")
 
 
-PCT = " UNION ALL ".join(f"SELECT player_id, season, '{c}' AS feature, {c} AS value, (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER () * 100 AS p FROM prof WHERE {c} IS NOT NULL" for c in FEATURES[:4])
+PCT = " UNION ALL ".join(f"SELECT player_id, season, '{c}' AS feature, {c} AS value, (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER () * 100 AS p FROM prof WHERE {c} IS NOT NULL" for c in FEATURES)
 
 
 @query("n13_feature_percentiles", PROF + f" SELECT player_id, season, feature, round(p, 6) AS percentile FROM ({PCT})")
 def _(spark, sf):
-    return similarity.feature_percentiles(built(spark, sf, False), ["player_id", "season"], FEATURES[:4]).select("player_id", "season", "feature", *rounded("percentile"))
+    return similarity.feature_percentiles(built(spark, sf, False), ["player_id", "season"], FEATURES).select("player_id", "season", "feature", *rounded("percentile"))
 
 
 @query("n14_style_map")
@@ -252,12 +259,12 @@ def _(spark, sf):
 def _(spark, sf):
     p = built(spark, sf, False)
     d = similarity.distinctiveness(p, "minutes")
-    c = search.cards(search.summary(p), similarity.feature_percentiles(p, ["player_id", "season"], FEATURES[:4]), d)
+    c = search.cards(search.summary(p), similarity.feature_percentiles(p, ["player_id", "season"], FEATURES), d)
     shown = F.array_join(F.transform("features", lambda x: F.concat(x["feature"], F.lit("="), F.round(x["percentile"], 3).cast("decimal(9,3)").cast("string"))), ",")
     return c.select("player_id", "season", "player", "minutes", shown.alias("features"))
 
 
-@query("q13_similar_table", PROF + Z + f" SELECT id, other, rank FROM (SELECT a.player_id * 10000 + a.season AS id, b.player_id * 10000 + b.season AS other, row_number() OVER (PARTITION BY a.player_id, a.season ORDER BY round(list_cosine_similarity({VEC.replace('z', 'a.z')}, {VEC.replace('z', 'b.z')}), 9) DESC, b.player_id * 10000 + b.season) AS rank FROM z AS a JOIN z AS b ON (a.player_id, a.season) <> (b.player_id, b.season)) WHERE rank <= 5")
+@query("q13_similar_table", PROF + Z + f" SELECT id, other, rank FROM ({NEAREST}) WHERE rank <= 5")
 def _(spark, sf):
     v = standardised(spark, sf).select((F.col("player_id") * 10000 + F.col("season")).alias("id"), similarity.vector(FEATURES).alias("v"))
     return similarity.topk(v, 5, id_col="id", vector_col="v").select("id", "other", "rank")

@@ -24,11 +24,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only in a local session where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = named or os.path.join(tempfile.gettempdir(), f"formline-{os.getpid()}")
         sc.setCheckpointDir(current)
     return current
