@@ -25,7 +25,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self-links, nulls and repeated edges don't matter; no edges give no rows. Every round is checkpointed in the
     shared folder. A hub's edges are aggregated before they are shuffled, and joins on a hub can be split. The
-    rounds end when the edges no longer change, which two sums over all edges show.
+    rounds end when the edges no longer change, which two sums over all edges show; their number grows with the logarithm
+    of a component's diameter, and a graph that isn't settled after `rounds` ends the job rather than give wrong roots.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
