@@ -58,6 +58,32 @@ def _(spark, sf):
     return facts.dedupe_shots(facts.flatten_shots(joined(spark, sf))).select("match_id", "side", "player_id", "at", "id")
 
 
+def place(spark, name):
+    """A new folder among the shared checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s3_csv_gz", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def _(spark, sf):
+    path = place(spark, "csv")
+    table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").write.option("header", True).option("compression", "gzip").csv(path)
+    return io.read_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", "o_orderkey")
+
+
+@query("s5_facts_by_season", A + "SELECT match_id, player_id, minutes, season, league FROM appearances")
+def _(spark, sf):
+    path = place(spark, "facts")
+    io.write_facts(appearances(spark, sf).select("match_id", "player_id", "minutes", "season", "league"), path)
+    return io.read_facts(spark, path, ["match_id", "player_id", "minutes", "season", "league"])
+
+
+@query("s6_small_csv", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    path = place(spark, "mapping")
+    io.write_small_csv(table(spark, sf, "nation").select("n_nationkey", "n_name"), path)
+    return io.read_csv(spark, path, "n_nationkey int, n_name string")
+
+
 @query("p7_duplicate_report", "SELECT l_orderkey, count(*) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n > 1 GROUP BY l_orderkey")
 def _(spark, sf):
     return facts.duplicate_report(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"], "dropped", "l_orderkey")
@@ -197,13 +223,17 @@ def _(spark, sf):
 def _(spark, sf):
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select((F.col("user_id") * 10 + F.length("event_type")).alias("match_id"), F.col("ts").alias("landed"))
-    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
-    incremental.run_available(incremental.first_only(stream, watermark=None), lambda batch, number: batch.select("match_id").write.mode("overwrite").parquet(f"{place}/rows/batch={number}"), f"{place}/state")
-    return spark.read.schema("match_id long").parquet(f"{place}/rows/batch=*")
+    path = place(spark, "landed")
+    incremental.run_available(incremental.first_only(stream, watermark=None), lambda batch, number: batch.select("match_id").write.mode("overwrite").parquet(f"{path}/rows/batch={number}"), f"{path}/state")
+    return spark.read.schema("match_id long").parquet(f"{path}/rows/batch=*")
 
 
 @query("s10_latest_metric", " UNION ALL ".join(f"SELECT '{m}' AS metric, arg_max(value, event_id) AS value, max(event_id) AS run_ts FROM events WHERE event_type = '{m}' AND user_id % 2 = 0" for m in METRICS))
 def _(spark, sf):
     logged = table(spark, sf, "events").select(F.col("event_type").alias("metric"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("config"), F.col("value").alias("mean"), F.col("event_id").alias("run_ts"))
+    path = place(spark, "metrics")
+    for config in ("even", "odd"):  # as two runs would append them
+        io.append_metrics(logged.where(F.col("config") == config), path)
+    logged = spark.read.parquet(path)
     found = [io.latest_metric(logged, m, "even").select(F.lit(m).alias("metric"), "value", "run_ts") for m in METRICS]
     return reduce(DataFrame.unionByName, found)
