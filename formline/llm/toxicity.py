@@ -29,6 +29,8 @@ MAX_LABELLED, MAX_WORDS, FOLDS = 20_000, 512, 5
 PREFIXES = (0, 4, 5, 6, 7, 8)
 #: Rows in which a word must occur in the sample.
 LEAST_ROWS = 5
+#: Words a task counts before it hands its counts on.
+MOST_COUNTED = 150_000
 #: Bits of a count: over MAX_LABELLED.
 WIDTH = 20
 
@@ -120,15 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     counted = pa.schema([("word", pa.binary()), ("n", pa.int64()), *[(y, pa.int64()) for y in ys]])
 
     def count(batches: Batches) -> Batches:
+        seen: dict[bytes, int] = {}  # rows and rows of each class, side by side in one number
+
+        def told() -> pa.RecordBatch:
+            sums = [pa.array([n >> WIDTH * k & (1 << WIDTH) - 1 for n in seen.values()], pa.int64()) for k in range(1 + len(ys))]
+            found = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *sums], schema=counted)
+            seen.clear()
+            return found
+
         for b in batches:
             ones = zip(*(b.column(k + 1).to_pylist() for k in range(len(ys))))
-            seen: dict[bytes, int] = {}  # rows and rows of each class, side by side in one number
             for text, own in zip(utf8(b.column(0)), ones):
                 mark = 1 + sum(y << WIDTH * (k + 1) for k, y in enumerate(own))
                 for word in _named(features_of(text)):
                     seen[word] = seen.get(word, 0) + mark
-            sums = [pa.array([n >> WIDTH * k & (1 << WIDTH) - 1 for n in seen.values()], pa.int64()) for k in range(1 + len(ys))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *sums], schema=counted)
+                if len(seen) > MOST_COUNTED:
+                    yield told()
+        yield told()
 
     parts = rows.select("text", *ys).mapInArrow(count, "word binary, n long, " + ", ".join(f"{y} long" for y in ys))
     counts = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= LEAST_ROWS)
