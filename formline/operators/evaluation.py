@@ -26,7 +26,7 @@ def split_halves(rows: DataFrame, seeds=SEEDS, by: tuple[str, ...] = ("player_id
     return seeded.withColumns({"__place": place, "__n": size}).withColumn("half", F.when(F.col("__place") <= F.floor(F.col("__n") / 2), "A").otherwise("B")).drop("__place", "__n")
 
 
-def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, stratify: str | None = None, k_zones: int = 0, **settings) -> DataFrame:
+def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, stratify: str | None = None, k_zones: int = 0, zone_rounds: int = 200, **settings) -> DataFrame:
     """Profiles of both halves of every seed, one row for each pool key, seed and half; thresholds are off.
 
     Zones, if any, are fitted for each seed on half A alone and weigh both halves.
@@ -38,7 +38,7 @@ def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, las
     built = profiles.build(shots, halves, by, last_actions=last_actions, min_starts=0, min_minutes=0, positions=None, **settings)
     if k_zones:
         grid = grids_and_zones.grids(profiles.shots_in(shots, halves, by), by)
-        models = grids_and_zones.fit_each(grid.where("half = 'A'"), "seed", k_zones)
+        models = grids_and_zones.fit_each(grid.where("half = 'A'"), "seed", k_zones, zone_rounds)
         built = built.join(grids_and_zones.weights_each(grid, models, F.col("seed"), by), by, "left")
     frame = pool.select(*keys).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).withColumn("half", F.explode(F.array(F.lit("A"), F.lit("B"))))
     return frame.join(built, by, "left")

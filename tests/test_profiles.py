@@ -188,7 +188,7 @@ def test_zones_are_fitted_on_half_a_of_each_seed(spark):
     apps, shots = season()
     a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
     pool = a.select("player_id", "season").distinct()
-    halves = evaluation.half_profiles(s, a, pool, ["Pass", "Cross"], (4, 9), k_zones=3)
+    halves = evaluation.half_profiles(s, a, pool, ["Pass", "Cross"], (4, 9), k_zones=3, zone_rounds=15)
     assert [c for c in halves.columns if c.startswith("zone_")] == ["zone_1", "zone_2", "zone_3"]
     rows = {(r.player_id, r.seed, r.half): r for r in halves.collect()}
     assert len(rows) == 8 * 2 * 2 and all(r.zone_1 + r.zone_2 + r.zone_3 == pytest.approx(1) for r in rows.values())
@@ -196,7 +196,7 @@ def test_zones_are_fitted_on_half_a_of_each_seed(spark):
         split = evaluation.split_halves(a, [seed])
         by = ["player_id", "season", "half"]
         grid = zones.grids(profiles.shots_in(s, split, by), by)
-        for r in zones.weights(grid, zones.fit(grid.where("half = 'A'"), 3), by).collect():
+        for r in zones.weights(grid, zones.fit(grid.where("half = 'A'"), 3, rounds=15), by).collect():
             assert [r.zone_1, r.zone_2, r.zone_3] == pytest.approx([rows[r.player_id, seed, r.half][f"zone_{k}"] for k in (1, 2, 3)], abs=1e-6)
 
 
@@ -205,7 +205,7 @@ def test_evaluation_of_a_configuration(spark):
     a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
     pool = a.select("player_id", "season").distinct()
     configs = [{"zones": 0}, {"zones": 0, "shrinkage_k": 10, "split": "stratified"}, {"zones": 2, "metric": "euclidean"}]
-    grid = evaluation.config_grid(s, a, pool, ["Pass", "Cross"], configs, range(2)).collect()
+    grid = evaluation.config_grid(s, a, pool, ["Pass", "Cross"], configs, range(2), zone_rounds=10).collect()
     assert len(grid) == 2 * 12 * (4 + 4 + 5) and all(1 <= r["rank"] <= 12 for r in grid)
     assert {(r.split, r.metric, r.shrinkage_k, r.zones) for r in grid} == {("random", "cosine", 0, 0), ("stratified", "cosine", 10, 0), ("random", "euclidean", 0, 2)}
     ranks, halves = evaluation.evaluate_config(s, a, pool, ["Pass", "Cross"], range(2), zones=0)
