@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import automaton, bpe, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
+from . import alignment, automaton, bpe, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
 
 
 #: The listed rules of the contract.
@@ -67,6 +67,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, model = (textops.vocabulary_bytes(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.digest(table(spark, sf_dir, "documents"), vocabulary, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_simhash": op10_simhash,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: Exact twins in SQL. The others hash, merge or learn in ways that SQL lacks; their tests hold them against brute force.
