@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import alignment, automaton, bpe, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
+from . import alignment, automaton, bpe, codes, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
 
 
 #: The listed rules of the contract.
@@ -72,6 +72,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"), vocabulary, model)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -84,8 +88,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_simhash": op10_simhash,
     "op12_token_alignment": op12_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and integer means, one after the other."""
+    assign = "SELECT row, part, p, min({{'d': list_dot_product(p, p) - 2 * list_dot_product(p, e) + list_dot_product(e, e), 'entry': entry}}) AS b FROM parts JOIN e{0} USING (part) GROUP BY ALL"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({assign.format(r)})")
+        steps.append(f"m{r} AS (SELECT part, entry, list(x ORDER BY i) AS e FROM (SELECT part, b.entry AS entry, i, floor(sum(p[i]) / count(*)) AS x FROM a{r}, unnest(range(1, len(p) + 1)) AS t(i) GROUP BY ALL) GROUP BY ALL)")
+        steps.append(f"e{r + 1} AS (SELECT part, entry, coalesce(m{r}.e, e{r}.e) AS e FROM e{r} LEFT JOIN m{r} USING (part, entry))")
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  parts AS (SELECT row, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS p FROM v, unnest(range(0, {parts})) AS t(part)),
+  e0 AS (SELECT part, row AS entry, p AS e FROM parts WHERE row < {entries}),
+  {", ".join(steps)},
+  z AS ({assign.format(rounds)}),
+  c AS (SELECT row, string_agg(lower(printf('%02X', b.entry)), '' ORDER BY part) AS code, sum(b.d)::BIGINT AS error FROM z GROUP BY row),
+  h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, i, e[i] AS x FROM e{rounds}, unnest(range(1, len(e) + 1)) AS t(i)))
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM c JOIN v USING (row), h"""
+
+
 #: Exact twins in SQL. The others hash, merge or learn in ways that SQL lacks; their tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -98,4 +121,5 @@ ORACLE: dict[str, str] = {
     "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
   SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
 }
