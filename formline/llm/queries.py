@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
-from . import alignment, automaton, bpe, codes, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules
+from ..session import cut, ensure_checkpoint_dir, table
+from . import alignment, automaton, bpe, codes, decontam, pii, pivots, simhash, suffix_merge, textops, token_count, toxicity, url_rules, warc
 
 
 #: The listed rules of the contract.
@@ -67,6 +68,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, model = (textops.vocabulary_bytes(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.digest(table(spark, sf_dir, "documents"), vocabulary, model)
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_simhash": op10_simhash,
+    "op11_warc_writer": op11_warc_writer,
     "op12_token_alignment": op12_token_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -121,5 +129,8 @@ ORACLE: dict[str, str] = {
     "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
   SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op11_warc_writer": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+  r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+  SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM r""",
     "op13_vector_codes": _codes_sql(),
 }
