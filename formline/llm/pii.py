@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind's place in KINDS), leftmost non-overlapping within a kind; failing matches are dropped."""
     out = [(s, e, 0) for s, e in _emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append((*m.span(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:

@@ -1,14 +1,19 @@
 """URL filters: given host and path rules, and rules mined from labels by FP-growth.
 
-Mining: the tokens of each labelled url, and an item for a bad label, are one transaction. Spark's FP-growth finds
-the frequent token sets; the rules "tokens -> bad" above the support and confidence bounds stay, unless chance explains
-them or a rule on a part of their tokens has at least their confidence. Chance explains a rule if so many bad urls
-among its urls aren't surely rarer than CHANCE, whatever number of rules is tried. Matching: each rule stands in an inverted index under its rarest
+Mining: the tokens of each labelled url, and an item for a bad label, are one transaction. Tokens that no rule can hold
+are left out, and tokens of the same urls become one item, so that a url of a common template isn't a set of a thousand
+parts. Spark's FP-growth finds the frequent sets of items; where a url still has more than MOST_ITEMS items, whose parts
+can't be gone through, sets are found one size after the other instead. Sets with the urls of one of their parts are left out.
+The rules "items -> bad" above the support and confidence bounds stay, unless chance explains
+them or a rule on a part of their items has at least their confidence. Chance explains a rule if so many bad urls
+among its urls aren't surely rarer than CHANCE, whatever number of sets is tried. Matching: each rule stands in an inverted index under its rarest
 token, so that a url meets only rules of its own tokens; the other tokens are then checked on its token array.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BAD = "=bad"
-#: Probability that any rule of all is there by chance, and the most tokens of a rule.
-CHANCE, MOST_TOKENS = 0.05, 6
+#: Probability that any rule of all is there by chance, the most items of a rule, and the most items of a url for FP-growth.
+CHANCE, MOST_TOKENS, MOST_ITEMS = 0.05, 6, 14
 #: Rules a broadcast may hold; more are joined by shuffle.
 BROADCAST_RULES = 20_000
 
@@ -66,29 +71,89 @@ def surprise(urls: Column, confidence: Column, base: Column) -> Column:
     return urls * (confidence * F.log(confidence / base) + rest)
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.0005, min_confidence: float = 0.5, min_count: int = 5, chance: float = CHANCE) -> DataFrame:
+def _items(baskets: DataFrame, total: int, least: int) -> tuple[DataFrame, int]:
+    """(id, items, bad) of baskets (id, t, bad): tokens that a rule can hold, those of the same urls as one item; and how many frequent tokens no rule can hold.
+
+    Tokens of every url and those with too few bad urls are left out. A url's tokens bound the size of an item.
+    """
+    each = baskets.select("id", F.explode("t").alias("token"), "bad")
+    other = F.xxhash64("id", F.lit("urls"))
+    known = cut(each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("nb"), F.sum(F.col("id").cast("decimal(38,0)")).alias("s1"), F.sum(other.cast("decimal(38,0)")).alias("s2")))
+    useful = known.where((F.col("nb") >= least) & (F.col("n") < total))
+    items = useful.groupBy("n", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(F.array_join("tokens", "+").alias("item"), F.explode("tokens").alias("token"))
+    held = each.join(items, "token").groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.bool_or("bad").alias("bad"))
+    return cut(held), known.where((F.col("nb") < least) & (F.col("n") >= least)).count()
+
+
+def _parts(items: Column) -> Column:
+    """The parts of a sorted array that lack one of its items, each joined to one string."""
+    return F.transform(items, lambda x: F.array_join(F.filter(items, lambda y: y != x), " "))
+
+
+def _minimal(sets: DataFrame, smaller: DataFrame) -> DataFrame:
+    """The rows of sets (items, n, ...) that hold fewer urls than each of their parts (items, n) with one item less."""
+    one = sets.where(F.size("items") == 1)
+    parts = sets.where(F.size("items") > 1).select("*", F.explode(_parts(F.col("items"))).alias("part"))
+    known = smaller.select(F.array_join("items", " ").alias("part"), F.col("n").alias("of_part"))
+    own = [c for c in sets.columns if c != "items"]
+    good = parts.join(known, "part").where("of_part > n").groupBy("items").agg(F.count("*").alias("found"), *[F.first(c).alias(c) for c in own]).where("found = size(items)")
+    return one.unionByName(good.select(*sets.columns))
+
+
+def _grown(baskets: DataFrame, least: int) -> DataFrame:
+    """(items, n, nb) of the minimal sets by Spark's FP-growth; nb is null for sets that are no rule's."""
+    sized = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    total = sized.count()
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total), minConfidence=0.0).fit(sized)
+    short = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")).where(F.size("items") <= MOST_TOKENS + 1)
+    sets = cut(short.where(~F.array_contains("items", BAD) & (F.size("items") <= MOST_TOKENS)))
+    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_join(F.array_sort("antecedent"), " ").alias("key"), F.round(F.col("support") * total).cast("long").alias("nb"))
+    return _minimal(sets, sets).withColumn("key", F.array_join("items", " ")).join(rules, "key", "left").select("items", "n", "nb")
+
+
+def _levels(baskets: DataFrame, least: int) -> DataFrame:
+    """(items, n, nb) of the minimal sets, one size after the other: for urls of so many items that FP-growth would go through all their parts."""
+    held = baskets.select("id", "bad", F.explode("items").alias("item")).select("id", "bad", F.array("item").alias("items"))
+    found = None
+    for size in range(1, MOST_TOKENS + 1):
+        counted = held.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("nb")).where(F.col("n") >= least)
+        level = cut(counted if found is None else _minimal(counted, level))
+        found = level if found is None else found.unionByName(level)
+        if size == MOST_TOKENS or level.isEmpty():
+            break
+        more = held.join(level.select("items"), "items").join(baskets.select("id", F.col("items").alias("all")), "id")
+        held = cut(more.select("id", "bad", "items", F.explode(F.filter("all", lambda x: x > F.element_at("items", -1))).alias("next")).select("id", "bad", F.array_append("items", F.col("next")).alias("items")))
+    return found
+
+
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.0005, min_confidence: float = 0.5, min_count: int = 5, chance: float = CHANCE, most_items: int = MOST_ITEMS) -> DataFrame:
     """(rule array<string>, confidence, support, key) from urls and boolean labels; rows with a null label are left out.
 
-    min_support is the share of labelled urls that hold the rule's tokens together with a bad label;
-    min_count is the least number of such urls. Rules hold MOST_TOKENS tokens at most. Null and empty urls have no tokens, repeated rows
-    count each, equal confidences leave the rule of fewer tokens, and empty labels give no rules.
+    Different urls count, not rows: each url once for each of its labels. min_support is the share of these that hold the
+    rule's tokens together with a bad label; min_count is the least number of them. Tokens that always occur together are
+    one item; rules hold MOST_TOKENS items at most, and all tokens of each. A set of items with the urls of one of its
+    parts is no rule of its own. Chance is judged by the number of all other frequent sets, of whatever label.
+    Null and empty urls have no tokens, equal confidences leave the rule of fewer items, and empty labels give no rules.
     """
-    schema = "rule array<string>, confidence double, support double, key string"
-    known = labelled.where(F.col(bad_col).isNotNull()).select(tokens(F.col(url_col)).alias("t"), F.col(bad_col).alias("bad"))
-    baskets = cut(known.select(F.when(F.col("bad"), F.array_append("t", F.lit(BAD))).otherwise(F.col("t")).alias("items"), "bad").where(F.size("items") > 0))
+    known = labelled.where(F.col(bad_col).isNotNull()).select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(bad_col).alias("bad")).distinct()
+    baskets = cut(known.select(F.xxhash64("url", "bad").alias("id"), tokens(F.col("url")).alias("t"), "bad"))
     spark = labelled.sparkSession
     total, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
-    if not bad or bad == total:  # nothing to tell apart
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence).fit(baskets.select("items"))
-    found = cut(model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= MOST_TOKENS)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support"))
-    tried = F.greatest(F.lit(1), F.lit(model.freqItemsets.count()))
-    kept = found.where((F.col("confidence") > bad / total) & (surprise(F.col("support") * total / F.col("confidence"), F.col("confidence"), F.lit(bad / total)) >= F.log(tried / chance)))
+    least = max(min_count, math.ceil(min_support * total))
+    held, others = _items(baskets, total, least) if bad and bad < total else (None, 0)  # else nothing to tell apart
+    longest = held.agg(F.max(F.size("items"))).first()[0] if held is not None else None
+    if not longest:
+        return spark.createDataFrame([], "rule array<string>, confidence double, support double, key string")
+    sets = cut(_grown(held, least) if longest <= most_items else _levels(held, least))
+    tried = sets.count() + others
+    share = F.col("nb") / F.col("n")
+    found = sets.where((F.col("nb") >= least) & (share >= min_confidence) & (share > bad / total)).select("items", share.alias("confidence"), (F.col("nb") / total).alias("support"), "n")
+    kept = cut(found.where(surprise(F.col("n"), F.col("confidence"), F.lit(bad / total)) >= math.log(tried / chance)))
     # a part of at least a rule's confidence makes it superfluous
-    smaller = kept.select(F.col("rule").alias("part"), F.col("confidence").alias("part_confidence"))
-    covered = kept.select("rule", "confidence", F.explode(parts_of(F.col("rule"))).alias("part")).join(smaller, "part").where("part_confidence >= confidence").select("rule").distinct()
-    pruned = kept.join(covered, "rule", "left_anti")
-    rarity = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    smaller = kept.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"))
+    covered = kept.select("items", "confidence", F.explode(parts_of(F.col("items"))).alias("part")).join(smaller, "part").where("part_confidence >= confidence").select("items").distinct()
+    pruned = kept.join(covered, "items", "left_anti").select(F.array_sort(F.split(F.array_join("items", "+"), "[+]")).alias("rule"), "confidence", "support")
+    rarity = baskets.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
     key = pruned.select("rule", F.explode("rule").alias("token")).join(rarity, "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return pruned.join(key, "rule").select("rule", "confidence", "support", "key")
 

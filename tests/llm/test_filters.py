@@ -51,29 +51,39 @@ def test_mined_rules(spark):
 
 
 def brute_rules(rows, min_support=0.0005, min_confidence=0.5, min_count=5, chance=0.05):
-    """All token sets of the labelled urls, judged by definition."""
-    baskets = [(frozenset(re.findall("[a-z0-9]+", u or "")), bad) for u, bad in rows if bad is not None]
-    baskets = [(t, b) for t, b in baskets if t or b]
+    """All sets of the labelled urls' items, judged by definition."""
+    baskets = [(frozenset(re.findall("[a-z0-9]+", u or "")), bad) for u, bad in {(u or "", bad) for u, bad in rows if bad is not None}]
     n, bad = len(baskets), sum(b for _, b in baskets)
-    least = max(min_support, min_count / n) * n
-    count, together = collections.Counter(), collections.Counter()
-    for t, b in baskets:
-        for k in range(1, len(t) + 1):
-            for some in itertools.combinations(sorted(t), k):
-                count[some] += 1
-                together[some] += b
-    tried = sum(c >= least for c in count.values()) + sum(c >= least for c in together.values()) + (bad >= least)
+    least = max(min_count, math.ceil(min_support * n))
+    cover, tried = collections.defaultdict(list), 0
+    for token in sorted({x for t, _ in baskets for x in t}):
+        urls = frozenset(i for i, (t, _) in enumerate(baskets) if token in t)
+        if sum(baskets[i][1] for i in urls) >= least and len(urls) < n:
+            cover[urls].append(token)
+        elif len(urls) >= least and sum(baskets[i][1] for i in urls) < least:
+            tried += 1
+    items = {tuple(tokens): urls for urls, tokens in cover.items()}
+    urls_of = {}
+    for k in range(1, 7):
+        for some in itertools.combinations(sorted(items), k):
+            urls = frozenset.intersection(*(items[x] for x in some))
+            if len(urls) >= least and all(urls_of.get(some[:i] + some[i + 1 :], set()) > urls for i in range(k) if k > 1):
+                urls_of[some] = urls
+    tried += len(urls_of)
     kept = {}
-    for some, k in together.items():
-        c, base = k / count[some], bad / n
-        if k >= least and c >= min_confidence and c > base and len(some) <= 6:
+    for some, urls in urls_of.items():
+        k, base = sum(baskets[i][1] for i in urls), bad / n
+        c = k / len(urls)
+        if k >= least and c >= min_confidence and c > base:
             kl = c * math.log(c / base) + ((1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0)
-            if count[some] * kl >= math.log(tried / chance):
+            if len(urls) * kl >= math.log(tried / chance):
                 kept[some] = c
-    return {some: c for some, c in kept.items() if not any(set(p) < set(some) and q >= c for p, q in kept.items())}
+    kept = {some: c for some, c in kept.items() if not any(set(p) < set(some) and q >= c for p, q in kept.items())}
+    return {tuple(sorted(x for item in some for x in item)): c for some, c in kept.items()}
 
 
-def test_mining_and_matching_equal_brute_force(spark):
+@pytest.mark.parametrize("most_items", [14, 1])
+def test_mining_and_matching_equal_brute_force(spark, most_items):
     rnd = random.Random(41)
     word = lambda: rnd.choice(["win", "bets", "news", "blog", "shop", "pills", "a1", "b2"])
     rows = []
@@ -82,7 +92,7 @@ def test_mining_and_matching_equal_brute_force(spark):
         bad = ("bets" in url and "win" in url) or ("pills" in url and rnd.random() < 0.8) or rnd.random() < 0.1
         rows.append((url, bad))
     rows += [(None, True), ("", False), ("http://x", None), (rows[0][0], rows[0][1])]
-    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), most_items=most_items)
     rules = brute_rules(rows)
     got = {tuple(r.rule): r.confidence for r in mined.collect()}
     assert {k: pytest.approx(v) for k, v in got.items()} == rules and ("pills",) in got and ("bets", "win") in got
@@ -96,6 +106,20 @@ def test_mining_and_matching_equal_brute_force(spark):
         assert r.verdict == ("block" if fit else "allow") and r.mined_rule == ("+".join(max(fit)[1]) if fit else None)
 
 
+def test_long_urls_are_mined_in_seconds(spark):
+    """A bad url of 40 tokens under one template, nested hosts and paths, and copies of one url."""
+    bad = [("http://evil.test/" + "/".join(f"t{k}" for k in range(38)) + f"/{i}", True) for i in range(8)]
+    nested = [("http://deep.example/" + "/".join(f"d{k}" for k in range(30 - i)), True) for i in range(16)]
+    copied = [("http://one.example/only/this/one", True)] * 50
+    good = [(f"http://good{i}.example/page/{i}", False) for i in range(300)]
+    began = time.time()
+    got = {tuple(r.rule): r for r in url_rules.mine(spark.createDataFrame(bad + nested + copied + good, "url string, bad boolean")).collect()}
+    assert time.time() - began < 60
+    (template,) = [k for k in got if "evil" in k]
+    assert len(template) == 40 and got[template].confidence == 1.0
+    assert any("deep" in k for k in got) and not any("only" in k for k in got)
+
+
 def test_chance_makes_no_rules(spark):
     """Labels that don't depend on the url: some token sets look bad, but none is kept."""
     rnd = random.Random(42)
@@ -356,7 +380,7 @@ def test_personal_data(spark):
 
 def test_long_runs_take_linear_time():
     began = time.time()
-    for t in ("1" * 1_000_000, "1." * 500_000, "a" * 500_000 + "@", "a@" * 300_000, "x" * 1_000_000, "a" * 500_000 + "@b", "+1" + " " * 500_000, "f" * 1_000_000):
+    for t in ("1" * 1_000_000, "1." * 500_000, "a" * 500_000 + "@", "a@" * 300_000, "x" * 1_000_000, "a" * 500_000 + "@b", "+1" + " " * 500_000, "f" * 1_000_000, "call " + "0" * 5000 + ".1.2.3", "0." * 300_000 + "9" * 300_000):
         spans = pii.base_spans(t)
         pii.secrets(t)
         pii.candidates(t, spans)
@@ -364,6 +388,11 @@ def test_long_runs_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_zeros_before_parts_of_addresses_do_not_count():
+    assert [pii.KINDS[k] for _, _, k in pii.base_spans("0" * 5000 + ".1.2.3")] == ["ip"]
+    assert pii.base_spans("0000256.1.2.3") == [] and pii.base_spans("0.0.0.0")[0][2] == 1
+
+
 def test_neighbours_are_whole_words():
     long = "w" * 300
     text = f"{long}1 {' ' * 200}call ({long}) 5550-1234 now"
