@@ -37,7 +37,7 @@ from .textops import BASE, Batches, Recent, utf8
 
 SPACE = "▁"
 #: Characters of text aligned at once, bytes of remembered words in a worker, and about what a word takes besides its letters.
-SLICE, REMEMBERED, ENTRY, LONGEST = 1 << 20, 192 << 20, 200, 256
+SLICE, REMEMBERED, ENTRY, LONGEST = 1 << 18, 192 << 20, 200, 256
 #: The bit that marks B's identifiers, and the mark of a word whose bytes differ between the sides.
 SIDE, ODD_ID = 1 << 31, (1 << 31) - 1
 ODD = (SIDE | ODD_ID).to_bytes(4, "little")
