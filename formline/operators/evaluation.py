@@ -157,6 +157,10 @@ def log_row(ranks: DataFrame, by: tuple[str, ...] = ("feature_set",), bucket: st
     return summary.select("*", *[F.format_string("%.3f ± %.3f", f"{c}_mean", f"{c}_std").alias(f"{c}_text") for c in names])
 
 
+class QualityAlarm(RuntimeError):
+    """The quality of a run's tables is too far below the baseline."""
+
+
 def quality_ok(recall: float, baseline: float = BASELINE, margin: float = MARGIN) -> bool:
     """The margin itself still passes."""
     return recall >= baseline - margin

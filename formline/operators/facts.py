@@ -85,6 +85,33 @@ def unescape(names: pd.Series) -> pd.Series:
     return names.map(html.unescape, na_action="ignore")
 
 
+#: The numbers of the raw rows and what they're cast to.
+SHOT_NUMBERS = {"id": "long", "player_id": "long", "X": "double", "Y": "double", "xG": "double", "minute": "int"}
+ROSTER_NUMBERS = {
+    **dict.fromkeys(("id", "player_id", "team_id"), "long"),
+    **dict.fromkeys(("time", "goals", "own_goals", "shots", "assists", "key_passes", "yellow_card", "red_card"), "int"),
+    **dict.fromkeys(("xG", "xA", "xGChain", "xGBuildup"), "double"),
+}
+
+
+def bad_numbers(numbers: dict[str, str]) -> Column:
+    """The columns (column, value) of a raw row that hold text which is no number of their type; null is none."""
+    told = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c, t in numbers.items()]
+    return F.filter(F.array(*told), lambda x: x.isNotNull())
+
+
+def quarantined(rows: DataFrame, numbers: dict[str, str], source: str) -> tuple[DataFrame, DataFrame]:
+    """(sound raw rows, rejected) of raw rows with a match_id: a row with any bad number goes as a whole.
+
+    rejected: match_id, source (the table's name), id (as it stands), column, value, reason; one row for each bad number.
+    """
+    marked = rows.withColumn("__bad", bad_numbers(numbers))
+    rejected = marked.select("match_id", F.lit(source).alias("source"), "id", F.explode("__bad").alias("b")).select(
+        "match_id", "source", "id", "b.column", "b.value", F.concat(F.lit("not a number: "), "b.column").alias("reason")
+    )
+    return marked.where(F.size("__bad") == 0).drop("__bad"), rejected
+
+
 def clean_shots(shots: DataFrame, strict: bool = True) -> DataFrame:
     """Typed shots. strict: a bad number ends the job; otherwise it becomes null."""
     to = (lambda c, t: F.col(c).cast(t)) if strict else (lambda c, t: F.col(c).try_cast(t))
@@ -110,6 +137,14 @@ def flatten_matches(documents: DataFrame, fixtures: DataFrame, strict: bool = Tr
     return clean_shots(dedupe_shots(flatten_shots(joined)), strict), clean_rosters(dedupe_roster(flatten_rosters(joined)), strict)
 
 
+def flatten_checked(documents: DataFrame, fixtures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shots, appearances, rejected) of raw documents: rows with bad numbers are set aside instead of ending the job."""
+    joined = join_fixtures(documents, fixtures)
+    shots, bad_shots = quarantined(dedupe_shots(flatten_shots(joined)), SHOT_NUMBERS, "shots")
+    rosters, bad_rosters = quarantined(dedupe_roster(flatten_rosters(joined)), ROSTER_NUMBERS, "rosters")
+    return clean_shots(shots), clean_rosters(rosters), bad_shots.unionByName(bad_rosters)
+
+
 def duplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Every row whose key occurs more than once; counted first, so that only keys of copies are joined."""
     again = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
@@ -132,23 +167,52 @@ def mismatches(appearances: DataFrame, shots: DataFrame, column: str, name: str
     return joined.where(F.col(column) != F.col(name))
 
 
+def _counted(shots: DataFrame, appearances: DataFrame) -> DataFrame:
+    """One row with the number of violations of each check but the shot ids', from one shuffle of either table by match and player."""
+    keys = ["match_id", "player_id"]
+    known = F.col("match_id").isNotNull() & F.col("player_id").isNotNull()
+    own = F.coalesce(F.col("is_own_goal"), F.lit(False))
+    by_shot = shots.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col("is_own_goal")).alias("own"), F.count_if(~own & F.col("is_own_goal").isNotNull()).alias("other"), *[F.count_if(outside(c, 0, 1)).alias(f"bad_{c}") for c in ("X", "Y", "xG")]
+    )
+    by_appearance = appearances.groupBy(*keys).agg(F.count("*").alias("copies"), F.count_if(outside("minutes", 0, 130)).alias("bad_minutes"), F.collect_list(F.struct("shots", "own_goals")).alias("told"))
+    both = by_appearance.join(by_shot, keys, "full")
+    differ = lambda field, n: F.sum(F.size(F.filter("told", lambda x: x[field] != F.coalesce(F.col(n), F.lit(0)))).cast("long"))
+    found = {
+        "duplicate appearance": F.sum(F.when(known & (F.col("copies") > 1), F.col("copies"))),
+        **{f"{c} outside [0, 1]": F.sum(f"bad_{c}") for c in ("X", "Y", "xG")},
+        "minutes outside [0, 130]": F.sum("bad_minutes"),
+        "shot without appearance": F.sum(F.when(F.col("copies").isNull(), F.col("n"))),
+        "shots don't reconcile": differ("shots", "other"),
+        "own goals don't reconcile": differ("own_goals", "own"),
+    }
+    return both.agg(*[F.coalesce(c, F.lit(0)).alias(name) for name, c in found.items()])
+
+
 def violations(shots: DataFrame, appearances: DataFrame, sample: int = 10) -> DataFrame:
-    """check, violations, and up to `sample` keys, for each failed check."""
+    """check, violations, and up to `sample` keys, for each failed check.
+
+    All checks are counted first, in two jobs; rows are looked up for those that fail.
+    """
     shot_key = F.concat_ws("/", "match_id", "player_id", "shot_id")
     app_key = F.concat_ws("/", "match_id", "player_id")
-    found = [
-        ("duplicate shot_id", duplicated(shots, ["shot_id"]).select(shot_key.alias("key"))),
-        ("duplicate appearance", duplicated(appearances, ["match_id", "player_id"]).select(app_key.alias("key"))),
-        *[(f"{c} outside [0, 1]", shots.where(outside(c, 0, 1)).select(shot_key.alias("key"))) for c in ("X", "Y", "xG")],
-        ("minutes outside [0, 130]", appearances.where(outside("minutes", 0, 130)).select(app_key.alias("key"))),
-        ("shot without appearance", orphans(shots, appearances).select(shot_key.alias("key"))),
-        ("shots don't reconcile", mismatches(appearances, shots.where(~F.col("is_own_goal")), "shots").select(app_key.alias("key"))),
-        ("own goals don't reconcile", mismatches(appearances, shots.where("is_own_goal"), "own_goals").select(app_key.alias("key"))),
-    ]
-    rows = [df.select(F.lit(check).alias("check"), "key") for check, df in found]
-    counts = reduce(DataFrame.unionByName, rows).groupBy("check").agg(F.count("*").alias("violations"))
-    some = reduce(DataFrame.unionByName, [r.orderBy("key").limit(sample) for r in rows]).groupBy("check").agg(F.array_sort(F.collect_list("key")).alias("sample"))
-    return counts.join(some, "check")
+    rows = {
+        "duplicate shot_id": lambda: duplicated(shots, ["shot_id"]).select(shot_key.alias("key")),
+        "duplicate appearance": lambda: duplicated(appearances, ["match_id", "player_id"]).select(app_key.alias("key")),
+        **{f"{c} outside [0, 1]": lambda c=c: shots.where(outside(c, 0, 1)).select(shot_key.alias("key")) for c in ("X", "Y", "xG")},
+        "minutes outside [0, 130]": lambda: appearances.where(outside("minutes", 0, 130)).select(app_key.alias("key")),
+        "shot without appearance": lambda: orphans(shots, appearances).select(shot_key.alias("key")),
+        "shots don't reconcile": lambda: mismatches(appearances, shots.where(~F.col("is_own_goal")), "shots").select(app_key.alias("key")),
+        "own goals don't reconcile": lambda: mismatches(appearances, shots.where("is_own_goal"), "own_goals").select(app_key.alias("key")),
+    }
+    again = shots.where("shot_id is not null").groupBy("shot_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    counts = {"duplicate shot_id": again.first().n} | _counted(shots, appearances).first().asDict()
+    failed = {check: n for check, n in counts.items() if n}
+    told = shots.sparkSession.createDataFrame(list(failed.items()), "check string, violations long")
+    if not failed:
+        return told.withColumn("sample", F.array().cast("array<string>"))
+    some = reduce(DataFrame.unionByName, [rows[check]().orderBy("key").limit(sample).select(F.lit(check).alias("check"), "key") for check in failed])
+    return told.join(some.groupBy("check").agg(F.array_sort(F.collect_list("key")).alias("sample")), "check")
 
 
 class ValidationError(RuntimeError):

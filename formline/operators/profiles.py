@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 KEYS = ["player_id", "season"]
 #: Positions, thresholds and categories of the reference's profiles.
 ATTACKING_POSITIONS = ["FW", "FWL", "FWR", "AMC", "AML", "AMR", "ML", "MR"]
@@ -110,18 +112,58 @@ def shrunk(counts: DataFrame, columns: list[str], k: float = 0, priors: DataFram
     return joined.withColumns({c: (F.coalesce(c, F.lit(0)) + k * F.col(f"__{c}")) / (F.col("shots") + k) for c in columns}).drop(*p.columns)
 
 
-def rolled_up(appearances: DataFrame, by: list[str] = KEYS) -> DataFrame:
-    """Totals, primary position, teams and leagues of each key (as totals, primary_position and by_minutes give them) in one pass.
+#: What a sum of appearances or shots holds, and how sums of the same key are put together.
+APPEARANCE_SUMS = ["minutes", "starts", "started_minutes", *[f"sum_{name}" for name in RATES.values()]]
+SHOT_SUMS = ["n", "xg"]
 
-    Appearances are summed up by position, team and league first; the few sums of a key then meet in one list.
-    """
-    fine = appearances.groupBy(*by, "position", "team", "league").agg(
+
+def appearance_sums(appearances: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """Appearances summed up by key, position, team and league. Sums of disjoint appearances can be merged."""
+    return appearances.groupBy(*by, "position", "team", "league").agg(
         F.min(F.struct("date", "match_id", "player")).alias("first"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
         F.sum("minutes").alias("minutes"),
         F.count_if("started").alias("starts"),
         F.sum(F.when(F.col("started"), F.col("minutes"))).alias("started_minutes"),
         *[F.sum(c).alias(f"sum_{name}") for c, name in RATES.items()],
     )
+
+
+def merged_appearance_sums(sums: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """Sums of a key, position, team and league in one row each."""
+    parts = [F.min("first").alias("first"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")]
+    return sums.groupBy(*by, "position", "team", "league").agg(*parts, *[F.sum(c).alias(c) for c in APPEARANCE_SUMS])
+
+
+def shot_sums(shots: DataFrame, by: list[str] = KEYS, types: dict[str, str] = SHOT_TYPES, excluded: list[str] = EXCLUDED_SITUATIONS) -> DataFrame:
+    """Shots with their keys, counted by last action, kind, and whether they count for style and for npxG. Sums of disjoint shots can be merged."""
+    scored = ~F.col("is_own_goal") & ~F.coalesce(F.col("situation") == excluded[0], F.lit(False))
+    tagged = shots.select(*by, "lastAction", shot_type_label(types).alias("kind"), is_style(excluded).alias("style"), scored.alias("scored"), "xG")
+    return tagged.groupBy(*by, "lastAction", "kind", "style", "scored").agg(F.count("*").alias("n"), F.sum("xG").alias("xg"))
+
+
+def merged_shot_sums(sums: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    return sums.groupBy(*by, "lastAction", "kind", "style", "scored").agg(*[F.sum(c).alias(c) for c in SHOT_SUMS])
+
+
+def summed_categories(sums: DataFrame, rare: float = RARE_SHARE) -> list[str]:
+    """The last actions of at least `rare` of the style shots, as last_action_categories gives them, from sums of shots."""
+    n = sums.where("style").groupBy("lastAction").agg(F.sum("n").alias("n")).collect()  # a row for each last action
+    total = sum(r.n for r in n)
+    return sorted(r.lastAction for r in n if r.lastAction is not None and r.n / total >= rare)
+
+
+def rolled_up(appearances: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """Totals, primary position, teams and leagues of each key (as totals, primary_position and by_minutes give them) in one pass.
+
+    Appearances are summed up by position, team and league first; the few sums of a key then meet in one list.
+    """
+    return rolled_up_sums(appearance_sums(appearances, by), by)
+
+
+def rolled_up_sums(fine: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """rolled_up from sums of appearances, one row for each key, position, team and league."""
     sums = ["minutes", "starts", *[f"sum_{name}" for name in RATES.values()]]
     part = F.struct("position", "team", "league", "minutes", "starts", "started_minutes")
     listed = fine.groupBy(*by).agg(F.min("first")["player"].alias("player"), *[F.sum(c).alias(c) for c in sums], F.collect_list(part).alias("parts"))
@@ -160,24 +202,47 @@ def build(
 ) -> DataFrame:
     """The profile of each key in `by`, for any subset of appearances.
 
-    One aggregation over appearances and one over their shots meet in one join. last_actions fixes the categories (else they are counted first); positions None and zero
+    Shots meet their appearances once and are summed up by key, last action and kind; from these few sums the categories
+    are counted (if last_actions doesn't fix them) and the profile's columns made. positions None and zero
     minima switch the pool filter off.
     """
-    own = shots_in(shots, appearances, by)
+    sums = shot_sums(shots_in(shots, appearances, by), by, types, excluded)
+    if last_actions is None or (shrinkage_k and priors is None):
+        sums = cut(sums)  # read more than once
+    kept = {"rare": rare, "types": types, "min_starts": min_starts, "min_minutes": min_minutes, "positions": positions}
+    return from_sums(sums, appearance_sums(appearances, by), by, last_actions=last_actions, shrinkage_k=shrinkage_k, priors=priors, **kept)
+
+
+def from_sums(
+    shots: DataFrame,
+    appearances: DataFrame,
+    by: list[str] = KEYS,
+    *,
+    last_actions: list[str] | None = None,
+    rare: float = RARE_SHARE,
+    types: dict[str, str] = SHOT_TYPES,
+    min_starts: int = MIN_STARTS,
+    min_minutes: int = MIN_MINUTES,
+    positions: list[str] | None = ATTACKING_POSITIONS,
+    shrinkage_k: float = 0,
+    priors: DataFrame | None = None,
+) -> DataFrame:
+    """The profiles of shot_sums and appearance_sums of the same keys; sums of shots are read twice unless last_actions is given."""
     if last_actions is None:
-        last_actions = sorted(r.lastAction for r in last_action_categories(own, rare, excluded).collect())
+        last_actions = summed_categories(shots, rare)
     columns = category_columns(last_actions, types)
-    tagged = labelled(own, last_actions, types)
+    tagged = shots.withColumn("action", action_label(last_actions))
+    counted = lambda k, v: F.coalesce(F.sum(F.when(F.col("style") & (F.col(k) == v), F.col("n"))), F.lit(0))
     if shrinkage_k and priors is None:
-        priors = style_priors(tagged.where(is_style(excluded)), columns)
-    style = is_style(excluded)
-    shot_sums = tagged.groupBy(*by).agg(
-        F.count_if(style).alias("shots"),
-        F.sum(F.when(style, F.col("xG"))).alias("style_xg"),
-        F.sum(F.when(~F.col("is_own_goal") & ~F.coalesce(F.col("situation") == excluded[0], F.lit(False)), F.col("xG"))).alias("npxg"),
-        *[F.count_if(style & (F.col(k) == v)).alias(c) for c, (k, v) in columns.items()],
+        n = F.sum(F.when(F.col("style"), F.col("n")))
+        priors = tagged.agg(*[F.coalesce(F.try_divide(counted(k, v), n), F.lit(0.0)).alias(c) for c, (k, v) in columns.items()])
+    rolled = tagged.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("style"), F.col("n"))), F.lit(0)).alias("shots"),
+        F.sum(F.when(F.col("style"), F.col("xg"))).alias("style_xg"),
+        F.sum(F.when(F.col("scored"), F.col("xg"))).alias("npxg"),
+        *[counted(k, v).alias(c) for c, (k, v) in columns.items()],
     )
-    joined = rolled_up(appearances, by).join(shot_sums, by, "left").withColumn("shots", F.coalesce("shots", F.lit(0)))
+    joined = rolled_up_sums(appearances, by).join(rolled, by, "left").withColumn("shots", F.coalesce("shots", F.lit(0)))
     shared = shrunk(joined, list(columns), shrinkage_k, priors)
     out = shared.select(
         *by, "player", "teams", F.split("leagues", ", ")[0].alias("league"), "minutes", "starts", "primary_position", "shots",

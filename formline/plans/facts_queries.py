@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts, windows
-from ..session import ensure_checkpoint_dir, table
+from ..session import cut, ensure_checkpoint_dir, table
 from ..sources import io
-from ..sources.adapters import APPEARANCES_SQL, DOCUMENTS_SQL, SHOTS_SQL, appearances, documents, leagues, shots
+from ..sources.adapters import APPEARANCES_SQL, DOCUMENTS_SQL, SHOTS_SQL, SOUND_SQL, appearances, documents, leagues, shots, sound_documents
 from ..streaming import incremental
+from ..streaming.versions import Versions
 from .registry import query
 
 A, S, AS, D = f"WITH {APPEARANCES_SQL} ", f"WITH {SHOTS_SQL} ", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL} ", f"WITH {DOCUMENTS_SQL} "
@@ -219,13 +220,84 @@ def _(spark, sf):
     return incremental.pending(facts.finished_fixtures(leagues(spark, sf)), landed).select("match_id")
 
 
-@query("i2_land_once", "SELECT DISTINCT user_id * 10 + length(event_type) AS match_id FROM events")
+@query("i2_land_once", "SELECT user_id * 10 + length(event_type) AS match_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def _(spark, sf):
+    """Events land in two runs, the newer half first; then all land again. The first of a key counts."""
     events = table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select((F.col("user_id") * 10 + F.length("event_type")).alias("match_id"), F.col("ts").alias("landed"))
+    rows = events.select((F.col("user_id") * 10 + F.length("event_type")).alias("match_id"), "event_id", F.col("ts").alias("landed"))
     path = place(spark, "landed")
-    incremental.run_available(incremental.first_only(stream, watermark=None), lambda batch, number: batch.select("match_id").write.mode("overwrite").parquet(f"{path}/rows/batch={number}"), f"{path}/state")
-    return spark.read.schema("match_id long").parquet(f"{path}/rows/batch=*")
+    versions = Versions(spark, path)
+    first = rows.groupBy("match_id").agg(F.min_by("landed", F.struct("landed", "event_id")).alias("at"))
+    for part in (rows.join(first, "match_id").where("landed <= at + interval 1 day").drop("at"), rows):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        incremental.run_available(stream, incremental.land_once(versions, order=("landed", "event_id")), f"{path}/state")
+    return versions.table("rows").select("match_id", "event_id")
+
+
+def weeks(spark, sf, corrections=True):
+    """A refresh of two runs over sound documents: odd orders, then even ones together with documents that landed before or don't parse."""
+    path = place(spark, "refresh")
+    docs = sound_documents(spark, sf).select("match_id", F.concat("match_id", F.lit(".json")).alias("file"), F.lit(1).cast("timestamp").alias("landed"), "rosters", "shots", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("record"))
+    fixtures = cut(facts.finished_fixtures(leagues(spark, sf)))
+    job = incremental.Refresh(spark, path, fixtures)
+    odd = F.col("match_id") % 2 == 1
+    again = docs.where(odd & (F.col("match_id") % 3 == 0) & (F.col("match_id") % 97 != 0)).withColumns({"landed": F.lit(90 * 86400).cast("timestamp"), "shots": F.create_map().cast(docs.schema["shots"].dataType)})
+    broken = docs.where(F.col("match_id") % 50 == 0).select(F.lit(None).cast("long").alias("match_id"), "file", "landed", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in ("rosters", "shots")], F.lit("not JSON").alias("reason"), F.lit("{").alias("record"))
+    for part in (docs.where(odd), docs.where(~odd).unionByName(again).unionByName(broken)):
+        part.write.mode("append").parquet(f"{path}/in")
+        incremental.run_available(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), job.batch, f"{path}/checkpoint")
+    return job
+
+
+PROFILE_SQL = """SELECT '{mode}' AS mode, player_id, season, minutes::BIGINT AS minutes, starts, primary_position, coalesce(shots, 0)::BIGINT AS shots, round(coalesce(npxg, 0) * 100)::BIGINT AS npxg_hundredths, round(xa * 100)::BIGINT AS xa_hundredths,
+    nullif(head, CASE WHEN coalesce(shots, 0) = 0 THEN head END)::BIGINT AS heads, nullif(missing, CASE WHEN coalesce(shots, 0) = 0 THEN missing END)::BIGINT AS missing, window_start, window_end, active
+  FROM (SELECT player_id, season, sum(minutes) AS minutes, count(*) FILTER (WHERE "position" <> 'Sub') AS starts, max("position") FILTER (WHERE "position" <> 'Sub') AS primary_position, sum(xA) AS xa, {dates} FROM {apps} GROUP BY player_id, season)
+  LEFT JOIN (SELECT player_id, a.season, count(*) FILTER (WHERE situation <> 'Penalty' AND NOT is_own_goal) AS shots, sum(xG) FILTER (WHERE situation <> 'Penalty' AND NOT is_own_goal) AS npxg,
+    count(*) FILTER (WHERE kind = 'head' AND situation <> 'Penalty' AND NOT is_own_goal) AS head, count(*) FILTER (WHERE lastAction IS NULL AND situation <> 'Penalty' AND NOT is_own_goal) AS missing
+    FROM shots AS s JOIN (SELECT match_id, player_id, season FROM {apps}) AS a USING (match_id, player_id) GROUP BY ALL) USING (player_id, season) {active}"""
+
+
+@query(
+    "i3_refreshed_profiles",
+    f"""WITH {SOUND_SQL}, recent AS (SELECT match_id, player_id, "date", "position", minutes, xA, max(season) OVER (PARTITION BY player_id) AS season FROM (SELECT *, coalesce(sum(minutes) OVER (PARTITION BY player_id ORDER BY "date" DESC, match_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM appearances) WHERE before < 600),
+  act AS (SELECT player_id, max(season) = (SELECT max(season) FROM appearances) AS active FROM appearances GROUP BY player_id)
+  {PROFILE_SQL.format(mode="season", apps="appearances", dates="NULL::TIMESTAMP AS window_start, NULL::TIMESTAMP AS window_end, NULL::BOOLEAN AS active", active="")}
+  UNION ALL {PROFILE_SQL.format(mode="recent", apps="recent", dates='min("date") AS window_start, max("date") AS window_end', active="JOIN act USING (player_id)")}""",
+)
+def _(spark, sf):
+    job = weeks(spark, sf)
+    job.window_minutes = 600
+    job.finish(min_starts=0, min_minutes=0, positions=None)
+    columns = ["player_id", "season", "minutes", "starts", "primary_position", "shots"]
+    columns += [F.round(F.col(f"{c}_per90") * F.col("minutes") / 90 * 100).cast("long").alias(f"{c}_hundredths") for c in ("npxg", "xa")]  # sums again, which no order of adding changes
+    columns += [F.round(F.col(c) * F.col("shots")).cast("long").alias(name) for c, name in (("shot_type_head", "heads"), ("last_action_missing", "missing"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("window_start", "timestamp"), ("window_end", "timestamp"), ("active", "boolean"))]
+    season = job.public.table("profiles").select(F.lit("season").alias("mode"), *columns, *none)
+    return season.unionByName(job.public.table("profiles_recent").select(F.lit("recent").alias("mode"), *columns, "window_start", "window_end", "active"))
+
+
+@query(
+    "i4_run_counters",
+    f"""WITH {SOUND_SQL}, l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), good AS (SELECT * FROM lineitem JOIN fixtures ON l_orderkey = match_id WHERE l_orderkey % 97 <> 0)
+  SELECT 'landed' AS name, (SELECT count(*) FROM l) + (SELECT count(*) FROM l WHERE k % 6 = 3 AND k % 97 <> 0) + (SELECT count(*) FROM l WHERE k % 50 = 0) AS n
+  UNION ALL SELECT 'corrupt', count(*) FROM l WHERE k % 50 = 0
+  UNION ALL SELECT 'set_aside', count(*) FROM l JOIN fixtures ON k = match_id WHERE k % 97 = 0
+  UNION ALL SELECT 'taken', (SELECT count(*) FROM l) - (SELECT count(*) FROM l JOIN fixtures ON k = match_id WHERE k % 97 = 0)
+  UNION ALL SELECT 'dropped_shots', count(DISTINCT l_orderkey) FROM good WHERE l_orderkey % 10 = 0
+  UNION ALL SELECT 'dropped_appearances', count(DISTINCT (l_orderkey, l_suppkey)) FROM good WHERE l_orderkey % 10 = 0
+  UNION ALL SELECT 'shots', count(*) FROM good UNION ALL SELECT 'appearances', count(DISTINCT (l_orderkey, l_suppkey)) FROM good""",
+)
+def _(spark, sf):
+    found = incremental.totals(weeks(spark, sf).progress.history())
+    names = ["landed", "corrupt", "set_aside", "taken", "dropped_shots", "dropped_appearances", "shots", "appearances"]
+    return spark.createDataFrame([(c, found[c]) for c in names], "name string, n long")
+
+
+@query("s1_rejected_numbers", f"""SELECT l_orderkey AS match_id, 'shots' AS source, (l_orderkey * 100 + n)::VARCHAR AS id, 'X' AS "column", 'n/a' AS value, 'not a number: X' AS reason FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey WHERE l_orderkey % 97 = 0), unnest([1, 51]) AS t(n) WHERE n = 1 OR l_orderkey % 10 = 0""")
+def _(spark, sf):
+    flat = facts.flatten_shots(facts.join_fixtures(sound_documents(spark, sf), facts.finished_fixtures(leagues(spark, sf))))
+    return facts.quarantined(flat, facts.SHOT_NUMBERS, "shots")[1]
 
 
 @query("s10_latest_metric", " UNION ALL ".join(f"SELECT '{m}' AS metric, arg_max(value, event_id) AS value, max(event_id) AS run_ts FROM events WHERE event_type = '{m}' AND user_id % 2 = 0" for m in METRICS))

@@ -29,7 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = named or os.path.join(tempfile.gettempdir(), f"formline-{os.getpid()}")
         sc.setCheckpointDir(current)

@@ -128,3 +128,49 @@ fixtures AS (SELECT c_mktsegment AS league, year(o_orderdate)::INTEGER AS season
 entries AS (SELECT *, CASE side WHEN 'h' THEN home ELSE away END AS team, row_number() OVER (PARTITION BY match_id, side ORDER BY id)::INTEGER - 1 AS "at" FROM (
   SELECT f.*, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'a' END AS side, l_linenumber, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS id, l_suppkey AS player_id, l_quantity::INTEGER AS minutes, l_tax, l_linenumber > 4 AS sub,
     CASE l_returnflag WHEN 'R' THEN 'OwnGoal' ELSE 'Goal' END AS result, CASE WHEN l_linenumber % 2 = 0 THEN 'None' ELSE 'Pass' END AS lastAction, round(l_discount * 10)::INTEGER AS X FROM lineitem JOIN fixtures AS f ON l_orderkey = f.match_id))"""
+
+
+def sound_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, rosters, shots) of every order such that the checks hold: a roster entry for each player, a shot for each line.
+
+    Every tenth order repeats its first shot and each roster entry under other ids; every 97th has a shot whose X is no number.
+    """
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", place).withColumn("number", F.col("l_orderkey") * 100 + F.col("place"))
+    own, number, repeated = F.col("l_returnflag") == "R", F.col("number"), F.col("l_orderkey") % 10 == 0
+    player = F.concat(F.lit("P"), text("l_suppkey"))
+
+    def struct(given: dict, names: list[str], other: str | None) -> F.Column:
+        return F.struct(*[given.get(c, F.lit(other)).cast("string").alias(c) for c in names])
+
+    shot = lambda i: struct({
+        "id": i, "player_id": F.col("l_suppkey"), "player": player, "result": F.when(own, "OwnGoal").otherwise("Goal"), "situation": F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), "Penalty").otherwise("OpenPlay"),
+        "shotType": F.element_at(F.array(F.lit("Head"), F.lit("LeftFoot"), F.lit("RightFoot")), F.col("l_linenumber") % 3 + 1), "lastAction": F.when(F.col("l_linenumber") % 5 == 0, "None").when(F.col("l_linenumber") % 2 == 0, "Pass").otherwise("Cross"),
+        "X": F.when((F.col("l_orderkey") % 97 == 0) & (F.col("place") == 1), F.lit("n/a")).otherwise(text("l_discount")), "Y": F.col("l_tax"), "xG": F.col("l_discount"), "minute": F.col("place"),
+    }, SHOT_FIELDS, None)
+    shots = F.when(repeated & (F.col("place") == 1), F.array(shot(number), shot(number + 50))).otherwise(F.array(shot(number)))
+    players = lines.groupBy("l_orderkey", "l_suppkey").agg(
+        F.min("number").alias("number"), F.min("l_linenumber").alias("line"), F.least(F.sum("l_quantity").cast("int"), F.lit(130)).alias("minutes"), F.count_if(~own).alias("shots"), F.count_if(own).alias("own_goals"), F.count("*").alias("passes"),
+        F.sum(F.col("l_tax").cast(MONEY)).alias("tax"), F.sum(F.col("l_discount").cast(MONEY)).alias("discount"), F.array_sort(F.collect_list(F.struct("number", shots.alias("s")))).alias("s"),
+    )
+    entry = lambda i: struct({
+        "id": i, "player_id": F.col("l_suppkey"), "player": player, "team_id": F.lit(1), "position": F.when(F.col("line") > 3, "Sub").when(F.col("l_suppkey") % 2 == 0, "FW").otherwise("AMC"), "time": F.col("minutes"), "shots": F.col("shots"), "own_goals": F.col("own_goals"),
+        "key_passes": F.col("passes"), "xA": F.col("tax"), "xGChain": F.col("discount") + F.col("tax"), "xGBuildup": F.col("tax"),
+    }, ROSTER_FIELDS, "0")
+    entries = F.when(repeated, F.array(entry(number), entry(number + 50))).otherwise(F.array(entry(number)))
+    sides = players.groupBy(F.col("l_orderkey").alias("match_id"), F.when(F.col("l_suppkey") % 2 == 0, "h").otherwise("a").alias("side")).agg(F.flatten(F.collect_list(entries)).alias("r"), F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("s"))), lambda x: x["s"])).alias("s"))
+    by_id = F.map_from_entries(F.transform("r", lambda x: F.struct(x["id"], x)))
+    return sides.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("side", by_id))).alias("rosters"), F.map_from_entries(F.collect_list(F.struct("side", "s"))).alias("shots"))
+
+
+#: The facts that these documents make, without the matches that hold a bad number, as SQL.
+SOUND_SQL = """
+fixtures AS (SELECT c_mktsegment AS league, year(o_orderdate)::INTEGER AS season, o_orderkey AS match_id, date_trunc('second', o_orderdate)::TIMESTAMP AS "date", 'A&' || n_name AS home, 'B ' || c_mktsegment AS away
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'O'),
+shots AS (SELECT f.*, l_suppkey AS player_id, l_returnflag = 'R' AS is_own_goal, CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN 'Penalty' ELSE 'OpenPlay' END AS situation, ['head', 'left_foot', 'right_foot'][l_linenumber % 3 + 1] AS kind,
+    CASE WHEN l_linenumber % 5 = 0 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'Pass' ELSE 'Cross' END AS lastAction, l_discount AS xG
+  FROM lineitem JOIN fixtures AS f ON l_orderkey = f.match_id WHERE l_orderkey % 97 <> 0),
+appearances AS (SELECT f.*, player_id, CASE WHEN player_id % 2 = 0 THEN home ELSE away END AS team, CASE WHEN line > 3 THEN 'Sub' WHEN player_id % 2 = 0 THEN 'FW' ELSE 'AMC' END AS "position", minutes, xA, key_passes
+  FROM (SELECT l_orderkey, l_suppkey AS player_id, min(l_linenumber) AS line, least(sum(l_quantity)::INTEGER, 130) AS minutes, sum(l_tax) AS xA, count(*) AS key_passes FROM lineitem WHERE l_orderkey % 97 <> 0 GROUP BY l_orderkey, l_suppkey)
+  JOIN fixtures AS f ON l_orderkey = f.match_id)"""
