@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textops import Batches, folded, mix, prefix_hash, range_hash, symbol_table, utf8, word_bounds
+from .textops import Batches, folded, free_name, mix, prefix_hash, range_hash, symbol_table, utf8, word_bounds
 
 #: Words of a block of a text; blocks of a window; texts are worked on in chunks of this many bytes.
 BLOCK, WINDOW, CHUNK = 8, 4, 1 << 20
@@ -443,8 +443,11 @@ class Search:
 HIT = "row long, item_id long, share double, answer_share double, cosine double"
 
 
-def hits(keyed: DataFrame, search: Search, text_col: str) -> DataFrame:
-    """(row, item_id, share, answer_share, cosine) of every passage found in the rows of keyed (__row, text); tasks hold one block each."""
+def hits(keyed: DataFrame, search: Search, text_col: str, key: str = "__row") -> DataFrame:
+    """(row, item_id, share, answer_share, cosine) of every passage found in the rows of keyed, told apart by the column `key`; tasks hold one block each.
+
+    Null and empty texts hold none, repeated rows are searched each, and an empty benchmark or table gives no rows.
+    """
 
     def of(finder: Finder) -> DataFrame:
         def run(batches: Batches) -> Batches:
@@ -454,7 +457,7 @@ def hits(keyed: DataFrame, search: Search, text_col: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["row", "item_id", "share", "answer_share", "cosine"])
 
-        return keyed.select("__row", F.col(text_col).cast("string")).mapInArrow(run, HIT)
+        return keyed.select(key, F.col(text_col).cast("string")).mapInArrow(run, HIT)
 
     found = [of(f) for f in search.finders()]
     return reduce(DataFrame.unionByName, found) if found else keyed.sparkSession.createDataFrame([], HIT)
@@ -500,8 +503,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **setti
     if not search.blocks:
         return docs
     if search.blocks > 1:
-        keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-        return keyed.join(hits(keyed, search, text_col).select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+        key = free_name(docs.columns, "row")
+        keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+        return keyed.join(hits(keyed, search, text_col, key).select(F.col("row").alias(key)).distinct(), key, "left_anti").drop(key)
     finder = next(search.finders())
 
     @F.pandas_udf("boolean")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textops import Batches, utf8
+from .textops import Batches, free_name, utf8
 
 #: The contract's kinds in order, and their patterns, written so that no character is a start twice.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -236,7 +236,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     no rows. No rows are lost.
     """
     found = personal_data(docs, id_col, text_col, **settings).where(F.size("spans") > 0)
-    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
+    own_id, own_key, own_spans = (free_name(docs.columns, c) for c in ("id", "key", "spans"))
+    spans = found.groupBy(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).agg(F.first("spans").alias(own_spans))
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -253,5 +254,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
         return pd.Series(out, dtype=object)
 
     text = F.col(text_col)
-    marked = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(text.cast("string")).eqNullSafe(F.col("__key")), "left")
-    return marked.select(*[F.when(F.col("__spans").isNull(), text).otherwise(replaced(text, "__spans")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    marked = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(text.cast("string")).eqNullSafe(F.col(own_key)), "left")
+    return marked.select(*[F.when(F.col(own_spans).isNull(), text).otherwise(replaced(text, own_spans)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .components import connected
 from .repeats import spooled
-from .textops import Batches, utf8
+from .textops import Batches, free_name, utf8
 
 SEED = 42
 SEGMENTS, BITS = 2, 32
@@ -147,17 +147,18 @@ def _classes(fps: DataFrame, bits: int) -> DataFrame:
     return cut(class_of.join(smallest, "root").select("fp", "root", "component_id"))
 
 
-def with_row_keys(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row in __row, which a checkpoint makes lasting."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row in a column of a free name, which a checkpoint makes lasting; and that name."""
+    key = free_name(docs.columns, "row")
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def one_of_each(keyed: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id (null last; ties: smallest hash of the text, then any) of each group of groups (row, group), without __row."""
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"), F.col("__row").alias("row"))
-    ranked = keyed.select(rank.alias("rank"), "__row").join(groups.withColumnRenamed("row", "__row"), "__row")
-    kept = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").drop("__row")
+def one_of_each(keyed: DataFrame, groups: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """The row of the smallest id (null last; ties: smallest hash of the text, then any) of each group of groups (row, group), without the column `key`."""
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"), F.col(key).alias("row"))
+    ranked = keyed.select(rank.alias("rank"), F.col(key).alias("row")).join(groups, "row")
+    kept = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(key))
+    return keyed.join(kept, key, "left_semi").drop(key)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
@@ -165,6 +166,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Null and empty texts are one group; repeated rows are copies of each other; an empty table gives no rows.
     """
-    keyed = with_row_keys(docs)
-    fps = cut(fingerprints(keyed, "__row", text_col, words))
-    return one_of_each(keyed, fps.join(_classes(fps, bits), "fp").select(F.col("doc_id").alias("row"), F.col("root").alias("group")), id_col, text_col)
+    keyed, key = with_row_keys(docs)
+    fps = cut(fingerprints(keyed, key, text_col, words))
+    return one_of_each(keyed, fps.join(_classes(fps, bits), "fp").select(F.col("doc_id").alias("row"), F.col("root").alias("group")), id_col, text_col, key)

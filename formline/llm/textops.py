@@ -114,6 +114,15 @@ def vocabulary_bytes(path: str, bound: int = 64 << 20) -> bytes:
         return f.read()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Recent(dict):
     """What a worker remembers across tasks: entries used of late, in two generations of half of `bound` bytes each.
 

@@ -1,11 +1,13 @@
 """Near-duplicates at a Jaccard of 0.8 against brute force, and the rows that are kept."""
 
 import random
+import time
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from formline.llm import near_copies
+from formline.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -61,3 +63,27 @@ def test_forest_reaches_what_brute_force_reaches():
         assert x != y
         root = [min(x, y) if r in (x, y) else r for r in root]
     assert root == brute_groups(edited()[:-2])
+
+
+def test_users_columns_stay():
+    from formline.llm.textops import free_name
+
+    assert free_name(["__ROW", "a"], "row") == "__row_"
+
+
+@pytest.mark.parametrize("keep", [near_copies.keep_one, simhash.keep_one])
+def test_a_column_called_like_the_row_number_stays(spark, keep):
+    docs = spark.createDataFrame([(1, "one two three four five six", "x", 7), (2, "one two three four five six", "y", 8)], "doc_id long, text string, __row string, row long")
+    assert [tuple(r) for r in keep(docs).collect()] == [(1, "one two three four five six", "x", 7)] and keep(docs).columns == docs.columns
+
+
+def test_pages_of_one_template_are_not_compared_with_each_other():
+    """Thousands of sets that share most of their shingles, below the bound, and a few pairs above it."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 1 << 62, 100, dtype=np.uint64)]) for _ in range(4000)]
+    for k in range(0, 40, 2):
+        sets[k + 1] = np.unique(np.r_[sets[k][:-20], rng.integers(0, 1 << 62, 20, dtype=np.uint64)])
+    began = time.time()
+    got = near_copies.forest(np.arange(4000), sets)
+    assert {tuple(sorted(e)) for e in got} == {(k, k + 1) for k in range(0, 40, 2)} and time.time() - began < 20

@@ -257,11 +257,11 @@ def test_twins_in_sql(spark, sf):
     from formline.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, sf)
         result = con.execute(sql)
         named = [d[0] for d in result.description]
         assert sorted(named) == sorted(df.columns)
-        assert sorted(map(tuple, df.select(*named).collect())) == sorted(result.fetchall())
+        assert sorted(map(tuple, df.select(*named).collect()), key=repr) == sorted(result.fetchall(), key=repr)
