@@ -304,9 +304,9 @@ def _(spark, sf):
     return linkage.club_candidates(a, their_players(spark, sf))
 
 
-def matched(spark, sf):
+def matched(spark, sf, theirs=None):
     club_map = table(spark, sf, "nation").select(F.col("n_name").alias("team"), F.col("n_nationkey").cast("long").alias("club_id"))
-    theirs = their_players(spark, sf)
+    theirs = their_players(spark, sf) if theirs is None else theirs
     candidates = linkage.club_candidates(theirs.select(F.col("current_club_id").alias("player_club_id"), "player_id"), theirs)
     return linkage.match_players(our_players(spark, sf), club_map, candidates, theirs)
 
@@ -316,6 +316,20 @@ def _(spark, sf):
     return matched(spark, sf).select("player_id", "candidates", "match_id", "match_score", "match_method")
 
 
+@query(
+    "m14_misspelt_players",
+    """WITH o AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
+  SELECT o.p_partkey AS player_id, count(DISTINCT t.p_partkey) AS candidates, min(t.p_partkey) FILTER (WHERE t.p_name = o.p_name) + 1000000 AS match_id, regexp_replace(o.w[2], '.$', '7') || '-' || o.w[1] || ' Zz' AS match_name,
+    round(0.8 * (1 + (length(o.w[2]) - 1) / length(o.w[2])) / 2 + 0.2 * 2 * (length(o.p_name) - 1) / (2 * length(o.p_name) + 3), 3) AS match_score FROM o JOIN part AS t ON o.p_size % 25 = t.p_size % 25 GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Their names have the words in another order, a wrong last letter and one word more."""
+    first, last = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    wrong = F.concat(F.regexp_replace(last, ".$", "7"), F.lit("-"), first, F.lit(" Zz"))
+    theirs = table(spark, sf, "part").select((F.col("p_partkey") + 1_000_000).alias("player_id"), wrong.alias("name"), (F.col("p_size") % 25).cast("long").alias("current_club_id"))
+    return matched(spark, sf, theirs).select("player_id", "candidates", "match_id", "match_name", "match_score")
+
+
 def overrides(spark, sf):
     return table(spark, sf, "part").where("p_partkey % 50 = 3").select(F.col("p_partkey").alias("player_id"), (F.col("p_partkey") + 1_000_000 - 1).alias("match_id"))
 

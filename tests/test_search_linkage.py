@@ -189,3 +189,35 @@ def test_latest_valuation_skips_null(spark):
 def test_labels(spark):
     row = spark.range(1).select(search.value_label(F.lit(12.4)), search.value_label(F.lit(5.5)), search.value_label(F.lit(None).cast("double")), search.contract_label(F.lit("2027-06-30").cast("date"))).first()
     assert tuple(row) == ("€12m", "€5.5m", "—", "2027-06")
+
+
+def test_best_names_equal_brute_force(spark):
+    """Best-first matching within blocks against all pairs, with ties, misspelt names, initials and names without words."""
+    import random
+
+    from formline.functions import text
+
+    rnd = random.Random(4)
+    part = lambda: rnd.choice(["jo", "joao", "silva", "sylva", "b", "ann", "anna", "müller", "muller", "o", "1", "łukasz"]) + rnd.choice(["", "", "a", "ss"])
+    name = lambda: " ".join(part() for _ in range(rnd.randint(1, 3)))
+    ours = sorted({name() for _ in range(40)} | {"--", "日本"})
+    theirs = {n: k for k, n in enumerate(sorted({name() for _ in range(60)} | {"..."}))}
+    pairs = spark.createDataFrame([(a, b) for a in ours for b in theirs], "a string, b string")
+    best = {}
+    for r in text.name_scores(pairs, "a", "b").collect():
+        best[r.a] = max(best.get(r.a, (-1.0, 0)), (round(r.score, 12), -theirs[r.b]))
+    left = spark.createDataFrame([(k, n) for n in ours for k in (1, 2)], "club long, name string")
+    right = spark.createDataFrame([(1, n, i) for n, i in theirs.items()], "club long, candidate string, candidate_id long")
+    for block in (1024, 7):
+        got = text.best_names(left, right, "club", block).collect()
+        assert {r.name: (round(r.score, 12), -r.candidate_id) for r in got} == best and {r.club for r in got} == {1}
+    assert sum(r.scored for r in text.best_names(left, right, "club").collect()) < 0.5 * len(ours) * len(theirs)
+
+
+def test_bounds_are_never_below_scores():
+    from formline.functions import text
+
+    scorer = text.Scorer()
+    names = [text.tokens(n) for n in ("Ann-Marie O Brien", "brien anne", "x", "Łukasz Fabianski", "fabiański l", "", "a b c", "abcd", "abcde abc")]
+    bounds = text.name_bounds(names, names)
+    assert all(scorer.score(a, b) <= max(bounds[i, j], 0) + text.ROUNDING for i, a in enumerate(names) for j, b in enumerate(names))
