@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import profiles, similarity, zones as grids_and_zones
+from . import profiles, similarity, windows, zones as grids_and_zones
 
 SEEDS, CUTOFFS = range(20), (1, 5, 10)
 BASELINE, MARGIN = 0.249, 0.05
@@ -26,29 +26,47 @@ def split_halves(rows: DataFrame, seeds=SEEDS, by: tuple[str, ...] = ("player_id
     return seeded.withColumns({"__place": place, "__n": size}).withColumn("half", F.when(F.col("__place") <= F.floor(F.col("__n") / 2), "A").otherwise("B")).drop("__place", "__n")
 
 
-def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, stratify: str | None = None, k_zones: int = 0, zone_rounds: int = 200, **settings) -> DataFrame:
+class Halves:
+    """The split appearances of every seed and what profiles and zones are made of, read from the facts once for any number of settings."""
+
+    def __init__(self, shots: DataFrame, appearances: DataFrame, pool: DataFrame, seeds=SEEDS, stratify: str | None = None, types: dict[str, str] = profiles.SHOT_TYPES, excluded: list[str] = profiles.EXCLUDED_SITUATIONS):
+        keys = profiles.KEYS
+        self.by, self.types = [*keys, "seed", "half"], types
+        self.split = cut(split_halves(appearances.join(pool.select(*keys), keys, "left_semi"), seeds, stratify=stratify))
+        self.shots = profiles.shots_in(shots, self.split, self.by)
+        self.appearance_sums = cut(profiles.appearance_sums(self.split, self.by))
+        self.shot_sums = cut(profiles.shot_sums(self.shots, self.by, types, excluded))
+        self.frame = pool.select(*keys).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).withColumn("half", F.explode(F.array(F.lit("A"), F.lit("B"))))
+        self._grid: DataFrame | None = None
+        self._zones: dict[int, DataFrame] = {}
+
+    def zones(self, k: int, rounds: int = grids_and_zones.ROUNDS) -> DataFrame:
+        """(by, zone_1..zone_k) of both halves, under zones fitted for each seed on half A alone."""
+        if self._grid is None:
+            self._grid = cut(grids_and_zones.grids(self.shots, self.by))
+        if k not in self._zones:
+            models = grids_and_zones.fit_each(self._grid.where("half = 'A'"), "seed", k, rounds)
+            self._zones[k] = cut(grids_and_zones.weights_each(self._grid, models, F.col("seed"), self.by))
+        return self._zones[k]
+
+    def profiles(self, last_actions: list[str], k_zones: int = 0, zone_rounds: int = grids_and_zones.ROUNDS, **settings) -> DataFrame:
+        """One row for each pool key, seed and half; thresholds are off."""
+        built = profiles.from_sums(self.shot_sums, self.appearance_sums, self.by, last_actions=last_actions, types=self.types, min_starts=0, min_minutes=0, positions=None, **settings)
+        if k_zones:
+            built = built.join(self.zones(k_zones, zone_rounds), self.by, "left")
+        return self.frame.join(built, self.by, "left")
+
+
+def half_profiles(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, stratify: str | None = None, k_zones: int = 0, zone_rounds: int = grids_and_zones.ROUNDS, types: dict[str, str] = profiles.SHOT_TYPES, excluded: list[str] = profiles.EXCLUDED_SITUATIONS, **settings) -> DataFrame:
     """Profiles of both halves of every seed, one row for each pool key, seed and half; thresholds are off.
 
     Zones, if any, are fitted for each seed on half A alone and weigh both halves.
     """
-    keys = profiles.KEYS
-    own = appearances.join(pool.select(*keys), keys, "left_semi")
-    halves = split_halves(own, seeds, stratify=stratify)
-    by = [*keys, "seed", "half"]
-    built = profiles.build(shots, halves, by, last_actions=last_actions, min_starts=0, min_minutes=0, positions=None, **settings)
-    if k_zones:
-        grid = grids_and_zones.grids(profiles.shots_in(shots, halves, by), by)
-        models = grids_and_zones.fit_each(grid.where("half = 'A'"), "seed", k_zones, zone_rounds)
-        built = built.join(grids_and_zones.weights_each(grid, models, F.col("seed"), by), by, "left")
-    frame = pool.select(*keys).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).withColumn("half", F.explode(F.array(F.lit("A"), F.lit("B"))))
-    return frame.join(built, by, "left")
-
+    return Halves(shots, appearances, pool, seeds, stratify, types, excluded).profiles(last_actions, k_zones, zone_rounds, **settings)
 
-def evaluate(halves: DataFrame, feature_sets: dict[str, list[str]], metric: str = "cosine") -> DataFrame:
-    """(player_id, season, seed, feature_set, rank) from half profiles; standardised on half A of each seed.
 
-    Every column is standardised once, and all seeds and feature sets are ranked in one job.
-    """
+def half_vectors(halves: DataFrame, feature_sets: dict[str, list[str]]) -> DataFrame:
+    """(player_id, season, seed, feature_set, id, a, b): both halves' vectors, standardised on half A of each seed; every column once."""
     keys = profiles.KEYS
     columns = sorted({c for cs in feature_sets.values() for c in cs})
     z = similarity.standardise(halves, columns, halves.where("half = 'A'"), ["seed"])
@@ -56,32 +74,82 @@ def evaluate(halves: DataFrame, feature_sets: dict[str, list[str]], metric: str
     v = z.select(*keys, "seed", "half", F.inline(sets))
     side = lambda h: F.first(F.when(F.col("half") == h, F.col("v")), True)
     wide = v.groupBy(*keys, "seed", "feature_set").agg(side("A").alias("a"), side("B").alias("b"))
-    pairs = cut(wide.withColumn("id", F.xxhash64(*keys)))
+    return cut(wide.withColumn("id", F.xxhash64(*keys)))
+
+
+def vector_ranks(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(player_id, season, seed, feature_set, rank) of half_vectors; all seeds and feature sets are ranked in one job."""
     by = ["seed", "feature_set"]
-    return pairs.drop("a", "b").join(similarity.own_ranks(pairs, metric, by), [*by, "id"]).select(*keys, *by, "rank")
+    return vectors.drop("a", "b").join(similarity.own_ranks(vectors, metric, by), [*by, "id"]).select(*profiles.KEYS, *by, "rank")
 
 
-def evaluate_config(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, split: str = "random", metric: str = "cosine", shrinkage_k: float = 0, zones: int = 6, **settings) -> tuple[DataFrame, DataFrame]:
+def evaluate(halves: DataFrame, feature_sets: dict[str, list[str]], metric: str = "cosine") -> DataFrame:
+    """(player_id, season, seed, feature_set, rank) from half profiles; standardised on half A of each seed."""
+    return vector_ranks(half_vectors(halves, feature_sets), metric)
+
+
+def priors_of(shots: DataFrame, last_actions: list[str], types: dict[str, str] = profiles.SHOT_TYPES, excluded: list[str] = profiles.EXCLUDED_SITUATIONS) -> DataFrame:
+    """Category shares of all style shots, the same for both halves."""
+    return cut(profiles.style_priors(profiles.labelled(profiles.style_shots(shots, excluded), last_actions, types), profiles.category_columns(last_actions, types)))
+
+
+def _sets(halves: DataFrame) -> dict[str, list[str]]:
+    return similarity.feature_sets([c for c in halves.columns if c not in (*profiles.KEYS, "seed", "half")])
+
+
+def evaluate_config(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], seeds=SEEDS, split: str = "random", metric: str = "cosine", shrinkage_k: float = 0, zones: int = 6, types: dict[str, str] = profiles.SHOT_TYPES, **settings) -> tuple[DataFrame, DataFrame]:
     """(ranks, half profiles) of one configuration; priors, if any, come from all shots and are the same for both halves."""
     if shrinkage_k:
-        types = settings.get("types", profiles.SHOT_TYPES)
-        columns = profiles.category_columns(last_actions, types)
-        settings |= {"shrinkage_k": shrinkage_k, "priors": cut(profiles.style_priors(profiles.labelled(profiles.style_shots(shots), last_actions, types), columns))}
-    halves = cut(half_profiles(shots, appearances, pool, last_actions, seeds, "started" if split == "stratified" else None, zones, **settings))
-    sets = similarity.feature_sets([c for c in halves.columns if c not in (*profiles.KEYS, "seed", "half")])
-    return evaluate(halves, sets, metric), halves
-
-
-def config_grid(shots: DataFrame, appearances: DataFrame, pool: DataFrame, last_actions: list[str], configs: list[dict], seeds=SEEDS, **settings) -> DataFrame:
-    """Ranks of several configurations (split, metric, shrinkage_k, zones), named by these columns; one job for each."""
-    out = []
-    for config in configs:
-        given = {"split": "random", "metric": "cosine", "shrinkage_k": 0, "zones": 6} | config
-        ranks = evaluate_config(shots, appearances, pool, last_actions, seeds, **given, **settings)[0]
-        out.append(ranks.withColumns({"split": F.lit(given["split"]), "metric": F.lit(given["metric"]), "shrinkage_k": F.lit(float(given["shrinkage_k"])), "zones": F.lit(int(given["zones"]))}))
+        settings |= {"shrinkage_k": shrinkage_k, "priors": priors_of(shots, last_actions, types)}
+    halves = cut(half_profiles(shots, appearances, pool, last_actions, seeds, "started" if split == "stratified" else None, zones, types=types, **settings))
+    return evaluate(halves, _sets(halves), metric), halves
+
+
+#: Columns that name a configuration, and their values where none is given.
+CONFIG = {"mode": "season", "split": "random", "metric": "cosine", "shrinkage_k": 0, "zones": 6}
+
+
+def config_grid(
+    shots: DataFrame, appearances: DataFrame, pools: DataFrame | dict[str, DataFrame], last_actions: list[str], configs: list[dict], seeds=SEEDS, window_minutes: int = windows.WINDOW_MINUTES,
+    types: dict[str, str] = profiles.SHOT_TYPES, zone_rounds: int = grids_and_zones.ROUNDS,
+) -> DataFrame:
+    """Ranks of several configurations, named by the columns of CONFIG.
+
+    pools: the pool of each mode (season, recent), or that of the season alone. What configurations share is made once: halves
+    and their sums for each mode and split, grids and zones for each of these, z-scores for each shrinkage and number of zones;
+    metrics are ranked from the same vectors.
+    """
+    pools = pools if isinstance(pools, dict) else {"season": pools}
+    wanted = [CONFIG | c for c in configs]
+    halves: dict[tuple, Halves] = {}
+    vectors: dict[tuple, DataFrame] = {}
+    priors, out = None, []
+    for c in wanted:
+        source, made = (c["mode"], c["split"]), (c["mode"], c["split"], c["shrinkage_k"], c["zones"])
+        if source not in halves:
+            rows = appearances if c["mode"] == "season" else windows.recent_window(appearances, window_minutes)
+            halves[source] = Halves(shots, rows, pools[c["mode"]], seeds, "started" if c["split"] == "stratified" else None, types)
+        if made not in vectors:
+            settings = {}
+            if c["shrinkage_k"]:
+                priors = priors if priors is not None else priors_of(shots, last_actions, types)
+                settings = {"shrinkage_k": c["shrinkage_k"], "priors": priors}
+            both = halves[source].profiles(last_actions, c["zones"], zone_rounds, **settings)
+            vectors[made] = half_vectors(both, _sets(both))
+        named = {"mode": F.lit(c["mode"]), "split": F.lit(c["split"]), "metric": F.lit(c["metric"]), "shrinkage_k": F.lit(float(c["shrinkage_k"])), "zones": F.lit(int(c["zones"]))}
+        out.append(vector_ranks(vectors[made], c["metric"]).withColumns(named))
     return reduce(DataFrame.unionByName, out)
 
 
+def config_metrics(ranks: DataFrame, names: tuple[str, ...] = ("recall_1", "recall_5", "recall_10", "mrr")) -> DataFrame:
+    """(metric, config, mean, std, run_ts) long rows for the metrics table: config is a struct of CONFIG's columns and the feature set."""
+    per_seed = metrics(ranks, (*CONFIG, "feature_set", "seed"))
+    summary = metric_summary(per_seed.withColumnRenamed("metric", "distance"), (*[c if c != "metric" else "distance" for c in CONFIG], "feature_set"), names)
+    config = F.struct("mode", "split", F.col("distance").alias("metric"), "shrinkage_k", "zones", "feature_set").alias("config")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_std").alias("std")) for n in names])).alias("m")
+    return summary.select(config, each).select("m.metric", "config", "m.mean", "m.std", F.current_timestamp().alias("run_ts"))
+
+
 def imputed_share(halves: DataFrame, columns: list[str]) -> DataFrame:
     """(seed, imputed, n_values): missing values among the columns of both halves, and all values."""
     missing = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
@@ -172,14 +240,42 @@ def gate(ranks: DataFrame, baseline: float = BASELINE, margin: float = MARGIN, k
     return per_seed.agg(F.avg("r").alias("recall")).withColumn("passed", F.col("recall") >= F.lit(baseline - margin))
 
 
+def spearman(rows: DataFrame, column: str, others: list[str]) -> DataFrame:
+    """One row: the rank correlation of a column with each other one (average ranks for ties), named by these."""
+    ranked = rows
+    for c in (column, *others):
+        ranked = similarity.placed(ranked, c).withColumn(f"__{c}", F.col("before") + (F.col("same") + 1) / 2).drop("same", "before", "whole")
+    return ranked.agg(*[F.corr(f"__{column}", f"__{c}").alias(c) for c in others])
+
+
 def difficulty(mean: DataFrame, distances: DataFrame, key: str = "player_id") -> DataFrame:
     """Spearman correlation of distance from the average with mean rank, and the mean rank of the nearest and furthest fifth."""
     both = mean.join(distances, key).select(key, "mean_rank", "distance")
     ranked = both
     for c in ("mean_rank", "distance"):
-        ranked = ranked.join(similarity.prefix_counts(both, c).select(c, (F.col("before") + (F.col("same") + 1) / 2).alias(f"{c}_place")), c)
+        ranked = similarity.placed(ranked, c).withColumn(f"{c}_place", F.col("before") + (F.col("same") + 1) / 2).drop("same", "before", "whole")
     size = both.agg(F.count("*").alias("size"))
     fifth = F.ceil(F.col("distance_place") * 5 / F.col("size"))
     return ranked.crossJoin(F.broadcast(size)).agg(  # one row is broadcast
         F.corr("mean_rank_place", "distance_place").alias("spearman"), F.avg(F.when(fifth <= 1, F.col("mean_rank"))).alias("nearest_fifth"), F.avg(F.when(fifth >= 5, F.col("mean_rank"))).alias("furthest_fifth")
     )
+
+
+def half_similarity(halves: DataFrame, columns: list[str], keys: list[str] = profiles.KEYS) -> DataFrame:
+    """(keys, own_cosine): the cosine of a player's two halves, standardised on half A of each seed; the mean over seeds."""
+    z = similarity.standardise(halves, columns, halves.where("half = 'A'"), ["seed"]).select(*keys, "seed", "half", similarity.vector(columns).alias("v"))
+    side = lambda h: F.first(F.when(F.col("half") == h, F.col("v")), True)
+    wide = z.groupBy(*keys, "seed").agg(side("A").alias("a"), side("B").alias("b"))
+    return wide.groupBy(*keys).agg(F.avg(similarity.cosine(F.col("a"), F.col("b"))).alias("own_cosine"))
+
+
+def starts_gap(split: DataFrame, keys: list[str] = profiles.KEYS) -> DataFrame:
+    """(keys, starts_gap): how far the shares of starts of both halves lie apart; the mean over seeds of split appearances (started, seed, half)."""
+    share = lambda h: F.count_if((F.col("half") == h) & F.col("started")) / F.nullif(F.count_if(F.col("half") == h), F.lit(0))
+    return split.groupBy(*keys, "seed").agg(F.abs(share("A") - share("B")).alias("gap")).groupBy(*keys).agg(F.avg("gap").alias("starts_gap"))
+
+
+def difficulty_causes(ranks: DataFrame, halves: DataFrame, split: DataFrame, columns: list[str], keys: list[str] = profiles.KEYS) -> DataFrame:
+    """(keys, mean_rank, own_cosine, starts_gap): what goes with a high rank; `spearman` of these columns says how far."""
+    mean = mean_ranks(ranks, tuple(keys)).select(*keys, "mean_rank")
+    return mean.join(half_similarity(halves, columns, keys), keys).join(starts_gap(split, keys), keys)

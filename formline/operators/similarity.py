@@ -193,28 +193,44 @@ def _counts_at_least(own: np.ndarray, b: np.ndarray, hold: np.ndarray, metric: s
     return (others >= mine[:, None]).sum(1)
 
 
-def prefix_counts(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, column, same, before, whole): rows of each value, of smaller values and of all values, within each `by`.
+def placed(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with same, before and whole: how many rows of their `by` have the same value, a smaller one, and any; nulls have none of these.
 
-    There is no window over all rows: values are counted, dealt into ranges, summed up within each range, and only
-    the ranges' totals (one row for each range) meet in one place. The ranges are checkpointed, so that both uses
-    see the same ones.
+    Places are found where the rows are. They are dealt into ranges of (by, value, a hash of the row), so that a value that
+    most rows share lies in many ranges, and counted within each; what the ranges' first and last values share with
+    other ranges is a table of at most four rows for each range, which is broadcast. The ranges are checkpointed, so that
+    both uses see the same ones.
     """
-    counted = rows.groupBy(*by, column).agg(F.count("*").alias("same")).repartitionByRange(*by, column).withColumn("__range", F.spark_partition_id())
-    counts = cut(counted)
-    inside = Window.partitionBy("__range", *by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    of_by = Window.partitionBy(*(by or [F.lit(0)]))
-    ranges = counts.groupBy("__range", *by).agg(F.sum("same").alias("__n")).select(
-        "__range", *by, F.coalesce(F.sum("__n").over(of_by.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"), F.sum("__n").over(of_by).alias("whole")
-    )
-    placed = counts.withColumn("before", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(ranges, ["__range", *by])
-    return placed.select(*by, column, "same", (F.col("before") + F.col("__earlier")).alias("before"), "whole")
+    own = rows.columns
+    dealt = rows.where(F.col(column).isNotNull()).withColumn("__spread", F.xxhash64(*own)).repartitionByRange(*by, column, "__spread").withColumn("__range", F.spark_partition_id())
+    below, same = Window.partitionBy("__range", *by).orderBy(column), Window.partitionBy("__range", *by, column)
+    local = cut(dealt.withColumns({"__below": F.rank().over(below) - 1, "__same": F.count("*").over(same)}).drop("__spread"))
+    end = F.struct(column, F.col("__same").alias("n"))
+    ranges = local.groupBy("__range", *by).agg(F.count("*").alias("size"), F.min(end).alias("first"), F.max(end).alias("last"))
+    order = Window.partitionBy(*(by or [F.lit(0)]))
+    summed = ranges.select("__range", *by, "first", "last", "size", F.coalesce(F.sum("size").over(order.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("size").over(order).alias("whole"))
+    ends = summed.select("__range", *by, "earlier", "size", F.explode(F.array_distinct(F.array("first", "last"))).alias("e"), F.col("first").alias("f"))
+    # an end's rows begin where its range does if it's the first value, else behind the rest of the range
+    begins = F.col("earlier") + F.when(F.col("e") == F.col("f"), 0).otherwise(F.col("size") - F.col("e.n"))
+    edges = ends.select("__range", *by, F.col(f"e.{column}").alias("__value"), F.col("e.n").alias("n"), begins.alias("begins"))
+    whole_edges = edges.groupBy(*by, "__value").agg(F.sum("n").alias("__edge_same"), F.min("begins").alias("__edge_before"))
+    edges = edges.select("__range", *by, "__value").join(whole_edges, [*by, "__value"])
+    offsets = summed.select("__range", *by, "earlier", "whole")
+    told = local.join(F.broadcast(offsets), ["__range", *by])
+    marked = edges.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__value", "__edge_same", "__edge_before")
+    at_edge = (F.col("__range") == F.col("__r")) & (F.col(column) == F.col("__value"))
+    for i, c in enumerate(by):
+        at_edge &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    told = told.join(F.broadcast(marked), at_edge, "left")
+    out = told.select(*own, F.coalesce("__edge_same", "__same").alias("same"), F.coalesce(F.col("__edge_before"), F.col("earlier") + F.col("__below")).alias("before"), "whole")
+    none = rows.where(F.col(column).isNull()).select(*own, *[F.lit(None).cast("long").alias(c) for c in ("same", "before", "whole")])
+    return out.unionByName(none)
 
 
 def distinctiveness(df: DataFrame, distance: str = "distance", name: str = "distinctiveness") -> DataFrame:
-    """100 x the share of other rows of a strictly smaller distance."""
-    smaller = prefix_counts(df, distance).select(distance, (100.0 * F.col("before") / F.greatest(F.col("whole") - 1, F.lit(1))).alias(name))
-    return df.join(smaller, distance)
+    """100 x the share of other rows of a strictly smaller distance; null for a null distance, which counts for no other row either."""
+    value = 100.0 * F.col("before") / F.greatest(F.col("whole") - 1, F.lit(1))
+    return placed(df, distance).withColumn(name, value).drop("same", "before", "whole")
 
 
 def contributions(pairs: DataFrame, features: list[str], a: str = "za", b: str = "zb") -> DataFrame:
@@ -252,8 +268,8 @@ def explanation_text(explained: DataFrame, labels: dict[str, str], other: str) -
 def feature_percentiles(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, value, percentile): average rank over the non-null rows of a feature, times 100."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("p")).select(*keys, "p.feature", "p.value").where("value is not null")
-    pct = prefix_counts(long, "value", ("feature",)).select("feature", "value", ((F.col("before") + (F.col("same") + 1) / 2) / F.col("whole") * 100).alias("percentile"))
-    return long.join(pct, ["feature", "value"]).select(*keys, "feature", "value", "percentile")
+    percentile = (F.col("before") + (F.col("same") + 1) / 2) / F.col("whole") * 100
+    return placed(long, "value", ("feature",)).select(*keys, "feature", "value", percentile.alias("percentile"))
 
 
 def style_map(df: DataFrame, features: list[str], keys: list[str]) -> tuple[DataFrame, list[float]]:

@@ -74,24 +74,49 @@ def _summed(frame: DataFrame, size: int, work) -> dict:
     return {int(key): part.sort_values("at")["v"].to_numpy() for key, part in rows.groupby("key")}
 
 
-def fit_each(grid_frame: DataFrame, by: str | None, k: int = 6, rounds: int = 200, tolerance: float = 1e-5) -> dict[int, np.ndarray]:
+#: Rounds after which a fit that hasn't converged ends the job, and the residual that counts as converged.
+ROUNDS, RESIDUAL = 2000, 1e-4
+#: Sweeps over the components with the same sums, and how far a round's change is carried on.
+SWEEPS, MOMENTUM = 10, 0.5
+
+
+class NotConverged(RuntimeError):
+    pass
+
+
+class Factors(dict):
+    """Components (k x cells) of each key, with the rounds each took and its residual, which certifies that they're stationary.
+
+    With the best weights for these components, the residual is the size of what of the error's gradient the bound at zero
+    doesn't explain, relative to weights' x grids.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.rounds: dict[int, int] = {}
+        self.residual: dict[int, float] = {}
+
+
+def fit_each(grid_frame: DataFrame, by: str | None, k: int = 6, rounds: int = ROUNDS, residual: float = RESIDUAL) -> Factors:
     """Value of `by` (a whole number, such as a seed) -> components (k x cells) of the non-negative factorisation of its grids.
 
     All values are fitted in the same rounds. Weights are never stored: each round recomputes them from the components
-    where the grids are, and only k x cells and k x k sums leave the tasks. The grids are cut off from their lineage,
-    and their Gram matrices (cells x cells) give the starts. by None is one fit, under 0.
+    where the grids are, and only k x cells and k x k sums leave the tasks; several sweeps over the components then use the same
+    sums, and the change is carried on a little as long as the error falls. The grids are cut off from their lineage,
+    and their Gram matrices (cells x cells) give the starts. A value is done once its residual is low enough; one that
+    isn't after `rounds` raises NotConverged. by None is one fit, under 0.
     """
     cells = NX * NY
     key = F.lit(0).cast("long") if by is None else F.col(by).cast("long")
     frame = cut(grid_frame.where("grid is not null").select(key.alias("key"), "grid"))
     gram: dict[int, np.ndarray] = {}
-    found: dict[int, np.ndarray] = {}
+    found = Factors()
     for at, v in _summed(frame, cells * cells + 2, lambda _, x: np.r_[(x.T @ x).ravel(), x.sum(), len(x)]).items():
         gram[at] = v[:-2].reshape(cells, cells)
         found[at] = linalg.start_components(gram[at], v[-2] / v[-1] / cells * 0.01, k)
-    before = dict.fromkeys(found)
+    momentum, settled, errors = dict.fromkeys(found, MOMENTUM), dict.fromkeys(found), dict.fromkeys(found, np.inf)
     going = set(found)
-    for _ in range(rounds):
+    for number in range(rounds):
         if not going:
             break
         here = {at: found[at] for at in going}
@@ -102,17 +127,29 @@ def fit_each(grid_frame: DataFrame, by: str | None, k: int = 6, rounds: int = 20
 
         for at, v in _summed(frame.where(F.col("key").isin(sorted(going))), k * cells + k * k, sums).items():
             wx, ww, h = v[: k * cells].reshape(k, cells), v[k * cells :].reshape(k, k), here[at]
-            error = np.trace(gram[at]) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()
-            found[at] = linalg.update_components(h, wx, ww)
-            if before[at] is not None and before[at] - error < tolerance * np.trace(gram[at]):
+            found.rounds[at], found.residual[at] = number + 1, linalg.stationary_residual(h, wx, ww)
+            if found.residual[at] <= residual:
                 going.discard(at)
-            before[at] = error
+                continue
+            error = np.trace(gram[at]) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()
+            better = h
+            for _ in range(SWEEPS):
+                better = linalg.update_components(better, wx, ww)
+            if error > errors[at] or settled[at] is None:
+                momentum[at] *= 0.5 if settled[at] is not None else 1.0
+                found[at] = better
+            else:
+                momentum[at] = min(1.0, momentum[at] * 1.1)
+                found[at] = np.maximum(0, better + momentum[at] * (better - settled[at]))
+            settled[at], errors[at] = better, error
+    if going:
+        raise NotConverged(f"the zones of {sorted(going)[:10]} did not converge in {rounds} rounds: {max(found.residual.get(at, np.inf) for at in going):.1e} is over {residual:.1e}")
     return found
 
 
-def fit(grid_frame: DataFrame, k: int = 6, rounds: int = 200, tolerance: float = 1e-5) -> np.ndarray:
+def fit(grid_frame: DataFrame, k: int = 6, rounds: int = ROUNDS, residual: float = RESIDUAL) -> np.ndarray:
     """Components (k x cells) of the non-negative factorisation of all grids."""
-    found = fit_each(grid_frame, None, k, rounds, tolerance)
+    found = fit_each(grid_frame, None, k, rounds, residual)
     if not found:
         raise ValueError("no grids to fit")
     return found[0]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, linkage, profiles, similarity
-from ..session import cut, table
+from ..operators import evaluation, linkage, profiles, similarity, windows
+from ..session import cut, ensure_checkpoint_dir, table
+from ..sources import io
 from ..sources.adapters import APPEARANCES_SQL, RARE, SHOT_TYPES, SHOTS_SQL, appearances, shots
 from .profile_queries import built
 from .registry import query
@@ -60,12 +63,22 @@ def _(spark, sf):
     return evaluation.metrics(evaluation.evaluate_config(*evaluated(spark, sf), types=SHOT_TYPES)[0])
 
 
+#: The settings that are tried against the first one.
+CONFIGS = [{"zones": 0}, {"zones": 0, "split": "stratified"}, {"zones": 0, "metric": "euclidean"}, *[{"zones": 0, "shrinkage_k": k} for k in (5, 10, 20, 40)], *[{"zones": k} for k in (4, 6, 8, 10)], {"mode": "recent"}]
+
+
 @query("e17_config_grid")
 def _(spark, sf):
-    configs = [{"zones": 0}, {"zones": 0, "split": "stratified"}, {"zones": 0, "metric": "euclidean"}, {"zones": 0, "shrinkage_k": 10}]
-    ranks = evaluation.config_grid(*evaluated(spark, sf), configs, types=SHOT_TYPES)
-    named = ["split", "metric", "shrinkage_k", "zones", "feature_set"]
-    return evaluation.metric_summary(evaluation.metrics(ranks, (*named, "seed")), tuple(named))
+    """All settings on two splits, logged as metrics of a configuration and read back."""
+    s, a, pool, actions = evaluated(spark, sf)
+    window = windows.recent_window(a)
+    recent = profiles.build(s, window, rare=RARE, types=SHOT_TYPES, min_starts=1, min_minutes=900, positions=None).select("player_id", "season")
+    ranks = evaluation.config_grid(s, a, {"season": pool, "recent": cut(recent)}, actions, CONFIGS, range(2), types=SHOT_TYPES)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    io.append_metrics(evaluation.config_metrics(ranks), path)
+    logged = spark.read.parquet(path)
+    base = io.latest_metric(logged, "recall_10", {"mode": "season", "split": "random", "metric": "cosine", "shrinkage_k": 0.0, "zones": 0, "feature_set": "all"}).select(F.col("value").alias("base_recall_10"))
+    return logged.where("metric = 'recall_10'").select("config.*", F.col("mean").alias("recall_10"), F.col("std").alias("recall_10_std")).crossJoin(F.broadcast(base))  # one row
 
 
 HALVES = """, h AS (SELECT *, CASE WHEN place <= floor(n / 2) THEN 'A' ELSE 'B' END AS half FROM (
@@ -179,6 +192,24 @@ def _(spark, sf):
     return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
 
 
+@query("e18_starts_gap", f"WITH {APPEARANCES_SQL}" + HALVES + """, g AS (SELECT player_id, season, seed, abs(avg(started::INTEGER) FILTER (WHERE half = 'A') - avg(started::INTEGER) FILTER (WHERE half = 'B')) AS gap FROM h GROUP BY ALL)
+  SELECT player_id, season, round(avg(gap), 6) AS starts_gap FROM g GROUP BY ALL""")
+def _(spark, sf):
+    return evaluation.starts_gap(evaluation.split_halves(appearances(spark, sf))).withColumn("starts_gap", F.round("starts_gap", 6))
+
+
+@query("e18_difficulty_causes")
+def _(spark, sf):
+    """How far mean ranks go with the likeness of both halves and with the gap between their shares of starts."""
+    s, a, pool, actions = evaluated(spark, sf)
+    halves = evaluation.Halves(s, a, pool, range(5), types=SHOT_TYPES)
+    both = cut(halves.profiles(actions))
+    sets = similarity.feature_sets([c for c in both.columns if c not in (*profiles.KEYS, "seed", "half")])
+    ranks = evaluation.evaluate(both, {"all": sets["all"]})
+    causes = cut(evaluation.difficulty_causes(ranks, both, halves.split, sets["all"]))
+    return evaluation.spearman(causes, "mean_rank", ["own_cosine", "starts_gap"])
+
+
 # ---- linkage: parts are our players, parts with swapped names the second source, nations the clubs
 
 

@@ -222,6 +222,15 @@ def _(spark, sf):
     return zones.weights(grid, zones.fit(grid))
 
 
+@query("z4_zone_certificate", S + f"SELECT season, TRUE AS converged, TRUE AS nonnegative, 4 AS zones, FALSE AS empty FROM shots WHERE {STYLE} GROUP BY season")
+def _(spark, sf):
+    """The zones of each season: what the fit itself certifies, since the components are those of no closed formula."""
+    grid = zones.grids(shots(spark, sf), ["player_id", "season"])
+    found = zones.fit_each(grid, "season", 4)
+    rows = [(at, found.residual[at] <= zones.RESIDUAL, bool((h >= 0).all()), len(h), bool((h.sum(1) == 0).any())) for at, h in found.items()]
+    return spark.createDataFrame(rows, "season int, converged boolean, nonnegative boolean, zones int, empty boolean")
+
+
 @query("z6_zone_model")
 def _(spark, sf):
     return zones.component_cells(spark, zones.zone_model(shots(spark, sf), appearances(spark, sf), built(spark, sf)))

@@ -3,9 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from formline.functions import linalg
 from formline.operators import evaluation, profiles, similarity, windows, zones
+from formline.session import cut
 
 APP = "match_id long, player_id long, player string, team string, league string, season int, minutes int, position string, started boolean, xA double, key_passes int, xGChain double, xGBuildup double, date timestamp"
 SHOT = "match_id long, player_id long, season int, xG double, situation string, is_own_goal boolean, shotType string, lastAction string, X double, Y double"
@@ -94,7 +96,7 @@ def test_grids(spark):
 def test_zones_find_the_sides(spark):
     s = spark.createDataFrame([r for p in range(10) for r in sided(p, 0.15, 0.35)] + [r for p in range(20, 30) for r in sided(p, 0.65, 0.85)], SHOT)
     grid = zones.grids(s)
-    h = zones.fit(grid, 2, rounds=60)
+    h = zones.fit(grid, 2)
     right = {r.zone for r in zones.centres(zones.component_cells(spark, h)).collect() if r.lateral > 0}
     assert len(right) == 1
     share = {r.player_id: r[f"zone_{right.copy().pop()}"] for r in zones.weights(grid, h).collect()}
@@ -188,7 +190,7 @@ def test_zones_are_fitted_on_half_a_of_each_seed(spark):
     apps, shots = season()
     a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
     pool = a.select("player_id", "season").distinct()
-    halves = evaluation.half_profiles(s, a, pool, ["Pass", "Cross"], (4, 9), k_zones=3, zone_rounds=15)
+    halves = evaluation.half_profiles(s, a, pool, ["Pass", "Cross"], (4, 9), k_zones=3)
     assert [c for c in halves.columns if c.startswith("zone_")] == ["zone_1", "zone_2", "zone_3"]
     rows = {(r.player_id, r.seed, r.half): r for r in halves.collect()}
     assert len(rows) == 8 * 2 * 2 and all(r.zone_1 + r.zone_2 + r.zone_3 == pytest.approx(1) for r in rows.values())
@@ -196,7 +198,7 @@ def test_zones_are_fitted_on_half_a_of_each_seed(spark):
         split = evaluation.split_halves(a, [seed])
         by = ["player_id", "season", "half"]
         grid = zones.grids(profiles.shots_in(s, split, by), by)
-        for r in zones.weights(grid, zones.fit(grid.where("half = 'A'"), 3, rounds=15), by).collect():
+        for r in zones.weights(grid, zones.fit(grid.where("half = 'A'"), 3), by).collect():
             assert [r.zone_1, r.zone_2, r.zone_3] == pytest.approx([rows[r.player_id, seed, r.half][f"zone_{k}"] for k in (1, 2, 3)], abs=1e-6)
 
 
@@ -205,9 +207,9 @@ def test_evaluation_of_a_configuration(spark):
     a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
     pool = a.select("player_id", "season").distinct()
     configs = [{"zones": 0}, {"zones": 0, "shrinkage_k": 10, "split": "stratified"}, {"zones": 2, "metric": "euclidean"}]
-    grid = evaluation.config_grid(s, a, pool, ["Pass", "Cross"], configs, range(2), zone_rounds=10).collect()
+    grid = evaluation.config_grid(s, a, pool, ["Pass", "Cross"], configs, range(2)).collect()
     assert len(grid) == 2 * 12 * (4 + 4 + 5) and all(1 <= r["rank"] <= 12 for r in grid)
-    assert {(r.split, r.metric, r.shrinkage_k, r.zones) for r in grid} == {("random", "cosine", 0, 0), ("stratified", "cosine", 10, 0), ("random", "euclidean", 0, 2)}
+    assert {(r.mode, r.split, r.metric, r.shrinkage_k, r.zones) for r in grid} == {("season", "random", "cosine", 0, 0), ("season", "stratified", "cosine", 10, 0), ("season", "random", "euclidean", 0, 2)}
     ranks, halves = evaluation.evaluate_config(s, a, pool, ["Pass", "Cross"], range(2), zones=0)
     # a one-feature set by hand
     got = {(r.player_id, r.seed): r["rank"] for r in ranks.where("feature_set = 'npxG only'").collect()}
@@ -238,3 +240,91 @@ def test_rolled_up_equals_its_parts(spark):
 def test_zones_by_weight(spark):
     w = spark.createDataFrame([(1, 2025, 1, 0.2), (1, 2025, 2, 0.0), (1, 2025, 3, 0.5), (1, 2025, 4, 0.2)], "player_id long, season int, zone int, weight double")
     assert [(z.zone, z.weight) for z in zones.by_weight(w).first().zones] == [(3, 0.5), (1, 0.2), (4, 0.2)]
+
+
+def test_configurations_share_halves_and_are_logged(spark, tmp_path):
+    from formline.sources import io
+
+    apps, shots = season(12)
+    a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
+    pool = a.select("player_id", "season").distinct()
+    configs = [{"zones": 0}, {"zones": 0, "metric": "euclidean"}, {"zones": 0, "mode": "recent"}]
+    ranks = cut(evaluation.config_grid(s, a, {"season": pool, "recent": pool}, ["Pass", "Cross"], configs, range(2), window_minutes=300))
+    for metric in ("cosine", "euclidean"):  # as one configuration alone
+        alone = evaluation.evaluate_config(s, a, pool, ["Pass", "Cross"], range(2), metric=metric, zones=0)[0]
+        keys = ["player_id", "season", "seed", "feature_set", "rank"]
+        assert sorted(map(tuple, ranks.where((F.col("metric") == metric) & (F.col("mode") == "season")).select(*keys).collect())) == sorted(map(tuple, alone.select(*keys).collect()))
+    io.append_metrics(evaluation.config_metrics(ranks), str(tmp_path / "metrics"))
+    logged = spark.read.parquet(str(tmp_path / "metrics"))
+    assert logged.count() == 3 * 4 * 4
+    found = io.latest_metric(logged, "mrr", {"mode": "season", "metric": "euclidean", "feature_set": "all"}).first().value
+    per_seed = evaluation.metrics(ranks.where("metric = 'euclidean' and feature_set = 'all'")).collect()
+    assert found == pytest.approx(sum(r.mrr for r in per_seed) / 2)
+
+
+def test_a_fit_certifies_itself_or_ends(spark):
+    rng = np.random.default_rng(6)
+    parts = rng.dirichlet(np.ones(200) * 0.1, 3)
+    rows = [(int(i % 2), [float(x) for x in rng.dirichlet(np.ones(3)) @ parts]) for i in range(120)]
+    grid = spark.createDataFrame(rows, "seed int, grid array<double>")
+    found = zones.fit_each(grid, "seed", 3)
+    assert set(found) == {0, 1} and all(r <= zones.RESIDUAL for r in found.residual.values()) and all((h >= 0).all() for h in found.values())
+    x = np.array([g for s, g in rows if s == 0])
+    w = linalg.nonnegative_weights(x, found[0])
+    assert linalg.stationary_residual(found[0], w.T @ x, w.T @ w) <= zones.RESIDUAL * 1.01
+    assert ((x - w @ found[0]) ** 2).sum() < 1e-3 * (x**2).sum()  # three planted parts
+    with pytest.raises(zones.NotConverged):
+        zones.fit_each(grid, "seed", 3, rounds=1)
+
+
+def test_places_of_rows(spark):
+    """Against sorted lists: ties that most rows share, nulls, several groups, more ranges than values."""
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice("ab"), rnd.choice([0.0, 0.0, 0.0, 1.5, -2.0, float(i), None])) for i in range(300)] + [(300, "c", None), (301, "d", 4.0)]
+    df = spark.createDataFrame(rows, "id int, g string, x double").repartition(7)
+    for by in ((), ("g",)):
+        got = {r.id: (r.same, r.before, r.whole) for r in similarity.placed(df, "x", by).collect()}
+        assert len(got) == len(rows)
+        for i, g, x in rows:
+            others = [y for _, h, y in rows if y is not None and (not by or h == g)]
+            assert got[i] == ((None, None, None) if x is None else (others.count(x), sum(y < x for y in others), len(others)))
+    few = similarity.distinctiveness(spark.createDataFrame([(1, None), (2, 1.0), (3, 2.0)], "id int, distance double"))
+    assert sorted(map(tuple, few.collect())) == [(1, None, None), (2, 1.0, 0.0), (3, 2.0, 100.0)]
+
+
+def test_style_map_has_the_components_of_a_singular_value_decomposition(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) @ np.diag([5.0, 2.0, 1.0, 0.1]) @ rng.normal(size=(4, 4)) + 7
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    points, explained = similarity.style_map(df, ["a", "b", "c", "d"], ["id"])
+    centred = x - x.mean(0)
+    u, size, _ = np.linalg.svd(centred, full_matrices=False)
+    assert explained == pytest.approx([round(v, 3) for v in (size**2 / (size**2).sum())[:2]], abs=1e-3)
+    got = np.array([(r.x, r.y) for r in points.orderBy("id").collect()])
+    for k in range(2):
+        assert np.abs(got[:, k]) == pytest.approx(np.abs(u[:, k] * size[k]), abs=1e-6)
+    assert abs((got[:, 0] * got[:, 1]).sum()) < 1e-6
+
+
+def test_causes_of_difficulty(spark):
+    apps, shots = season(12)
+    a, s = spark.createDataFrame(apps, APP), spark.createDataFrame(shots, SHOT)
+    pool = a.select("player_id", "season").distinct()
+    halves = evaluation.Halves(s, a, pool, range(3))
+    both = halves.profiles(["Pass", "Cross"])
+    columns = ["npxg_per90", "xa_per90", "key_passes_per90"]
+    ranks = evaluation.evaluate(both, {"all": columns})
+    rows = evaluation.difficulty_causes(ranks, both, halves.split, columns).collect()
+    z = {}
+    for seed in range(3):
+        held = both.where(f"seed = {seed}").collect()
+        part = {h: {r.player_id: np.array([r[c] for c in columns]) for r in held if r.half == h} for h in "AB"}
+        all_a = np.array(list(part["A"].values()))
+        std = np.where(all_a.std(0) > 0, all_a.std(0), 1)
+        for p in part["A"]:
+            u, v = ((part[h][p] - all_a.mean(0)) / std for h in "AB")
+            z.setdefault(p, []).append(u @ v / max(np.linalg.norm(u), 1e-12) / max(np.linalg.norm(v), 1e-12))
+    assert {r.player_id: pytest.approx(r.own_cosine, abs=1e-9) for r in rows} == {p: sum(v) / 3 for p, v in z.items()}
+    assert all(r.starts_gap == 0 for r in rows)
+    ranked = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 4.0), (3, 3.0, 3.0), (4, 3.0, 1.0)], "k int, a double, b double")
+    assert evaluation.spearman(ranked, "a", ["b"]).first().b == pytest.approx(-0.9486832980505138)
