@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.versions import Versions
+
 #: The raw fields, all strings.
 ROSTER_FIELDS = ["id", "player_id", "player", "team_id", "position", "time", "goals", "own_goals", "shots", "xG", "xA", "assists", "key_passes", "xGChain", "xGBuildup", "yellow_card", "red_card", "roster_in", "roster_out"]
 SHOT_FIELDS = ["id", "player_id", "player", "player_assisted", "result", "situation", "shotType", "lastAction", "X", "Y", "xG", "minute"]
@@ -219,10 +221,16 @@ class ValidationError(RuntimeError):
     pass
 
 
-def publish(shots: DataFrame, appearances: DataFrame, path: str) -> None:
-    """Writes both facts by season and league, if no check fails."""
+def publish(shots: DataFrame, appearances: DataFrame, path: str) -> int:
+    """Publishes both facts by season and league as one version, if no check fails; returns the version.
+
+    Readers see both tables of a version or both of the one before (sources.versions.Versions(spark, path).table(name)).
+    """
     failed = violations(shots, appearances).collect()  # one row for each failed check
     if failed:
         raise ValidationError("; ".join(f"{r.check}: {r.violations}" for r in failed))
-    for name, df in (("shots", shots), ("appearances", appearances)):
-        df.write.mode("overwrite").partitionBy("season", "league").parquet(f"{path}/{name}")
+    versions = Versions(shots.sparkSession, path)
+    last = versions.latest()
+    number = last.version + 1 if last else 0
+    versions.publish(number, {name: versions.write(df, name, number, ("season", "league")) for name, df in (("shots", shots), ("appearances", appearances))})
+    return number

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut
 from . import similarity
 
 FUZZY_CUTOFF, LOW_DISTINCTIVENESS = 0.8, 20
@@ -37,29 +38,39 @@ def find_words(queries: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame
     return asked.join(indexed, "g").where(holds).select("query", "id").distinct()
 
 
-def spelling_keys(parts: Column) -> Column:
-    """What two strings of a ratio of 0.8 or more always share, of any string in parts: bigrams and, in short ones, ends.
+def spelling_keys(part: Column) -> Column:
+    """What two strings of a ratio of 0.8 or more always share: a bigram (numbered where it is repeated) or, in short ones, an end.
 
     A ratio of 0.8 leaves at most a fifth of the letters unmatched. Matching blocks of one letter each need an
     unmatched one between them, so strings of more than five letters together share a block of two. Of the shorter
     ones only 'xy' and 'x?y', and equal single letters, are left.
     """
-    ends = lambda p: F.when(F.length(p) == 3, F.array(F.concat(F.substring(p, 1, 1), F.substring(p, 3, 1)))).when(F.length(p) == 1, F.array(p)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.concat(grams(p, 2), ends(p)))))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part) - 1, F.lit(1))), lambda i: F.substr(part, i, F.lit(2)))
+    pairs = F.filter(pairs, lambda g: F.length(g) == 2)
+    numbered = F.transform(pairs, lambda g, i: F.concat(F.lit("2"), g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    ends = F.when(F.length(part) == 3, F.array(F.concat(F.lit("^"), F.substring(part, 1, 1), F.substring(part, 3, 1)))).when(F.length(part) == 2, F.array(F.concat(F.lit("^"), part))).when(F.length(part) == 1, F.array(F.concat(F.lit("1"), part)))
+    return F.concat(numbered, F.coalesce(ends, F.array().cast("array<string>")))
 
 
 def find_fuzzy(queries: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """(query, id, score): the best ratio of the query to the name or one of its words, at cutoff (0.8 or more) or above.
 
-    Candidates share a key of spelling_keys with the query, which no match lacks; each different pair of strings is
-    then compared once.
+    Matching strings of n and m letters share at least (n + m) / 5 - 1 bigrams, and m is 2 n / 3 at least, so that a query
+    has n / 3 - 1 of its n - 1 bigrams in common with any match. It is therefore looked up under its rarest bigrams only, of which
+    so many may be missing; common ones gather no candidates. Each different pair of strings is then compared once.
     """
     if cutoff < FUZZY_CUTOFF:
         raise ValueError("the keys find all close spellings from a ratio of 0.8 on")
-    asked = queries.where("q <> ''").select("q", F.explode(spelling_keys(F.array("q"))).alias("g")).distinct()
-    held = names.where("n is not null").select("n", F.explode(spelling_keys(F.array_append(F.split("n", " "), F.col("n")))).alias("g")).distinct()
+    parts = F.array_distinct(F.array_append(F.split("n", " "), F.col("n")))
+    held = cut(names.where("n is not null").select("n").distinct().select("n", F.explode(F.array_distinct(F.flatten(F.transform(parts, spelling_keys)))).alias("g")))
+    keys = queries.where("q <> ''").select("q").distinct().select("q", F.explode(spelling_keys(F.col("q"))).alias("g"))
+    common = held.groupBy("g").agg(F.count("*").alias("names"))
+    pair = F.col("g").startswith("2")
+    order = Window.partitionBy("q", pair).orderBy(F.coalesce("names", F.lit(0)), "g")
+    needed = F.length("q") - F.greatest(F.lit(1), F.ceil(F.length("q") / 3.0 - 1))
+    asked = keys.join(common, "g", "left").withColumn("place", F.row_number().over(order)).where(~pair | (F.col("place") <= needed)).select("q", "g")
     # a word of the name, or the name, must be about as long as the query
-    fits = F.exists(F.array_append(F.split("n", " "), F.col("n")), lambda p: 2 * F.least(F.length(p), F.length("q")) >= (F.length(p) + F.length("q")) * (cutoff - 1e-9))
+    fits = F.exists(parts, lambda p: 2 * F.least(F.length(p), F.length("q")) >= (F.length(p) + F.length("q")) * (cutoff - 1e-9))
     scored = text.close_spellings(asked.join(held, "g").where(fits).select("q", "n")).where(F.col("score") >= cutoff)
     return queries.join(scored, "q").join(names, "n").select("query", "id", "score")
 

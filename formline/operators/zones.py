@@ -211,9 +211,11 @@ def describe(centre: DataFrame) -> DataFrame:
 
 
 def export(cells: DataFrame) -> DataFrame:
-    """(zone, grid array<array<double>>): shares rounded to 6 digits, in cell order."""
-    rows = cells.groupBy("zone", "ix").agg(F.array_sort(F.collect_list(F.struct("iy", F.round("share", 6).alias("v")))).alias("r"))
-    return rows.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("ix", F.transform("r", lambda x: x["v"]).alias("v")))).alias("g")).select("zone", F.transform("g", lambda x: x["v"]).alias("grid"))
+    """(zone, grid array<array<double>>): shares rounded to 6 digits, NX rows of NY cells; a cell that isn't given is 0."""
+    shares = cells.groupBy("zone").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ix") * NY + F.col("iy")).cast("int").alias("cell"), F.round("share", 6).alias("v")))).alias("m"))
+    places = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    row = lambda x: F.transform(places(NY), lambda y: F.coalesce(F.try_element_at("m", x * NY + y), F.lit(0.0)))
+    return shares.select("zone", F.transform(places(NX), row).alias("grid"))
 
 
 def heatmap(zone_weights: DataFrame, cells: DataFrame, by: list[str] = KEYS) -> DataFrame:

@@ -303,6 +303,24 @@ def _(spark, sf):
     return linkage.assign(linkage.club_scores(c.select("league", F.col("name").alias("team")), c)).select("league", "team", "club_id", "club", "score")
 
 
+DRAWN = """WITH s AS (SELECT a.c_custkey // 4 AS league, a.c_custkey AS team, b.c_custkey AS club, ('0x' || substr(md5(a.c_custkey || '/' || b.c_custkey), 1, 6))::BIGINT AS score FROM customer AS a JOIN customer AS b ON a.c_custkey // 4 = b.c_custkey // 4),
+  lone AS (SELECT league FROM s GROUP BY league HAVING count(*) = 16)"""
+
+
+@query("m8_conflicting_assignment", DRAWN + """, every AS (SELECT league, a.score + b.score + c.score + d.score AS total FROM s AS a JOIN s AS b USING (league) JOIN s AS c USING (league) JOIN s AS d USING (league) JOIN lone USING (league)
+  WHERE a.team < b.team AND b.team < c.team AND c.team < d.team AND a.club <> b.club AND a.club <> c.club AND a.club <> d.club AND b.club <> c.club AND b.club <> d.club AND c.club <> d.club)
+  SELECT league::BIGINT AS league, max(total)::BIGINT AS total, 4::BIGINT AS teams, 4::BIGINT AS clubs FROM every GROUP BY league""")
+def _(spark, sf):
+    """Leagues of four teams and four clubs with drawn scores, in which most teams want a club that another one gets."""
+    key = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(F.floor(key / 4).alias("league"), key.cast("long").alias("club_id"))
+    score = F.conv(F.substring(F.md5(F.concat_ws("/", "team", "club_id")), 1, 6), 16, 10).cast("double")
+    pairs = c.select("league", F.col("club_id").cast("string").alias("team")).join(c, "league").withColumn("score", score).withColumn("name", F.col("club_id").cast("string"))
+    whole = pairs.groupBy("league").agg(F.count("*").alias("n")).where("n = 16").select("league")
+    chosen = linkage.assign(pairs.join(whole, "league").withColumn("league", F.col("league").cast("string")))
+    return chosen.groupBy(F.col("league").cast("long").alias("league")).agg(F.sum("score").cast("long").alias("total"), F.count_distinct("team").alias("teams"), F.count_distinct("club_id").alias("clubs"))
+
+
 @query("m9_two_stage_mapping", NATIONS + " SELECT league, CASE WHEN club_id % 8 = 0 THEN 'XQZ' ELSE club END AS team, CASE WHEN club_id % 8 <> 0 THEN club_id END AS club_id, CASE WHEN club_id % 8 <> 0 THEN club END AS club FROM c")
 def _(spark, sf):
     c = nation_clubs(spark, sf)

@@ -13,7 +13,7 @@ from ..session import cut, ensure_checkpoint_dir, table
 from ..sources import io
 from ..sources.adapters import APPEARANCES_SQL, DOCUMENTS_SQL, SHOTS_SQL, SOUND_SQL, appearances, documents, leagues, shots, sound_documents
 from ..streaming import incremental
-from ..streaming.versions import Versions
+from ..sources.versions import Versions
 from .registry import query
 
 A, S, AS, D = f"WITH {APPEARANCES_SQL} ", f"WITH {SHOTS_SQL} ", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL} ", f"WITH {DOCUMENTS_SQL} "
@@ -294,6 +294,43 @@ def _(spark, sf):
     return spark.createDataFrame([(c, found[c]) for c in names], "name string, n long")
 
 
+@query("s4_mapping_with_comments", "SELECT c_custkey::INTEGER AS c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0")
+def _(spark, sf):
+    """A hand-kept table in which every seventh line is a remark."""
+    path = place(spark, "mapping")
+    c = table(spark, sf, "customer")
+    line = F.concat(F.when(F.col("c_custkey") % 7 == 0, "# ").otherwise(""), F.col("c_custkey"), F.lit(","), F.col("c_name"))
+    head = spark.createDataFrame([(-1, "c_custkey,c_name")], "at long, value string")
+    head.unionByName(c.select(F.col("c_custkey").cast("long").alias("at"), line.alias("value"))).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return io.read_csv(spark, path, "c_custkey int, c_name string", comment="#")
+
+
+@query("s8_run_status", "SELECT o_orderstatus AS step, count(*) AS n, count(*) > 100 AS ok, round(sum(o_custkey) / count(*), 3) AS mean FROM orders GROUP BY 1")
+def _(spark, sf):
+    """A record for each order status, with its types, as runs would append them."""
+    path = place(spark, "status")
+    found = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_custkey") / F.count("*"), 3).alias("mean")).collect()  # three rows
+    for r in found:
+        io.append_status(spark, path, {"step": r.o_orderstatus, "n": r.n, "ok": r.n > 100, "mean": r.mean, "failed": None})
+    return spark.read.json(path).select("step", "n", "ok", "mean")
+
+
+@query("v9_published_facts", f"WITH {SOUND_SQL} SELECT season, league, count(*) AS shots, (SELECT count(*) FROM appearances AS a WHERE a.season = s.season AND a.league = s.league) AS appearances, FALSE AS bad_published FROM shots AS s GROUP BY season, league")
+def _(spark, sf):
+    """Facts that pass the checks are published; the same with one shot less aren't, and leave what is there."""
+    path = place(spark, "facts")
+    made = [cut(df) for df in facts.flatten_checked(sound_documents(spark, sf).where("match_id % 97 <> 0"), facts.finished_fixtures(leagues(spark, sf)))]
+    facts.publish(made[0], made[1], path)
+    try:
+        facts.publish(made[0].where("minute > 1"), made[1], path)
+        bad = True
+    except facts.ValidationError:
+        bad = False
+    held = Versions(spark, path)
+    n = {name: held.table(name).groupBy("season", "league").agg(F.count("*").alias(name)) for name in ("shots", "appearances")}
+    return n["shots"].join(n["appearances"], ["season", "league"], "left").withColumn("bad_published", F.lit(bad))
+
+
 @query("s1_rejected_numbers", f"""SELECT l_orderkey AS match_id, 'shots' AS source, (l_orderkey * 100 + n)::VARCHAR AS id, 'X' AS "column", 'n/a' AS value, 'not a number: X' AS reason FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey WHERE l_orderkey % 97 = 0), unnest([1, 51]) AS t(n) WHERE n = 1 OR l_orderkey % 10 = 0""")
 def _(spark, sf):
     flat = facts.flatten_shots(facts.join_fixtures(sound_documents(spark, sf), facts.finished_fixtures(leagues(spark, sf))))

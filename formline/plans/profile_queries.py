@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import profiles, zones
-from ..session import cut, table
+from ..session import cut, ensure_checkpoint_dir, table
+from ..sources import io
 from ..sources.adapters import APPEARANCES_SQL, MIN_MINUTES, MIN_STARTS, POSITIONS, RARE, SHOT_TYPES, SHOTS_SQL, appearances, shots
 from .registry import query
 
@@ -186,12 +189,24 @@ def _(spark, sf):
     return zones.describe(zones.centres(situation_zones(spark, sf))).select("zone", "label")
 
 
-@query("z9_zone_export", ZONES + " SELECT zone, string_agg(row, ';' ORDER BY ix) AS grid FROM (SELECT zone, ix, string_agg(round(share, 6)::DECIMAL(9,6)::VARCHAR, ',' ORDER BY iy) AS row FROM comp GROUP BY ALL) GROUP BY zone")
+@query("z9_zone_export", ZONES + " SELECT zone, string_agg(row, ';' ORDER BY x) AS grid FROM (SELECT z.zone, x, string_agg(round(coalesce(share, 0), 6)::DECIMAL(9,6)::VARCHAR, ',' ORDER BY y) AS row FROM (SELECT DISTINCT zone FROM comp) AS z CROSS JOIN range(10) AS a(x) CROSS JOIN range(20) AS b(y) LEFT JOIN comp AS c ON c.zone = z.zone AND c.ix = x AND c.iy = y GROUP BY z.zone, x) GROUP BY zone")
 def _(spark, sf):
     line = lambda r: F.array_join(F.transform(r, lambda v: v.cast("decimal(9,6)").cast("string")), ",")
     return zones.export(situation_zones(spark, sf)).select("zone", F.array_join(F.transform("grid", line), ";").alias("grid"))
 
 
+@query("s7_zones_document", ZONES + CENTRES + """ SELECT concat('zone_', zone) AS "column", ix::INTEGER AS ix, iy::INTEGER AS iy, round(share, 6) AS share, 105 AS length, 68 AS width FROM comp JOIN cen USING (zone) WHERE share > 0""")
+def _(spark, sf):
+    """The zones as one JSON document, written, read and taken apart again."""
+    held = cut(situation_zones(spark, sf))
+    document = io.zones_document(zones.export(held), zones.describe(zones.centres(held)), zones.X_EDGES, zones.Y_EDGES, 105, 68)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/zones-{uuid.uuid4().hex}"
+    document.write.text(path)
+    zone = spark.read.json(path).select("pitch.length", "pitch.width", F.explode("zones").alias("z"))
+    cells = zone.select("length", "width", F.col("z.column").alias("column"), F.posexplode("z.grid").alias("ix", "row")).select("length", "width", "column", "ix", F.posexplode("row").alias("iy", "share"))
+    return cells.where("share > 0").select("column", "ix", "iy", F.round("share", 6).alias("share"), F.col("length").cast("int").alias("length"), F.col("width").cast("int").alias("width"))
+
+
 def situation_weights(spark, sf):
     """(player_id, season, zone, weight): the share of each shot type among a player's style shots."""
     kinds = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from formline.operators import facts
 from formline.sources import io
-from formline.streaming import incremental
+from formline.sources.versions import Versions
 
 ROSTER = {c: "0" for c in facts.ROSTER_FIELDS} | {"id": "50", "player_id": "7", "player": "Dara O&#039;Shea", "position": "FW", "time": "90", "shots": "1"}
 SHOT = {c: None for c in facts.SHOT_FIELDS} | {"id": "1", "player_id": "7", "player": "Ngal&#039;ayel Mukau", "result": "MissedShots", "lastAction": "None", "X": "0.9", "Y": "0.5", "xG": "0.1", "minute": "3"}
@@ -91,8 +91,9 @@ def test_publish_is_gated(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     good, a = typed(spark, [(1, 1, 7, 0.4, 0.5, 0.1, False)], [(1, 7, 90, 1, 0)])
     keys = {"season": F.lit(2025), "league": F.lit("EPL")}
-    facts.publish(good.withColumns(keys), a.withColumns(keys), str(tmp_path / "out"))
-    assert io.read_facts(spark, str(tmp_path / "out/shots"), ["X", "season"]).first() == (0.4, 2025)
+    out = str(tmp_path / "out")
+    assert [facts.publish(good.withColumns(keys), a.withColumns(keys), out) for _ in range(2)] == [0, 1]
+    assert Versions(spark, out).table("shots").select("X", "season").collect() == [(0.4, 2025)]
 
 
 def test_csv_round_trip(spark, tmp_path):
