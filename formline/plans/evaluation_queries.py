@@ -10,7 +10,7 @@ from ..operators import evaluation, linkage, profiles, similarity, windows
 from ..session import cut, ensure_checkpoint_dir, table
 from ..sources import io
 from ..sources.adapters import APPEARANCES_SQL, RARE, SHOT_TYPES, SHOTS_SQL, appearances, shots
-from .profile_queries import built
+from .profile_queries import IN_POOL, PRIMARY, built
 from .registry import query
 
 A = f"WITH {APPEARANCES_SQL} "
@@ -94,6 +94,20 @@ def _(spark, sf):
     return evaluation.imputed_share(halves, ["npxg_per_shot", "xa_per90"])
 
 
+@query("e3_evaluate_npxg", f"WITH {APPEARANCES_SQL}, {SHOTS_SQL}{PRIMARY}" + HALVES + f""", tot AS (SELECT player_id, season, sum(minutes) AS minutes, count(*) FILTER (WHERE started) AS starts FROM appearances GROUP BY ALL), pool AS (SELECT player_id, season FROM tot JOIN prim USING (player_id, season) WHERE {IN_POOL}),
+  npx AS (SELECT h.player_id, h.season, seed, half, sum(s.xG) AS x FROM h JOIN shots AS s ON s.match_id = h.match_id AND s.player_id = h.player_id WHERE NOT is_own_goal AND NOT coalesce(situation = 'Penalty', FALSE) GROUP BY ALL),
+  v AS (SELECT player_id, season, seed, half, coalesce(x, 0)::DOUBLE / (minutes::DOUBLE / 90.0) AS v FROM (SELECT player_id, season, seed, half, sum(minutes) AS minutes FROM h GROUP BY ALL) LEFT JOIN npx USING (player_id, season, seed, half) JOIN pool USING (player_id, season)),
+  m AS (SELECT seed, avg(v) AS mean FROM v WHERE half = 'A' GROUP BY seed),
+  w AS (SELECT player_id, season, seed, coalesce(max(v) FILTER (WHERE half = 'A'), any_value(mean)) AS a, coalesce(max(v) FILTER (WHERE half = 'B'), any_value(mean)) AS b FROM v JOIN m USING (seed) GROUP BY player_id, season, seed),
+  r AS (SELECT q.seed, q.player_id, q.season, count(*) AS rank FROM w AS q JOIN w AS o ON o.seed = q.seed AND abs(o.a - q.b) <= abs(q.a - q.b) + 1e-12 GROUP BY ALL)
+  SELECT seed, round(avg((rank <= 1)::INTEGER), 4) AS recall_1, round(avg((rank <= 5)::INTEGER), 4) AS recall_5, round(avg((rank <= 10)::INTEGER), 4) AS recall_10, round(avg(1.0 / rank), 4) AS mrr FROM r GROUP BY seed""")
+def _(spark, sf):
+    s, a, pool, actions = evaluated(spark, sf)
+    halves = cut(evaluation.half_profiles(s, a, pool, actions, types=SHOT_TYPES))
+    found = evaluation.metrics(evaluation.evaluate(halves, {"npxG only": ["npxg_per90"]}))
+    return found.select("seed", *[F.round(c, 4).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mrr")])
+
+
 OWN = "WITH v AS (SELECT vec_id AS id, list_transform(range(0, 64, 2), lambda i: embedding[i + 1]::DOUBLE) AS a, list_transform(range(1, 64, 2), lambda i: embedding[i + 1]::DOUBLE) AS b FROM embeddings)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import search, similarity
 from ..session import cut, table
 from ..sources.adapters import APPEARANCES_SQL, POSITIONS, SHOTS_SQL
-from .profile_queries import PROFILE, built
+from .profile_queries import PROFILE, STYLE, built, situation_weights
 from .registry import query
 
 AS = f"WITH {APPEARANCES_SQL}, {SHOTS_SQL} "
@@ -264,6 +264,17 @@ def _(spark, sf):
     return c.select("player_id", "season", "player", "minutes", shown.alias("features"))
 
 
+@query("q12_cards_with_zones", PROF + f""", counted AS (SELECT player_id, season, dense_rank() OVER (ORDER BY shotType)::INTEGER AS zone, n FROM (SELECT player_id, season, shotType, count(*) AS n FROM shots WHERE {STYLE} GROUP BY ALL)),
+  weighed AS (SELECT player_id, season, zone, n::DOUBLE / sum(n) OVER (PARTITION BY player_id, season) AS weight FROM counted),
+  shown AS (SELECT player_id, season, string_agg(zone || ':' || floor(weight * 1000 + 1e-9)::BIGINT, ',' ORDER BY zone) AS zones FROM weighed GROUP BY ALL)
+  SELECT player_id, season, p.player, zones, round(100.0 * (SELECT count(*) FROM prof AS o WHERE o.minutes < p.minutes) / ((SELECT count(*) FROM prof) - 1), 6) AS distinctiveness FROM prof AS p LEFT JOIN shown USING (player_id, season)""")
+def _(spark, sf):
+    p = cut(built(spark, sf, False))
+    c = search.cards(search.summary(p), similarity.feature_percentiles(p, ["player_id", "season"], FEATURES), similarity.distinctiveness(p, "minutes"), situation_weights(spark, sf))
+    shown = F.array_join(F.transform("zones", lambda z: F.concat(z["zone"].cast("string"), F.lit(":"), F.floor(z["weight"] * 1000 + 1e-9).cast("string"))), ",")
+    return c.select("player_id", "season", "player", shown.alias("zones"), F.round("distinctiveness", 6).alias("distinctiveness"))
+
+
 @query("q13_similar_table", PROF + Z + f" SELECT id, other, rank FROM ({NEAREST}) WHERE rank <= 5")
 def _(spark, sf):
     v = standardised(spark, sf).select((F.col("player_id") * 10000 + F.col("season")).alias("id"), similarity.vector(FEATURES).alias("v"))
