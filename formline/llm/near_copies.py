@@ -1,19 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands make buckets, exact similarity makes links.
-
-SimHash can't serve this bound: texts at a Jaccard of 0.8 differ in about 10 of 64 bits, and segments short enough to
-reach that far have too few values to tell documents apart.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash segments under one-wildcard variants propose, exact similarity makes links.
 
 1. Texts with the same set of shingles are one node, named by a hash of the set.
-2. A node is dealt to BANDS buckets by the smallest hashes of ROWS orders each. A pair at similarity s shares none of
-   them with probability (1 - s**ROWS)**BANDS, under 1 in 10,000 at 0.8. Buckets of one node go, and so do buckets with the
-   same nodes as another.
-3. The sets of the nodes that are left are walked inside their bucket: one is compared with all of a similar size that are
-   not yet reached and hold one of its rarest shingles, on the whole sets, and only a spanning forest is kept.
+2. A node's fingerprint has a bit for each of many sums of weights of its shingles, set if the sum is positive. Two sets at
+   Jaccard s differ in a bit with a chance of about arccos(2 s / (1 + s)) / pi at most, whatever their sizes: 15.2 % at 0.8, so
+   that 64 bits can't both reach that far and tell documents apart. WHOLE bits verify, the others are cut into segments.
+3. Each segment is indexed under its variants with one bit wildcarded, as in `simhash`: a pair that differs in one bit of
+   some segment at most shares a variant and is compared on the WHOLE bits. `plan` makes the segments as many as leave a
+   pair at the bound without such a segment with a chance of MISSED. Variants aren't shuffled one by one: a
+   segment is dealt by either half, of which such a pair shares one, and its variants are joined inside that block.
+4. What fingerprints connect is a cluster. The sets of its nodes are sent to it once and walked: one is compared with all of a
+   similar size that are not yet reached and hold one of its rarest shingles, on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,45 @@ from .simhash import one_of_each, with_row_keys
 from .textops import Batches, mix, prefix_hash, range_hash, separators, symbol_table, utf8, word_bounds
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 24, 5, 29
+SEED = 29
+#: Bits on which candidates are verified, the least bits of a segment, and members of a variant that a large table should have.
+WHOLE, BITS, MEMBERS = 192, 18, 128
+#: By how much sets of few shingles, whose sums aren't quite normal, differ in more bits (0.1575 measured where four of five are shared).
+FEW = 1.04
+#: Chances that a pair at the bound is told apart by all segments, and by the WHOLE bits.
+MISSED, REFUSED = 5e-5, 1e-5
 #: Texts are worked on in chunks of about this many bytes.
 CHUNK = 1 << 20
-#: Sets of a bucket that are compared without an index of their rarest shingles.
-DIRECT = 64
+#: Sets of a cluster that are compared without an index of their rarest shingles, and nodes of a variant that are compared as pairs.
+DIRECT, PAIRS = 64, 256
+#: Records of blocks that are joined at once, and texts or fingerprints that are worked on at once.
+SLICE, DEALT = 1 << 16, 1 << 8
 
 _random = np.random.default_rng(SEED)
-#: Odd multipliers of the words of a shingle, and of the orders.
-_PLACES, _ORDERS = (_random.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (64, BANDS * ROWS))
+#: Odd multipliers of the words of a shingle.
+_PLACES = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Every other half byte, and every other byte.
+_HALVES, _BYTES = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x00FF00FF00FF00FF)
+
+
+@lru_cache(maxsize=4)
+def _lanes(n: int) -> np.ndarray:
+    """Odd multipliers that make of a shingle's hash n words of 16 weights each."""
+    return np.random.default_rng(SEED + 1).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def plan(rows: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
+    """Segments, bits of each, and the most of the WHOLE bits in which a pair may differ, for a table of `rows` rows."""
+    p, bits = FEW * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, BITS
+    while rows >> (bits - 1) > MEMBERS:
+        bits += 2
+    found = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    segments = math.ceil(math.log(MISSED) / math.log1p(-found)) if found < 1 else 1
+    within, left = 0, 1 - (1 - p) ** WHOLE
+    while left > REFUSED:
+        within += 1
+        left -= math.comb(WHOLE, within) * p**within * (1 - p) ** (WHOLE - within)
+    return segments, bits, within
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -67,19 +100,24 @@ def node_of(grams: np.ndarray) -> int:
     return int((mix(grams * _PLACES[-1]).sum(dtype=np.uint64) + np.uint64(len(grams))).view(np.int64))
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(grams), 512):
-        x = grams[k : k + 512, None] * _ORDERS
-        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(0))
-    return mix((mix(least).reshape(BANDS, ROWS) * _PLACES[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def fingerprint(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The SimHash of a set of shingles: a bit is set if its weights, odd numbers from -15 to 15 by a shingle's hash, have a positive sum."""
+    lanes = _lanes(-(-bits // 16))
+    sums = np.zeros((4, 4 * len(lanes)), np.int64)
+    for k in range(0, len(grams), 1024):
+        x = mix(grams[k : k + 1024, None] * lanes)
+        for i, half in enumerate((x & _HALVES, (x >> np.uint64(4)) & _HALVES)):
+            some = np.add.reduceat(half, np.arange(0, len(x), 16), axis=0)
+            sums[2 * i] += (some & _BYTES).sum(0, dtype=np.uint64).view(np.uint16)
+            sums[2 * i + 1] += ((some >> np.uint64(8)) & _BYTES).sum(0, dtype=np.uint64).view(np.uint16)
+    return (2 * sums > 15 * len(grams)).ravel()[:bits]
 
 
 def prefixes(size: np.ndarray, begin: np.ndarray, flat: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rarest shingles of each set, by which all pairs at `similarity` or above are found: (owners, starts) of a list of sets for each shingle, and each set's first place in `chosen`.
 
     Of two such sets with n shingles, n - ceil(similarity x n) + 1 rarest ones have one in common, whatever order all
-    sets agree on. Here it is how many of the bucket's sets hold a shingle, so that what a template repeats finds nothing.
+    sets agree on. Here it is how many of the cluster's sets hold a shingle, so that what a template repeats finds nothing.
     """
     owner = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((flat, count[flat], owner))
@@ -89,7 +127,7 @@ def prefixes(size: np.ndarray, begin: np.ndarray, flat: np.ndarray, count: np.nd
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs at `similarity` or above. In a bucket of more than DIRECT sets only those that share one of their rarest shingles are compared."""
+    """Spanning forest of the pairs at `similarity` or above. Of more than DIRECT sets only those that share one of their rarest shingles are compared."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     nodes, sets = nodes[order], [sets[k] for k in order]
     size = np.array([len(s) for s in sets])
@@ -132,46 +170,158 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILA
     return edges
 
 
-def _nodes(words: int):
+def sliced(batches: Batches) -> Batches:
+    """The batches in slices of DEALT rows, so that a worker doesn't hold a whole batch of texts in several forms."""
+    for b in batches:
+        for k in range(0, b.num_rows, DEALT):
+            yield b.slice(k, DEALT)
+
+
+def _nodes(words: int, bits: int):
+    def run(batches: Batches) -> Batches:
+        for b in sliced(batches):
+            nodes, prints = [], []
+            for g in shingle_sets(utf8(b.column(1)), words):
+                nodes.append(node_of(g))
+                prints.append(np.packbits(fingerprint(g, bits)).tobytes() if len(g) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["row", "node", "print"])
+
+    return run
+
+
+def _dealt(segments: int, bits: int):
+    """Two records for each segment of the fingerprints (node, print): key = (segment and half, this half, other half)."""
+    half = bits // 2
+    place = np.arange(2 * segments, dtype=np.int64) << half
+
     def run(batches: Batches) -> Batches:
         for b in batches:
-            sets = list(shingle_sets(utf8(b.column(1)), words))
-            keys = [band_keys(g).tolist() if len(g) else [] for g in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(g) for g in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "node", "keys"])
+            nodes, prints = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for k in range(0, len(nodes), DEALT):
+                some = prints[k : k + DEALT]
+                on = np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1)[:, : WHOLE + segments * bits]
+                whole = np.packbits(on[:, :WHOLE], axis=1).view(np.int64)
+                halves = (on[:, WHOLE:].reshape(-1, half).astype(np.float32) @ (2.0 ** np.arange(half)).astype(np.float32)).astype(np.int64).reshape(-1, segments, 2)
+                key = (halves.reshape(len(some), -1) | place) << half | halves[:, :, ::-1].reshape(len(some), -1)
+                columns = [key.ravel(), *(np.repeat(x, 2 * segments) for x in (nodes[k : k + DEALT], *whole.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", *(f"w{i}" for i in range(WHOLE // 64))])
 
     return run
 
 
-def _dealt(words: int):
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Makes one component of each pair's two, in place: label is the least member of each one's component."""
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def joined(key: np.ndarray, node: np.ndarray, whole: np.ndarray, half: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least member, other member) of the components of nodes that share a block and a one-wildcard variant of its other half, and differ in `within` of the whole bits at most."""
+    names, place = np.unique(node, return_inverse=True)
+    label = np.arange(len(names))
+    for bit in range(half):
+        variant = key & ~np.int64(1 << bit)
+        order = np.argsort(variant, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(variant[order]) != 0])
+        sizes = np.diff(np.r_[starts, len(key)])
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= PAIRS)]):
+            one, two = np.triu_indices(n, 1)
+            at, step = starts[sizes == n], max(1, SLICE // len(one))
+            for k in range(0, len(at), step):
+                a, b = (order[(at[k : k + step, None] + x).ravel()] for x in (one, two))
+                apart = label[place[a]] != label[place[b]]
+                a, b = a[apart], b[apart]
+                near = _differ(whole[a], whole[b]) <= within
+                merge(label, place[a[near]], place[b[near]])
+        for s, n in zip(starts[sizes > PAIRS], sizes[sizes > PAIRS]):
+            rest, stack, found = order[s : s + n], [], []
+            while len(rest):
+                if not stack:
+                    stack, rest = [rest[0]], rest[1:]
+                v = stack.pop()
+                near = _differ(whole[rest], whole[v]) <= within
+                if near.any():
+                    found.append((np.full(near.sum(), v), rest[near]))
+                    stack.extend(rest[near])
+                    rest = rest[~near]
+            if found:
+                merge(label, *(place[np.concatenate(x)] for x in zip(*found)))
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return names[label[other]], names[other]
+
+
+def _joined(half: int, within: int):
+    def made(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, *whole = np.concatenate(parts, axis=1)
+        pairs = joined(key, node, np.column_stack(whole).view(np.uint64), half, within)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
     def run(batches: Batches) -> Batches:
+        held: list[np.ndarray] = []
         for b in batches:
-            for k, g in enumerate(shingle_sets(utf8(b.column(1)), words)):
-                keys = b.column(2)[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b.column(0)[k].as_py()] * len(keys), pa.int64()), pa.array([g.tobytes()] * len(keys), pa.binary())], names=["key", "node", "grams"])
+            part = np.stack([c.to_numpy() for c in b.columns])
+            if sum(x.shape[1] for x in held) >= SLICE:  # what is held ends with the block of its last record
+                block = part[0] >> half
+                cut_at = int(np.searchsorted(block, held[-1][0, -1] >> half, "right"))
+                if cut_at < len(block):
+                    yield made(held + [part[:, :cut_at]])
+                    held, part = [], part[:, cut_at:]
+            if part.shape[1]:
+                held.append(part)
+        if held:
+            yield made(held)
+
+    return run
+
+
+def proposed(prints: DataFrame, segments: int, bits: int, within: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes of prints (node, print) with a segment that differs in one bit at most and `within` other whole bits at most."""
+    half, n = bits // 2, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "key long, node long, " + ", ".join(f"w{i} long" for i in range(WHOLE // 64))
+    records = prints.mapInArrow(_dealt(segments, bits), kinds)
+    return records.repartition(n, F.shiftright("key", half)).sortWithinPartitions("key").mapInArrow(_joined(half, within), "a long, b long")
+
+
+def _sets(words: int):
+    def run(batches: Batches) -> Batches:
+        for b in sliced(batches):
+            for k, g in enumerate(shingle_sets(utf8(b.column(2)), words)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 1], b.column(1)[k : k + 1], pa.array([g.tobytes()], pa.binary())], names=["cluster", "node", "grams"])
 
     return run
 
 
 def _walked(similarity: float):
     def made(nodes: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
-        return forest(np.array(nodes, np.int64), [np.frombuffer(s, np.uint64) for s in sets], similarity)
+        """(node, group) of the nodes that are linked to one before them."""
+        group: dict[int, int] = {}
+        for a, b in forest(np.array(nodes, np.int64), [np.frombuffer(s, np.uint64) for s in sets], similarity):
+            group[b] = group.get(a, a)
+        return list(group.items())
 
-    def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["node", "group"])
 
     def run(batches: Batches) -> Batches:
-        last, nodes, sets, edges = None, [], [], []
+        last, nodes, sets, found = None, [], [], []
         for b in batches:
-            for key, node, grams in zip(*(c.to_pylist() for c in b.columns)):
-                if key != last:
-                    edges += made(nodes, sets) if nodes else []
-                    last, nodes, sets = key, [], []
-                    if len(edges) > 10_000:
-                        yield batch(edges)
-                        edges = []
+            for cluster, node, grams in zip(*(c.to_pylist() for c in b.columns)):
+                if cluster != last:
+                    found += made(nodes, sets) if nodes else []
+                    last, nodes, sets = cluster, [], []
+                    if len(found) > 10_000:
+                        yield batch(found)
+                        found = []
                 nodes.append(node)
                 sets.append(grams)
-        yield batch(edges + (made(nodes, sets) if nodes else []))
+        yield batch(found + (made(nodes, sets) if nodes else []))
 
     return run
 
@@ -182,18 +332,16 @@ def groups(keyed: DataFrame, text_col: str = "text", words: int = WORDS, similar
     Null and empty texts are one group, and so are texts with the same set of shingles (repeated rows too). A text of
     fewer words is one shingle. Texts of any length are read whole; an empty table gives no rows.
     """
+    segments, bits, within = plan(keyed.count(), similarity)
     text = F.col(text_col).cast("string").alias("text")
-    rows = cut(keyed.select(F.col(key).alias("__row"), text).mapInArrow(_nodes(words), "row long, node long, keys array<long>"))
-    one = rows.groupBy("node").agg(F.min(F.struct("row", "keys")).alias("m")).select("m.row", "node", "m.keys")
-    buckets = one.select(F.explode("keys").alias("key"), F.struct("node", "row").alias("at")).groupBy("key").agg(F.collect_list("at").alias("held")).where(F.size("held") > 1)
-    members = F.xxhash64(F.array_sort(F.transform("held", lambda x: x["node"])))
-    chosen = cut(buckets.select(members.alias("members"), "key", "held").groupBy("members", F.size("held").alias("n")).agg(F.min(F.struct("key", "held")).alias("m")).select("m.*"))
-    asked = chosen.select("key", F.explode("held").alias("at")).groupBy(F.col("at.row").alias("__row"), F.col("at.node").alias("node")).agg(F.collect_list("key").alias("keys"))
+    rows = cut(keyed.select(F.col(key).alias("__row"), text).mapInArrow(_nodes(words, WHOLE + segments * bits), "row long, node long, print binary"))
+    prints = rows.where("print is not null").groupBy("node").agg(F.min(F.struct("row", "print")).alias("m")).select("node", "m.print")
+    clusters = connected(proposed(prints, segments, bits, within)).withColumnRenamed("root", "cluster")
+    asked = rows.groupBy("node").agg(F.min("row").alias("__row")).join(clusters, "node")
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.select(F.col(key).alias("__row"), text).join(asked, "__row").select("node", "text", "keys").mapInArrow(_dealt(words), "key long, node long, grams binary")
-    links = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_walked(similarity), "a long, b long")
-    roots = connected(links)
-    return rows.drop("keys").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    sets = keyed.select(F.col(key).alias("__row"), text).join(asked, "__row").select("cluster", "node", "text").mapInArrow(_sets(words), "cluster long, node long, grams binary")
+    linked = sets.repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(_walked(similarity), "node long, group long")
+    return rows.select("row", "node").join(linked, "node", "left").select("row", F.coalesce("group", "node").alias("group"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
