@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .components import connected
 from .simhash import one_of_each, with_row_keys
-from .textops import Batches, mix, prefix_hash, range_hash, separators, symbol_table, utf8, word_bounds
+from .textops import DEALT, Batches, mix, prefix_hash, range_hash, separators, sliced, symbol_table, utf8, word_bounds
 
 WORDS, SIMILARITY = 5, 0.8
 SEED = 29
@@ -37,11 +37,11 @@ FEW = 1.04
 #: Chances that a pair at the bound is told apart by all segments, and by the WHOLE bits.
 MISSED, REFUSED = 5e-5, 1e-5
 #: Texts are worked on in chunks of about this many bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Sets of a cluster that are compared without an index of their rarest shingles, and nodes of a variant that are compared as pairs.
 DIRECT, PAIRS = 64, 256
-#: Records of blocks that are joined at once, and texts or fingerprints that are worked on at once.
-SLICE, DEALT = 1 << 16, 1 << 8
+#: Records of blocks that are joined at once.
+SLICE = 1 << 16
 
 _random = np.random.default_rng(SEED)
 #: Odd multipliers of the words of a shingle.
@@ -170,13 +170,6 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILA
     return edges
 
 
-def sliced(batches: Batches) -> Batches:
-    """The batches in slices of DEALT rows, so that a worker doesn't hold a whole batch of texts in several forms."""
-    for b in batches:
-        for k in range(0, b.num_rows, DEALT):
-            yield b.slice(k, DEALT)
-
-
 def _nodes(words: int, bits: int):
     def run(batches: Batches) -> Batches:
         for b in sliced(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textops import Batches, free_name, utf8
+from .textops import Batches, free_name, sliced, utf8
 
 #: The contract's kinds in order, and their patterns, written so that no character is a start twice.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -39,6 +39,8 @@ WORD = re.compile(r"\S+")
 EDGE = "\"'`.,;:!?()[]{}<>|*#%&$="
 #: Longer words and instances are known by their hash.
 NAMED = 64
+#: Discovered instances that are sent to the tasks, at most (65 characters each); more are joined.
+SENT = 50_000
 
 
 def luhn(digits: str) -> bool:
@@ -135,6 +137,11 @@ def candidates(text: str, spans: list[tuple[int, int, int]], least: int = 5) ->
     return out
 
 
+def known_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind's place in KINDS) of the base spans and secrets."""
+    return base_spans(text) + [(s, e, len(BASE_KINDS)) for s, e in secrets(text)] if re.search("[0-9@]", text) else []
+
+
 OCCURRENCE = "doc_id long, row long, key long, start int, end int, kind int, instance string, before1 string, before2 string, after string"
 
 
@@ -144,14 +151,12 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), *[(n, text_type) for n in ("instance", "before1", "before2", "after")]])
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc, row, key, raw in zip(*(b.column(i).to_pylist() for i in range(3)), utf8(b.column(3))):
                 rows.append((doc, row, key, None, None, None, None, None, None, None))
                 text = raw.decode()
-                if not re.search("[0-9@]", text):
-                    continue
-                spans = base_spans(text) + [(s, e, len(BASE_KINDS)) for s, e in secrets(text)]
+                spans = known_spans(text)
                 marks = spans + [(s, e, -1) for s, e in candidates(text, spans)]
                 words = Words(text) if marks else None
                 for s, e, kind in marks:
@@ -166,7 +171,8 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def trusted(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """(kind, pattern, instance, score): the candidate instances that trusted patterns support, with the best kind.
 
-    A pattern is trusted if its confidence is high enough and it holds `support` different seeds of the kind.
+    A pattern is trusted if its confidence is high enough and it holds `support` different seeds of the kind. The rounds
+    end where no candidate has a score, since all others would be the same.
     """
     side = F.explode(F.array(F.struct(F.lit("1").alias("s"), F.col("before1").alias("w")), F.struct(F.lit("2").alias("s"), F.col("before2").alias("w")), F.struct(F.lit("3").alias("s"), F.col("after").alias("w")))).alias("p")
     edges = cut(
@@ -193,6 +199,8 @@ def trusted(found: DataFrame, rounds: int = 3, support: int = 5, confidence: flo
         score = cut(
             graph.join(conf, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score"), F.max("confidence").alias("best"))
         )
+        if score.isEmpty():
+            break
     return score.where(F.col("best") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found"), F.max("score").alias("score"))
 
 
@@ -229,29 +237,56 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.exists("spans", lambda x: ~x["base"]).alias("has_added"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def hidden(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each of the spans (start, kind, end), in order, replaced by its kind; overlapping ones become one."""
+    parts, at = [], 0
+    for start, kind, end in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = end
+    return "".join(parts) + text[at:] if parts else text
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT, **settings) -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets; overlapping spans become one; columns as given.
 
+    Discovered instances, if they are `sent` at most, go to the tasks, which find a text's spans where they read it: texts
+    aren't shuffled. More instances are joined by shuffles. Both ways give the same texts.
     Null and empty texts stay as they are, rows of a null id and repeated rows are treated each, and an empty table gives
     no rows. No rows are lost.
     """
+    more = trusted(occurrences(docs, id_col, text_col), **settings).select("instance", "found")
+    few = more.limit(sent + 1).collect()
+    if len(few) > sent:
+        return _redacted_by_joins(docs, id_col, text_col, settings)
+    kinds = {r["instance"]: r["found"] for r in few}
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if text is not None:
+                spans = known_spans(text)
+                added = [(s, e, kinds.get(_named(text[s:e].lower()))) for s, e in candidates(text, spans)] if kinds else []
+                text = hidden(text, sorted((s, k, e) for s, e, k in spans + added if k is not None))
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return docs.select(*[replaced(F.col(c).cast("string")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def _redacted_by_joins(docs: DataFrame, id_col: str, text_col: str, settings: dict) -> DataFrame:
+    """As redact, for any number of discovered instances: spans are joined to the texts."""
     found = personal_data(docs, id_col, text_col, **settings).where(F.size("spans") > 0)
     own_id, own_key, own_spans = (free_name(docs.columns, c) for c in ("id", "key", "spans"))
     spans = found.groupBy(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).agg(F.first("spans").alias(own_spans))
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, marks in zip(texts, spans):
-            parts, at = [], 0
-            for m in marks if marks is not None else []:
-                if m["end"] <= at:
-                    continue
-                if m["start"] >= at:
-                    parts += [text[at : m["start"]], f"[{KINDS[m['kind']].upper()}]"]
-                at = m["end"]
-            out.append("".join(parts) + text[at:] if parts else text)
-        return pd.Series(out, dtype=object)
+        marks = ([(m["start"], m["kind"], m["end"]) for m in x] if x is not None else [] for x in spans)
+        return pd.Series([hidden(t, x) for t, x in zip(texts, marks)], dtype=object)
 
     text = F.col(text_col)
     marked = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(text.cast("string")).eqNullSafe(F.col(own_key)), "left")

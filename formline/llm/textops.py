@@ -48,7 +48,11 @@ def symbol_table(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=8)
+#: Rows that are worked on at once where each takes several times its text.
+DEALT = 1 << 8
+_table: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, np.uint64), np.full(n, BASE_INVERSE, np.uint64)
     up[0] = down[0] = 1
@@ -56,9 +60,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, from a cached table of the next power of two."""
-    up, down = _powers(1 << max(12, (n - 1).bit_length()))
-    return up[:n], down[:n]
+    """BASE**i and BASE**-i for i < n, from one kept table, which is made anew for the next power of two if it is too short."""
+    if not _table or len(_table[0]) < n:
+        _table[:] = _powers(1 << max(12, (n - 1).bit_length()))
+    return _table[0][:n], _table[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +128,13 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def sliced(batches: Batches) -> Batches:
+    """The batches in slices of DEALT rows, so that a worker doesn't hold a whole batch of texts in several forms."""
+    for b in batches:
+        for k in range(0, b.num_rows, DEALT):
+            yield b.slice(k, DEALT)
+
+
 class Recent(dict):
     """What a worker remembers across tasks: entries used of late, in two generations of half of `bound` bytes each.
 

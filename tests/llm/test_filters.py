@@ -458,3 +458,24 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert added == {50: "phone:20:32"}
     hidden = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert hidden[50] == "please call mobile: [PHONE] today" and hidden[51] == rows[21][1] and hidden[3] == "please call mobile: [PHONE] today"
+
+
+def test_texts_are_redacted_where_they_are_read(spark):
+    rows = [(i, f"please call mobile: +1 523 555 {1000 + i} today") for i in range(20)] + [(50, "please call mobile: 5550-77-1234 today"), (50, "please call mobile: 5550-77-1234 today"), (None, "1.2.3.4 or a@b.c"), (51, None), (52, "")]
+    docs = spark.createDataFrame(rows + [(60 + k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3).localCheckpoint()
+    got = pii.redact(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    joined = pii.redact(docs, sent=0)
+    assert joined.schema == got.schema and sorted(map(repr, joined.collect())) == sorted(map(repr, got.collect()))
+    assert [r.text for r in got.where("doc_id = 50").collect()] == ["please call mobile: [PHONE] today"] * 2
+
+
+def test_rounds_end_where_nothing_is_scored(spark, monkeypatch):
+    made, cut = [], pii.cut
+    monkeypatch.setattr(pii, "cut", lambda df: made.append(1) or cut(df))
+    docs = spark.createDataFrame([(i, f"w{i} +1 523 555 {1000 + i} at {20000 + i} x") for i in range(20)], "doc_id long, text string")
+    assert pii.trusted(pii.occurrences(docs), rounds=3).count() == 0 and len(made) == 4
+    made.clear()
+    docs = spark.createDataFrame([(i, f"please call mobile: +1 523 555 {1000 + i} today") for i in range(20)] + [(50, "please call mobile: 5550-77-1234 today")], "doc_id long, text string")
+    assert pii.trusted(pii.occurrences(docs), rounds=3).count() == 1 and len(made) == 6

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from formline.llm import automaton, repeats, suffix_merge
+from formline.llm import automaton, repeats, suffix_merge, textops
 
 
 def test_merge_never_loses_order_or_prefixes():
@@ -147,3 +147,10 @@ def test_repeated_rows(spark):
 def test_empty_tables(docs):
     assert automaton.removed(docs.limit(0)).count() == 0
     assert suffix_merge.removed(docs.limit(0)).count() == 0
+
+
+def test_one_table_of_powers_is_kept():
+    for n in (5, 5000, 70_000, 9000):
+        up, down = textops.powers(n)
+        assert len(up) == len(down) == n and (up * down == 1).all() and int(up[3]) == pow(textops.BASE, 3, 1 << 64)
+    assert textops.powers(10)[0].base is textops.powers(70_000)[0].base
