@@ -34,7 +34,7 @@ from ..session import cut
 from .textops import Batches, folded, free_name, mix, prefix_hash, range_hash, symbol_table, utf8, word_bounds
 
 #: Words of a block of a text; blocks of a window; texts are worked on in chunks of this many bytes.
-BLOCK, WINDOW, CHUNK = 8, 4, 1 << 20
+BLOCK, WINDOW, CHUNK = 8, 4, 1 << 18
 #: Words of a block of passages, columns of the TF-IDF matrix, rank of the latent space, and the settings of the randomised SVD.
 BLOCK_WORDS, WIDTH, RANK, OVERSAMPLE, POWER_ROUNDS = 200_000, 1 << 17, 160, 16, 2
 #: A segment of which the latent space keeps a smaller share is told from others by shared runs alone.
