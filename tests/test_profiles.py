@@ -328,3 +328,39 @@ def test_causes_of_difficulty(spark):
     assert all(r.starts_gap == 0 for r in rows)
     ranked = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 4.0), (3, 3.0, 3.0), (4, 3.0, 1.0)], "k int, a double, b double")
     assert evaluation.spearman(ranked, "a", ["b"]).first().b == pytest.approx(-0.9486832980505138)
+
+
+def test_masks_split_as_the_seeds_do_behind_one_shuffle(spark):
+    rnd = random.Random(3)
+    apps = [app(m, p, season=2024 + m % 2, position=rnd.choice(["FW", "Sub"])) for p in range(9) for m in range(rnd.randint(1, 40))]
+    a = spark.createDataFrame(apps, APP)
+    keys = ["player_id", "season", "match_id", "seed", "half"]
+    for stratify, seeds in ((None, range(20)), ("started", range(70))):  # more seeds than a number has bits
+        masks = evaluation.half_masks(evaluation.dealt(a, profiles.KEYS, seeds), seeds, stratify=stratify)
+        split = evaluation.split_halves(a, seeds, stratify=stratify)
+        assert sorted(map(tuple, evaluation.unmasked(masks, seeds).select(*keys).collect())) == sorted(map(tuple, split.select(*keys).collect()))
+    sums = evaluation.split_halves(a).groupBy("player_id", "season", "seed", "half").count()
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # copies for the seeds aren't shuffled
+
+
+def test_numbers_of_halves_equal_their_profiles(spark):
+    apps, shots = season()
+    a, s = spark.createDataFrame(apps + [app(1, 99)], APP), spark.createDataFrame(shots, SHOT)  # the last has no half A
+    halves = evaluation.Halves(s, a, None, (1, 2))
+    numbers = {(r.player_id, r.seed, r.half): r for r in halves.numbers(["Pass"]).collect()}
+    assert len(numbers) == 9 * 2 * 2 and numbers[99, 1, "A"].minutes is None and numbers[99, 1, "A"].shots is None
+    for h in "AB":
+        rows = profiles.build(s, evaluation.split_halves(a, [2]).where(F.col("half") == h), last_actions=["Pass"], min_starts=0, min_minutes=0, positions=None).collect()
+        assert len(rows) == 8 + (h == "B")
+        for r in rows:
+            n = numbers[r.player_id, 2, h]
+            assert all(getattr(n, c) == pytest.approx(r[c]) if r[c] is not None else getattr(n, c) is None for c in n.asDict() if c not in ("seed", "half"))
+
+
+def test_ranks_along_a_line(spark):
+    rnd = random.Random(5)
+    rows = [(i % 2, i, [float(rnd.randint(0, 9))], [rnd.choice([0.1, 1.0, 4.3]) * rnd.randint(0, 9)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "g int, id int, a array<double>, b array<double>")
+    got = similarity.own_ranks(df, "euclidean", ["g"])
+    assert "ArrowPython" not in similarity.line_ranks(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r["rank"] for r in got.collect()} == {i: sum(abs(c[0] - b[0]) <= abs(a[0] - b[0]) + 1e-12 for h, _, c, _ in rows if h == g) for g, i, a, b in rows}
